@@ -132,21 +132,30 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mixed(hashes + (ends - starts).astype(np.uint64) * np.uint64(_WORD_FACTORS[2])), np.searchsorted(starts, offsets)
 
 
-def shingle_hashes(words: np.ndarray, k: int = SHINGLE_WORDS) -> np.ndarray:
-    """Hashes of the k-word shingles of one text, in order, repeats kept; a text of fewer
-    words is one shingle, one without words has none."""
-    n = len(words)
-    if n == 0:
-        return np.zeros(0, np.uint64)
-    width = min(k, n)
-    total = np.zeros(n - width + 1, np.uint64)
-    for i in range(width):
-        total += mixed(words[i : n - width + 1 + i] ^ np.uint64(_WORD_FACTORS[i % 5])) * np.uint64((_WORD_FACTORS[(i + 1) % 5] + 2 * i) & (2**64 - 1) | 1)
-    return mixed(total + np.uint64(width))
+_MULTIPLIERS = [0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
+
+
+def shingle_hashes(words: np.ndarray, at: np.ndarray, k: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
+    """For each text, the hashes of its k-word shingles (k up to 5) in order, repeats kept.
+    words and at are as word_hashes() gives them. A text of fewer words is one shingle,
+    one without words has none."""
+    mixes = [mixed(words ^ np.uint64(_WORD_FACTORS[j])) * np.uint64(_MULTIPLIERS[(j + 1) % 5]) for j in range(k)]
+
+    def total(start: int, width: int, n: int) -> np.ndarray:
+        out = mixes[0][start : start + n] + np.uint64(width)
+        for j in range(1, width):
+            out += mixes[j][start + j : start + j + n]
+        return mixed(out)
+
+    whole = total(0, k, len(words) - k + 1) if len(words) >= k else None
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if b - a >= k:
+            yield whole[a : b - k + 1]
+        else:
+            yield total(a, b - a, 1) if b > a else np.zeros(0, np.uint64)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    words, at = word_hashes(data, offsets)
-    for i in range(len(offsets) - 1):
-        yield np.unique(shingle_hashes(words[at[i] : at[i + 1]], k))
+    for hashes in shingle_hashes(*word_hashes(data, offsets), k):
+        yield np.unique(hashes)

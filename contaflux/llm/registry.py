@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contaflux.llm import langid
+from contaflux.llm import decontam, fingerprints, langid, ngram_join, pii, resharding, unigram
 from contaflux.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,4 +18,31 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
-QUERIES["op2_language_id"] = op2_language_id
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.token_digests(table(spark, sf_dir, "documents"))
+
+
+def op8_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resharding.reshard(table(spark, sf_dir, "documents"))
+
+
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.masked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+for _query in (op2_language_id, op3_ngram_jaccard_join, op5_fingerprints, op6_decontamination, op7_sentencepiece, op8_resharding, op9_pii_surrogates):
+    QUERIES[_query.__name__] = _query
+
+ORACLES["op6_decontamination"] = decontam.ORACLE
