@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contaflux.llm import decontam, fingerprints, langid, ngram_join, pii, resharding, unigram
+from contaflux.llm import decontam, fingerprints, html_main, langid, licenses, ngram_join, pii, resharding, unigram, url_filter
 from contaflux.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
@@ -22,6 +26,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extracted(table(spark, sf_dir, "pages"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -42,7 +50,12 @@ def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.masked(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-for _query in (op2_language_id, op3_ngram_jaccard_join, op5_fingerprints, op6_decontamination, op7_sentencepiece, op8_resharding, op9_pii_surrogates):
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
+for _query in (op1_license_scan, op2_language_id, op3_ngram_jaccard_join, op4_html_extraction, op5_fingerprints, op6_decontamination, op7_sentencepiece, op8_resharding, op9_pii_surrogates, op10_url_filter):
     QUERIES[_query.__name__] = _query
 
 ORACLES["op6_decontamination"] = decontam.ORACLE
+ORACLES["op1_license_scan"] = licenses.ORACLE
