@@ -1,0 +1,101 @@
+"""Money: half-up rounding towards plus infinity, VAT arithmetic, locale amounts, payroll lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: VAT percentages by region and kind, and monthly withholding brackets. Fixed values.
+VAT_RATES = {"PT": {"normal": 23.0, "intermediate": 13.0, "reduced": 6.0}, "AC": {"normal": 16.0, "intermediate": 9.0, "reduced": 4.0}, "MA": {"normal": 22.0, "intermediate": 12.0, "reduced": 5.0}}
+WITHHOLDING = [(920, 0.0), (1400, 0.13), (2200, 0.18), (3200, 0.23)]
+WITHHOLDING_TOP = 0.28
+EMPLOYEE_SHARE, EMPLOYER_SHARE = 0.11, 0.2375
+VAT_TOLERANCE = 0.02
+
+
+def cents(x: Column) -> Column:
+    """x in hundredths, halves rounded up, as a long: sums of it are exact in any order."""
+    return F.floor(x * 100 + 0.5).cast("long")
+
+
+def round2(x: Column) -> Column:
+    return F.floor(x * 100 + 0.5) / F.lit(100.0)
+
+
+def vat_from_base(base: Column, rate: Column) -> Column:
+    return round2(base * rate / 100)
+
+
+def vat_from_gross(gross: Column, rate: Column) -> Column:
+    return round2(gross * rate / (rate + 100))
+
+
+def base_from_gross(gross: Column, rate: Column) -> Column:
+    return round2(gross - vat_from_gross(gross, rate))
+
+
+def vat_class(rate: Column, region: str = "PT") -> Column:
+    """exempt, reduced, intermediate or normal for a rate within .05 of the region's; else other."""
+    out = F.when(F.abs(rate) <= 0.05, "exempt")
+    for kind in ("reduced", "intermediate", "normal"):
+        out = out.when(F.abs(rate - VAT_RATES[region][kind]) <= 0.05, kind)
+    return out.otherwise("other")
+
+
+def line_total(quantity: Column, price: Column, discount: Column) -> Column:
+    return F.greatest(F.lit(0.0), round2(quantity * price - F.coalesce(discount, F.lit(0.0))))
+
+
+def tax_fits(base: Column, rate: Column, tax: Column) -> Column:
+    return F.abs(tax - vat_from_base(base, rate)) <= VAT_TOLERANCE + 1e-9
+
+
+def bank_amount(text: Column, decimal: str = ",", thousand: str = ".") -> Column:
+    """An amount of a bank statement: currency signs and separators out, then the longest
+    number that the rest begins with; null where it begins with none."""
+    plain = F.regexp_replace(text, r"[\s€$£]|EUR", "")
+    if thousand:
+        plain = F.replace(plain, F.lit(thousand), F.lit(""))
+    if decimal != ".":
+        plain = F.replace(plain, F.lit(decimal), F.lit("."))
+    return F.regexp_extract(plain, r"^[+-]?(?:\d+\.?\d*|\.\d+)", 0).try_cast("double")
+
+
+def invoice_amount(text: Column) -> Column:
+    """An amount of an invoice: the last separator is the decimal one, but a single separator
+    with exactly three digits after it groups thousands."""
+    plain = F.regexp_replace(text, r"[^\d.,-]", "")
+    single = F.length(F.regexp_replace(plain, r"[^.,]", "")) == 1
+    thousands = single & plain.rlike(r"[.,]\d{3}$")
+    comma_last = F.length(plain) - F.instr(F.reverse(plain), ",") > F.length(plain) - F.instr(F.reverse(plain), ".")
+    comma = (F.instr(plain, ",") > 0) & ((F.instr(plain, ".") == 0) | comma_last)
+    decimal = F.when(comma, F.replace(F.replace(plain, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(plain, F.lit(","), F.lit("")))
+    return F.when(thousands, F.regexp_replace(plain, "[.,]", "")).otherwise(decimal).try_cast("double")
+
+
+def model_number(text: Column) -> Column:
+    """A number that a language model wrote: a single separator is decimal only before exactly two digits."""
+    plain = F.regexp_replace(text, r"[^\d.,-]", "")
+    single = F.length(F.regexp_replace(plain, r"[^.,]", "")) == 1
+    grouped = F.regexp_replace(plain, "[.,]", "")
+    return F.when(single & ~plain.rlike(r"[.,]\d{2}$"), grouped).when(single, F.replace(plain, F.lit(","), F.lit("."))).otherwise(invoice_amount(text).cast("string")).try_cast("double")
+
+
+def qr_amount(text: Column) -> Column:
+    return F.regexp_extract(F.replace(text, F.lit(","), F.lit(".")), r"^\s*[+-]?\d*\.?\d+", 0).try_cast("double")
+
+
+def withholding_rate(gross: Column, configured: Column | None = None) -> Column:
+    """A configured rate (over 1: in percent), else by bracket of the gross salary."""
+    by_bracket = F.lit(WITHHOLDING_TOP)
+    for upper, rate in reversed(WITHHOLDING):
+        by_bracket = F.when(gross <= upper, F.lit(rate)).otherwise(by_bracket)
+    if configured is None:
+        return by_bracket
+    return F.coalesce(F.when(configured > 1, configured / 100).otherwise(configured), by_bracket)
+
+
+def pt_amount(x: Column) -> Column:
+    """Two decimals after a comma, thousands grouped by a point from five digits on."""
+    grouped = F.translate(F.format_number(x, 2), ",.", ".,")
+    return F.when(F.abs(x) < 10000, F.replace(grouped, F.lit("."), F.lit(""))).otherwise(grouped)

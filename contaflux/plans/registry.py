@@ -2,9 +2,217 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from contaflux.functions import dates, fiscal, money, text, vectors
+from contaflux.operators import audit, boards, parties, reconcile, retrieval, tax
+from contaflux.plans.domain import view, with_views
+from contaflux.sources import sepa
+from contaflux.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+YEAR = 1996
+
+
+def add(name: str, views: str, build: Callable[..., DataFrame], oracle: str | None = None) -> None:
+    """A query that passes the named domain views to build, and its SQL over the same views."""
+    names = views.split()
+    QUERIES[name] = lambda spark, sf_dir: build(*(view(spark, sf_dir, n) for n in names))
+    if oracle:
+        ORACLES[name] = with_views(views, oracle)
+
+
+def add_raw(name: str, table: str, build: Callable[[DataFrame], DataFrame], oracle: str | None = None) -> None:
+    """A query over a stored table."""
+    QUERIES[name] = lambda spark, sf_dir: build(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    if oracle:
+        ORACLES[name] = oracle
+
+
+def cents(x: str) -> str:
+    return f"CAST(floor(({x}) * 100 + 0.5) AS BIGINT)"
+
+
+def round2(x: str) -> str:
+    return f"(floor(({x}) * 100 + 0.5) / 100.0::DOUBLE)"
+
+
+def euro(x: str) -> str:
+    return f"(CAST({x} AS DOUBLE) / 100.0::DOUBLE)"
+
+
+# Value added tax and income tax -------------------------------------------------------
+
+_GROSS_TAX = cents(round2("gross * rate / (rate + 100)"))
+_LINES = f"""SELECT rate, type IN ('FATURA_EMITIDA', 'NOTA_CREDITO', 'NOTA_DEBITO') AS output, sign * ({cents("gross")} - {_GROSS_TAX}) AS base, sign * {_GROSS_TAX} AS tax
+FROM (SELECT d.type, coalesce(i.total, d.total) AS gross, CAST(coalesce(i.tax_rate, 0.0) AS DOUBLE) AS rate, CASE WHEN d.type = 'NOTA_CREDITO' THEN -1 ELSE 1 END AS sign
+FROM fiscal_document d LEFT JOIN document_item i ON i.document_id = d.id)"""
+add("agg_01_vat_by_rate", "fiscal_document document_item", tax.vat_by_rate,
+    f"""SELECT rate, {euro("sum(CASE WHEN output THEN base ELSE 0 END)")} AS output_base, {euro("sum(CASE WHEN output THEN tax ELSE 0 END)")} AS output_tax,
+    {euro("sum(CASE WHEN NOT output THEN base ELSE 0 END)")} AS input_base, {euro("sum(CASE WHEN NOT output THEN tax ELSE 0 END)")} AS input_tax, count(*) AS document_count,
+    CASE WHEN abs(rate) <= .05 THEN 'exempt' WHEN abs(rate - 6) <= .05 THEN 'reduced' WHEN abs(rate - 13) <= .05 THEN 'intermediate' WHEN abs(rate - 23) <= .05 THEN 'normal' ELSE 'other' END AS kind
+    FROM ({_LINES}) GROUP BY rate""")
+_OUT, _IN = "sum(CASE WHEN output THEN tax ELSE 0 END)", "sum(CASE WHEN NOT output THEN tax ELSE 0 END)"
+add("agg_03_vat_totals", "fiscal_document document_item", tax.vat_totals, f"SELECT {euro(_OUT)} AS output_tax, {euro(_IN)} AS input_tax, {euro(f'{_OUT} - {_IN}')} AS payable, {euro('sum(base)')} AS base FROM ({_LINES})")
+_ACCOUNTS = f"""SELECT account_id, code, name, {euro("d")} AS debit, {euro("c")} AS credit, {euro("d - c")} AS net FROM
+(SELECT account_id, sum({cents("debit")}) AS d, sum({cents("credit")}) AS c FROM journal WHERE date >= DATE '{YEAR}-01-01' AND date < DATE '{YEAR + 1}-01-01' GROUP BY account_id)
+JOIN account ON account.id = account_id WHERE active AND code LIKE '6%'"""
+add("agg_04_expense_accounts", "journal account", lambda j, a: tax.expense_accounts(j, a, YEAR), _ACCOUNTS)
+add("agg_05_income_tax", "journal account", lambda j, a: tax.income_tax(j, a, YEAR),
+    f"""SELECT {euro("p")} AS total, floor(p * 21 / 100 + 0.5) / 100.0::DOUBLE AS income_tax, floor(p * 10 / 100 + 0.5) / 100.0::DOUBLE AS autonomous_tax
+    FROM (SELECT CAST(sum(greatest({cents("net")}, 0)) AS BIGINT) AS p FROM ({_ACCOUNTS}))""")
+add("srt_06_top_accounts", "journal account", lambda j, a: tax.top_accounts(j, a, YEAR), f"SELECT * FROM ({_ACCOUNTS}) WHERE debit > 0 ORDER BY debit DESC, account_id LIMIT 10")
+add("agg_14_document_totals", "document_item", tax.document_totals,
+    f"""SELECT document_id, {euro("n")} AS net, {euro("t")} AS tax, {euro("n + t")} AS total FROM
+    (SELECT document_id, sum({cents("total")}) AS n, sum({cents("total * CAST(tax_rate AS DOUBLE) / 100")}) AS t FROM document_item GROUP BY document_id)""")
+
+# Boards and key figures ---------------------------------------------------------------
+
+_STAGES = ", ".join(f"({i}, '{s}', {p})" for i, (s, p) in enumerate(boards.STAGES))
+add("agg_07_pipeline_stats", "deal", boards.pipeline_stats,
+    f"""SELECT CAST(place AS INTEGER) AS place, s.stage, coalesce(n, 0) AS deals, {euro("coalesce(c, 0)")} AS total, floor(CAST(coalesce(c, 0) AS DOUBLE) * probability / 100 + 0.5) / 100.0::DOUBLE AS weighted
+    FROM (VALUES {_STAGES}) s(place, stage, probability) LEFT JOIN (SELECT stage, count(*) AS n, sum({cents("value")}) AS c FROM deal GROUP BY stage) d ON d.stage = s.stage""")
+add("agg_08_deal_board", "deal", boards.board_tops, "SELECT stage, CAST(r AS INTEGER) AS rank, id, value FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY value DESC, id) AS r FROM deal WHERE stage <> 'LOST') WHERE r <= 3")
+_START = datetime.date(1996, 1, 1)
+_MONTHS = ", ".join(f"('1996-0{m}')" for m in range(1, 7))
+_PROBABILITY = "CASE stage " + " ".join(f"WHEN '{s}' THEN {p}" for s, p in boards.STAGES) + " END"
+add("agg_09_forecast", "deal", lambda d: boards.forecast(d, _START),
+    f"""SELECT m.month, coalesce(n, 0) AS deals, {euro("coalesce(c, 0)")} AS total, {euro("coalesce(w, 0)")} AS weighted FROM (VALUES {_MONTHS}) m(month) LEFT JOIN
+    (SELECT strftime(expected, '%Y-%m') AS month, count(*) AS n, sum({cents("value")}) AS c, sum(CAST(floor(value * {_PROBABILITY} + 0.5) AS BIGINT)) AS w FROM deal WHERE stage NOT IN ('WON', 'LOST') GROUP BY 1) d ON d.month = m.month""")
+add("mth_23_win_rate", "deal", boards.win_rate, "SELECT won, lost, CASE WHEN won + lost > 0 THEN floor(won * 10000 / (won + lost) + 0.5) / 10000.0::DOUBLE ELSE 0.0 END AS win_rate FROM (SELECT count(*) FILTER (stage = 'WON') AS won, count(*) FILTER (stage = 'LOST') AS lost FROM deal)")
+_TODAY = datetime.date(1997, 1, 1)
+add("agg_10_payables_open", "payable", lambda p: boards.payables_open(p, _TODAY), f"SELECT count(*) AS n, {euro(f'sum({cents("amount")})')} AS total, {euro(f"sum(CASE WHEN status = 'OVERDUE' OR due_date < DATE '{_TODAY}' THEN {cents('amount')} ELSE 0 END)")} AS overdue FROM payable WHERE status IN ('TO_PAY', 'SCHEDULED', 'OVERDUE')")
+add("agg_31_payables_by_party", "payable", boards.payables_by_party, f"SELECT party_id, count(*) AS n, {euro(f"sum(CASE WHEN status IN ('TO_PAY', 'SCHEDULED', 'OVERDUE') THEN {cents('amount')} ELSE 0 END)")} AS open_total, min(due_date) AS first_due FROM payable GROUP BY party_id")
+_IN, _OUT = (f"sum(CASE WHEN amount {o} 0 THEN {cents('abs(amount)')} ELSE 0 END)" for o in "><")
+add("agg_11_bank_flow", "bank_transaction", boards.bank_flow, f"SELECT tenant_id, {euro(_IN)} AS money_in, {euro(_OUT)} AS money_out, {euro(f'{_IN} - {_OUT}')} AS net FROM bank_transaction GROUP BY tenant_id")
+add("agg_12_document_counts", "fiscal_document", boards.document_counts, f"SELECT type, {euro(f'sum({cents("total")})')} AS total, count(*) FILTER (status IN ('NOVO', 'EM_REVISAO')) AS to_review, count(*) AS n FROM fiscal_document WHERE status <> 'ARQUIVADO' GROUP BY type")
+_RATE = "CASE WHEN gross <= 920 THEN 0 WHEN gross <= 1400 THEN 0.13 WHEN gross <= 2200 THEN 0.18 WHEN gross <= 3200 THEN 0.23 ELSE 0.28 END"
+_PAY = f"""SELECT id, period, gross, CAST(round(gross * CAST({_RATE} AS DECIMAL(5,4)), 2) AS DECIMAL(12,2)) AS tax, CAST(round(gross * CAST(0.11 AS DECIMAL(5,4)), 2) AS DECIMAL(12,2)) AS employee,
+CAST(round(gross * CAST(0.2375 AS DECIMAL(5,4)), 2) AS DECIMAL(12,2)) AS employer FROM employee"""
+add("mth_14_payroll_lines", "employee", boards.payroll_lines, f"SELECT *, CAST(gross - tax - employee AS DECIMAL(12,2)) AS net FROM ({_PAY})")
+add("agg_13_payroll_totals", "employee", boards.payroll_totals, f"SELECT period, count(*) AS n, {', '.join(f'CAST(sum({c}) AS DECIMAL(18,2)) AS {c}' for c in ('gross', 'tax', 'employee', 'employer'))}, CAST(sum(gross - tax - employee) AS DECIMAL(18,2)) AS net FROM ({_PAY}) GROUP BY period")
+add("agg_24_outliers", "fiscal_document", lambda d: boards.outliers(d, 2.0),
+    f"""SELECT id, party_id, total, round(z, 3) AS z FROM (SELECT id, d.party_id, total, ({cents("total")} - mean) / spread AS z FROM fiscal_document d JOIN
+    (SELECT party_id, s / n AS mean, sqrt(greatest(q / n - (s / n) * (s / n), 0.0)) AS spread, n FROM (SELECT party_id, count(*) AS n, CAST(sum(c) AS DOUBLE) AS s, CAST(sum(c * c) AS DOUBLE) AS q
+      FROM (SELECT party_id, CAST({cents("total")} AS HUGEINT) AS c FROM fiscal_document) GROUP BY party_id) WHERE n >= 3) m ON m.party_id = d.party_id WHERE spread > 0) WHERE abs(z) > 2.0""")
+add("srt_01_payables_page", "payable", lambda p: boards.pages(p.where("status = 'TO_PAY'").select("id", "due_date", "amount"), [F.col("due_date").asc_nulls_last(), "id"], 2, 50), "SELECT id, due_date, amount FROM payable WHERE status = 'TO_PAY' ORDER BY due_date NULLS LAST, id LIMIT 50 OFFSET 50")
+
+# Reconciliation -----------------------------------------------------------------------
+
+_KEY = "lower(trim(regexp_replace(strip_accents(coalesce({}, '')), '\\s+', ' ', 'g')))"
+_CANDIDATES = f"""SELECT tx_id, document_id, CASE tier WHEN 1 THEN 'STRONG' WHEN 2 THEN 'MEDIUM' ELSE 'WEAK' END AS match_type,
+CAST(CASE tier WHEN 1 THEN 1.0 WHEN 2 THEN 0.85 ELSE round(least(0.9, 0.3 + CASE WHEN days <= 1 THEN 0.5 WHEN days <= 7 THEN 0.4 ELSE 0.3 END + CASE WHEN inside THEN 0.2 ELSE 0 END), 2) END AS DOUBLE) AS score
+FROM (SELECT *, CASE WHEN ref <> '' AND ref = number THEN 1 WHEN inside THEN 2 WHEN abs(a - b) < 0.01 AND days <= 30 THEN 3 END AS tier FROM
+(SELECT t.id AS tx_id, d.id AS document_id, abs(t.amount) AS a, abs(d.total) AS b, abs(date_diff('day', t.date, d.doc_date)) AS days, {_KEY.format("t.reference")} AS ref, {_KEY.format("d.doc_number")} AS number,
+  contains({_KEY.format("t.description")}, {_KEY.format("d.doc_number")}) AS inside
+ FROM bank_transaction t JOIN fiscal_document d ON t.tenant_id = d.tenant_id AND (abs(t.amount) BETWEEN abs(d.total) - 0.02 AND abs(d.total) + 0.02 OR t.id = d.id))) WHERE tier IS NOT NULL"""
+_BEST = f"SELECT tx_id, document_id, match_type, score FROM (SELECT *, row_number() OVER (PARTITION BY tx_id ORDER BY score DESC, document_id) AS r FROM ({_CANDIDATES})) WHERE r = 1"
+add("join_01_candidates", "bank_transaction fiscal_document", reconcile.candidates, _CANDIDATES)
+add("agg_20_suggestions", "bank_transaction fiscal_document", reconcile.suggestions, _BEST)
+add("agg_19_match_histogram", "bank_transaction fiscal_document", lambda t, d: reconcile.histogram(reconcile.suggestions(t, d)), f"SELECT match_type, count(*) AS n FROM ({_BEST}) GROUP BY match_type")
+add("join_03_open_transactions", "bank_transaction fiscal_document", lambda t, d: reconcile.open_transactions(t, reconcile.suggestions(t, d)).select("id", "amount"), f"SELECT id, amount FROM bank_transaction WHERE id NOT IN (SELECT tx_id FROM ({_BEST}))")
+
+# Parties ------------------------------------------------------------------------------
+
+_CLUSTER_SQL = """, k AS (SELECT id, nif8 AS nif, lower(trim(email)) AS email, trim(regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', ' ', 'g')) AS name, right(regexp_replace(phone, '\\D', '', 'g'), 9) AS phone FROM party),
+c1 AS (SELECT id, 'nif' AS reason, 1.0 AS score, min(id) OVER (PARTITION BY nif) AS cluster, count(*) OVER (PARTITION BY nif) AS n FROM k),
+l1 AS (SELECT * FROM k WHERE id NOT IN (SELECT id FROM c1 WHERE n > 1)), c2 AS (SELECT id, 'email' AS reason, 0.95 AS score, min(id) OVER (PARTITION BY email) AS cluster, count(*) OVER (PARTITION BY email) AS n FROM l1),
+l2 AS (SELECT * FROM l1 WHERE id NOT IN (SELECT id FROM c2 WHERE n > 1)), c3 AS (SELECT id, 'name' AS reason, 0.7 AS score, min(id) OVER (PARTITION BY name) AS cluster, count(*) OVER (PARTITION BY name) AS n FROM l2),
+l3 AS (SELECT * FROM l2 WHERE id NOT IN (SELECT id FROM c3 WHERE n > 1)), c4 AS (SELECT id, 'phone' AS reason, 0.9 AS score, min(id) OVER (PARTITION BY phone) AS cluster, count(*) OVER (PARTITION BY phone) AS n FROM l3)
+SELECT id, reason, CAST(score AS DOUBLE) AS score, cluster FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3 UNION ALL SELECT * FROM c4) WHERE n > 1"""
+add("join_20_contact_clusters", "party", parties.contact_clusters, None)
+ORACLES["join_20_contact_clusters"] = with_views("party", "@").replace(" @", _CLUSTER_SQL)
+
+
+def _blacklist(p: DataFrame) -> DataFrame:
+    return p.where("id % 23 = 0").select("iban")
+
+
+_IBAN_OK = "(CAST(concat(substr(iban, 5), '2529', substr(iban, 3, 2)) AS HUGEINT) % 97 = 1)"
+_RISK = f"""SELECT id, CAST(least(greatest((CASE WHEN id % 23 = 0 THEN 60 ELSE 0 END) + (CASE WHEN {_IBAN_OK} THEN 0 ELSE 30 END) + greatest(coalesce(changes, 0) - 3, 0) * 5, 0), 100) AS INTEGER) AS risk
+FROM party LEFT JOIN (SELECT party_id, count(*) AS changes FROM fiscal_document GROUP BY party_id) h ON h.party_id = party.id"""
+add("mth_16_iban_risk", "party fiscal_document", lambda p, d: parties.iban_risk(p, _blacklist(p), d.select("party_id")), f"SELECT id, risk, CASE WHEN risk > 70 THEN 'block' WHEN risk > 30 THEN 'review' ELSE 'allow' END AS advice FROM ({_RISK})")
+_RUN = """SELECT y.id, y.party_id, y.amount, CASE WHEN p.iban IS NULL THEN 'missing' WHEN p.flagged THEN 'flagged' WHEN p.id % 23 = 0 THEN 'blacklisted' END AS skipped
+FROM payable y LEFT JOIN party p ON p.id = y.party_id WHERE y.approved AND y.status IN ('TO_PAY', 'SCHEDULED')"""
+add("join_14_payment_run", "payable party", lambda y, p: parties.payment_run(y, p, _blacklist(p)), _RUN)
+add("agg_15_payment_counters", "payable party", lambda y, p: parties.payment_counters(parties.payment_run(y, p, _blacklist(p))), f"SELECT coalesce(skipped, 'kept') AS outcome, count(*) AS n, {euro(f'sum({cents("amount")})')} AS control_sum FROM ({_RUN}) GROUP BY 1")
+add("agg_18_recurring", "fiscal_document", parties.recurring, "SELECT party_id, count(*) AS n FROM fiscal_document GROUP BY party_id HAVING count(*) >= 3")
+add("join_12_relation_counts", "party deal fiscal_document", parties.with_counts, "SELECT p.id, p.name, coalesce(a.n, 0) AS deals, coalesce(b.n, 0) AS documents FROM party p LEFT JOIN (SELECT contact_id, count(*) AS n FROM deal GROUP BY 1) a ON a.contact_id = p.id LEFT JOIN (SELECT party_id, count(*) AS n FROM fiscal_document GROUP BY 1) b ON b.party_id = p.id")
+add("join_25_exact_copies", "fiscal_document", parties.exact_copies, "SELECT id, tenant_id, first_id FROM (SELECT id, tenant_id, min(id) OVER (PARTITION BY tenant_id, file_hash) AS first_id FROM fiscal_document WHERE status <> 'ARQUIVADO') WHERE id <> first_id")
+add("join_22_new_rows", "bank_transaction fiscal_document", lambda t, d: parties.new_rows(t.select(F.col("id")), d.where("id % 2 = 0").select("id"), ["id"]), "SELECT DISTINCT id FROM bank_transaction WHERE id NOT IN (SELECT id FROM fiscal_document WHERE id % 2 = 0)")
+
+# Scalars ------------------------------------------------------------------------------
+
+_DIGIT = "(" + " + ".join(f"CAST(substr(n, {i}, 1) AS INTEGER) * {10 - i}" for i in range(1, 9)) + ") % 11"
+add("fid_01_nif_check_digit", "party", lambda p: p.select("id", fiscal.nif_check_digit(F.col("nif8")).alias("digit")), f"SELECT id, CASE WHEN r < 2 THEN 0 ELSE 11 - r END AS digit FROM (SELECT id, {_DIGIT.replace('substr(n', 'substr(nif8')} AS r FROM party)")
+add("fid_04_iban_valid", "party", lambda p: p.select("id", fiscal.iban_valid(F.col("iban")).alias("valid")), f"SELECT id, {_IBAN_OK} AS valid FROM party")
+add("str_15_masked_iban", "party", lambda p: p.select("id", text.masked_iban(F.col("iban")).alias("masked")), "SELECT id, concat(left(iban, 4), '••••', right(iban, 4)) AS masked FROM party")
+add("str_01_reference_key", "bank_transaction", lambda t: t.select("id", text.reference_key(F.col("reference")).alias("key")), f"SELECT id, {_KEY.format('reference')} AS key FROM bank_transaction")
+add("jsn_02_row_hash", "bank_transaction", lambda t: t.select("id", vectors.row_hash(F.col("date").cast("timestamp"), F.col("amount"), F.col("description"), F.col("reference")).alias("hash")), "SELECT id, sha256(concat(strftime(date, '%Y-%m-%dT00:00:00.000Z'), '|', printf('%.2f', amount), '|', trim(description), '|', coalesce(trim(reference), ''))) AS hash FROM bank_transaction")
+add("dat_06_month_totals", "fiscal_document", lambda d: d.groupBy(dates.month_key(F.col("doc_date")).alias("month")).agg(F.count("*").alias("n"), (F.sum(money.cents(F.col("total"))) / F.lit(100.0)).alias("total")), f"SELECT strftime(doc_date, '%Y-%m') AS month, count(*) AS n, {euro(f'sum({cents("total")})')} AS total FROM fiscal_document GROUP BY 1")
+add("dat_07_months_later", "fiscal_document", lambda d: d.select("id", dates.months_later(F.col("doc_date"), 1).alias("next")), "SELECT id, CAST(date_trunc('month', doc_date) + INTERVAL 1 MONTH + (day(doc_date) - 1) * INTERVAL 1 DAY AS DATE) AS next FROM fiscal_document")
+add("dat_08_recurrences", "payable", lambda p: p.select("id", F.explode(dates.recurrences(F.col("due_date"), 3, F.lit(datetime.date(1998, 12, 31)), 6)).alias("due")), None)
+add("dat_10_business_days", "fiscal_document", lambda d: d.select("id", dates.business_days_later(F.col("doc_date"), 2).alias("due")), "SELECT id, CAST(doc_date + CASE isodow(doc_date) WHEN 4 THEN 4 WHEN 5 THEN 4 WHEN 6 THEN 3 ELSE 2 END * INTERVAL 1 DAY AS DATE) AS due FROM fiscal_document")
+add("dat_12_days_until", "payable", lambda p: p.select("id", dates.days_until(F.col("due_date"), F.lit(datetime.date(1997, 1, 1))).alias("days")), "SELECT id, CAST(date_diff('day', DATE '1997-01-01', due_date) AS BIGINT) AS days FROM payable")
+add("mth_13_line_tax", "document_item", lambda i: i.select("document_id", "line", money.vat_from_base(F.col("total"), F.col("tax_rate")).alias("tax"), money.base_from_gross(F.col("total"), F.col("tax_rate")).alias("base")), f"SELECT document_id, line, {round2('total * CAST(tax_rate AS DOUBLE) / 100')} AS tax, {round2('total - ' + round2('total * CAST(tax_rate AS DOUBLE) / (CAST(tax_rate AS DOUBLE) + 100)'))} AS base FROM document_item")
+add_raw("str_13_chunks", "documents", lambda d: retrieval.chunked(d).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars")), """SELECT doc_id, count(*) AS chunks, CAST(sum(length(c)) AS BIGINT) AS chars FROM
+(SELECT doc_id, unnest(list_transform(range(0, len(w), 64), s -> array_to_string(w[s + 1:s + 80], ' '))) AS c FROM (SELECT doc_id, list_filter(regexp_split_to_array(trim(text), '\\s+'), x -> x <> '') AS w FROM documents)) GROUP BY doc_id""")
+add_raw("str_31_text_types", "documents", lambda d: d.select("doc_id", text.text_type(F.col("text")).alias("type"), text.currency(F.col("text")).alias("currency")), None)
+add_raw("fil_07_keyword_search", "documents", lambda d: retrieval.keyword_search(d, ["licensed", "version"], ["text", "source"]).select("doc_id"), "SELECT doc_id FROM documents WHERE (contains(lower(text), 'licensed') OR contains(lower(source), 'licensed')) AND (contains(lower(text), 'version') OR contains(lower(source), 'version'))")
+add_raw("jsn_01_text_hash", "documents", lambda d: d.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash")), "SELECT doc_id, sha256(coalesce(text, '')) AS hash FROM documents")
+add_raw("agg_28_money_stats", "documents", retrieval.money_stats, None)
+add_raw("agg_30_term_vectors", "conversations", lambda c: c.select("conv_id", "turn", F.transform(vectors.term_vector(F.left("text", F.length("text"))), lambda x: F.round(x, 6)).alias("vector")), None)
+_QUERY = [1.0 if i % 3 == 0 else -0.5 for i in range(64)]
+_VECTOR = f"[{', '.join(map(str, _QUERY))}]::DOUBLE[]"
+add_raw("srt_05_nearest", "embeddings", lambda e: retrieval.nearest(e, _QUERY, 20), f"SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_VECTOR}), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 20")
+
+
+def _fusion(e: DataFrame) -> DataFrame:
+    a = e.orderBy(F.desc("vec_id")).limit(50).select(F.col("vec_id").alias("key"), (F.max("vec_id").over(_ALL) - F.col("vec_id")).cast("long").alias("rank"))
+    b = e.orderBy("vec_id").limit(500).select(F.col("vec_id").alias("key"), F.col("vec_id").cast("long").alias("rank"))
+    return retrieval.fused(a, b)
+
+
+from pyspark.sql import Window  # noqa: E402
+
+_ALL = Window.partitionBy()
+add_raw("join_26_rank_fusion", "embeddings", _fusion, """SELECT key, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS score, count(*) AS lists FROM
+((SELECT vec_id AS key, (SELECT max(vec_id) FROM embeddings) - vec_id AS rank FROM embeddings ORDER BY vec_id DESC LIMIT 50) UNION ALL (SELECT vec_id, vec_id FROM embeddings ORDER BY vec_id LIMIT 500)) GROUP BY key""")
+
+# Audit chain and payments files -------------------------------------------------------
+
+
+def _log(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("payload", audit.payload("action", "id", "user_id"))
+
+
+def _chain(rows: DataFrame) -> DataFrame:
+    log = _log(rows)
+    return audit.verified(log.join(audit.appended(log), ["tenant_id", "id"]))
+
+
+add("win_02_chain_append", "audit", lambda a: audit.appended(_log(a)), None)
+add("win_01_chain_verify", "audit", _chain, "SELECT tenant_id, count(*) AS n, CAST(0 AS BIGINT) AS broken, CAST(NULL AS BIGINT) AS first_broken FROM audit GROUP BY tenant_id")
+
+
+def _transfers(y: DataFrame, p: DataFrame) -> DataFrame:
+    who = p.select(F.col("id").alias("party_id"), "name", "iban")
+    return sepa.transfers(y.where("approved AND status = 'TO_PAY'").join(who, "party_id").select("id", "amount", "name", "iban", F.lit("Fatura & recibo").alias("remittance")))
+
+
+add("snk_03_sepa_fragments", "payable party", lambda y, p: _transfers(y, p).select("id", "valid", "xml"), f"""SELECT y.id, {_IBAN_OK} AND amount > 0 AS valid, concat('<CdtTrfTxInf><PmtId><EndToEndId>', y.id, '</EndToEndId></PmtId><Amt><InstdAmt Ccy="EUR">', printf('%.2f', amount), '</InstdAmt></Amt><Cdtr><Nm>', name, '</Nm></Cdtr><CdtrAcct><Id><IBAN>', iban,
+'</IBAN></Id></CdtrAcct><RmtInf><Ustrd>Fatura &amp; recibo</Ustrd></RmtInf></CdtTrfTxInf>') AS xml FROM payable y JOIN party p ON p.id = y.party_id WHERE approved AND status = 'TO_PAY'""")
+add("snk_04_sepa_header", "payable party", lambda y, p: sepa.header(_transfers(y, p)), f"SELECT count(*) AS n, {euro(f'coalesce(sum({cents("amount")}), 0)')} AS control_sum FROM payable y JOIN party p ON p.id = y.party_id WHERE approved AND status = 'TO_PAY' AND amount > 0 AND {_IBAN_OK}")
+
+# Event windows ------------------------------------------------------------------------
+
+add_raw("stm_04_rate_limited", "events", lambda e: streams.rate_limited(e, "user_id", "1 hour", 1), "SELECT date_trunc('hour', ts) AS start, user_id, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1")
+add_raw("stm_12_bursts", "events", lambda e: streams.bursts(e, "user_id", 1, "60 minutes", "30 minutes"), """SELECT start, user_id, count(*) AS n FROM (SELECT user_id, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start FROM events) GROUP BY 1, 2 HAVING count(*) > 1""")
+add_raw("stm_13_sessions", "events", lambda e: streams.sessions(e, "user_id", "2 hours"), """SELECT min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS stop, user_id, count(*) AS n FROM (SELECT *, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 2 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s
+FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY user_id, s""")
+add_raw("stm_10_once", "events", lambda e: streams.once(e.select("user_id", "event_type"), ["user_id", "event_type"]), "SELECT DISTINCT user_id, event_type FROM events")
