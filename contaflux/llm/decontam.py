@@ -70,9 +70,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ()) -> D
     at = F.transform("w", lambda w, i: F.struct(w.alias("word"), i.alias("at")))
     if few:
         # A fixed table of slots, looked up by a word's hash, spares most words the join.
-        full = {r[0] for r in marks.select(F.pmod(F.xxhash64("anchor"), F.lit(SLOTS)).alias("s")).distinct().collect()}
-        table = F.lit([i in full for i in range(SLOTS)])
-        at = F.filter(at, lambda x: F.element_at(table, (F.pmod(F.xxhash64(x["word"]), F.lit(SLOTS)) + 1).cast("int")))
+        table = bytearray(SLOTS)
+        for r in marks.select(F.pmod(F.xxhash64("anchor"), F.lit(SLOTS)).alias("s")).distinct().collect():
+            table[r["s"]] = 1
+        at = F.filter(at, lambda x: F.substring(F.lit(bytes(table)), (F.pmod(F.xxhash64(x["word"]), F.lit(SLOTS)) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01"))
     around = F.transform(
         at,
         lambda x: F.struct(
@@ -104,14 +105,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ()) -> D
 
 ORACLE = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+  SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM documents),
 b AS (
-  SELECT CAST(item_id AS VARCHAR) AS item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+  SELECT CAST(item_id AS VARCHAR) AS item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM benchmark),
 win AS (
   SELECT DISTINCT item_id, len(v) AS size, array_to_string(v, ' ') AS k
-  FROM (SELECT item_id, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), i -> w[i:i + 12])) AS v FROM b WHERE len(w) > 0)),
+  FROM (SELECT item_id, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), lambda i: w[i:i + 12])) AS v FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT size FROM win),
 cut AS (
   SELECT row, size, unnest(range(1, CAST(len(w) AS BIGINT) - size + 2)) AS i, w FROM d, sizes WHERE len(w) >= size),

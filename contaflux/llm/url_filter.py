@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contaflux.llm.common import Scratch
+
 #: (verdict, host, path): the rule fits the host and its subdomains, and paths that begin so.
 RULES = [
     ("allow", "com", "/"),
@@ -72,11 +74,12 @@ def shape(path: Column) -> Column:
     return F.when(F.size(parts) > LEVELS, F.concat(F.slice(parts, 1, LEVELS), F.array(F.lit("{*}")))).otherwise(parts)
 
 
-def tree(shapes: DataFrame) -> DataFrame:
+def tree(shapes: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, shape, template) of rows (host, shape, pages, blocked, labelled), one for each
     distinct host and shape: the template is the path with wildcards, branches merged."""
-    rows = shapes.withColumn("template", F.lit(""))
-    for level in range(1, LEVELS + 2):
+    rows = scratch.keep(shapes.withColumn("template", F.lit("")))
+    deepest = rows.agg(F.max(F.size("shape"))).first()[0] or 0
+    for level in range(1, deepest + 1):
         here = F.when(F.size("shape") >= level, F.get("shape", F.lit(level - 1)))
         rows = rows.withColumn("segment", here)
         branch = rows.groupBy("host", "template", "segment").agg(F.sum("pages").alias("pages"), F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
@@ -89,9 +92,10 @@ def tree(shapes: DataFrame) -> DataFrame:
         own = (F.col("b") + PRIOR * mean) / (F.col("l") + PRIOR)
         like = (F.col("l") >= LEAST_LABELS) & (F.col("nl") > F.col("l")) & (F.abs(own - mean) <= ERRORS * F.sqrt(mean * (1 - mean) / (F.col("l") + PRIOR)))
         name = F.when(F.col("segment").isNull(), F.lit(None)).when(wild, F.lit("{*}")).when(like & ~F.col("segment").startswith("{"), F.lit("{~}")).otherwise(F.col("segment"))
-        named = every.select("host", "template", "segment", name.alias("name"))
-        same = (rows["host"] == named["host"]) & (rows["template"] == named["template"]) & rows["segment"].eqNullSafe(named["segment"])
-        rows = rows.join(named, same).select(rows["host"], "shape", "pages", "blocked", "labelled", F.concat(rows["template"], F.when(F.col("name").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), "name"))).alias("template"))
+        named = every.select(F.col("host").alias("h"), F.col("template").alias("t"), F.col("segment").alias("s"), name.alias("name"))
+        same = (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & F.col("segment").eqNullSafe(F.col("s"))
+        longer = F.concat("template", F.coalesce(F.concat(F.lit("/"), "name"), F.lit("")))
+        rows = scratch.keep(rows.join(named, same).select("host", "shape", "pages", "blocked", "labelled", longer.alias("template")))
     return rows
 
 
@@ -106,8 +110,8 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = tuple(RULES
     rule, told = ruled(F.col("host"), F.col("path"), rules)
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), told.alias("told"), shape(F.col("path")).alias("shape"))
     shapes = rows.groupBy("host", "shape").agg(F.count("*").alias("pages"), F.count_if(F.col("told") == "block").alias("blocked"), F.count("told").alias("labelled"))
-    grown = tree(shapes)
-    labels = shapes.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).first()
+    grown = tree(shapes, Scratch(pages.sparkSession, "url-filter"))
+    labels = grown.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).first()
     prior = (labels["b"] or 0) / labels["l"] if labels["l"] else 0.0
     counted = grown.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
     purity = (F.col("b") + PRIOR * prior) / (F.col("l") + PRIOR)
