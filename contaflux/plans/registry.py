@@ -161,7 +161,7 @@ add("dat_10_business_days", "fiscal_document", lambda d: d.select("id", dates.bu
 add("dat_12_days_until", "payable", lambda p: p.select("id", dates.days_until(F.col("due_date"), F.lit(datetime.date(1997, 1, 1))).alias("days")), "SELECT id, CAST(date_diff('day', DATE '1997-01-01', due_date) AS BIGINT) AS days FROM payable")
 add("mth_13_line_tax", "document_item", lambda i: i.select("document_id", "line", money.vat_from_base(F.col("total"), F.col("tax_rate")).alias("tax"), money.base_from_gross(F.col("total"), F.col("tax_rate")).alias("base")), f"SELECT document_id, line, {round2('total * CAST(tax_rate AS DOUBLE) / 100')} AS tax, {round2('total - ' + round2('total * CAST(tax_rate AS DOUBLE) / (CAST(tax_rate AS DOUBLE) + 100)'))} AS base FROM document_item")
 add_raw("str_13_chunks", "documents", lambda d: retrieval.chunked(d).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars")), """SELECT doc_id, count(*) AS chunks, CAST(sum(length(c)) AS BIGINT) AS chars FROM
-(SELECT doc_id, unnest(list_transform(range(0, len(w), 64), s -> array_to_string(w[s + 1:s + 80], ' '))) AS c FROM (SELECT doc_id, list_filter(regexp_split_to_array(trim(text), '\\s+'), x -> x <> '') AS w FROM documents)) GROUP BY doc_id""")
+(SELECT doc_id, unnest(list_transform(range(0, len(w), 64), lambda s: array_to_string(w[s + 1:s + 80], ' '))) AS c FROM (SELECT doc_id, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '') AS w FROM documents)) GROUP BY doc_id""")
 add_raw("str_31_text_types", "documents", lambda d: d.select("doc_id", text.text_type(F.col("text")).alias("type"), text.currency(F.col("text")).alias("currency")), None)
 add_raw("fil_07_keyword_search", "documents", lambda d: retrieval.keyword_search(d, ["licensed", "version"], ["text", "source"]).select("doc_id"), "SELECT doc_id FROM documents WHERE (contains(lower(text), 'licensed') OR contains(lower(source), 'licensed')) AND (contains(lower(text), 'version') OR contains(lower(source), 'version'))")
 add_raw("jsn_01_text_hash", "documents", lambda d: d.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash")), "SELECT doc_id, sha256(coalesce(text, '')) AS hash FROM documents")
