@@ -24,7 +24,6 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
@@ -223,35 +222,58 @@ class RTree:
         return at[enough(np.minimum(self.vectors[at], vector).sum(axis=1), n, self.sizes[at], percent)]
 
 
-def tree_join(block: pd.DataFrame) -> pd.DataFrame:
+def tree_join(node: np.ndarray, comp: np.ndarray, part: np.ndarray, sizes: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a block across components, or across its two parts, whose points allow enough overlap."""
-    sizes = block["n"].to_numpy(np.int64)
-    points_ = [vector_of(v, n) for v, n in zip(block["vector"], sizes, strict=True)]
+    points_ = [vector_of(v, n) for v, n in zip(raw, sizes.tolist(), strict=True)]
     groups = min(len(p) for p in points_)
     vectors = np.stack([folded(p, groups) for p in points_])
-    node, comp, part = block["node"].to_numpy(np.int64), block["comp"].to_numpy(np.int64), block["part"].to_numpy(np.int64)
-    two = len(np.unique(part)) > 1
+    two = bool((part != part[0]).any())
     tree, a, b = RTree(vectors, sizes), [], []
-    for i in range(len(block)):
+    for i in range(len(node)):
         near = tree.near(vectors[i], int(sizes[i]))
         near = near[(comp[near] != comp[i]) & (node[near] > node[i])]
         if two:
             near = near[part[near] != part[i]]
-        a += [node[i]] * len(near)
-        b += node[near].tolist()
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+        a.append(np.full(len(near), node[i]))
+        b.append(node[near])
+    return np.concatenate(a), np.concatenate(b)
 
 
 def remaining(blocks: DataFrame, labels: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Candidate pairs of the blocks that hold several components, by an R-tree a block."""
+    """Candidate pairs of the blocks that hold several components, by an R-tree a block. Of
+    blocks with the same members (told by a sum of hashes) one is enough."""
     members = blocks.join(labels, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed_ = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
-    mixed_ = mixed_.select("token", F.ceil(F.col("c") / PART).cast("int").alias("parts"))
-    members = members.join(mixed_, "token").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    several = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("sign")).where("lo <> hi")
+    several = several.groupBy("sign", "c", "lo", "hi").agg(F.min("token").alias("token"))
+    several = several.select("token", F.ceil(F.col("c") / PART).cast("int").alias("parts"))
+    members = members.join(several, "token").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     mates = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("p"), F.greatest("part", j).alias("q")))
-    spread = members.select("token", "node", "comp", "part", F.explode(mates).alias("x")).select("token", "node", "comp", "part", "x.p", "x.q")
-    rows = spread.join(vectors.select("node", "n", "vector"), "node")
-    return rows.groupBy("token", "p", "q").applyInPandas(lambda block: tree_join(block), "a long, b long").distinct()
+    spread = members.select("token", "node", "comp", "part", F.explode(mates).alias("x")).select("token", "x.p", "x.q", "node", "comp", "part")
+    rows = spread.join(vectors.select("node", "n", "vector"), "node").select("token", "p", "q", "node", "comp", "part", "n", "vector")
+    rows = rows.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # rows of the block that may go on in the next batch
+
+        def joined(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+            node, comp, part, sizes = (table.column(i).to_numpy().astype(np.int64) for i in range(3, 7))
+            raw = table.column(7).to_pylist()
+            found = [tree_join(node[i:j], comp[i:j], part[i:j], sizes[i:j], raw[i:j]) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) if j - i > 1]
+            pairs = np.unique(np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)], 1), axis=0) if found else np.zeros((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            keys = np.stack([held.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
+            starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1])
+            if len(starts) > 1:
+                yield joined(held.slice(0, int(starts[-1])), starts)
+                held = held.slice(int(starts[-1]))
+        if held is not None and held.num_rows:
+            yield joined(held, np.array([0, held.num_rows]))
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def linked(docs: DataFrame) -> DataFrame:
