@@ -52,18 +52,18 @@ def prefix_length(n: int, percent: int = SIMILARITY_PERCENT) -> int:
 
 
 def group_count(n: int) -> int:
-    """About one group for four shingles, a power of two, so that points of near sizes fold together."""
-    return 1 << max(4, min(12, (max(n, 1) // 4).bit_length()))
+    """About one group for a shingle, a power of two, so that points of near sizes fold together."""
+    return 1 << max(4, min(14, max(int(n), 1).bit_length()))
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
     groups = group_count(len(shingles))
     sizes = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-    return sizes.astype("<u2" if len(shingles) < 1 << 16 else "<u4")
+    return sizes.astype("<u1" if sizes.max(initial=0) < 256 else "<u4")
 
 
 def vector_of(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if n < 1 << 16 else "<u4").astype(np.int32)
+    return np.frombuffer(raw, "<u1" if len(raw) == group_count(n) else "<u4").astype(np.int32)
 
 
 def folded(vector: np.ndarray, groups: int) -> np.ndarray:
@@ -76,6 +76,12 @@ def enough(shared, a, b, percent: int = SIMILARITY_PERCENT):
     return (100 + percent) * shared >= percent * (a + b)
 
 
+def allowed(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> bool:
+    """Whether the overlap of two points may suffice."""
+    groups = min(len(x), len(y))
+    return bool(enough(int(np.minimum(folded(x, groups), folded(y, groups)).sum()), nx, ny))
+
+
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Sorted hashes of shingles that are frequent in some chunk of documents, copies counted once."""
 
@@ -153,11 +159,7 @@ def bounded(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pydict()
-            keep = []
-            for na, nb, va, vb in zip(rows["na"], rows["nb"], rows["va"], rows["vb"], strict=True):
-                x, y = vector_of(va, na), vector_of(vb, nb)
-                groups = min(len(x), len(y))
-                keep.append(bool(enough(int(np.minimum(folded(x, groups), folded(y, groups)).sum()), na, nb)))
+            keep = [allowed(vector_of(va, na), vector_of(vb, nb), na, nb) for na, nb, va, vb in zip(rows["na"], rows["nb"], rows["va"], rows["vb"], strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return sized.select("a", "b", "na", "nb", "va", "vb").mapInArrow(run, "a long, b long")
@@ -234,6 +236,8 @@ def tree_join(node: np.ndarray, comp: np.ndarray, part: np.ndarray, sizes: np.nd
         near = near[(comp[near] != comp[i]) & (node[near] > node[i])]
         if two:
             near = near[part[near] != part[i]]
+        # The tree's points are folded to the fewest groups of the block; each pair has finer ones.
+        near = near[[allowed(points_[i], points_[j], int(sizes[i]), int(sizes[j])) for j in near.tolist()]] if len(near) else near
         a.append(np.full(len(near), node[i]))
         b.append(node[near])
     return np.concatenate(a), np.concatenate(b)
@@ -289,12 +293,18 @@ def linked(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "ngram-join")
     rows = docs.select("doc_id", "text")
     every = scratch.keep(points(rows, frequent_shingles(rows)))
-    nodes = every.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n", True).alias("n"), F.first("th", True).alias("th"), F.first("prefix", True).alias("prefix"), F.first("vector", True).alias("vector"))
-    nodes = scratch.keep(nodes)
-    postings = nodes.select(F.explode("prefix").alias("token"), "node")
-    hubs = postings.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    blocks = scratch.keep(postings.join(hubs, "token"))
-    vectors = nodes.select("node", "n", "vector")
+    nodes = every.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("th").alias("th"))
+    postings = every.where("prefix is not null").select(F.explode("prefix").alias("token"), "node")
+    again = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    shared = scratch.keep(postings.join(again, "token", "left_semi").distinct())
+    # The hub of a block is the set with the largest share of shared shingles: of near copies
+    # the one that the others were made from, which is near to all of them.
+    share = shared.groupBy("node").agg(F.count("*").alias("s")).join(nodes.select("node", "n"), "node").select("node", (F.col("s") / F.col("n")).alias("share"))
+    hubs = shared.join(share, "node").groupBy("token").agg(F.max(F.struct("share", "node")).alias("h"), F.count("*").alias("c")).where("c > 1").select("token", F.col("h.node").alias("hub"))
+    blocks = scratch.keep(shared.join(hubs, "token"))
+    scratch.drop(shared)
+    vectors = every.where("vector is not null").select("node", "n", "vector").dropDuplicates(["node"])  # one shuffle with the join below
+    vectors = scratch.keep(vectors.join(blocks.select("node").distinct(), "node", "left_semi"))
     stars = scratch.keep(bounded(blocks.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), vectors))
     links = scratch.keep(verified(stars, rows, nodes))
     labels = components(links, scratch)
