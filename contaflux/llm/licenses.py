@@ -137,14 +137,12 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS, notices: list[tu
     whole, lines = known(spark, texts), known(spark, notices)
     if len(texts) <= 10_000:
         whole = F.broadcast(whole)
-    # Only texts no longer than twice the longest known one can be one, once canonical.
-    rows = docs.select("doc_id", digest(F.col("text")).alias("digest"), F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(_SPEAKS)).alias("lines"))
-    rows = rows.join(whole, F.col("digest") == F.col("known"), "left").select("doc_id", "digest", "license", "lines")
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    # The row number depends on the files alone, so it is the same in both branches below.
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), digest(F.col("text")).alias("digest"), F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(_SPEAKS)).alias("lines"))
     spoken = rows.where(F.size("lines") > 0).select("row", F.explode("lines").alias("line")).select("row", digest(F.col("line")).alias("d"))
     lines = lines.select(F.col("known").alias("d"), F.col("license").alias("notice"))
     found = spoken.join(F.broadcast(lines) if len(notices) <= 10_000 else lines, "d").groupBy("row").agg(F.array_sort(F.collect_set("notice")).alias("found"))
-    out = rows.drop("lines").join(found, "row", "left")
+    out = rows.drop("lines").join(whole, F.col("digest") == F.col("known"), "left").join(found, "row", "left")
     return out.select("doc_id", "digest", "license", F.coalesce("found", F.array().cast("array<string>")).alias("notices"))
 
 

@@ -20,6 +20,7 @@ into its pairs, and no link between components is lost.
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 
@@ -42,6 +43,8 @@ CHUNK, FREQUENT = 8192, 8
 MOST_FREQUENT = 1 << 19
 #: A block with more sets is cut into parts of about so many, and each pair of parts is a task.
 PART = 20_000
+#: Sets of sizes in a ratio under this are in the same band or in neighbouring ones; over 4 / 3.
+BAND = 1.34
 #: Sets to verify up to this number are broadcast as ids (8 bytes each), else joined by a shuffle.
 MOST_BROADCAST = 1 << 20
 LEAF = 16
@@ -56,14 +59,18 @@ def group_count(n: int) -> int:
     return 1 << max(4, min(14, max(int(n), 1).bit_length()))
 
 
-def count_vector(shingles: np.ndarray) -> np.ndarray:
-    groups = group_count(len(shingles))
-    sizes = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-    return sizes.astype("<u1" if sizes.max(initial=0) < 256 else "<u4")
+def count_vector(shingles: np.ndarray, groups: int | None = None) -> np.ndarray:
+    groups = groups or group_count(len(shingles))
+    return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
 
-def vector_of(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, "<u1" if len(raw) == group_count(n) else "<u4").astype(np.int32)
+def raw_of(vector: np.ndarray) -> bytes:
+    """The bytes of a point: how wide its numbers are, then the numbers."""
+    return b"\1" + vector.astype("<u1").tobytes() if vector.max(initial=0) < 256 else b"\4" + vector.astype("<u4").tobytes()
+
+
+def vector_of(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u1" if raw[0] == 1 else "<u4", offset=1).astype(np.int32)
 
 
 def folded(vector: np.ndarray, groups: int) -> np.ndarray:
@@ -113,14 +120,15 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 def points(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """A row for each document: doc_id, th (hash of the text), node (hash of the set), n,
-    and, for one copy a task, prefix (array of shingle hashes) and vector."""
-    schema = "doc_id long, th long, node long, n int, prefix array<long>, vector binary"
+    and, for one copy a task, prefix (array of shingle hashes), vector and coarse (the same
+    point in a quarter of the groups)."""
+    schema = "doc_id long, th long, node long, n int, prefix array<long>, vector binary, coarse binary"
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, seen = shared.value, set()
         for batch in pieces(batches, "text"):
-            nodes, sizes, prefixes, vectors = [], [], [], []
+            nodes, sizes, prefixes, vectors, coarse = [], [], [], [], []
             for shingles in shingle_sets(*utf8(batch.column(2))):
                 n = len(shingles)
                 node = xxhash.xxh3_64_intdigest(shingles.tobytes()) if n else 0
@@ -129,6 +137,7 @@ def points(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 if not n or node in seen:
                     prefixes.append(None)
                     vectors.append(None)
+                    coarse.append(None)
                     continue
                 seen.add(node)
                 length = prefix_length(n)
@@ -141,28 +150,32 @@ def points(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 else:
                     first = shingles[:length]
                 prefixes.append(first.view(np.int64))
-                vectors.append(count_vector(shingles).tobytes())
+                vector = count_vector(shingles)
+                vectors.append(raw_of(vector))
+                coarse.append(raw_of(folded(vector, max(16, len(vector) // 4))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(vectors, pa.binary())],
-                names=["doc_id", "th", "node", "n", "prefix", "vector"],
+                [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(vectors, pa.binary()), pa.array(coarse, pa.binary())],
+                names=["doc_id", "th", "node", "n", "prefix", "vector", "coarse"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, schema)
 
 
-def bounded(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose points allow enough overlap."""
-    a = vectors.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("vector").alias("va"))
-    b = vectors.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("vector").alias("vb"))
-    sized = pairs.join(a, "a").join(b, "b").where((100 * F.least("na", "nb") >= SIMILARITY_PERCENT * F.greatest("na", "nb")))
+def bounded(pairs: DataFrame, points_: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sizes, then coarse points, then fine points allow enough overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pydict()
-            keep = [allowed(vector_of(va, na), vector_of(vb, nb), na, nb) for na, nb, va, vb in zip(rows["na"], rows["nb"], rows["va"], rows["vb"], strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = [allowed(vector_of(x), vector_of(y), na, nb) for na, nb, x, y in zip(rows["na"], rows["nb"], rows["x"], rows["y"], strict=True)]
+            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
 
-    return sized.select("a", "b", "na", "nb", "va", "vb").mapInArrow(run, "a long, b long")
+    rows = pairs.join(points_.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(points_.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    rows = rows.where(100 * F.least("na", "nb") >= SIMILARITY_PERCENT * F.greatest("na", "nb"))
+    for name in ("coarse", "vector"):
+        x, y = points_.select(F.col("node").alias("a"), F.col(name).alias("x")), points_.select(F.col("node").alias("b"), F.col(name).alias("y"))
+        rows = rows.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long, na int, nb int")
+    return rows.select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -225,8 +238,8 @@ class RTree:
 
 
 def tree_join(node: np.ndarray, comp: np.ndarray, part: np.ndarray, sizes: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a block across components, or across its two parts, whose points allow enough overlap."""
-    points_ = [vector_of(v, n) for v, n in zip(raw, sizes.tolist(), strict=True)]
+    """Pairs of a block across components, or across its two parts, whose coarse points allow enough overlap."""
+    points_ = [vector_of(v) for v in raw]
     groups = min(len(p) for p in points_)
     vectors = np.stack([folded(p, groups) for p in points_])
     two = bool((part != part[0]).any())
@@ -244,16 +257,19 @@ def tree_join(node: np.ndarray, comp: np.ndarray, part: np.ndarray, sizes: np.nd
 
 
 def remaining(blocks: DataFrame, labels: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Candidate pairs of the blocks that hold several components, by an R-tree a block. Of
-    blocks with the same members (told by a sum of hashes) one is enough."""
-    members = blocks.join(labels, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp"))
-    several = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("sign")).where("lo <> hi")
-    several = several.groupBy("sign", "c", "lo", "hi").agg(F.min("token").alias("token"))
-    several = several.select("token", F.ceil(F.col("c") / PART).cast("int").alias("parts"))
-    members = members.join(several, "token").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    """Candidate pairs of the blocks that hold several components, by an R-tree a block. A
+    block is cut into bands of size, each of which also gets the next smaller sets, as only
+    sets of near size link. Of blocks with the same members (told by a sum of hashes) one is
+    enough."""
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND))
+    members = blocks.join(labels, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp"), F.explode(F.array(band, band + 1)).alias("band"))
+    several = members.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("sign")).where("lo <> hi")
+    several = several.groupBy("sign", "c", "lo", "hi").agg(F.min(F.struct("token", "band")).alias("k"))
+    several = several.select("k.token", "k.band", F.ceil(F.col("c") / PART).cast("int").alias("parts"))
+    members = members.join(several, ["token", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     mates = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("p"), F.greatest("part", j).alias("q")))
-    spread = members.select("token", "node", "comp", "part", F.explode(mates).alias("x")).select("token", "x.p", "x.q", "node", "comp", "part")
-    rows = spread.join(vectors.select("node", "n", "vector"), "node").select("token", "p", "q", "node", "comp", "part", "n", "vector")
+    spread = members.select("token", "band", "node", "comp", "part", F.explode(mates).alias("x")).select(F.xxhash64("token", "band").alias("token"), "x.p", "x.q", "node", "comp", "part")
+    rows = spread.join(vectors.select("node", "n", "coarse"), "node").select("token", "p", "q", "node", "comp", "part", "n", "coarse")
     rows = rows.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,16 +315,17 @@ def linked(docs: DataFrame) -> DataFrame:
     shared = scratch.keep(postings.join(again, "token", "left_semi").distinct())
     # The hub of a block is the set with the largest share of shared shingles: of near copies
     # the one that the others were made from, which is near to all of them.
-    share = shared.groupBy("node").agg(F.count("*").alias("s")).join(nodes.select("node", "n"), "node").select("node", (F.col("s") / F.col("n")).alias("share"))
-    hubs = shared.join(share, "node").groupBy("token").agg(F.max(F.struct("share", "node")).alias("h"), F.count("*").alias("c")).where("c > 1").select("token", F.col("h.node").alias("hub"))
-    blocks = scratch.keep(shared.join(hubs, "token"))
+    share = shared.groupBy("node").agg(F.count("*").alias("s")).join(nodes.select("node", "n"), "node").select("node", "n", (F.col("s") / F.col("n")).alias("share"))
+    sized = shared.join(share, "node")
+    hubs = sized.groupBy("token").agg(F.max(F.struct("share", "node")).alias("h"), F.count("*").alias("c")).where("c > 1").select("token", F.col("h.node").alias("hub"))
+    blocks = scratch.keep(sized.join(hubs, "token").select("token", "node", "n", "hub"))
     scratch.drop(shared)
-    vectors = every.where("vector is not null").select("node", "n", "vector").dropDuplicates(["node"])  # one shuffle with the join below
+    vectors = every.where("vector is not null").select("node", "n", "vector", "coarse").dropDuplicates(["node"])  # one shuffle with the join below
     vectors = scratch.keep(vectors.join(blocks.select("node").distinct(), "node", "left_semi"))
     stars = scratch.keep(bounded(blocks.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), vectors))
     links = scratch.keep(verified(stars, rows, nodes))
     labels = components(links, scratch)
-    more = scratch.keep(remaining(blocks.drop("hub"), labels, vectors))
+    more = scratch.keep(bounded(remaining(blocks.drop("hub"), labels, vectors), vectors))
     more_links = scratch.keep(verified(more, rows, nodes))
     labels = components(links.unionByName(more_links), scratch)
     named = nodes.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
