@@ -21,15 +21,6 @@ def token_bucket(token: Column) -> Column:
     return F.conv(F.substring(F.sha1(token.cast("binary")), 3, 2), 16, 10).cast("int")
 
 
-def term_vector(text: Column, buckets: int = 256) -> Column:
-    """Hashed term frequencies of the words of a text, scaled to length 1 (no word: zeros)."""
-    tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    places = F.transform(tokens, token_bucket)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.size(F.filter(places, lambda p: p == b)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(counts, lambda x: x / norm)).otherwise(counts)
-
-
 def hamming(a: Column, b: Column) -> Column:
     pairs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when(x.eqNullSafe(y), 0).otherwise(1))
     return F.aggregate(F.slice(pairs, 1, F.greatest(F.length(a), F.lit(1))), F.lit(0), lambda s, x: s + x) / F.length(a)

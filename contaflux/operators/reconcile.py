@@ -2,7 +2,7 @@
 
 Three tiers for a pair, the first that fits: equal references (1.0), a document number
 inside the bank text (.85), or nearly equal amounts within 30 days (.6 to .9). Each tier
-finds its pairs by an equi join (normalised reference; trigrams of the number; cents), so
+finds its pairs by an equi join (normalised reference; the number's last letters; cents), so
 no pair of tables is ever multiplied out.
 """
 
@@ -15,7 +15,7 @@ from contaflux.functions.money import cents
 from contaflux.functions.text import reference_key
 
 DAYS = 30
-LEAST_NEEDLE = 3
+LEAST_NEEDLE, GRAM = 3, 8
 
 
 def weak_score(days: Column, inside: Column) -> Column:
@@ -23,8 +23,8 @@ def weak_score(days: Column, inside: Column) -> Column:
     return F.least(F.lit(0.9), 0.3 + by_date + F.when(inside, 0.2).otherwise(0.0))
 
 
-def trigrams(s: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1))), lambda i: F.substring(s, i, F.lit(3))))
+def grams(s: Column, size: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - size + 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(size))))
 
 
 def candidates(transactions: DataFrame, documents: DataFrame) -> DataFrame:
@@ -33,11 +33,16 @@ def candidates(transactions: DataFrame, documents: DataFrame) -> DataFrame:
     docs = documents.select(F.col("id").alias("document_id"), F.col("tenant_id").alias("tenant"), F.abs("total").alias("amount"), "doc_date", reference_key(F.col("doc_number")).alias("number"))
     strong = bank.where("bank_ref <> ''").join(docs, (bank["tenant"] == docs["tenant"]) & (F.col("bank_ref") == F.col("number")))
     strong = strong.select("tx_id", "document_id", F.lit(1).alias("tier"), F.lit(1.0).alias("score"))
-    # The last trigram of a number is its most telling one; every text that contains the number has it.
-    needles = docs.where(F.length("number") >= LEAST_NEEDLE).withColumn("gram", F.right("number", F.lit(3)))
-    hay = bank.where(F.length("bank_text") >= LEAST_NEEDLE).withColumn("gram", F.explode(trigrams(F.col("bank_text"))))
-    medium = hay.join(needles, (hay["tenant"] == needles["tenant"]) & (hay["gram"] == needles["gram"]) & F.contains("bank_text", "number"))
-    medium = medium.select("tx_id", "document_id", F.lit(2).alias("tier"), F.lit(0.85).alias("score")).distinct()
+    # Every text that contains a number contains its last letters: of long numbers the last
+    # GRAM, which tell most, of short ones the last three.
+    found = []
+    for size, least, most in ((GRAM, GRAM, None), (LEAST_NEEDLE, LEAST_NEEDLE, GRAM - 1)):
+        fits = F.length("number") >= least if most is None else F.length("number").between(least, most)
+        needles = docs.where(fits).withColumn("gram", F.right("number", F.lit(size)))
+        hay = bank.where(F.length("bank_text") >= size).withColumn("gram", F.explode(grams(F.col("bank_text"), size)))
+        inside = hay.join(needles, (hay["tenant"] == needles["tenant"]) & (hay["gram"] == needles["gram"]) & F.contains("bank_text", "number"))
+        found.append(inside.select("tx_id", "document_id", F.lit(2).alias("tier"), F.lit(0.85).alias("score")))
+    medium = found[0].unionByName(found[1]).distinct()
     near = bank.withColumn("key", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: cents(F.col("bank_amount")) + d)))
     keyed = docs.withColumn("key", cents(F.col("amount")))
     days = F.abs(F.datediff("bank_date", "doc_date"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contaflux.functions.text import chunks
-from contaflux.functions.vectors import cosine
+from contaflux.functions.vectors import cosine, token_bucket
 
 RRF = 60
 
@@ -18,6 +18,14 @@ def chunked(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.posexplode(chunks(F.col("text"))).alias("chunk", "content"))
 
 
+def term_vectors(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Hashed term frequencies of texts, scaled to length 1, as sparse rows: keys, bucket, weight."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    counts = texts.select(*keys, F.explode(words).alias("word")).groupBy(*keys, token_bucket(F.col("word")).alias("bucket")).agg(F.count("*").alias("n"))
+    norm = counts.groupBy(*keys).agg(F.sum(F.col("n") * F.col("n")).alias("s"))
+    return counts.join(norm, keys).select(*keys, "bucket", (F.col("n") / F.sqrt("s")).alias("weight"))
+
+
 def keyword_search(documents: DataFrame, terms: list[str], columns: list[str]) -> DataFrame:
     """Documents in which every term is in some of the columns."""
     anywhere = [reduce(lambda a, b: a | b, (F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(t.lower())) for c in columns)) for t in terms]

@@ -32,7 +32,7 @@ VIEWS: dict[str, tuple[str, str, list[tuple[str, str]]]] = {
         ("stage", "CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'WON' ELSE 'LOST' END WHEN o_orderpriority = '1-URGENT' THEN 'NEGOTIATION' WHEN o_orderpriority = '2-HIGH' THEN 'PROPOSAL' WHEN o_orderpriority = '3-MEDIUM' THEN 'QUALIFIED' ELSE 'LEAD' END")]),
     "journal": ("lineitem", "true", [("account_id", "l_partkey"), ("debit", "CASE WHEN l_returnflag = 'R' THEN 0.0 ELSE l_extendedprice END"), ("credit", "CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0.0 END"), ("date", "cast(l_shipdate AS date)")]),
     "account": ("part", "true", [("id", "p_partkey"), ("code", "concat(CASE WHEN p_size % 3 = 0 THEN '7' ELSE '6' END, p_size)"), ("name", "p_type"), ("active", "p_size % 10 <> 0")]),
-    "employee": ("customer", "true", [("id", "c_custkey"), ("name", "c_name"), ("period", "c_nationkey"), ("gross", "cast(abs(c_acctbal) / 2 AS decimal(12,2))")]),
+    "employee": ("customer", "true", [("id", "c_custkey"), ("name", "c_name"), ("period", "c_nationkey"), ("gross", "cast(floor(abs(c_acctbal) * 50) / 100 AS decimal(12,2))")]),
     "audit": ("events", "true", [("id", "event_id"), ("tenant_id", "user_id % 10"), ("action", "event_type"), ("created_at", "ts"), ("user_id", "user_id"), ("value", "value")]),
 }
 

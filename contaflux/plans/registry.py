@@ -5,11 +5,11 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contaflux.functions import dates, fiscal, money, text, vectors
-from contaflux.operators import audit, boards, parties, reconcile, retrieval, tax
+from contaflux.operators import audit, boards, extraction, filing, parties, reconcile, retrieval, states, tax
 from contaflux.plans.domain import view, with_views
 from contaflux.sources import sepa
 from contaflux.streaming import events as streams
@@ -106,11 +106,12 @@ add("srt_01_payables_page", "payable", lambda p: boards.pages(p.where("status =
 
 _KEY = "lower(trim(regexp_replace(strip_accents(coalesce({}, '')), '\\s+', ' ', 'g')))"
 _CANDIDATES = f"""SELECT tx_id, document_id, CASE tier WHEN 1 THEN 'STRONG' WHEN 2 THEN 'MEDIUM' ELSE 'WEAK' END AS match_type,
-CAST(CASE tier WHEN 1 THEN 1.0 WHEN 2 THEN 0.85 ELSE round(least(0.9, 0.3 + CASE WHEN days <= 1 THEN 0.5 WHEN days <= 7 THEN 0.4 ELSE 0.3 END + CASE WHEN inside THEN 0.2 ELSE 0 END), 2) END AS DOUBLE) AS score
-FROM (SELECT *, CASE WHEN ref <> '' AND ref = number THEN 1 WHEN inside THEN 2 WHEN abs(a - b) < 0.01 AND days <= 30 THEN 3 END AS tier FROM
-(SELECT t.id AS tx_id, d.id AS document_id, abs(t.amount) AS a, abs(d.total) AS b, abs(date_diff('day', t.date, d.doc_date)) AS days, {_KEY.format("t.reference")} AS ref, {_KEY.format("d.doc_number")} AS number,
-  contains({_KEY.format("t.description")}, {_KEY.format("d.doc_number")}) AS inside
- FROM bank_transaction t JOIN fiscal_document d ON t.tenant_id = d.tenant_id AND (abs(t.amount) BETWEEN abs(d.total) - 0.02 AND abs(d.total) + 0.02 OR t.id = d.id))) WHERE tier IS NOT NULL"""
+CAST(CASE tier WHEN 1 THEN 1.0 WHEN 2 THEN 0.85 ELSE round(least(0.9, 0.3 + CASE WHEN days <= 1 THEN 0.5 WHEN days <= 7 THEN 0.4 ELSE 0.3 END), 2) END AS DOUBLE) AS score
+FROM (SELECT tx_id, document_id, days, CASE WHEN ref <> '' AND ref = number THEN 1 WHEN contains(words, number) THEN 2 WHEN abs(a - b) < 0.01 AND days <= 30 THEN 3 END AS tier FROM
+(SELECT *, abs(date_diff('day', date, doc_date)) AS days FROM
+ (SELECT id AS tx_id, tenant_id, abs(amount) AS a, date, {_KEY.format("reference")} AS ref, {_KEY.format("description")} AS words FROM bank_transaction) t
+ JOIN (SELECT id AS document_id, tenant_id, abs(total) AS b, doc_date, {_KEY.format("doc_number")} AS number FROM fiscal_document) d
+ ON t.tenant_id = d.tenant_id AND (abs(a - b) < 0.01 OR ref = number OR contains(words, number)))) WHERE tier IS NOT NULL"""
 _BEST = f"SELECT tx_id, document_id, match_type, score FROM (SELECT *, row_number() OVER (PARTITION BY tx_id ORDER BY score DESC, document_id) AS r FROM ({_CANDIDATES})) WHERE r = 1"
 add("join_01_candidates", "bank_transaction fiscal_document", reconcile.candidates, _CANDIDATES)
 add("agg_20_suggestions", "bank_transaction fiscal_document", reconcile.suggestions, _BEST)
@@ -166,21 +167,19 @@ add_raw("str_31_text_types", "documents", lambda d: d.select("doc_id", text.text
 add_raw("fil_07_keyword_search", "documents", lambda d: retrieval.keyword_search(d, ["licensed", "version"], ["text", "source"]).select("doc_id"), "SELECT doc_id FROM documents WHERE (contains(lower(text), 'licensed') OR contains(lower(source), 'licensed')) AND (contains(lower(text), 'version') OR contains(lower(source), 'version'))")
 add_raw("jsn_01_text_hash", "documents", lambda d: d.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash")), "SELECT doc_id, sha256(coalesce(text, '')) AS hash FROM documents")
 add_raw("agg_28_money_stats", "documents", retrieval.money_stats, None)
-add_raw("agg_30_term_vectors", "conversations", lambda c: c.select("conv_id", "turn", F.transform(vectors.term_vector(F.left("text", F.length("text"))), lambda x: F.round(x, 6)).alias("vector")), None)
+add_raw("agg_30_term_vectors", "conversations", lambda c: retrieval.term_vectors(c, ["conv_id", "turn"]).withColumn("weight", F.round("weight", 6)), """SELECT conv_id, turn, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY conv_id, turn)), 6) AS weight FROM
+(SELECT conv_id, turn, CAST(('0x' || substr(sha1(w), 3, 2)) AS INTEGER) AS bucket, count(*) AS n FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS w FROM conversations) WHERE w <> '' GROUP BY 1, 2, 3)""")
 _QUERY = [1.0 if i % 3 == 0 else -0.5 for i in range(64)]
 _VECTOR = f"[{', '.join(map(str, _QUERY))}]::DOUBLE[]"
 add_raw("srt_05_nearest", "embeddings", lambda e: retrieval.nearest(e, _QUERY, 20), f"SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_VECTOR}), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 20")
 
 
 def _fusion(e: DataFrame) -> DataFrame:
-    a = e.orderBy(F.desc("vec_id")).limit(50).select(F.col("vec_id").alias("key"), (F.max("vec_id").over(_ALL) - F.col("vec_id")).cast("long").alias("rank"))
+    a = e.orderBy(F.desc("vec_id")).limit(50).select(F.col("vec_id").alias("key"), (F.max("vec_id").over(Window.partitionBy()) - F.col("vec_id")).cast("long").alias("rank"))
     b = e.orderBy("vec_id").limit(500).select(F.col("vec_id").alias("key"), F.col("vec_id").cast("long").alias("rank"))
     return retrieval.fused(a, b)
 
 
-from pyspark.sql import Window  # noqa: E402
-
-_ALL = Window.partitionBy()
 add_raw("join_26_rank_fusion", "embeddings", _fusion, """SELECT key, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS score, count(*) AS lists FROM
 ((SELECT vec_id AS key, (SELECT max(vec_id) FROM embeddings) - vec_id AS rank FROM embeddings ORDER BY vec_id DESC LIMIT 50) UNION ALL (SELECT vec_id, vec_id FROM embeddings ORDER BY vec_id LIMIT 500)) GROUP BY key""")
 
@@ -216,3 +215,40 @@ add_raw("stm_12_bursts", "events", lambda e: streams.bursts(e, "user_id", 1, "60
 add_raw("stm_13_sessions", "events", lambda e: streams.sessions(e, "user_id", "2 hours"), """SELECT min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS stop, user_id, count(*) AS n FROM (SELECT *, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 2 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s
 FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY user_id, s""")
 add_raw("stm_10_once", "events", lambda e: streams.once(e.select("user_id", "event_type"), ["user_id", "event_type"]), "SELECT DISTINCT user_id, event_type FROM events")
+
+# Filing, states, more filters ---------------------------------------------------------
+
+add("dml_03_approve", "fiscal_document", states.approved, "SELECT id, CASE WHEN status IN ('NOVO', 'EM_REVISAO') THEN 'approved' WHEN status = 'APROVADO' THEN 'unchanged' ELSE 'conflict' END AS outcome, CASE WHEN status IN ('NOVO', 'EM_REVISAO') THEN 'APROVADO' ELSE status END AS status FROM fiscal_document")
+add("dml_18_outcomes", "fiscal_document", lambda d: states.outcomes(states.approved(d)), "SELECT CASE WHEN status IN ('NOVO', 'EM_REVISAO') THEN 'approved' WHEN status = 'APROVADO' THEN 'unchanged' ELSE 'conflict' END AS outcome, count(*) AS n FROM fiscal_document GROUP BY 1")
+add("dml_15_payables_from", "fiscal_document payable", lambda d, p: states.payables_from(d, p.where("id % 2 = 0")), "SELECT id AS document_id, party_id, total AS amount, due_date, 'TO_PAY' AS status FROM fiscal_document WHERE type = 'FATURA_RECEBIDA' AND status <> 'ARQUIVADO' AND id NOT IN (SELECT document_id FROM payable WHERE id % 2 = 0)")
+add("dml_04_pay", "payable", lambda p: states.paid(p, p.where("id % 5 = 0").select(F.col("id").alias("payable_id"), (F.col("amount") + F.when(F.col("id") % 10 == 0, 1.0).otherwise(0.0)).alias("amount")), _TODAY), f"SELECT id, CASE WHEN NOT approved THEN 'rejected' WHEN id % 10 = 0 THEN 'difference' ELSE 'paid' END AS outcome, CASE WHEN approved AND id % 10 <> 0 THEN DATE '{_TODAY}' END AS paid_at FROM payable WHERE id % 5 = 0")
+add("dml_13_iban_history", "party", lambda p: states.iban_history(p.where("id % 3 <> 0").withColumn("iban", F.when(F.col("id") % 5 == 0, F.lit("PT00")).otherwise(F.lower("iban"))), p), "SELECT id, iban AS new_iban, CASE WHEN id % 3 <> 0 THEN 'PT00' END AS old_iban FROM party WHERE id % 3 = 0 OR id % 5 = 0")
+add("dml_09_repoint", "deal", lambda d: states.repointed(d.select("id", "contact_id"), d.where("contact_id % 10 = 0").select(F.col("contact_id").alias("old_id"), (F.col("contact_id") + 1).alias("new_id")).distinct(), "contact_id"), "SELECT id, CASE WHEN contact_id % 10 = 0 THEN contact_id + 1 ELSE contact_id END AS contact_id FROM deal")
+add("snk_09_upsert", "party", lambda p: states.upserted(p.where("id % 2 = 0").select("id", "name"), p.select("id", F.lit("new").alias("name")), ["id"]), "SELECT id, CASE WHEN id % 2 = 0 THEN name ELSE 'new' END AS name FROM party")
+add("fil_04_documents", "fiscal_document", lambda d: d.where("tenant_id = 1 AND status <> 'ARQUIVADO' AND type = 'RECIBO'").where(F.col("doc_date").between(F.lit(datetime.date(1995, 1, 1)), F.lit(datetime.date(1996, 12, 31)))).select("id", "total"), "SELECT id, total FROM fiscal_document WHERE tenant_id = 1 AND status <> 'ARQUIVADO' AND type = 'RECIBO' AND doc_date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31'")
+add("fil_08_bank", "bank_transaction", lambda t: t.where(F.ilike("description", F.lit("%trf%")) & (F.col("amount") > 0)).select("id", "amount"), "SELECT id, amount FROM bank_transaction WHERE description ILIKE '%trf%' AND amount > 0")
+add("fil_09_payables", "payable", lambda p: p.where(F.col("approved") & F.col("status").isin("TO_PAY", "OVERDUE") & (F.col("due_date") < F.lit(_TODAY))).select("id", "amount"), f"SELECT id, amount FROM payable WHERE approved AND status IN ('TO_PAY', 'OVERDUE') AND due_date < DATE '{_TODAY}'")
+add("fil_20_rules", "fiscal_document", lambda d: filing.first_rule(_filed(d), _rules(d.sparkSession)).select("id", "rule_id", "folder"), """SELECT id, CAST(CASE WHEN type = 'RECIBO' AND party_id % 5 = 0 THEN 3 WHEN type = 'RECIBO' THEN 2 WHEN party_id % 7 = 0 THEN 1 END AS INTEGER) AS rule_id,
+CASE WHEN type = 'RECIBO' AND party_id % 5 = 0 THEN concat('Vip/', strftime(doc_date, '%Y')) WHEN type = 'RECIBO' THEN concat('Recibos/', strftime(doc_date, '%Y/%m')) WHEN party_id % 7 = 0 THEN 'Sete/_Outro_' ELSE concat('Inbox/', strftime(doc_date, '%Y/%m')) END AS folder FROM fiscal_document""")
+add("dml_10_folders", "fiscal_document", lambda d: filing.folders(filing.first_rule(_filed(d), _rules(d.sparkSession))), None)
+add("prj_15_file_names", "fiscal_document", lambda d: d.select("id", filing.file_name(F.concat(F.lit("Águas & Cª "), "party_id"), F.col("doc_date"), F.col("doc_number"), F.col("id"), "pdf").alias("name")), "SELECT id, concat('AGUAS-C-', party_id, '_', strftime(doc_date, '%Y-%m-%d'), '_FT-', year(doc_date), '-', id, '.pdf') AS name FROM fiscal_document")
+add("prj_02_parties", "party", lambda p: p.select("id", "name", text.masked_iban(F.col("iban")).alias("iban"), text.phone_key(F.col("phone")).alias("phone")), "SELECT id, name, concat(left(iban, 4), '••••', right(iban, 4)) AS iban, right(regexp_replace(phone, '\\D', '', 'g'), 9) AS phone FROM party")
+add("str_36_extract", "fiscal_document", lambda d: d.select("id", extraction.fields(F.concat(F.lit("Fornecedor\nNIF: 500 000 000\nFatura "), "doc_number", F.lit("\nData: "), F.date_format("doc_date", "dd/MM/yyyy"), F.lit("\nIVA 23% 12,30\nTotal: EUR "), F.replace(F.format_string("%.2f", "total"), F.lit("."), F.lit(",")))).alias("f")).select("id", "f.nif", "f.number", "f.date", "f.total", "f.tax", "f.type", "f.confidence"),
+    "SELECT id, '500000000' AS nif, doc_number AS number, doc_date AS date, CAST(printf('%.2f', total) AS DOUBLE) AS total, CAST(12.3 AS DOUBLE) AS tax, 'FATURA_RECEBIDA' AS type, CAST(0.85 AS DOUBLE) AS confidence FROM fiscal_document")
+add("win_05_previous", "fiscal_document", lambda d: d.select("id", F.lag("id").over(Window.partitionBy("party_id").orderBy("doc_date", "id")).alias("previous_id")), "SELECT id, lag(id) OVER (PARTITION BY party_id ORDER BY doc_date, id) AS previous_id FROM fiscal_document")
+add("win_06_latest", "fiscal_document", lambda d: d.withColumn("r", F.row_number().over(Window.partitionBy("party_id").orderBy(F.desc("doc_date"), F.desc("id")))).where("r <= 3").select("party_id", "r", "id"), "SELECT party_id, CAST(r AS INTEGER) AS r, id FROM (SELECT *, row_number() OVER (PARTITION BY party_id ORDER BY doc_date DESC, id DESC) AS r FROM fiscal_document) WHERE r <= 3")
+add("win_08_same_total", "fiscal_document", lambda d: d.select("id", F.count("*").over(Window.partitionBy("party_id", F.round("total", -4)).orderBy(F.unix_date("doc_date")).rangeBetween(-30, 0)).alias("n")), "SELECT id, count(*) OVER (PARTITION BY party_id, round(total, -4) ORDER BY date_diff('day', DATE '1970-01-01', doc_date) RANGE BETWEEN 30 PRECEDING AND CURRENT ROW) AS n FROM fiscal_document")
+add("join_10_nested_items", "document_item", lambda i: i.groupBy("document_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x.cast("string")), ",").alias("lines")), "SELECT document_id, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS lines FROM document_item GROUP BY document_id")
+add("agg_34_nearest_rank", "payable", lambda p: p.groupBy("status").agg(F.sort_array(F.collect_list("due_date")).alias("v")).select("status", F.get("v", F.floor(F.size("v") * 0.5).cast("int")).alias("p50"), F.get("v", F.least(F.floor(F.size("v") * 0.95).cast("int"), F.size("v") - 1)).alias("p95")), "SELECT status, list_sort(list(due_date))[CAST(floor(count(*) * 0.5) AS BIGINT) + 1] AS p50, list_sort(list(due_date))[least(CAST(floor(count(*) * 0.95) AS BIGINT), count(*) - 1) + 1] AS p95 FROM payable GROUP BY status")
+add("set_06_missing", "fiscal_document payable", lambda d, p: d.select("id").join(p.where("status = 'PAID'").select("id"), "id", "left_anti"), "SELECT id FROM fiscal_document WHERE id NOT IN (SELECT id FROM payable WHERE status = 'PAID')")
+add("dat_09_schedule_status", "payable", lambda p: p.select("id", dates.schedule_status(F.col("status"), F.col("due_date"), F.lit(_TODAY)).alias("now")), f"SELECT id, CASE WHEN status IN ('PAID', 'CANCELLED') THEN status WHEN due_date < DATE '{_TODAY}' THEN 'OVERDUE' ELSE 'SCHEDULED' END AS now FROM payable")
+
+
+def _filed(d: DataFrame) -> DataFrame:
+    return d.select("id", "type", F.concat(F.lit("Supplier "), F.col("party_id") % 7, F.lit("x")).alias("supplier"), F.lit("500000000").alias("nif"), F.concat(F.lit("a@d"), F.col("party_id") % 5, F.lit(".pt")).alias("email"), F.lit("text").alias("text"), F.col("doc_date").alias("date"))
+
+
+def _rules(spark: SparkSession) -> DataFrame:
+    schema = "id int, priority int, active boolean, type string, supplier string, nif string, domain string, keywords array<string>, pattern string"
+    rows = [(1, 5, True, None, "supplier 0X", None, None, None, "Sete/{Outro}"), (2, 10, True, "RECIBO", None, "500000000", None, ["TEX", "no"], "Recibos/{Ano}/{Mes}"), (3, 20, True, "RECIBO", None, None, "D0.pt", None, "Vip/{Ano}"), (4, 99, False, None, None, None, None, None, "Never")]
+    return spark.createDataFrame(rows, schema)
