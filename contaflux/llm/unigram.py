@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from contaflux.llm.common import pieces as cut
 
@@ -228,7 +228,7 @@ def tokenized(docs: DataFrame, path: str = PIECES, text: str = "text") -> DataFr
     Columns of docs with one of these names are replaced; repeated rows stay.
     """
     rows = docs.drop("ids", "n_pieces", "round_trip")
-    schema = StructType(list(rows.schema.fields)).add("ids", "array<int>").add("n_pieces", "long").add("round_trip", "boolean")
+    schema = StructType(list(rows.schema.fields)).add("ids", ArrayType(IntegerType())).add("n_pieces", "long").add("round_trip", "boolean")
     shared = docs.sparkSession.sparkContext.broadcast(read_pieces(path))  # as large as the vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
