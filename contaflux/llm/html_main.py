@@ -8,7 +8,9 @@ are the host's template. What lies between template tokens are slots. Slots whos
 the same on all pages, and slots inside elements that say what they are (menus, adverts,
 notices, forms ...), are no main text. Where a page marks its article, the slots inside are
 the main text; elsewhere the slot of the template, or the element of the page, with the most
-words outside links is.
+words outside links is. A page's own marking is evidence against the template, so text inside
+a marked article needs more pages to count as template than text elsewhere; a marked article
+that is nothing but template is a copy of others and stays whole.
 
 Occurrence vectors are compared by a sum of hashes of (page, count), so that Spark adds
 them up with partial aggregation however many pages a host has.
@@ -28,12 +30,14 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contaflux.llm.common import pieces
+from contaflux.llm.common import Scratch, pieces
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: A token belongs to a host's template when this share of its pages, and so many, have it.
 SUPPORT, LEAST_PAGES = 0.5, 4
+#: Within a marked article, text belongs to the template when so many pages have it besides.
+MARKED_PAGES = 2 * LEAST_PAGES
 #: Template chunks up to this number are broadcast (16 bytes each), else joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 
@@ -45,6 +49,9 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 #: Elements that are never main text.
 ASIDE = frozenset("nav header footer aside form head menu dialog fieldset label".split())
 _SAYS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notice|notices|alert|popup|modal|newsletter|subscribe|signup|login|nav(?:bar|igation)?|menus?|breadcrumbs?|header|masthead|footer|sidebar|side-bar|widget|related|recommended|share|sharing|social|comments?|comment-?list|respond|replies|disqus|pagination|pager|toolbar|skip-?link|copyright)(?:$|[\s_-]|\d)", re.I)
+#: Said by the classes of articles that are not the first of their page, and (whole names only) of the first.
+_CARDS = re.compile(r"(?:^|[\s_-])(?:teasers?|cards?|reply|promoted)(?:$|[\s_-]|\d)", re.I)
+_NO_ARTICLE = frozenset("comment comments teaser reply".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _MAIN = frozenset(["article", "main"])
 _SPACE = re.compile(r"\s+")
@@ -58,7 +65,7 @@ class Page:
         self.tags: list[str] = []
         stack: list[tuple[str, bool, bool]] = []  # name, aside, article
         run: list[str] = []
-        linked = link = 0
+        linked = link = articles = mains = 0
 
         def close() -> None:
             nonlocal linked
@@ -99,14 +106,23 @@ class Page:
                     pop(ended)
             attributes = m[4] or ""
             says = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(attributes)} if attributes else {}
-            article = name in _MAIN or says.get("role") == "main"
+            article = name in _MAIN or says.get("role", "").lower() == "main"
+            kind, ident = says.get("class", ""), says.get("id", "")
+            if name == "article":  # the first is the page's own unless its class says otherwise; nested and later ones are tested like any element
+                told = bool(_NO_ARTICLE.intersection(kind.lower().split())) if not articles else any(r.search(x) for r in (_SAYS, _CARDS) for x in (kind, ident))
+                articles += not told and not any(s[1] for s in stack)
+            elif article:
+                told = mains > 0 and bool(_SAYS.search(kind) or _SAYS.search(ident))
+                mains += 1
+            else:
+                told = name not in ("html", "body") and bool(_SAYS.search(kind) or _SAYS.search(ident))
             aside = (
                 name in ASIDE
                 or says.get("role", "").lower() in _ROLES
                 or "hidden" in says
                 or says.get("aria-hidden") == "true"
                 or "display:none" in says.get("style", "").replace(" ", "").lower()
-                or (not article and name not in ("html", "body") and bool(_SAYS.search(says.get("class", "")) or _SAYS.search(says.get("id", ""))))
+                or told
             )
             self.tags.append("/".join([*(s[0] for s in stack), name]))
             if name not in VOID and not attributes.endswith("/"):
@@ -130,7 +146,8 @@ def digest(token: str) -> int:
 
 
 def template(pages: DataFrame) -> DataFrame:
-    """(host, token, class): tokens of every host's template, token and class being hashes.
+    """(host, token, class, pages): tokens of every host's template, token and class being
+    hashes, and how many pages have the token.
 
     A token's class is its occurrence vector over all pages of the host.
     """
@@ -155,16 +172,19 @@ def template(pages: DataFrame) -> DataFrame:
     occurrences = rows.mapInArrow(run, "host string, page long, token long, n int")
     vectors = occurrences.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum(F.shiftright(F.xxhash64("page", "n"), 24)).alias("class")).where(F.col("pages") >= LEAST_PAGES)
     sizes = rows.groupBy("host").agg(F.count("*").alias("all"))
-    often = vectors.join(sizes, "host").where(F.col("pages") >= SUPPORT * F.col("all")).select("host", "token", "class")
+    often = vectors.join(sizes, "host").where(F.col("pages") >= SUPPORT * F.col("all")).select("host", "token", "class", "pages")
     valid = often.groupBy("host", "class").agg(F.count("*").alias("size")).where("size > 1")
     return often.join(valid.select("host", "class"), ["host", "class"])
 
 
-def main_text(source: str, fixed: set[int]) -> str:
-    """The main text of a page; fixed: the tokens of its host's template."""
+def main_text(source: str, fixed: set[int], firm: set[int] = frozenset()) -> str:
+    """The main text of a page; fixed: the tokens of its host's template; firm: those of them
+    that MARKED_PAGES pages have."""
     page = Page(source)
     inside = [b for b in page.blocks if b[1]]
-    if not inside:
+    if inside:
+        inside = [b for b in inside if digest(f"{b[2]}={b[0]}") not in firm] or inside
+    else:
         # No marked article: slots are what the template's text leaves, by the element they lie in.
         slots = [b for b in page.blocks if digest(f"{b[2]}={b[0]}") not in fixed]
         weight: dict[str, int] = {}
@@ -187,20 +207,20 @@ def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages.
 
     A null or empty html gives an empty text; a null url counts as a host without a name,
-    its url stays null; hosts of few pages have no template; repeated rows stay; other
-    columns are left out.
+    its url stays null; hosts of under LEAST_PAGES pages have no template, and those of under
+    MARKED_PAGES none inside marked articles; repeated rows stay; other columns are left out.
     """
-    found = template(pages).select("host", "token")
-    found = found.groupBy("host").agg(F.collect_list("token").alias("fixed"))  # no longer than twice a page
+    found = template(pages).groupBy("host").agg(F.collect_list("token").alias("fixed"), F.collect_list(F.when(F.col("pages") >= MARKED_PAGES, F.col("token"))).alias("firm"))  # no longer than twice a page
+    found = Scratch(pages.sparkSession, "template").keep(found)  # read twice below
     size = found.agg(F.sum(F.size("fixed"))).first()[0] or 0
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.join(F.broadcast(found) if size <= MOST_BROADCAST else found, "host", "left").select("page_id", "url", "html", "fixed")
+    rows = rows.join(F.broadcast(found) if size <= MOST_BROADCAST else found, "host", "left").select("page_id", "url", "html", "fixed", "firm")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html", 2 << 20):
             texts = []
-            for source, tokens in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
-                texts.append(main_text(source, {t & (2**64 - 1) for t in tokens.as_py() or ()} if "<article" not in source else set()))
+            for source, *tokens in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+                texts.append(main_text(source, *({t & (2**64 - 1) for t in known.as_py() or ()} for known in tokens)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = dict(rows.dtypes)

@@ -167,6 +167,20 @@ def test_html_marked_and_unmarked_articles(spark):
     assert got[20]["text"] == "" and got[21]["text"] == "" and got[22]["text"] == "plain <text>"
 
 
+def test_html_template_decides_inside_articles(spark):
+    own = "<p>Own text number {i}</p>"
+    page = "<html><body><main><article class='post comments-open'><p>Read our house rules</p>" + own + "<article class='comment'><p>reader {i}</p></article></article><article class='teaser card'><p>More {i}</p></article></main></body></html>"
+    rows = [(i, f"http://many.example/{i}", page.format(i=i)) for i in range(12)] + [(20 + i, f"http://few.example/{i}", page.format(i=i)) for i in range(3)]
+    # no article but in a script: the template of the host's text holds
+    rows += [(30 + i, f"http://script.example/{i}", f"<html><body><script>var x = '<article>';</script><div><p>Fixed words on all</p><p>Own text number {i}</p></div></body></html>") for i in range(6)]
+    rows += [(40 + i, "http://copies.example/", "<html><body><article><p>The same</p><p>on each</p></article></body></html>") for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_main.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Own text number {i}" for i in range(12))
+    assert got[21] == "Read our house rules\n\nOwn text number 1"
+    assert all(got[30 + i] == f"Own text number {i}" for i in range(6))
+    assert all(got[40 + i] == "The same\n\non each" for i in range(12))
+
+
 # 5
 
 
