@@ -27,7 +27,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: The learning sample: at most so many texts of each language, the smallest by a hash of the text.
 SAMPLE_PER_LANGUAGE = 400
-#: At most so many languages are learned (the most frequent), so that the fit stays small.
+#: At most so many languages can be learned, so that the fit stays small; more are an error.
 MOST_LANGUAGES = 256
 BUCKETS = 1 << 16
 UNDETERMINED = "und"
@@ -135,17 +135,28 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Learn from text and lang of the documents that aren't held out.
 
     At most per_language distinct texts of a language are taken, those whose hash is the
-    smallest, so the sample is the same however the table is partitioned. Rows with null
-    text or lang are no examples; with no example at all every text is undetermined.
+    smallest, so the sample is the same however the table is partitioned or its rows are
+    repeated. Rows with null text or lang are no examples; with no example at all every text
+    is undetermined. Every label is learned: a table with more than MOST_LANGUAGES of them
+    raises ValueError, as its other documents would be named wrongly.
     """
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     labelled = labelled.select("lang", "text", F.xxhash64("text").alias("h"))
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    wanted = F.lit(False)  # about twice the sample of each language, by a share of the hashes
-    for lang, n in sizes:
-        share = min(1.0, (2 * per_language + 20) / n)
-        wanted |= (F.col("lang") == lang) & (F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = labelled.where(wanted).dropDuplicates(["lang", "h"]).collect() if sizes else []
+    distinct = labelled.select("lang", "h").distinct()
+    sizes = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of lang: merge or remove labels before learning")
+    rows, margin = [], 2 * per_language + 20  # about so many of each language, by a share of the hashes
+    while sizes:
+        wanted = F.lit(False)
+        for lang, n in sizes.items():
+            below = F.lit(True) if n <= margin else F.col("h") < -(2**63) + margin * 2**64 // n
+            wanted |= (F.col("lang") == lang) & below
+        found = labelled.where(wanted).dropDuplicates(["lang", "h"]).collect()
+        have = Counter(r["lang"] for r in found)
+        rows += [r for r in found if have[r["lang"]] >= min(per_language, sizes[r["lang"]])]
+        sizes = {lang: n for lang, n in sizes.items() if have[lang] < min(per_language, n)}  # once in a blue moon
+        margin *= 2
     texts, langs, taken = [], [], Counter()
     for row in sorted(rows, key=lambda r: (r["h"], r["lang"])):
         if taken[row["lang"]] < per_language:

@@ -87,6 +87,21 @@ def test_language_held_out_accuracy(spark):
     assert {r["lang_pred"] for r in langid.predict(documents(spark, ODD), empty).collect()} == {"und"}
 
 
+def test_language_sample_is_the_smallest_hashes(spark, monkeypatch):
+    texts = [("aa", f"alpha beta {i}") for i in range(3)] * 4000 + [("bb", f"gamma delta {i}") for i in range(3000)]
+    docs = spark.createDataFrame([(3 * i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    seen = {}
+    monkeypatch.setattr(langid, "learn", lambda texts, langs: seen.update(pairs=list(zip(langs, texts, strict=True))))
+    langid.fit(docs, per_language=20)
+    free = docs.where(~langid.held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("text").alias("h")).distinct().collect()
+    for lang in ("aa", "bb"):
+        want = [r["text"] for r in sorted((r for r in free if r["lang"] == lang), key=lambda r: r["h"])[:20]]
+        assert [t for name, t in seen["pairs"] if name == lang] == want and want
+    many = docs.withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 1000))
+    with pytest.raises(ValueError, match="values of lang"):
+        langid.fit(many)
+
+
 # 3
 
 
