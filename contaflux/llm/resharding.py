@@ -90,9 +90,7 @@ def reshard(docs: DataFrame, old: Column | None = None, capacities: Sequence[int
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "reshard")
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
-    old = F.pmod(F.xxhash64("doc_id"), F.lit(OLD_SHARDS)).cast("int") if old is None else old.cast("int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), old.alias("old_shard"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_size().alias("size"), row_crc().alias("text_crc32"), old_shard(old).alias("old_shard"))
     rows = scratch.keep(rows.withColumn("h", F.xxhash64("doc_id", "text_crc32", "size")))
     totals = rows.groupBy("old_shard").agg(F.sum("size").alias("b"), F.count("*").alias("n")).orderBy("old_shard").collect()
     shards = NEW_SHARDS if capacities is None else len(capacities)
@@ -132,14 +130,48 @@ def reshard(docs: DataFrame, old: Column | None = None, capacities: Sequence[int
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
-def rewrite(docs: DataFrame, plan: DataFrame, path: str) -> list[int]:
+def row_size() -> Column:
+    return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
+
+
+def row_crc() -> Column:
+    return F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+
+
+def old_shard(old: Column | None) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(OLD_SHARDS)).cast("int") if old is None else old.cast("int")
+
+
+def rewrite(docs: DataFrame, plan: DataFrame, path: str, old: Column | None = None) -> list[int]:
     """Write the files of the shards that gained or lost rows under path/shard=N, each in
-    the order of its slots, and leave the others alone; returns the shards written.
-    docs need unique doc_ids here."""
+    the order of its slots, remove the folders of those that are left without rows, and
+    leave the others alone; returns the shards that changed.
+
+    docs and old are those of the plan. A row is known by its doc_id (null or not), size,
+    checksum and old shard, and the k rows that share these are dealt one to one to their k
+    places, in the order of a hash of the row; so every row is written once.
+    """
+    spark = docs.sparkSession
     gave = plan.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct()
     shards = sorted(r["s"] for r in gave.collect())
-    if shards:
-        rows = docs.join(plan.where(F.col("shard").isin(shards)).select("doc_id", "shard", "slot"), "doc_id")
-        rows = rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    if not shards:
+        return shards
+    key = ["__id", "__size", "__crc", "__old"]
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__size": row_size(), "__crc": row_crc(), "__old": old_shard(old), "__row": F.xxhash64(*hashed)})
+    rows = rows.where(F.col("__old").isin(shards))  # rows of other shards stay where they are
+    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(*key).orderBy("__row"))).drop("__row")
+    places = plan.where(F.col("old_shard").isin(shards)).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"), F.col("old_shard").alias("__old"), "shard", "slot")
+    places = places.withColumn("__nth", F.row_number().over(Window.partitionBy(*key).orderBy("shard", "slot")))
+    same = F.lit(True)
+    for c in [*key, "__nth"]:
+        same &= rows[c].eqNullSafe(places[c])
+    kept = [rows[c] for c in docs.columns if c not in ("shard", "slot")]
+    rows = rows.join(places, same).select(*kept, places["shard"], places["slot"])
+    rows = rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    full = {r["shard"] for r in plan.select("shard").distinct().collect()}
+    for shard in set(shards) - full:  # dynamic overwrite leaves partitions without new rows as they were
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return shards

@@ -370,6 +370,27 @@ def test_resharding(spark, tmp_path):
     assert resharding.reshard(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shards", [20, 24, 30])
+def test_rewrite_keeps_every_row(spark, tmp_path, shards):
+    rng = random.Random(12)
+    rows = [(i, words_of(rng, rng.randint(0, 60)), "s") for i in range(1500)]
+    rows += [(None, words_of(rng, 20), "null") for _ in range(60)] + [(None, None, "null")] * 3
+    rows += [(7, "same id", f"s{i}") for i in range(4)] + [(8, "same row", "s")] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    old = F.pmod(F.xxhash64("doc_id", "text"), F.lit(24))
+    path = str(tmp_path / "out")
+    docs.withColumn("shard", old).write.partitionBy("shard").parquet(path)
+    total = sum(len((t or "").encode()) + 8 for _, t, _ in rows)
+    plan = resharding.reshard(docs, old, resharding.even(total, shards))
+    written = resharding.rewrite(docs, plan, path, old)
+    out = spark.read.parquet(path).select("doc_id", "text", "source", "shard").collect()
+    order = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted((tuple(r)[:3] for r in out), key=order) == sorted(rows, key=order)
+    assert {r["shard"] for r in out} == set(range(shards)) and (shards != 20 or {20, 21, 22, 23} <= set(written))
+    placed = sorted((r["doc_id"] or -1, r["shard"]) for r in plan.collect())
+    assert placed == sorted((r["doc_id"] or -1, r["shard"]) for r in out)
+
+
 # 9
 
 
