@@ -15,7 +15,7 @@ VIEWS: dict[str, tuple[str, str, list[tuple[str, str]]]] = {
     "document_item": ("lineitem", "true", [
         ("document_id", "l_orderkey"), ("line", "l_linenumber"), ("account_id", "l_partkey"), ("quantity", "l_quantity"), ("total", "l_extendedprice"), ("discount", "l_discount"),
         ("tax_rate", "CASE WHEN l_tax < 0.02 THEN 0.0 WHEN l_tax < 0.04 THEN 6.0 WHEN l_tax < 0.06 THEN 13.0 ELSE 23.0 END")]),
-    "bank_transaction": ("orders", "o_orderkey % 3 <> 2", [
+    "bank_transaction": ("orders", "true", [
         ("id", "o_orderkey"), ("tenant_id", "o_custkey % 4"), ("amount", "CASE WHEN o_orderkey % 2 = 0 THEN -o_totalprice ELSE o_totalprice END"),
         ("date", "cast(o_orderdate AS date)"), ("reference", "CASE WHEN o_orderkey % 3 = 0 THEN concat(' ft ', year(o_orderdate), '/', o_orderkey, ' ') ELSE NULL END"),
         ("description", "CASE WHEN o_orderkey % 3 = 1 AND o_orderkey % 2 = 1 THEN concat('TRF PAG FT ', year(o_orderdate), '/', o_orderkey, ' OBRIGADO') ELSE concat('MOV ', o_custkey) END")]),

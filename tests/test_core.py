@@ -209,3 +209,17 @@ def test_streams_equal_batches(spark, tmp_path):
     query.awaitTermination(120)
     got = {tuple(r) for r in spark.table("bursts").collect()}
     assert got == {tuple(r) for r in streams.bursts(rows, "user_id", 1, "60 minutes", "30 minutes").collect()}
+
+
+def test_every_order_is_a_bank_movement(spark):
+    from contaflux.plans import domain
+
+    bank_rows = domain.view(spark, SF, "bank_transaction")
+    assert bank_rows.count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+    bare = bank_rows.where("id % 3 = 2")  # amount-only movements
+    assert bare.count() > 0 and bare.where("reference IS NOT NULL OR description NOT LIKE 'MOV %'").count() == 0
+    # Candidates by amount alone, against brute force.
+    docs = [(d["id"], d["tenant_id"], d["total"], d["doc_date"]) for d in domain.view(spark, SF, "fiscal_document").select("id", "tenant_id", "total", "doc_date").collect()]
+    found = {r["tx_id"] for r in reconcile.candidates(bare, domain.view(spark, SF, "fiscal_document")).select("tx_id").collect()}
+    want = {t["id"] for t in bare.collect() if any(t["tenant_id"] == tenant and abs(abs(t["amount"]) - total) < 0.005 and abs((t["date"] - day).days) <= 30 for _, tenant, total, day in docs)}
+    assert want and want <= found
