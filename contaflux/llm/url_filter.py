@@ -29,7 +29,8 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-#: Levels of the tree; the rest of a longer path is one wildcard.
+#: Levels that every tree has. Below them a node is grown as deep as its paths go while a verdict
+#: can still change there, else the rest of its paths is one wildcard.
 LEVELS = 4
 #: A node's children become one wildcard from this many on, if they have fewer pages each on average.
 MANY, PAGES_EACH = 16, 4.0
@@ -70,17 +71,22 @@ def shape(path: Column) -> Column:
         plain = F.regexp_replace(s, r"\.[A-Za-z]{1,5}$", "")
         return F.when(plain.rlike(r"^[0-9]+$"), F.lit("{n}")).when(plain.rlike(hashed) & plain.rlike("[0-9]"), F.lit("{h}")).when(plain.rlike(r"^[0-9]+[-_]|[-_][0-9]+$"), F.lit("{id}")).otherwise(s)
 
-    parts = F.transform(parts, general)
-    return F.when(F.size(parts) > LEVELS, F.concat(F.slice(parts, 1, LEVELS), F.array(F.lit("{*}")))).otherwise(parts)
+    return F.transform(parts, general)
 
 
 def tree(shapes: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, shape, template) of rows (host, shape, pages, blocked, labelled), one for each
-    distinct host and shape: the template is the path with wildcards, branches merged."""
-    rows = scratch.keep(shapes.withColumn("template", F.lit("")))
+    distinct host and shape: the template is the path with wildcards, branches merged.
+
+    Below LEVELS a node with too few labelled urls, none of them blocked or no unlabelled
+    url ends in one wildcard: no template under it could be rejected and change a verdict.
+    """
+    rows = scratch.keep(shapes.withColumns({"template": F.lit(""), "open": F.lit(True)}))
     deepest = rows.agg(F.max(F.size("shape"))).first()[0] or 0
     for level in range(1, deepest + 1):
-        here = F.when(F.size("shape") >= level, F.get("shape", F.lit(level - 1)))
+        if level > LEVELS and rows.where(F.col("open") & (F.size("shape") >= level)).isEmpty():
+            break
+        here = F.when(F.col("open") & (F.size("shape") >= level), F.get("shape", F.lit(level - 1)))
         rows = rows.withColumn("segment", here)
         branch = rows.groupBy("host", "template", "segment").agg(F.sum("pages").alias("pages"), F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
         node = branch.where("segment is not null").groupBy("host", "template")
@@ -91,12 +97,13 @@ def tree(shapes: DataFrame, scratch: Scratch) -> DataFrame:
         mean = (F.col("nb") + 1) / (F.col("nl") + 2)
         own = (F.col("b") + PRIOR * mean) / (F.col("l") + PRIOR)
         like = (F.col("l") >= LEAST_LABELS) & (F.col("nl") > F.col("l")) & (F.abs(own - mean) <= ERRORS * F.sqrt(mean * (1 - mean) / (F.col("l") + PRIOR)))
-        name = F.when(F.col("segment").isNull(), F.lit(None)).when(wild, F.lit("{*}")).when(like & ~F.col("segment").startswith("{"), F.lit("{~}")).otherwise(F.col("segment"))
-        named = every.select(F.col("host").alias("h"), F.col("template").alias("t"), F.col("segment").alias("s"), name.alias("name"))
+        grows = F.lit(level <= LEVELS) | ((F.col("nl") >= LEAST_LABELS) & (F.col("nb") > 0) & (F.col("all") > F.col("nl")))
+        name = F.when(F.col("segment").isNull(), F.lit(None)).when(wild | ~grows, F.lit("{*}")).when(like & ~F.col("segment").startswith("{"), F.lit("{~}")).otherwise(F.col("segment"))
+        named = every.select(F.col("host").alias("h"), F.col("template").alias("t"), F.col("segment").alias("s"), name.alias("name"), (F.col("segment").isNotNull() & grows).alias("grows"))
         same = (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & F.col("segment").eqNullSafe(F.col("s"))
         longer = F.concat("template", F.coalesce(F.concat(F.lit("/"), "name"), F.lit("")))
-        rows = scratch.keep(rows.join(named, same).select("host", "shape", "pages", "blocked", "labelled", longer.alias("template")))
-    return rows
+        rows = scratch.keep(rows.join(named, same).select("host", "shape", "pages", "blocked", "labelled", longer.alias("template"), F.col("grows").alias("open")))
+    return rows.drop("open")
 
 
 def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = tuple(RULES)) -> DataFrame:

@@ -458,3 +458,16 @@ def test_url_rules_and_templates(spark):
     verdicts = {r["page_id"]: r["verdict"] for r in url_filter.judged(spark.createDataFrame(many, "page_id long, url string"), rules).collect()}
     assert verdicts[1] == "block" and verdicts[2003] == "allow"
     assert url_filter.judged(docs.limit(0)).count() == 0
+
+
+def test_url_templates_below_level_four(spark):
+    rules = [("block", "s.org", "/a/b/c/d/bad/1"), ("block", "t.org", "/a/b/c/d/e/bad/1"), ("allow", "t.org", "/a/b/c/d/e/ok/1")]
+    urls = [f"http://s.org/a/b/c/d/{kind}/{n}{i}" for kind in ("bad", "clean") for n in (1, 2) for i in range(100, 150)]
+    urls += [f"http://t.org/a/b/c/d/e/{kind}/{n}{i}" for kind in ("bad", "ok") for n in (1, 2) for i in range(100, 150)]
+    urls += ["http://u.org/a/b/c/d/e/f", "http://u.org/a/b/c/d"]
+    rows = url_filter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    assert len(rows) == len(urls)
+    for r in rows:
+        assert r["verdict"] == ("block" if "/bad/" in r["path"] else "allow"), r
+    got = {r["page_id"]: r["template"] for r in rows}
+    assert got[len(urls) - 2] == "/a/b/c/d/{*}" and got[len(urls) - 1] == "/a/b/c/d"
