@@ -3,8 +3,8 @@
 A text is brought to a canonical form (lower case, without copyright lines, punctuation
 and markup, with one spelling of words that licences spell differently), and the digest of
 the whole of it is looked up among the digests of known licence texts by a hash join. The
-same is done with each line that speaks of a licence, against the known one-line notices,
-so that a notice inside other text is found too, but only as a whole line.
+same is done with each line that has a word of a known one-line notice, against these
+notices, so that a notice inside other text is found too, but only as a whole line.
 """
 
 from __future__ import annotations
@@ -98,8 +98,8 @@ NOTICES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
 ]
-#: Lines are looked at when they contain one of these.
-_SPEAKS = r"(?i)licen[cs]e|licen[cs]ed|released under"
+#: Lines are told apart by words of the notices up to so many; with more every line is looked up.
+MOST_WORDS = 500
 _COPYRIGHT = r"(?im)^[ \t/*#;-]*(?:copyright\b|\(c\)|©|all rights reserved\b).*$"
 
 
@@ -124,21 +124,40 @@ def known(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
     return rows.groupBy(digest(F.col("text")).alias("known")).agg(F.min("license").alias("license"))
 
 
+def spelt(word: str) -> set[str]:
+    """word and what a text may have in its place: the first words of the spellings that give it."""
+    found, new = {word}, {word}
+    while new:
+        new = {variant.split()[0] for variant, one in SPELLINGS if new & set(one.split())} - found
+        found |= new
+    return found
+
+
+def speaks(line: Column, notices: list[str]) -> Column:
+    """Whether a line may equal one of the canonical notices: it has the longest word of one."""
+    words = {s for n in notices for s in spelt(max(sorted(n.split()), key=len))}
+    if len(words) > MOST_WORDS:
+        return F.lit(True)
+    return F.lower(line).rlike("|".join(sorted(words))) if words else F.lit(False)
+
+
 def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
     """doc_id, digest, license (of the whole text, else null) and notices (sorted distinct
     licences of its one-line notices) of every row of docs.
 
     The digest of a null text is null, that of a text without letters or digits is the
-    empty text's and never known. Repeated rows stay; other columns are left out. Both
+    empty text's and never known; a notice without letters or digits is none. Repeated rows
+    stay; other columns are left out. Both
     tables of known digests are as large as the lists passed and broadcast only up to
     some thousand entries.
     """
     spark = docs.sparkSession
-    whole, lines = known(spark, texts), known(spark, notices)
+    plain = spark.createDataFrame(notices, "license string, text string").select("license", "text", canonical(F.col("text")).alias("plain")).where("plain <> ''").collect()
+    whole, lines = known(spark, texts), known(spark, [(r["license"], r["text"]) for r in plain])
     if len(texts) <= 10_000:
         whole = F.broadcast(whole)
     # The row number depends on the files alone, so it is the same in both branches below.
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), digest(F.col("text")).alias("digest"), F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(_SPEAKS)).alias("lines"))
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), digest(F.col("text")).alias("digest"), F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: speaks(x, [r["plain"] for r in plain])).alias("lines"))
     spoken = rows.where(F.size("lines") > 0).select("row", F.explode("lines").alias("line")).select("row", digest(F.col("line")).alias("d"))
     lines = lines.select(F.col("known").alias("d"), F.col("license").alias("notice"))
     found = spoken.join(F.broadcast(lines) if len(notices) <= 10_000 else lines, "d").groupBy("row").agg(F.array_sort(F.collect_set("notice")).alias("found"))

@@ -62,6 +62,14 @@ def test_licenses(spark):
     assert licenses.scan(documents(spark, []).limit(0)).count() == 0
 
 
+def test_license_notices_of_a_caller(spark):
+    notices = [("PD", "Dedicated to the public domain."), ("NC", "For noncommercial use"), ("SUB", "No sublicense!"), ("--", "--")]
+    texts = [(1, "prose\nDEDICATED to the public-domain\nprose"), (2, "for non-commercial use."), (3, "no sub licence"), (4, "dedicated"), (5, "--\n\n"), (6, None)]
+    got = {r["doc_id"]: r["notices"] for r in licenses.scan(documents(spark, texts), notices=notices).collect()}
+    assert [got[i] for i in range(1, 7)] == [["PD"], ["NC"], ["SUB"], [], [], []]
+    assert {r["doc_id"]: r["notices"] for r in licenses.scan(documents(spark, texts), notices=notices * 2 + [(f"L{i}", f"thing{i}") for i in range(600)]).collect()} == got
+
+
 # 2
 
 
