@@ -239,7 +239,18 @@ add("win_05_previous", "fiscal_document", lambda d: d.select("id", F.lag("id").o
 add("win_06_latest", "fiscal_document", lambda d: d.withColumn("r", F.row_number().over(Window.partitionBy("party_id").orderBy(F.desc("doc_date"), F.desc("id")))).where("r <= 3").select("party_id", "r", "id"), "SELECT party_id, CAST(r AS INTEGER) AS r, id FROM (SELECT *, row_number() OVER (PARTITION BY party_id ORDER BY doc_date DESC, id DESC) AS r FROM fiscal_document) WHERE r <= 3")
 add("win_08_same_total", "fiscal_document", lambda d: d.select("id", F.count("*").over(Window.partitionBy("party_id", F.round("total", -4)).orderBy(F.unix_date("doc_date")).rangeBetween(-30, 0)).alias("n")), "SELECT id, count(*) OVER (PARTITION BY party_id, round(total, -4) ORDER BY date_diff('day', DATE '1970-01-01', doc_date) RANGE BETWEEN 30 PRECEDING AND CURRENT ROW) AS n FROM fiscal_document")
 add("join_10_nested_items", "document_item", lambda i: i.groupBy("document_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x.cast("string")), ",").alias("lines")), "SELECT document_id, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS lines FROM document_item GROUP BY document_id")
-add("agg_34_nearest_rank", "payable", lambda p: p.groupBy("status").agg(F.sort_array(F.collect_list("due_date")).alias("v")).select("status", F.get("v", F.floor(F.size("v") * 0.5).cast("int")).alias("p50"), F.get("v", F.least(F.floor(F.size("v") * 0.95).cast("int"), F.size("v") - 1)).alias("p95")), "SELECT status, list_sort(list(due_date))[CAST(floor(count(*) * 0.5) AS BIGINT) + 1] AS p50, list_sort(list(due_date))[least(CAST(floor(count(*) * 0.95) AS BIGINT), count(*) - 1) + 1] AS p95 FROM payable GROUP BY status")
+
+
+def _nearest_rank(p: DataFrame) -> DataFrame:
+    """By running counts of the distinct dates of a status, so that no group is held as one array."""
+    days = p.groupBy("status", "due_date").agg(F.count("due_date").alias("c"))
+    group = Window.partitionBy("status")
+    days = days.withColumn("n", F.sum("c").over(group)).withColumn("upto", F.sum("c").over(group.orderBy("due_date").rowsBetween(Window.unboundedPreceding, 0)))
+    at = {"p50": F.floor(F.col("n") * 0.5), "p95": F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)}
+    return days.groupBy("status").agg(*(F.min(F.when(F.col("upto") > rank, F.col("due_date"))).alias(name) for name, rank in at.items()))
+
+
+add("agg_34_nearest_rank", "payable", _nearest_rank, "SELECT status, list_sort(list(due_date))[CAST(floor(count(*) * 0.5) AS BIGINT) + 1] AS p50, list_sort(list(due_date))[least(CAST(floor(count(*) * 0.95) AS BIGINT), count(*) - 1) + 1] AS p95 FROM payable GROUP BY status")
 add("set_06_missing", "fiscal_document payable", lambda d, p: d.select("id").join(p.where("status = 'PAID'").select("id"), "id", "left_anti"), "SELECT id FROM fiscal_document WHERE id NOT IN (SELECT id FROM payable WHERE status = 'PAID')")
 add("dat_09_schedule_status", "payable", lambda p: p.select("id", dates.schedule_status(F.col("status"), F.col("due_date"), F.lit(_TODAY)).alias("now")), f"SELECT id, CASE WHEN status IN ('PAID', 'CANCELLED') THEN status WHEN due_date < DATE '{_TODAY}' THEN 'OVERDUE' ELSE 'SCHEDULED' END AS now FROM payable")
 

@@ -223,3 +223,15 @@ def test_every_order_is_a_bank_movement(spark):
     found = {r["tx_id"] for r in reconcile.candidates(bare, domain.view(spark, SF, "fiscal_document")).select("tx_id").collect()}
     want = {t["id"] for t in bare.collect() if any(t["tenant_id"] == tenant and abs(abs(t["amount"]) - total) < 0.005 and abs((t["date"] - day).days) <= 30 for _, tenant, total, day in docs)}
     assert want and want <= found
+
+
+def test_nearest_rank_holds_no_group_as_one_array(spark):
+    rows = [("A", 10), ("A", 10), ("A", 20), ("A", 30), ("A", None), ("B", 5), ("C", None), *(("D", i // 3) for i in range(100))]
+    got = registry._nearest_rank(spark.createDataFrame(rows, "status string, due_date int"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    want = {}
+    for status in "ABCD":
+        v = sorted(d for s, d in rows if s == status and d is not None)
+        want[status] = (v[math.floor(len(v) * 0.5)], v[min(math.floor(len(v) * 0.95), len(v) - 1)]) if v else (None, None)
+    assert {r["status"]: (r["p50"], r["p95"]) for r in got.collect()} == want
