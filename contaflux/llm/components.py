@@ -13,8 +13,8 @@ def components(links: DataFrame, scratch: Scratch, most_rounds: int = 50) -> Dat
 
     Each round every node is linked to the smallest of its neighbours and itself: first the
     larger neighbours (large star), then the smaller (small star). Rounds end when the links
-    no longer change; their number grows with the logarithm of a component's size. Nodes
-    without a link, and links of a node with itself, give no row.
+    no longer change; their number grows with the logarithm of a component's size, and more
+    than most_rounds of them raise RuntimeError. Nodes without a link, and links of a node with itself, give no row.
     """
     edges = links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y").distinct()
     edges = scratch.keep(edges)
@@ -35,6 +35,8 @@ def components(links: DataFrame, scratch: Scratch, most_rounds: int = 50) -> Dat
         if count == before:
             break
         before = count
+    else:
+        raise RuntimeError(f"components still change after {most_rounds} rounds")
     return edges.groupBy("x").agg(F.min("y").alias("comp")).select(F.col("x").alias("node"), "comp").unionByName(
         edges.select(F.col("y").alias("node"), F.col("y").alias("comp")).distinct()
     ).groupBy("node").agg(F.min("comp").alias("comp"))

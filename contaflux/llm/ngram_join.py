@@ -12,8 +12,11 @@ first ``n - ceil(t * n) + 1`` of each, in any order that all sets agree on. The
 is rarest first: shingles that are frequent within some chunk of the table come last. A
 block is what shares such a shingle. In each block
   1. every set is compared with one hub of the block; what links becomes one component;
-  2. only blocks that still hold several components build an R-tree, and join their points
-     across components.
+  2. blocks that still hold several components are cut by size, and into parts of a bounded
+     number of sets and shingles; each pair of parts builds an R-tree, and a set stays only
+     if the bounds leave it a partner in another component;
+  3. the sets that stay are verified pair by pair as the tree gives them, uniting
+     components at once, so that a part gives at most one link less than it has sets.
 A link within a component can't change the result, so no group of copies is ever expanded
 into its pairs, and no link between components is lost.
 """
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,21 +34,26 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contaflux.llm.common import SHINGLE_WORDS, SIMILARITY_PERCENT, Scratch, pieces, shingle_sets, utf8
+from contaflux.llm.common import SHINGLE_WORDS, SIMILARITY_PERCENT, Scratch, give_back, pieces, shingle_sets, utf8
 from contaflux.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: A shingle counts as frequent in a chunk of CHUNK documents when FREQUENT of its sets have it.
 CHUNK, FREQUENT = 8192, 8
+#: A chunk ends early at so many shingles (8 bytes each).
+CHUNK_SHINGLES = 1 << 20
 #: The frequent shingles that are told to every task: the most frequent so many (8 bytes each).
 #: They order shingles and change no result.
 MOST_FREQUENT = 1 << 19
-#: A block with more sets is cut into parts of about so many, and each pair of parts is a task.
-PART = 20_000
+#: A block with more sets, or more shingles in all, is cut into parts of about so many, and
+#: each pair of parts is looked at alone.
+PART, PART_SHINGLES = 1000, 1 << 20
 #: Sets of sizes in a ratio under this are in the same band or in neighbouring ones; over 4 / 3.
 BAND = 1.34
-#: Sets to verify up to this number are broadcast as ids (8 bytes each), else joined by a shuffle.
+#: A hub meets its sets in groups of about so many.
+STAR = 500
+#: Sets to verify up to this number are broadcast as ids (16 bytes each), else joined by a shuffle.
 MOST_BROADCAST = 1 << 20
 LEAF = 16
 
@@ -78,6 +86,14 @@ def folded(vector: np.ndarray, groups: int) -> np.ndarray:
     return vector.reshape(-1, groups).sum(axis=0) if len(vector) > groups else vector
 
 
+def stacked(vectors: list[np.ndarray]) -> np.ndarray:
+    """Points as rows of one array, folded to the fewest groups among them."""
+    groups = min(map(len, vectors))
+    rows = [folded(v, groups) for v in vectors]
+    small = max(int(r.max(initial=0)) for r in rows) < 1 << 16
+    return np.stack([r.astype(np.uint16 if small else np.uint32) for r in rows])
+
+
 def enough(shared, a, b, percent: int = SIMILARITY_PERCENT):
     """Whether so many shared shingles make sets of sizes a and b similar: 100 * i >= percent * (a + b - i)."""
     return (100 + percent) * shared >= percent * (a + b)
@@ -89,6 +105,13 @@ def allowed(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> bool:
     return bool(enough(int(np.minimum(folded(x, groups), folded(y, groups)).sum()), nx, ny))
 
 
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted arrays of distinct shingles are similar sets."""
+    both = np.concatenate([x, y])
+    both.sort()
+    return bool(enough(int(np.count_nonzero(both[1:] == both[:-1])), len(x), len(y)))
+
+
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Sorted hashes of shingles that are frequent in some chunk of documents, copies counted once."""
 
@@ -107,11 +130,13 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
                     seen.add(mark)
                     held.append(shingles)
                     n += len(shingles)
-            if len(held) >= CHUNK or n >= 4_000_000:
+            if len(held) >= CHUNK or n >= CHUNK_SHINGLES:
                 yield out()
                 held, seen, n = [], set(), 0
         if held:
             yield out()
+        held.clear()
+        give_back()
 
     counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toPandas()
@@ -120,99 +145,180 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 def points(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """A row for each document: doc_id, th (hash of the text), node (hash of the set), n,
-    and, for one copy a task, prefix (array of shingle hashes), vector and coarse (the same
-    point in a quarter of the groups)."""
-    schema = "doc_id long, th long, node long, n int, prefix array<long>, vector binary, coarse binary"
+    and, for one copy a task, rare and often (the shingle hashes of the prefix, apart) and vector."""
+    schema = "doc_id long, th long, node long, n int, rare array<long>, often array<long>, vector binary"
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, seen = shared.value, set()
+        known, seen = shared.value, set()
         for batch in pieces(batches, "text"):
-            nodes, sizes, prefixes, vectors, coarse = [], [], [], [], []
+            nodes, sizes, rares, oftens, vectors = [], [], [], [], []
             for shingles in shingle_sets(*utf8(batch.column(2))):
                 n = len(shingles)
                 node = xxhash.xxh3_64_intdigest(shingles.tobytes()) if n else 0
                 nodes.append(node)
                 sizes.append(n)
                 if not n or node in seen:
-                    prefixes.append(None)
-                    vectors.append(None)
-                    coarse.append(None)
+                    for column in (rares, oftens, vectors):
+                        column.append(None)
                     continue
                 seen.add(node)
                 length = prefix_length(n)
-                if len(often):
-                    place = np.searchsorted(often, shingles)
-                    place[place == len(often)] = 0
-                    is_often = often[place] == shingles
-                    rare = shingles[~is_often]
-                    first = rare[:length] if len(rare) >= length else np.concatenate([rare, shingles[is_often][: length - len(rare)]])
-                else:
-                    first = shingles[:length]
-                prefixes.append(first.view(np.int64))
-                vector = count_vector(shingles)
-                vectors.append(raw_of(vector))
-                coarse.append(raw_of(folded(vector, max(16, len(vector) // 4))))
+                place = np.searchsorted(known, shingles) if len(known) else np.zeros(n, np.int64)
+                place[place == len(known)] = 0
+                told = known[place] == shingles if len(known) else np.zeros(n, bool)
+                rare = shingles[~told][:length]
+                rares.append(rare.view(np.int64))
+                oftens.append(shingles[told][: length - len(rare)].view(np.int64))
+                vectors.append(raw_of(count_vector(shingles)))
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(vectors, pa.binary()), pa.array(coarse, pa.binary())],
-                names=["doc_id", "th", "node", "n", "prefix", "vector", "coarse"],
+                [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(rares, longs), pa.array(oftens, longs), pa.array(vectors, pa.binary())],
+                names=["doc_id", "th", "node", "n", "rare", "often", "vector"],
             )
+        seen.clear()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, schema)
 
 
-def bounded(pairs: DataFrame, points_: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes, then coarse points, then fine points allow enough overlap."""
+def met(postings: DataFrame) -> DataFrame:
+    """The distinct rows (token, node, n) whose token other nodes have too. Rows come in the
+    order of their tokens, so a task compares each with its neighbours and holds one row."""
+    rows = postings.repartition("token").sortWithinPartitions("token", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, False  # the row held back, and whether it is known to be shared
         for batch in batches:
-            rows = batch.to_pydict()
-            keep = [allowed(vector_of(x), vector_of(y), na, nb) for na, nb, x, y in zip(rows["na"], rows["nb"], rows["x"], rows["y"], strict=True)]
-            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
-
-    rows = pairs.join(points_.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(points_.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    rows = rows.where(100 * F.least("na", "nb") >= SIMILARITY_PERCENT * F.greatest("na", "nb"))
-    for name in ("coarse", "vector"):
-        x, y = points_.select(F.col("node").alias("a"), F.col(name).alias("x")), points_.select(F.col("node").alias("b"), F.col(name).alias("y"))
-        rows = rows.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long, na int, nb int")
-    return rows.select("a", "b")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose shingle sets, taken anew from the texts, are similar. nodes: node, th, n."""
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = nodes.select("node", "th").join(asked, "node", "left_semi").select(F.col("th").alias("asked")).distinct()
+            token, node, n = (batch.column(i).to_numpy() for i in range(3))
+            if last is not None:
+                token, node, n = (np.concatenate([[x], y]) for x, y in zip(last, (token, node, n), strict=True))
+            if not len(token):
+                continue
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+            token, node, n = token[new], node[new], n[new]
+            twice = token[1:] == token[:-1]
+            keep = np.zeros(len(token), bool)
+            keep[1:] = twice
+            keep[:-1] |= twice
+            keep[0] |= known
+            last, known = (token[-1], node[-1], n[-1]), bool(keep[-1])
+            out = np.flatnonzero(keep[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(token[out], pa.int64()), pa.array(node[out], pa.int64()), pa.array(n[out], pa.int32())], names=["token", "node", "n"])
+        if known:
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)], kind) for x, kind in zip(last, (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["token", "node", "n"])
+        give_back()
+
+    return rows.mapInArrow(run, "token long, node long, n int")
+
+
+def by_group(rows: DataFrame, joined: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """joined() of each run of rows with the same first column; rows lie sorted by it. A task
+    holds one run and one batch; runs are bounded by those who make the groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            if not len(keys):
+                continue
+            starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+            if held and held[-1].column(0)[0].as_py() != keys[0]:
+                yield from joined(pa.Table.from_batches(held))
+                held = []
+            for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if i:
+                    yield from joined(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield from joined(pa.Table.from_batches(held))
+        held.clear()
+        give_back()
+
+    return rows.mapInArrow(run, schema)
+
+
+def links_of(a: list[int], b: list[int], names: tuple[str, str] = ("a", "b")) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=list(names))
+
+
+def with_hubs(pairs: DataFrame, payload: DataFrame, test: Callable[[bytes, bytes, int, int], bool]) -> DataFrame:
+    """Those of pairs (a, b) whose payloads (node, n, x) pass the test. The pairs of a hub are
+    dealt into groups of about STAR; each gets the hub's payload once, so payloads aren't
+    carried twice."""
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("groups"))
+    leaves = pairs.join(payload.withColumnRenamed("node", "b"), "b").join(sizes, "a")
+    leaves = leaves.select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("groups"))).alias("g"), F.lit(1).alias("leaf"), "a", F.col("b").alias("node"), "n", "x")
+    hubs = sizes.join(payload.withColumnRenamed("node", "a"), "a").select("a", "n", "x", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("i"))
+    hubs = hubs.select(F.xxhash64("a", F.col("i").cast("long")).alias("g"), F.lit(0).alias("leaf"), "a", F.col("a").alias("node"), "n", "x")
+    rows = hubs.unionByName(leaves).repartition("g").sortWithinPartitions("g", "leaf")
+
+    def joined(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        leaf, a, node, n = (group.column(i).to_pylist() for i in (1, 2, 3, 4))
+        x = group.column(5)
+        hubs = {a[i]: (x[i].as_py(), n[i]) for i in range(len(a)) if not leaf[i]}
+        kept = [i for i in range(len(a)) if leaf[i] and test(hubs[a[i]][0], x[i].as_py(), hubs[a[i]][1], n[i])]
+        if kept:
+            yield links_of([a[i] for i in kept], [node[i] for i in kept])
+
+    return by_group(rows, joined, "a long, b long")
+
+
+def bounded(x: bytes, y: bytes, nx: int, ny: int) -> bool:
+    return allowed(vector_of(x), vector_of(y), nx, ny)
+
+
+def verified(x: bytes, y: bytes, nx: int, ny: int) -> bool:
+    return similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+
+
+def sets_of(asked: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, n, x) of the asked (node): x has the sorted shingle hashes, taken anew from the
+    texts. nodes: node, th and least, by which one document of each set is found."""
+    texts = nodes.join(asked.select("node").distinct(), "node", "left_semi").select(F.col("th").alias("asked"), F.col("least")).distinct()
     few = texts.count() <= MOST_BROADCAST
-    rows = docs.select(F.xxhash64("text").alias("th"), "text")
-    rows = rows.join(F.broadcast(texts) if few else texts, F.col("th") == F.col("asked"), "left_semi").select("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), "text")
+    rows = rows.join(F.broadcast(texts) if few else texts, (F.col("th") == F.col("asked")) & F.col("id").eqNullSafe(F.col("least")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in pieces(batches, "text"):
-            found, sets = [], []
+            found, sizes, sets = [], [], []
             for shingles in shingle_sets(*utf8(batch.column(0))):
-                node = xxhash.xxh3_64_intdigest(shingles.tobytes())
-                if len(shingles) and node not in seen:
+                raw = shingles.tobytes()
+                node = xxhash.xxh3_64_intdigest(raw)
+                if raw and node not in seen:
                     seen.add(node)
                     found.append(node)
-                    sets.append(shingles.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+                    sizes.append(len(shingles))
+                    sets.append(raw)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary())], names=["node", "n", "x"])
+        seen.clear()
+        give_back()
 
-    sets = rows.mapInArrow(run, "node long, shingles array<long>").groupBy("node").agg(F.any_value("shingles").alias("shingles"))
-    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(a, "a").join(b, "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(enough(shared, F.size("sa"), F.size("sb"))).select("a", "b")
+    return rows.mapInArrow(run, "node long, n int, x binary")
 
 
 class RTree:
-    """A packed R-tree of count vectors: points in order of size and of their heaviest
-    groups, LEAF in a leaf, leaves in boxes of which only the upper sides matter."""
+    """A packed R-tree of count vectors, bulk-loaded by cutting the points in halves at the
+    median of the group (or the size) that varies most; LEAF points in a leaf, leaves in
+    boxes of which only the upper sides matter."""
 
     def __init__(self, vectors: np.ndarray, sizes: np.ndarray):
         self.vectors, self.sizes = vectors, sizes
-        self.order = np.lexsort((*(vectors[:, g] for g in range(min(4, vectors.shape[1]))), sizes))
+        self.order = np.arange(len(sizes))
+        todo = [(0, len(sizes))]
+        while todo:
+            i, j = todo.pop()
+            if j - i <= LEAF:
+                continue
+            own = self.order[i:j]
+            group = int(np.argmax(vectors[own[:: 1 + len(own) // 64]].var(axis=0)))  # of some of them: order changes no result
+            middle = (j - i) // 2 // LEAF * LEAF or LEAF  # leaves are full but for the last
+            self.order[i:j] = own[np.lexsort((sizes[own], vectors[own, group]))]
+            todo += [(i, i + middle), (i + middle, j)]
         self.levels = []
         tops, low, high = vectors[self.order], sizes[self.order], sizes[self.order]
         while True:
@@ -230,70 +336,94 @@ class RTree:
             at = at[at < len(tops)]
             fits = (100 * high[at] >= percent * n) & (percent * low[at] <= 100 * n)
             at = at[fits]
-            shared = np.minimum(tops[at], vector).sum(axis=1)
+            shared = np.minimum(tops[at], vector).sum(axis=1, dtype=np.int64)
             at = at[enough(shared, n, np.maximum(low[at], -(-percent * n // 100)), percent)]
             at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
         at = self.order[at[at < len(self.order)]]
-        return at[enough(np.minimum(self.vectors[at], vector).sum(axis=1), n, self.sizes[at], percent)]
-
-
-def tree_join(node: np.ndarray, comp: np.ndarray, part: np.ndarray, sizes: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a block across components, or across its two parts, whose coarse points allow enough overlap."""
-    points_ = [vector_of(v) for v in raw]
-    groups = min(len(p) for p in points_)
-    vectors = np.stack([folded(p, groups) for p in points_])
-    two = bool((part != part[0]).any())
-    tree, a, b = RTree(vectors, sizes), [], []
-    for i in range(len(node)):
-        near = tree.near(vectors[i], int(sizes[i]))
-        near = near[(comp[near] != comp[i]) & (node[near] > node[i])]
-        if two:
-            near = near[part[near] != part[i]]
-        # The tree's points are folded to the fewest groups of the block; each pair has finer ones.
-        near = near[[allowed(points_[i], points_[j], int(sizes[i]), int(sizes[j])) for j in near.tolist()]] if len(near) else near
-        a.append(np.full(len(near), node[i]))
-        b.append(node[near])
-    return np.concatenate(a), np.concatenate(b)
-
-
-def remaining(blocks: DataFrame, labels: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Candidate pairs of the blocks that hold several components, by an R-tree a block. A
-    block is cut into bands of size, each of which also gets the next smaller sets, as only
-    sets of near size link. Of blocks with the same members (told by a sum of hashes) one is
-    enough."""
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND))
-    members = blocks.join(labels, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp"), F.explode(F.array(band, band + 1)).alias("band"))
-    several = members.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("sign")).where("lo <> hi")
-    several = several.groupBy("sign", "c", "lo", "hi").agg(F.min(F.struct("token", "band")).alias("k"))
-    several = several.select("k.token", "k.band", F.ceil(F.col("c") / PART).cast("int").alias("parts"))
-    members = members.join(several, ["token", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    mates = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("p"), F.greatest("part", j).alias("q")))
-    spread = members.select("token", "band", "node", "comp", "part", F.explode(mates).alias("x")).select(F.xxhash64("token", "band").alias("token"), "x.p", "x.q", "node", "comp", "part")
-    rows = spread.join(vectors.select("node", "n", "coarse"), "node").select("token", "p", "q", "node", "comp", "part", "n", "coarse")
-    rows = rows.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
+        return at[enough(np.minimum(self.vectors[at], vector).sum(axis=1, dtype=np.int64), n, self.sizes[at], percent)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None  # rows of the block that may go on in the next batch
 
-        def joined(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-            node, comp, part, sizes = (table.column(i).to_numpy().astype(np.int64) for i in range(3, 7))
-            raw = table.column(7).to_pylist()
-            found = [tree_join(node[i:j], comp[i:j], part[i:j], sizes[i:j], raw[i:j]) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) if j - i > 1]
-            pairs = np.unique(np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)], 1), axis=0) if found else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
+def tree_pairs(vectors: list[np.ndarray], sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, rows after i whose points allow enough overlap with it) of each point, by an R-tree."""
+    rows = stacked(vectors)
+    tree = RTree(rows, sizes)
+    for i in range(len(sizes)):
+        near = tree.near(rows[i], int(sizes[i]))
+        yield i, near[near > i]
 
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            keys = np.stack([held.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
-            starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1])
-            if len(starts) > 1:
-                yield joined(held.slice(0, int(starts[-1])), starts)
-                held = held.slice(int(starts[-1]))
-        if held is not None and held.num_rows:
-            yield joined(held, np.array([0, held.num_rows]))
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+def open_groups(blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """(g, node, n, comp, part) of the blocks that hold several components, cut into groups of
+    at most about 2 * PART sets or 2 * PART_SHINGLES shingles. In a group of two parts only
+    pairs across them count; part is -1 where all do.
+
+    A block is cut into bands of size, each of which also gets the next smaller sets, as only
+    sets of near size link; a long band into parts, of which every pair is a group. Of groups
+    with the same members (told by a sum of hashes) one is enough.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND))
+    members = blocks.join(labels, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("comp"), F.explode(F.array(band, band + 1)).alias("band"))
+    mark = F.sum(F.shiftright(F.xxhash64("node"), 20))
+    several = members.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.sum("n").alias("all"), mark.alias("sign")).where("lo <> hi")
+    several = several.groupBy("sign", "c", "lo", "hi").agg(F.min(F.struct("token", "band", "all")).alias("k"))
+    parts = F.ceil(F.greatest(F.col("c") / PART, F.col("k.all") / PART_SHINGLES)).cast("int")
+    several = several.select("k.token", "k.band", parts.alias("parts"))
+    members = members.join(several, ["token", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    mates = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("p"), F.greatest("part", j).alias("q")))
+    spread = members.select("token", "band", "node", "n", "comp", "part", F.explode(mates).alias("x"))
+    return spread.select(F.xxhash64("token", "band", "x.p", "x.q").alias("g"), "node", "n", "comp", F.when(F.col("x.p") == F.col("x.q"), -1).otherwise(F.col("part")).alias("part"))
+
+
+def candidates(groups: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Those rows of groups (g, node, n, comp, part) that have a partner of another component
+    within the bounds of the R-tree."""
+    rows = groups.join(vectors.select("node", "x"), "node").select("g", "node", "n", "comp", "part", "x")
+    rows = rows.repartition("g").sortWithinPartitions("g")
+
+    def joined(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        if group.num_rows < 2:
+            return
+        sizes, comp, part = (group.column(i).to_numpy().astype(np.int64) for i in (2, 3, 4))
+        kept = np.zeros(len(sizes), bool)
+        for i, near in tree_pairs([vector_of(x) for x in group.column(5).to_pylist()], sizes):
+            near = near[(comp[near] != comp[i]) & ((part[near] != part[i]) | (part[i] < 0))]
+            kept[near] = True
+            kept[i] |= len(near) > 0
+        if kept.any():
+            yield from group.select(["g", "node", "n", "comp", "part"]).filter(pa.array(kept)).to_batches()
+
+    return by_group(rows, joined, "g long, node long, n int, comp long, part int")
+
+
+def joining_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that unite components within each group (g, node, n, comp, part): pairs come
+    from an R-tree, are verified by their sets, and are not looked at once they are united."""
+    one = groups.groupBy("g").agg(F.count("*").alias("c"), F.sum(F.shiftright(F.xxhash64("node", "part"), 20)).alias("sign"))
+    one = one.groupBy("sign", "c").agg(F.min("g").alias("g")).select("g")
+    rows = groups.join(one, "g").join(sets.select("node", "x"), "node").select("g", "node", "comp", "part", "x")
+    rows = rows.repartition("g").sortWithinPartitions("g", "node")
+
+    def joined(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, comp, part = (group.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3))
+        sets = [np.frombuffer(x, np.uint64) for x in group.column(4).to_pylist()]
+        parent, a, b = {c: c for c in comp.tolist()}, [], []
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        for i, near in tree_pairs([count_vector(s) for s in sets], np.array([len(s) for s in sets])) if len(node) > 1 else ():
+            for j in near.tolist():
+                x, y = root(int(comp[i])), root(int(comp[j]))
+                if x != y and (part[i] != part[j] or part[i] < 0) and similar(sets[i], sets[j]):
+                    parent[x] = y
+                    a.append(int(node[i]))
+                    b.append(int(node[j]))
+        if a:
+            yield links_of(a, b)
+
+    return by_group(rows, joined, "a long, b long")
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -309,27 +439,36 @@ def linked(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "ngram-join")
     rows = docs.select("doc_id", "text")
     every = scratch.keep(points(rows, frequent_shingles(rows)))
-    nodes = every.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("th").alias("th"))
-    postings = every.where("prefix is not null").select(F.explode("prefix").alias("token"), "node")
-    again = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    shared = scratch.keep(postings.join(again, "token", "left_semi").distinct())
+    nodes = scratch.keep(every.where("n > 0").groupBy("node").agg(F.min(F.struct("th", "doc_id")).alias("o"), F.min("doc_id").alias("first")).select("node", F.col("first"), "o.th", F.col("o.doc_id").alias("least")))
+    own = scratch.keep(every.select("doc_id", "node", "n"))
+    rare, often = (every.where("vector is not null").select(F.explode(c).alias("token"), "node", "n") for c in ("rare", "often"))
+    # Rare shingles have short blocks. Blocks of frequent ones may be long: their rows are told apart by the node too.
+    shared = scratch.keep(met(rare).unionByName(often.dropDuplicates(["token", "node"])))
     # The hub of a block is the set with the largest share of shared shingles: of near copies
     # the one that the others were made from, which is near to all of them.
-    share = shared.groupBy("node").agg(F.count("*").alias("s")).join(nodes.select("node", "n"), "node").select("node", "n", (F.col("s") / F.col("n")).alias("share"))
+    share = shared.groupBy("node").agg((F.count("*") / F.min("n")).alias("share"))
     sized = shared.join(share, "node")
-    hubs = sized.groupBy("token").agg(F.max(F.struct("share", "node")).alias("h"), F.count("*").alias("c")).where("c > 1").select("token", F.col("h.node").alias("hub"))
-    blocks = scratch.keep(sized.join(hubs, "token").select("token", "node", "n", "hub"))
-    scratch.drop(shared)
-    vectors = every.where("vector is not null").select("node", "n", "vector", "coarse").dropDuplicates(["node"])  # one shuffle with the join below
+    hubs = sized.groupBy("token").agg(F.max(F.struct("share", "node", "n")).alias("h"), F.count("*").alias("c")).where("c > 1").select("token", F.col("h.node").alias("hub"), F.col("h.n").alias("m"))
+    blocks = scratch.keep(shared.join(hubs, "token").select("token", "node", "n", "hub", "m"))
+    vectors = every.where("vector is not null").select("node", "n", F.col("vector").alias("x")).dropDuplicates(["node"])
     vectors = scratch.keep(vectors.join(blocks.select("node").distinct(), "node", "left_semi"))
-    stars = scratch.keep(bounded(blocks.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), vectors))
-    links = scratch.keep(verified(stars, rows, nodes))
-    labels = components(links, scratch)
-    more = scratch.keep(bounded(remaining(blocks.drop("hub"), labels, vectors), vectors))
-    more_links = scratch.keep(verified(more, rows, nodes))
-    labels = components(links.unionByName(more_links), scratch)
-    named = nodes.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
-    component = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = named.join(component, "comp").select("node", "component_id")
-    lone = every.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return every.where("n > 0").join(named, "node").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").unionByName(lone)
+    scratch.drop(shared, every)
+    near = 100 * F.least("n", "m") >= SIMILARITY_PERCENT * F.greatest("n", "m")
+    stars = scratch.keep(with_hubs(blocks.where((F.col("hub") != F.col("node")) & near).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), vectors, bounded))
+    asked = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node")))
+    links = scratch.keep(with_hubs(stars, sets_of(asked, rows, nodes), verified))
+    labels = scratch.keep(components(links, scratch))
+    found = scratch.keep(candidates(open_groups(blocks.select("token", "node", "n"), labels), vectors))
+    scratch.drop(blocks, vectors, stars, links)
+    more = scratch.keep(joining_links(found, sets_of(found, rows, nodes)))
+    # Components, not their sets, are united by the links that came later.
+    comp = labels.select("node", "comp")
+    ends = more.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    over = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), scratch)
+    named = nodes.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("comp", "node").alias("c"))
+    named = named.join(over.select(F.col("node").alias("c"), F.col("comp").alias("top")), "c", "left").select("node", "first", F.coalesce("top", "c").alias("comp"))
+    component = named.groupBy("comp").agg(F.min("first").alias("component_id"))
+    named = scratch.keep(named.join(component, "comp").select("node", "component_id"))
+    scratch.drop(found, more, labels, nodes)
+    lone = own.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return own.where("n > 0").join(named, "node").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").unionByName(lone)
