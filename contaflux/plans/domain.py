@@ -11,16 +11,24 @@ VIEWS: dict[str, tuple[str, str, list[tuple[str, str]]]] = {
         ("due_date", "cast(o_orderdate + INTERVAL 30 DAY AS date)"), ("doc_number", "concat('FT ', year(o_orderdate), '/', o_orderkey)"),
         ("type", "CASE WHEN o_orderkey % 20 = 0 THEN 'NOTA_CREDITO' WHEN o_orderstatus = 'F' THEN 'FATURA_EMITIDA' WHEN o_orderstatus = 'O' THEN 'FATURA_RECEBIDA' ELSE 'RECIBO' END"),
         ("status", "CASE WHEN o_orderkey % 7 = 0 THEN 'ARQUIVADO' WHEN o_orderkey % 3 = 0 THEN 'NOVO' WHEN o_orderkey % 3 = 1 THEN 'EM_REVISAO' ELSE 'APROVADO' END"),
-        ("file_hash", "concat('h', o_orderkey % 9000)")]),
+        ("file_hash", "concat('h', o_orderkey % 9000)"),
+        ("counterparty", "CASE WHEN o_orderkey % 4 = 0 THEN concat('MOV ', o_custkey) WHEN o_orderkey % 4 = 1 THEN concat('Fornecedor ', o_custkey, ' Lda') WHEN o_orderkey % 4 = 2 THEN NULL ELSE 'Pag. Obrigado' END")]),
+    "expense": ("orders", "o_orderkey % 2 = 0", [
+        ("id", "o_orderkey"), ("tenant_id", "o_custkey % 4"), ("amount", "CASE WHEN o_orderkey % 6 = 0 THEN o_totalprice + 100 ELSE o_totalprice END"), ("date", "cast(o_orderdate AS date)"),
+        ("description", "CASE WHEN o_orderkey % 6 = 0 THEN concat('Despesa ft ', year(o_orderdate), '/', o_orderkey, ' ') ELSE 'Despesa' END"), ("status", "CASE WHEN o_orderkey % 5 = 0 THEN 'REJECTED' ELSE 'APPROVED' END"),
+        ("document_id", "CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey ELSE NULL END")]),
+    "invoice": ("orders", "o_orderkey % 3 <> 1", [
+        ("id", "o_orderkey"), ("tenant_id", "o_custkey % 4"), ("number", "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE concat('FR ', o_orderkey) END"), ("amount", "o_totalprice"),
+        ("date", "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE cast(o_orderdate AS date) END"), ("customer", "concat('Cliente ', o_custkey)"), ("document_id", "CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey ELSE NULL END")]),
     "document_item": ("lineitem", "true", [
         ("document_id", "l_orderkey"), ("line", "l_linenumber"), ("account_id", "l_partkey"), ("quantity", "l_quantity"), ("total", "l_extendedprice"), ("discount", "l_discount"),
         ("tax_rate", "CASE WHEN l_tax < 0.02 THEN 0.0 WHEN l_tax < 0.04 THEN 6.0 WHEN l_tax < 0.06 THEN 13.0 ELSE 23.0 END")]),
     "bank_transaction": ("orders", "true", [
         ("id", "o_orderkey"), ("tenant_id", "o_custkey % 4"), ("amount", "CASE WHEN o_orderkey % 2 = 0 THEN -o_totalprice ELSE o_totalprice END"),
-        ("date", "cast(o_orderdate AS date)"), ("reference", "CASE WHEN o_orderkey % 3 = 0 THEN concat(' ft ', year(o_orderdate), '/', o_orderkey, ' ') ELSE NULL END"),
+        ("date", "cast(o_orderdate + (o_orderkey % 10) * INTERVAL 5 DAY AS date)"), ("reference", "CASE WHEN o_orderkey % 3 = 0 THEN concat(' ft ', year(o_orderdate), '/', o_orderkey, ' ') ELSE NULL END"),
         ("description", "CASE WHEN o_orderkey % 3 = 1 AND o_orderkey % 2 = 1 THEN concat('TRF PAG FT ', year(o_orderdate), '/', o_orderkey, ' OBRIGADO') ELSE concat('MOV ', o_custkey) END")]),
     "payable": ("orders", "true", [
-        ("id", "o_orderkey"), ("party_id", "o_custkey"), ("document_id", "o_orderkey"), ("amount", "o_totalprice"), ("due_date", "cast(o_orderdate + INTERVAL 30 DAY AS date)"),
+        ("id", "o_orderkey"), ("tenant_id", "o_custkey % 4"), ("party_id", "o_custkey"), ("document_id", "o_orderkey"), ("amount", "o_totalprice"), ("due_date", "cast(o_orderdate + INTERVAL 30 DAY AS date)"),
         ("status", "CASE o_orderpriority WHEN '1-URGENT' THEN 'OVERDUE' WHEN '2-HIGH' THEN 'TO_PAY' WHEN '3-MEDIUM' THEN 'SCHEDULED' WHEN '5-LOW' THEN 'PAID' ELSE 'CANCELLED' END"),
         ("approved", "o_orderkey % 4 <> 0")]),
     "party": ("customer", "true", [
@@ -30,6 +38,9 @@ VIEWS: dict[str, tuple[str, str, list[tuple[str, str]]]] = {
     "deal": ("orders", "true", [
         ("id", "o_orderkey"), ("contact_id", "o_custkey"), ("value", "o_totalprice"), ("expected", "cast(o_orderdate AS date)"),
         ("stage", "CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'WON' ELSE 'LOST' END WHEN o_orderpriority = '1-URGENT' THEN 'NEGOTIATION' WHEN o_orderpriority = '2-HIGH' THEN 'PROPOSAL' WHEN o_orderpriority = '3-MEDIUM' THEN 'QUALIFIED' ELSE 'LEAD' END")]),
+    "suggestion": ("orders", "true", [
+        ("id", "o_orderkey"), ("tenant_id", "o_custkey % 4"), ("tx_id", "o_orderkey % 5000"), ("document_id", "o_orderkey"), ("score", "(o_orderkey % 50) / 50.0"),
+        ("match_type", "CASE o_orderkey % 3 WHEN 0 THEN 'STRONG' WHEN 1 THEN 'MEDIUM' ELSE 'WEAK' END"), ("status", "CASE o_orderkey % 7 WHEN 0 THEN 'ACCEPTED' WHEN 1 THEN 'REJECTED' ELSE 'PENDING' END"), ("created_at", "o_orderdate")]),
     "journal": ("lineitem", "true", [("account_id", "l_partkey"), ("debit", "CASE WHEN l_returnflag = 'R' THEN 0.0 ELSE l_extendedprice END"), ("credit", "CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0.0 END"), ("date", "cast(l_shipdate AS date)")]),
     "account": ("part", "true", [("id", "p_partkey"), ("code", "concat(CASE WHEN p_size % 3 = 0 THEN '7' ELSE '6' END, p_size)"), ("name", "p_type"), ("active", "p_size % 10 <> 0")]),
     "employee": ("customer", "true", [("id", "c_custkey"), ("name", "c_name"), ("period", "c_nationkey"), ("gross", "cast(floor(abs(c_acctbal) * 50) / 100 AS decimal(12,2))")]),

@@ -3,49 +3,17 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contaflux.functions import dates, fiscal, money, text, vectors
 from contaflux.operators import audit, boards, extraction, filing, parties, reconcile, retrieval, states, tax
-from contaflux.plans.domain import view, with_views
+from contaflux.plans.base import ORACLES, QUERIES, TODAY, YEAR, add, add_raw, cents, euro, round2
+from contaflux.plans.domain import with_views
 from contaflux.sources import sepa
 from contaflux.streaming import events as streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-YEAR = 1996
-
-
-def add(name: str, views: str, build: Callable[..., DataFrame], oracle: str | None = None) -> None:
-    """A query that passes the named domain views to build, and its SQL over the same views."""
-    names = views.split()
-    QUERIES[name] = lambda spark, sf_dir: build(*(view(spark, sf_dir, n) for n in names))
-    if oracle:
-        ORACLES[name] = with_views(views, oracle)
-
-
-def add_raw(name: str, table: str, build: Callable[[DataFrame], DataFrame], oracle: str | None = None) -> None:
-    """A query over a stored table."""
-    QUERIES[name] = lambda spark, sf_dir: build(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
-    if oracle:
-        ORACLES[name] = oracle
-
-
-def cents(x: str) -> str:
-    return f"CAST(floor(({x}) * 100 + 0.5) AS BIGINT)"
-
-
-def round2(x: str) -> str:
-    return f"(floor(({x}) * 100 + 0.5) / 100.0::DOUBLE)"
-
-
-def euro(x: str) -> str:
-    return f"(CAST({x} AS DOUBLE) / 100.0::DOUBLE)"
-
-
 # Value added tax and income tax -------------------------------------------------------
 
 _GROSS_TAX = cents(round2("gross * rate / (rate + 100)"))
@@ -85,8 +53,7 @@ add("agg_09_forecast", "deal", lambda d: boards.forecast(d, _START),
     f"""SELECT m.month, coalesce(n, 0) AS deals, {euro("coalesce(c, 0)")} AS total, {euro("coalesce(w, 0)")} AS weighted FROM (VALUES {_MONTHS}) m(month) LEFT JOIN
     (SELECT strftime(expected, '%Y-%m') AS month, count(*) AS n, sum({cents("value")}) AS c, sum(CAST(floor(value * {_PROBABILITY} + 0.5) AS BIGINT)) AS w FROM deal WHERE stage NOT IN ('WON', 'LOST') GROUP BY 1) d ON d.month = m.month""")
 add("mth_23_win_rate", "deal", boards.win_rate, "SELECT won, lost, CASE WHEN won + lost > 0 THEN floor(won * 10000 / (won + lost) + 0.5) / 10000.0::DOUBLE ELSE 0.0 END AS win_rate FROM (SELECT count(*) FILTER (stage = 'WON') AS won, count(*) FILTER (stage = 'LOST') AS lost FROM deal)")
-_TODAY = datetime.date(1997, 1, 1)
-add("agg_10_payables_open", "payable", lambda p: boards.payables_open(p, _TODAY), f"SELECT count(*) AS n, {euro(f'sum({cents("amount")})')} AS total, {euro(f"sum(CASE WHEN status = 'OVERDUE' OR due_date < DATE '{_TODAY}' THEN {cents('amount')} ELSE 0 END)")} AS overdue FROM payable WHERE status IN ('TO_PAY', 'SCHEDULED', 'OVERDUE')")
+add("agg_10_payables_open", "payable", lambda p: boards.payables_open(p, TODAY), f"SELECT count(*) AS n, {euro(f'sum({cents("amount")})')} AS total, {euro(f"sum(CASE WHEN status = 'OVERDUE' OR due_date < DATE '{TODAY}' THEN {cents('amount')} ELSE 0 END)")} AS overdue FROM payable WHERE status IN ('TO_PAY', 'SCHEDULED', 'OVERDUE')")
 add("agg_31_payables_by_party", "payable", boards.payables_by_party, f"SELECT party_id, count(*) AS n, {euro(f"sum(CASE WHEN status IN ('TO_PAY', 'SCHEDULED', 'OVERDUE') THEN {cents('amount')} ELSE 0 END)")} AS open_total, min(due_date) AS first_due FROM payable GROUP BY party_id")
 _IN, _OUT = (f"sum(CASE WHEN amount {o} 0 THEN {cents('abs(amount)')} ELSE 0 END)" for o in "><")
 add("agg_11_bank_flow", "bank_transaction", boards.bank_flow, f"SELECT tenant_id, {euro(_IN)} AS money_in, {euro(_OUT)} AS money_out, {euro(f'{_IN} - {_OUT}')} AS net FROM bank_transaction GROUP BY tenant_id")
@@ -105,18 +72,58 @@ add("srt_01_payables_page", "payable", lambda p: boards.pages(p.where("status =
 # Reconciliation -----------------------------------------------------------------------
 
 _KEY = "lower(trim(regexp_replace(strip_accents(coalesce({}, '')), '\\s+', ' ', 'g')))"
-_CANDIDATES = f"""SELECT tx_id, document_id, CASE tier WHEN 1 THEN 'STRONG' WHEN 2 THEN 'MEDIUM' ELSE 'WEAK' END AS match_type,
-CAST(CASE tier WHEN 1 THEN 1.0 WHEN 2 THEN 0.85 ELSE round(least(0.9, 0.3 + CASE WHEN days <= 1 THEN 0.5 WHEN days <= 7 THEN 0.4 ELSE 0.3 END), 2) END AS DOUBLE) AS score
-FROM (SELECT tx_id, document_id, days, CASE WHEN ref <> '' AND ref = number THEN 1 WHEN contains(words, number) THEN 2 WHEN abs(a - b) < 0.01 AND days <= 30 THEN 3 END AS tier FROM
-(SELECT *, abs(date_diff('day', date, doc_date)) AS days FROM
- (SELECT id AS tx_id, tenant_id, abs(amount) AS a, date, {_KEY.format("reference")} AS ref, {_KEY.format("description")} AS words FROM bank_transaction) t
- JOIN (SELECT id AS document_id, tenant_id, abs(total) AS b, doc_date, {_KEY.format("doc_number")} AS number FROM fiscal_document) d
- ON t.tenant_id = d.tenant_id AND (abs(a - b) < 0.01 OR ref = number OR contains(words, number)))) WHERE tier IS NOT NULL"""
+_ENTITIES = {
+    "doc": "SELECT 'doc' AS kind, id AS entity_id, tenant_id, total AS b, doc_date AS entity_date, doc_number AS number, counterparty AS words, id AS document_id FROM fiscal_document",
+    "exp": "SELECT 'exp' AS kind, id AS entity_id, tenant_id, amount AS b, date AS entity_date, NULL AS number, description AS words, document_id FROM expense",
+    "inv": "SELECT 'inv' AS kind, id AS entity_id, tenant_id, amount AS b, date AS entity_date, number, customer AS words, document_id FROM invoice",
+    "pay": "SELECT 'pay' AS kind, id AS entity_id, tenant_id, amount AS b, due_date AS entity_date, NULL AS number, NULL AS words, document_id FROM payable",
+}
+
+
+def _matches(*kinds: str) -> str:
+    """Every pair of a tenant by the tiers in their order."""
+    tokens = "list_filter(string_split({}, ' '), lambda t: length(t) >= 4)"
+    tier = "CASE WHEN ref <> '' AND ref = number THEN 0 WHEN length(number) >= 3 AND contains(bank, number) THEN 1 WHEN length(ref) >= 3 AND contains(words, ref) THEN 2 WHEN abs(a - b) < 0.01 AND (days IS NULL OR days <= 30) THEN 3 END"
+    weak = f"round(least(0.9, 0.3 + CASE WHEN days IS NULL THEN 0.3 WHEN days <= 3 THEN 0.5 WHEN days <= 7 THEN 0.4 ELSE 0.3 END + CASE WHEN bank = '' OR words = '' THEN 0 WHEN contains(bank, words) OR contains(words, bank) THEN 0.2 WHEN list_has_any({tokens.format('bank')}, {tokens.format('words')}) THEN 0.1 ELSE 0 END), 2)"
+    return f"""SELECT tx_id, kind, entity_id, document_id, CASE tier WHEN 0 THEN 'STRONG' WHEN 3 THEN 'WEAK' ELSE 'MEDIUM' END AS match_type, CAST(CASE tier WHEN 0 THEN 1.0 WHEN 1 THEN 0.85 WHEN 2 THEN 0.8 ELSE {weak} END AS DOUBLE) AS score
+FROM (SELECT *, {tier} AS tier FROM (SELECT *, abs(date_diff('day', date, entity_date)) AS days FROM
+ (SELECT id AS tx_id, tenant_id, abs(amount) AS a, date, {_KEY.format("reference")} AS ref, {_KEY.format("description")} AS bank FROM bank_transaction) t
+ JOIN (SELECT kind, entity_id, document_id, tenant_id, abs(b) AS b, entity_date, {_KEY.format("number")} AS number, {_KEY.format("words")} AS words FROM ({" UNION ALL ".join(_ENTITIES[k] for k in kinds)})) d
+ ON t.tenant_id = d.tenant_id AND (abs(a - b) < 0.01 OR (ref <> '' AND ref = number) OR (length(number) >= 3 AND contains(bank, number)) OR (length(ref) >= 3 AND contains(words, ref))))) WHERE tier IS NOT NULL"""
+
+
+def _entities(d: DataFrame, kind: str) -> DataFrame:
+    if kind == "doc":
+        return reconcile.entities(d, "doc", amount="total", date="doc_date", reference="doc_number", description="counterparty", document="id")
+    if kind == "exp":
+        return reconcile.entities(d, "exp", amount="amount", date="date", description="description", document="document_id")
+    if kind == "inv":
+        return reconcile.entities(d, "inv", amount="amount", date="date", reference="number", description="customer", document="document_id")
+    return reconcile.entities(d, "pay", amount="amount", date="due_date", document="document_id")
+
+
+_CANDIDATES = f"SELECT tx_id, document_id, match_type, score FROM ({_matches('doc')})"
 _BEST = f"SELECT tx_id, document_id, match_type, score FROM (SELECT *, row_number() OVER (PARTITION BY tx_id ORDER BY score DESC, document_id) AS r FROM ({_CANDIDATES})) WHERE r = 1"
 add("join_01_candidates", "bank_transaction fiscal_document", reconcile.candidates, _CANDIDATES)
 add("agg_20_suggestions", "bank_transaction fiscal_document", reconcile.suggestions, _BEST)
 add("agg_19_match_histogram", "bank_transaction fiscal_document", lambda t, d: reconcile.histogram(reconcile.suggestions(t, d)), f"SELECT match_type, count(*) AS n FROM ({_BEST}) GROUP BY match_type")
 add("join_03_open_transactions", "bank_transaction fiscal_document", lambda t, d: reconcile.open_transactions(t, reconcile.suggestions(t, d)).select("id", "amount"), f"SELECT id, amount FROM bank_transaction WHERE id NOT IN (SELECT tx_id FROM ({_BEST}))")
+add("join_02_tiers", "bank_transaction expense invoice", lambda t, e, i: reconcile.matches(t, _entities(e, "exp").unionByName(_entities(i, "inv"))), _matches("exp", "inv"))
+_GROUPED = f"SELECT * EXCLUDE (r), max(CASE WHEN kind = 'doc' THEN score END) OVER (PARTITION BY tx_id) AS doc FROM (SELECT *, row_number() OVER (PARTITION BY tx_id, kind ORDER BY score DESC, entity_id) AS r FROM ({_matches('doc', 'pay')}) WHERE kind <> 'pay' OR document_id IS NOT NULL) WHERE r = 1"
+add("join_04_payable_rule", "bank_transaction fiscal_document payable", lambda t, d, p: reconcile.best_of(reconcile.matches(t, _entities(d, "doc").unionByName(_entities(p.where("id % 3 <> 1"), "pay")))),
+    f"SELECT * EXCLUDE (doc) FROM ({_GROUPED}) WHERE kind <> 'pay' OR doc IS NULL OR score > doc".replace("FROM payable", "FROM payable WHERE id % 3 <> 1"))
+
+
+def _decided(s: DataFrame) -> DataFrame:
+    return reconcile.decided(s, s.where("id % 5 < 2").select("id", (F.col("id") % 5 == 0).alias("accept")))
+
+
+_DECIDED = """SELECT id, tx_id, document_id, CASE WHEN status <> 'PENDING' THEN status WHEN id = winner THEN 'ACCEPTED' WHEN winner IS NOT NULL OR id % 5 = 1 THEN 'REJECTED' ELSE 'PENDING' END AS status
+FROM (SELECT *, min(CASE WHEN status = 'PENDING' AND id % 5 = 0 THEN id END) OVER (PARTITION BY tx_id) AS winner FROM suggestion)"""
+add("dml_01_accept", "suggestion", lambda s: _decided(s).select("id", "tx_id", "document_id", "status"), _DECIDED)
+add("dml_01_reconciled", "suggestion bank_transaction", lambda s, t: reconcile.reconciled(t, _decided(s), F.lit(TODAY)).select("id", "reconciled_at"), f"SELECT id, CASE WHEN id IN (SELECT tx_id FROM ({_DECIDED}) WHERE status = 'ACCEPTED') THEN DATE '{TODAY}' END AS reconciled_at FROM bank_transaction")
+add("dml_02_reject", "suggestion", lambda s: reconcile.decided(s, s.where("id % 4 = 1").select("id", F.lit(False).alias("accept"))).select("id", "status"), "SELECT id, CASE WHEN status = 'PENDING' AND id % 4 = 1 THEN 'REJECTED' ELSE status END AS status FROM suggestion")
+add("join_05_payables_of", "suggestion payable", lambda s, p: reconcile.payables_of(_decided(s), p), f"SELECT s.id AS suggestion_id, payable_id FROM ({_DECIDED}) s LEFT JOIN (SELECT document_id, min(id) AS payable_id FROM payable WHERE status <> 'PAID' GROUP BY document_id) p ON p.document_id = s.document_id WHERE s.status = 'ACCEPTED'")
 
 # Parties ------------------------------------------------------------------------------
 
@@ -221,13 +228,13 @@ add_raw("stm_10_once", "events", lambda e: streams.once(e.select("user_id", "eve
 add("dml_03_approve", "fiscal_document", states.approved, "SELECT id, CASE WHEN status IN ('NOVO', 'EM_REVISAO') THEN 'approved' WHEN status = 'APROVADO' THEN 'unchanged' ELSE 'conflict' END AS outcome, CASE WHEN status IN ('NOVO', 'EM_REVISAO') THEN 'APROVADO' ELSE status END AS status FROM fiscal_document")
 add("dml_18_outcomes", "fiscal_document", lambda d: states.outcomes(states.approved(d)), "SELECT CASE WHEN status IN ('NOVO', 'EM_REVISAO') THEN 'approved' WHEN status = 'APROVADO' THEN 'unchanged' ELSE 'conflict' END AS outcome, count(*) AS n FROM fiscal_document GROUP BY 1")
 add("dml_15_payables_from", "fiscal_document payable", lambda d, p: states.payables_from(d, p.where("id % 2 = 0")), "SELECT id AS document_id, party_id, total AS amount, due_date, 'TO_PAY' AS status FROM fiscal_document WHERE type = 'FATURA_RECEBIDA' AND status <> 'ARQUIVADO' AND id NOT IN (SELECT document_id FROM payable WHERE id % 2 = 0)")
-add("dml_04_pay", "payable", lambda p: states.paid(p, p.where("id % 5 = 0").select(F.col("id").alias("payable_id"), (F.col("amount") + F.when(F.col("id") % 10 == 0, 1.0).otherwise(0.0)).alias("amount")), _TODAY), f"SELECT id, CASE WHEN NOT approved THEN 'rejected' WHEN id % 10 = 0 THEN 'difference' ELSE 'paid' END AS outcome, CASE WHEN approved AND id % 10 <> 0 THEN DATE '{_TODAY}' END AS paid_at FROM payable WHERE id % 5 = 0")
+add("dml_04_pay", "payable", lambda p: states.paid(p, p.where("id % 5 = 0").select(F.col("id").alias("payable_id"), (F.col("amount") + F.when(F.col("id") % 10 == 0, 1.0).otherwise(0.0)).alias("amount")), TODAY), f"SELECT id, CASE WHEN NOT approved THEN 'rejected' WHEN id % 10 = 0 THEN 'difference' ELSE 'paid' END AS outcome, CASE WHEN approved AND id % 10 <> 0 THEN DATE '{TODAY}' END AS paid_at FROM payable WHERE id % 5 = 0")
 add("dml_13_iban_history", "party", lambda p: states.iban_history(p.where("id % 3 <> 0").withColumn("iban", F.when(F.col("id") % 5 == 0, F.lit("PT00")).otherwise(F.lower("iban"))), p), "SELECT id, iban AS new_iban, CASE WHEN id % 3 <> 0 THEN 'PT00' END AS old_iban FROM party WHERE id % 3 = 0 OR id % 5 = 0")
 add("dml_09_repoint", "deal", lambda d: states.repointed(d.select("id", "contact_id"), d.where("contact_id % 10 = 0").select(F.col("contact_id").alias("old_id"), (F.col("contact_id") + 1).alias("new_id")).distinct(), "contact_id"), "SELECT id, CASE WHEN contact_id % 10 = 0 THEN contact_id + 1 ELSE contact_id END AS contact_id FROM deal")
 add("snk_09_upsert", "party", lambda p: states.upserted(p.where("id % 2 = 0").select("id", "name"), p.select("id", F.lit("new").alias("name")), ["id"]), "SELECT id, CASE WHEN id % 2 = 0 THEN name ELSE 'new' END AS name FROM party")
 add("fil_04_documents", "fiscal_document", lambda d: d.where("tenant_id = 1 AND status <> 'ARQUIVADO' AND type = 'RECIBO'").where(F.col("doc_date").between(F.lit(datetime.date(1995, 1, 1)), F.lit(datetime.date(1996, 12, 31)))).select("id", "total"), "SELECT id, total FROM fiscal_document WHERE tenant_id = 1 AND status <> 'ARQUIVADO' AND type = 'RECIBO' AND doc_date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31'")
 add("fil_08_bank", "bank_transaction", lambda t: t.where(F.ilike("description", F.lit("%trf%")) & (F.col("amount") > 0)).select("id", "amount"), "SELECT id, amount FROM bank_transaction WHERE description ILIKE '%trf%' AND amount > 0")
-add("fil_09_payables", "payable", lambda p: p.where(F.col("approved") & F.col("status").isin("TO_PAY", "OVERDUE") & (F.col("due_date") < F.lit(_TODAY))).select("id", "amount"), f"SELECT id, amount FROM payable WHERE approved AND status IN ('TO_PAY', 'OVERDUE') AND due_date < DATE '{_TODAY}'")
+add("fil_09_payables", "payable", lambda p: p.where(F.col("approved") & F.col("status").isin("TO_PAY", "OVERDUE") & (F.col("due_date") < F.lit(TODAY))).select("id", "amount"), f"SELECT id, amount FROM payable WHERE approved AND status IN ('TO_PAY', 'OVERDUE') AND due_date < DATE '{TODAY}'")
 add("fil_20_rules", "fiscal_document", lambda d: filing.first_rule(_filed(d), _rules(d.sparkSession)).select("id", "rule_id", "folder"), """SELECT id, CAST(CASE WHEN type = 'RECIBO' AND party_id % 5 = 0 THEN 3 WHEN type = 'RECIBO' THEN 2 WHEN party_id % 7 = 0 THEN 1 END AS INTEGER) AS rule_id,
 CASE WHEN type = 'RECIBO' AND party_id % 5 = 0 THEN concat('Vip/', strftime(doc_date, '%Y')) WHEN type = 'RECIBO' THEN concat('Recibos/', strftime(doc_date, '%Y/%m')) WHEN party_id % 7 = 0 THEN 'Sete/_Outro_' ELSE concat('Inbox/', strftime(doc_date, '%Y/%m')) END AS folder FROM fiscal_document""")
 add("dml_10_folders", "fiscal_document", lambda d: filing.folders(filing.first_rule(_filed(d), _rules(d.sparkSession))), None)
@@ -252,7 +259,7 @@ def _nearest_rank(p: DataFrame) -> DataFrame:
 
 add("agg_34_nearest_rank", "payable", _nearest_rank, "SELECT status, list_sort(list(due_date))[CAST(floor(count(*) * 0.5) AS BIGINT) + 1] AS p50, list_sort(list(due_date))[least(CAST(floor(count(*) * 0.95) AS BIGINT), count(*) - 1) + 1] AS p95 FROM payable GROUP BY status")
 add("set_06_missing", "fiscal_document payable", lambda d, p: d.select("id").join(p.where("status = 'PAID'").select("id"), "id", "left_anti"), "SELECT id FROM fiscal_document WHERE id NOT IN (SELECT id FROM payable WHERE status = 'PAID')")
-add("dat_09_schedule_status", "payable", lambda p: p.select("id", dates.schedule_status(F.col("status"), F.col("due_date"), F.lit(_TODAY)).alias("now")), f"SELECT id, CASE WHEN status IN ('PAID', 'CANCELLED') THEN status WHEN due_date < DATE '{_TODAY}' THEN 'OVERDUE' ELSE 'SCHEDULED' END AS now FROM payable")
+add("dat_09_schedule_status", "payable", lambda p: p.select("id", dates.schedule_status(F.col("status"), F.col("due_date"), F.lit(TODAY)).alias("now")), f"SELECT id, CASE WHEN status IN ('PAID', 'CANCELLED') THEN status WHEN due_date < DATE '{TODAY}' THEN 'OVERDUE' ELSE 'SCHEDULED' END AS now FROM payable")
 
 
 def _filed(d: DataFrame) -> DataFrame:
