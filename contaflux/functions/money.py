@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,3 +101,110 @@ def pt_amount(x: Column) -> Column:
     """Two decimals after a comma, thousands grouped by a point from five digits on."""
     grouped = F.translate(F.format_number(x, 2), ",.", ".,")
     return F.when(F.abs(x) < 10000, F.replace(grouped, F.lit("."), F.lit(""))).otherwise(grouped)
+
+
+def money_sum(values: Column) -> Column:
+    """The sum of an array's finite values, rounded once; of none it is 0."""
+    finite = F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return round2(F.aggregate(finite, F.lit(0.0), lambda a, v: a + v))
+
+
+def region_of(code: Column) -> Column:
+    """PT, AC or MA of a region's code (PT-AC and PT-MA are islands); PT for what is unknown."""
+    plain = F.upper(F.trim(F.coalesce(code, F.lit(""))))
+    return F.when(plain.isin("AC", "PT-AC"), "AC").when(plain.isin("MA", "PT-MA"), "MA").otherwise("PT")
+
+
+def rate_of(kind: Column, region: Column) -> Column:
+    """The VAT percentage of a kind in a region (PT, AC, MA); exempt is 0, an unknown kind null."""
+    out = F.when(kind == "exempt", 0.0)
+    for name, rates in VAT_RATES.items():
+        for which, rate in rates.items():
+            out = out.when((region == name) & (kind == which), rate)
+    return out
+
+
+def bucket_kind(rate: Column) -> Column:
+    """The kind of a rate on the mainland; the normal rates of the islands are normal too."""
+    main = vat_class(rate)
+    island = (F.abs(rate - VAT_RATES["AC"]["normal"]) <= 0.05) | (F.abs(rate - VAT_RATES["MA"]["normal"]) <= 0.05)
+    return F.when((main == "other") & island, "normal").otherwise(main)
+
+
+def finite_number(s: Column) -> Column:
+    """A text as a finite number, else null."""
+    x = F.trim(s).try_cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
+def plausible(x: Column) -> Column:
+    """x unless it is no amount: not positive, the placeholder 1, or over a million."""
+    return F.when((x > 0) & (x != 1) & (x <= 1_000_000), x)
+
+
+def money_trio(total: Column, tax: Column, net: Column, breakdown: Column | None = None) -> Column:
+    """A struct of total, tax, net and a hint that says where they come from.
+
+    A breakdown (array of rate, base, tax) of which every base and tax is plausible wins. Else
+    implausible amounts are dropped, and of what is left total and tax come before total and
+    net, and these before tax and net; the third is derived. breakdown may be null.
+    """
+    total, tax, net = plausible(total), plausible(tax), plausible(net)
+    two = lambda x: round2(x)
+    known = (F.when(total.isNotNull(), 1).otherwise(0) + F.when(tax.isNotNull(), 1).otherwise(0) + F.when(net.isNotNull(), 1).otherwise(0))
+    hint = F.when(known == 3, "reconciled_from_pair").when(known > 0, "reconciled_partial")
+    none = F.lit(None).cast("double")
+    out = F.struct(
+        two(F.coalesce(total, tax + net)).alias("total"),
+        two(F.coalesce(tax, F.greatest(total - net, F.lit(0.0)))).alias("tax"),
+        two(F.when(total.isNotNull() & tax.isNotNull(), F.greatest(total - tax, F.lit(0.0))).otherwise(net)).alias("net"),
+        hint.alias("hint"),
+    )
+    # A tax above its total leaves no net that adds up: the pair is kept, the net is not.
+    off = F.abs(out["total"] - (out["net"] + out["tax"])) > 0.05
+    only = F.struct(two(F.coalesce(total, none)).alias("total"), two(F.coalesce(tax, none)).alias("tax"), F.when(total - tax >= 0, two(total - tax)).alias("net"), F.lit("reconciled_from_total_only").alias("hint"))
+    safe = F.when(off & total.isNotNull(), only).when(off, F.struct(none.alias("total"), F.when(tax.isNotNull(), two(tax)).alias("tax"), F.when(tax.isNull(), two(net)).alias("net"), F.lit("reconciled_from_tax_only").alias("hint"))).otherwise(out)
+    if breakdown is None:
+        return safe
+    fits = F.coalesce((F.size(breakdown) > 0) & F.forall(breakdown, lambda r: plausible(r["base"]).isNotNull() & plausible(r["tax"]).isNotNull()), F.lit(False))
+    base, part = F.aggregate(breakdown, F.lit(0.0), lambda a, r: a + r["base"]), F.aggregate(breakdown, F.lit(0.0), lambda a, r: a + r["tax"])
+    whole = F.struct(two(two(base) + two(part)).alias("total"), two(part).alias("tax"), two(F.greatest(two(base + part) - two(part), F.lit(0.0))).alias("net"), F.lit("reconciled_from_breakdown").alias("hint"))
+    return F.when(fits, whole).otherwise(safe)
+
+
+#: What each signal adds to a document's anomaly score, and from which score on a level holds. Fixed values.
+ANOMALY_WEIGHTS = {
+    "DUPLICATE_NUMBER": 30, "INCONSISTENT_TAX": 25, "IBAN_MISMATCH": 25, "DUPLICATE_AMOUNT": 20, "MISSING_NIF": 15,
+    "BURST_UPLOAD": 15, "SUSPICIOUS_TOTAL": 10, "DATE_ANOMALY": 5, "ROUND_AMOUNTS": 3, "STRUCTURE_DRIFT": 3,
+}
+RISK_LEVELS = [("CRITICAL", 50, "block"), ("HIGH", 30, "review"), ("MEDIUM", 15, "flag")]
+
+
+def severity(weight: Column) -> Column:
+    return F.when(weight >= 25, "CRITICAL").when(weight >= 20, "HIGH").when(weight >= 10, "MEDIUM").otherwise("LOW")
+
+
+def risk_level(score: Column) -> Column:
+    out = F.lit("LOW")
+    for name, least, _ in reversed(RISK_LEVELS):
+        out = F.when(score >= least, name).otherwise(out)
+    return out
+
+
+def risk_action(level: Column) -> Column:
+    out = F.lit("ignore")
+    for name, _, action in RISK_LEVELS:
+        out = F.when(level == name, action).otherwise(out)
+    return out
+
+
+def presence(weights: Sequence[tuple[Column, float]], most: float = 1.0) -> Column:
+    """The sum of the weights of what is there (not null, empty or 0), most at most."""
+    there = [F.when(F.coalesce(c.cast("string"), F.lit("")).isin("", "0", "0.0"), 0.0).otherwise(w) for c, w in weights]
+    return F.round(F.least(sum(there, F.lit(0.0)), F.lit(most)), 4)
+
+
+def answer_confidence(intent: Column, sources: Column, provider: Column) -> Column:
+    """How far an answer is trusted: by the provider, three sources or more, and direct lookups; .98 at most."""
+    more = F.when(provider == "anthropic", 0.1).otherwise(0.0) + F.when(sources >= 3, 0.1).otherwise(0.0) + F.when(intent == "LOOKUP", 0.05).otherwise(0.0)
+    return F.round(F.least(F.lit(0.98), 0.7 + more), 4)

@@ -80,3 +80,17 @@ def merged(master: DataFrame, duplicates: DataFrame, columns: list[str]) -> Data
     for c in columns:
         rows = rows.withColumn(c, F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.col(f"__{c}"))).drop(f"__{c}")
     return rows
+
+
+def latest(history: DataFrame, key: str, when: str, most: int = 25) -> DataFrame:
+    """The latest rows of each key, ties by id, with their place r."""
+    order = Window.partitionBy(key).orderBy(F.desc(when), F.desc("id"))
+    return history.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+
+
+def changed_since(history: DataFrame) -> DataFrame:
+    """history (party_id, id, new_iban, created_at) with changed: whether the account differs from
+    that of the party's row before; of a first row it does not."""
+    order = Window.partitionBy("party_id").orderBy("created_at", "id")
+    plain = iban_plain(F.col("new_iban"))
+    return history.withColumn("changed", F.coalesce(plain != F.lag(plain).over(order), F.lit(False)))

@@ -41,6 +41,24 @@ VIEWS: dict[str, tuple[str, str, list[tuple[str, str]]]] = {
     "suggestion": ("orders", "true", [
         ("id", "o_orderkey"), ("tenant_id", "o_custkey % 4"), ("tx_id", "o_orderkey % 5000"), ("document_id", "o_orderkey"), ("score", "(o_orderkey % 50) / 50.0"),
         ("match_type", "CASE o_orderkey % 3 WHEN 0 THEN 'STRONG' WHEN 1 THEN 'MEDIUM' ELSE 'WEAK' END"), ("status", "CASE o_orderkey % 7 WHEN 0 THEN 'ACCEPTED' WHEN 1 THEN 'REJECTED' ELSE 'PENDING' END"), ("created_at", "o_orderdate")]),
+    "contact": ("customer", "true", [
+        ("id", "c_custkey"), ("tenant_id", "c_custkey % 4"), ("name", "concat('Contact ', c_custkey % 97)"), ("type", "CASE c_custkey % 3 WHEN 0 THEN 'COMPANY' WHEN 1 THEN 'PERSON' ELSE 'LEAD' END"), ("active", "c_custkey % 6 <> 0"),
+        ("nif", "concat('50000', lpad(cast(c_custkey % 1000 AS varchar(20)), 4, '0'))"), ("email", "concat('Mail', c_custkey % 700, '@Example.com')"), ("city", "CASE c_custkey % 3 WHEN 0 THEN 'Lisboa' WHEN 1 THEN 'Porto' ELSE NULL END"),
+        ("parent_id", "CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_custkey - c_custkey % 10 END")]),
+    "activity": ("events", "true", [
+        ("id", "event_id"), ("tenant_id", "user_id % 4"), ("type", "event_type"), ("contact_id", "user_id"), ("deal_id", "CASE WHEN event_id % 3 = 0 THEN event_id % 100 ELSE NULL END"), ("assignee", "user_id % 7"),
+        ("due", "CASE WHEN event_id % 5 <> 0 THEN ts ELSE NULL END"), ("completed_at", "CASE WHEN event_id % 4 = 0 THEN ts ELSE NULL END"), ("created_at", "ts"),
+        ("metadata", "concat('{\"source\":\"', CASE WHEN event_id % 3 = 0 THEN 'hubspot' ELSE 'pipedrive' END, '\"}')")]),
+    "schedule": ("orders", "true", [
+        ("id", "o_orderkey"), ("tenant_id", "o_custkey % 4"), ("party_id", "o_custkey"), ("amount", "o_totalprice"), ("due_date", "cast(o_orderdate AS date)"),
+        ("status", "CASE o_orderkey % 5 WHEN 0 THEN 'PAID' WHEN 1 THEN 'CANCELLED' ELSE 'PENDING' END"), ("recurrence", "CASE o_orderkey % 7 WHEN 0 THEN 'DAILY' WHEN 1 THEN 'WEEKLY' WHEN 2 THEN 'MONTHLY' WHEN 3 THEN 'QUARTERLY' WHEN 4 THEN 'YEARLY' ELSE NULL END"), ("step", "o_orderkey % 3 + 1")]),
+    "iban_change": ("orders", "true", [
+        ("id", "o_orderkey"), ("party_id", "o_custkey"), ("old_iban", "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('PT50', lpad(cast(o_orderkey AS varchar(20)), 21, '0')) END"),
+        ("new_iban", "concat('PT50', lpad(cast(o_custkey + (o_orderkey % 2) AS varchar(20)), 21, '0'))"), ("created_at", "cast(o_orderdate AS date)")]),
+    "creditor": ("customer", "true", [
+        ("id", "c_custkey"), ("tenant_id", "c_custkey % 4"), ("name", "CASE WHEN c_custkey % 29 = 0 THEN '' WHEN c_custkey % 31 = 0 THEN repeat('N', 80) ELSE concat('A & B <', c_custkey, '>') END"), ("flagged", "c_custkey % 17 = 0"), ("verified", "c_custkey % 3 = 0"),
+        ("nif", "cast(500000000 + c_custkey AS varchar(20))"),
+        ("iban", "CASE WHEN c_custkey % 13 = 0 THEN NULL WHEN c_custkey % 11 = 0 THEN 'PT50000' WHEN c_custkey % 7 = 0 THEN concat('DE', lpad(cast(98 - (c_custkey * 1000000 + 131400) % 97 AS varchar(20)), 2, '0'), lpad(cast(c_custkey AS varchar(20)), 18, '0')) ELSE concat('PT', lpad(cast(98 - (c_custkey * 1000000 + 252900) % 97 AS varchar(20)), 2, '0'), lpad(cast(c_custkey AS varchar(20)), 21, '0')) END")]),
     "journal": ("lineitem", "true", [("account_id", "l_partkey"), ("debit", "CASE WHEN l_returnflag = 'R' THEN 0.0 ELSE l_extendedprice END"), ("credit", "CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0.0 END"), ("date", "cast(l_shipdate AS date)")]),
     "account": ("part", "true", [("id", "p_partkey"), ("code", "concat(CASE WHEN p_size % 3 = 0 THEN '7' ELSE '6' END, p_size)"), ("name", "p_type"), ("active", "p_size % 10 <> 0")]),
     "employee": ("customer", "true", [("id", "c_custkey"), ("name", "c_name"), ("period", "c_nationkey"), ("gross", "cast(floor(abs(c_acctbal) * 50) / 100 AS decimal(12,2))")]),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from contaflux.functions import dates, fiscal, money, text, vectors
 from contaflux.operators import audit, boards, extraction, filing, parties, reconcile, retrieval, states, tax
+from contaflux.plans import lists as list_queries  # noqa: F401  registers its queries
 from contaflux.plans.base import ORACLES, QUERIES, TODAY, YEAR, add, add_raw, cents, euro, round2
 from contaflux.plans.domain import with_views
 from contaflux.sources import sepa
@@ -31,7 +32,7 @@ _ACCOUNTS = f"""SELECT account_id, code, name, {euro("d")} AS debit, {euro("c")}
 (SELECT account_id, sum({cents("debit")}) AS d, sum({cents("credit")}) AS c FROM journal WHERE date >= DATE '{YEAR}-01-01' AND date < DATE '{YEAR + 1}-01-01' GROUP BY account_id)
 JOIN account ON account.id = account_id WHERE active AND code LIKE '6%'"""
 add("agg_04_expense_accounts", "journal account", lambda j, a: tax.expense_accounts(j, a, YEAR), _ACCOUNTS)
-add("agg_05_income_tax", "journal account", lambda j, a: tax.income_tax(j, a, YEAR),
+add("agg_04_income_tax", "journal account", lambda j, a: tax.income_tax(j, a, YEAR),
     f"""SELECT {euro("p")} AS total, floor(p * 21 / 100 + 0.5) / 100.0::DOUBLE AS income_tax, floor(p * 10 / 100 + 0.5) / 100.0::DOUBLE AS autonomous_tax
     FROM (SELECT CAST(sum(greatest({cents("net")}, 0)) AS BIGINT) AS p FROM ({_ACCOUNTS}))""")
 add("srt_06_top_accounts", "journal account", lambda j, a: tax.top_accounts(j, a, YEAR), f"SELECT * FROM ({_ACCOUNTS}) WHERE debit > 0 ORDER BY debit DESC, account_id LIMIT 10")
@@ -52,9 +53,9 @@ _PROBABILITY = "CASE stage " + " ".join(f"WHEN '{s}' THEN {p}" for s, p in board
 add("agg_09_forecast", "deal", lambda d: boards.forecast(d, _START),
     f"""SELECT m.month, coalesce(n, 0) AS deals, {euro("coalesce(c, 0)")} AS total, {euro("coalesce(w, 0)")} AS weighted FROM (VALUES {_MONTHS}) m(month) LEFT JOIN
     (SELECT strftime(expected, '%Y-%m') AS month, count(*) AS n, sum({cents("value")}) AS c, sum(CAST(floor(value * {_PROBABILITY} + 0.5) AS BIGINT)) AS w FROM deal WHERE stage NOT IN ('WON', 'LOST') GROUP BY 1) d ON d.month = m.month""")
-add("mth_23_win_rate", "deal", boards.win_rate, "SELECT won, lost, CASE WHEN won + lost > 0 THEN floor(won * 10000 / (won + lost) + 0.5) / 10000.0::DOUBLE ELSE 0.0 END AS win_rate FROM (SELECT count(*) FILTER (stage = 'WON') AS won, count(*) FILTER (stage = 'LOST') AS lost FROM deal)")
+add("agg_09_win_rate", "deal", boards.win_rate, "SELECT won, lost, CASE WHEN won + lost > 0 THEN floor(won * 10000 / (won + lost) + 0.5) / 10000.0::DOUBLE ELSE 0.0 END AS win_rate FROM (SELECT count(*) FILTER (stage = 'WON') AS won, count(*) FILTER (stage = 'LOST') AS lost FROM deal)")
 add("agg_10_payables_open", "payable", lambda p: boards.payables_open(p, TODAY), f"SELECT count(*) AS n, {euro(f'sum({cents("amount")})')} AS total, {euro(f"sum(CASE WHEN status = 'OVERDUE' OR due_date < DATE '{TODAY}' THEN {cents('amount')} ELSE 0 END)")} AS overdue FROM payable WHERE status IN ('TO_PAY', 'SCHEDULED', 'OVERDUE')")
-add("agg_31_payables_by_party", "payable", boards.payables_by_party, f"SELECT party_id, count(*) AS n, {euro(f"sum(CASE WHEN status IN ('TO_PAY', 'SCHEDULED', 'OVERDUE') THEN {cents('amount')} ELSE 0 END)")} AS open_total, min(due_date) AS first_due FROM payable GROUP BY party_id")
+add("agg_10_payables_by_party", "payable", boards.payables_by_party, f"SELECT party_id, count(*) AS n, {euro(f"sum(CASE WHEN status IN ('TO_PAY', 'SCHEDULED', 'OVERDUE') THEN {cents('amount')} ELSE 0 END)")} AS open_total, min(due_date) AS first_due FROM payable GROUP BY party_id")
 _IN, _OUT = (f"sum(CASE WHEN amount {o} 0 THEN {cents('abs(amount)')} ELSE 0 END)" for o in "><")
 add("agg_11_bank_flow", "bank_transaction", boards.bank_flow, f"SELECT tenant_id, {euro(_IN)} AS money_in, {euro(_OUT)} AS money_out, {euro(f'{_IN} - {_OUT}')} AS net FROM bank_transaction GROUP BY tenant_id")
 add("agg_12_document_counts", "fiscal_document", boards.document_counts, f"SELECT type, {euro(f'sum({cents("total")})')} AS total, count(*) FILTER (status IN ('NOVO', 'EM_REVISAO')) AS to_review, count(*) AS n FROM fiscal_document WHERE status <> 'ARQUIVADO' GROUP BY type")
@@ -167,7 +168,7 @@ add("dat_07_months_later", "fiscal_document", lambda d: d.select("id", dates.mon
 add("dat_08_recurrences", "payable", lambda p: p.select("id", F.explode(dates.recurrences(F.col("due_date"), 3, F.lit(datetime.date(1998, 12, 31)), 6)).alias("due")), None)
 add("dat_10_business_days", "fiscal_document", lambda d: d.select("id", dates.business_days_later(F.col("doc_date"), 2).alias("due")), "SELECT id, CAST(doc_date + CASE isodow(doc_date) WHEN 4 THEN 4 WHEN 5 THEN 4 WHEN 6 THEN 3 ELSE 2 END * INTERVAL 1 DAY AS DATE) AS due FROM fiscal_document")
 add("dat_12_days_until", "payable", lambda p: p.select("id", dates.days_until(F.col("due_date"), F.lit(datetime.date(1997, 1, 1))).alias("days")), "SELECT id, CAST(date_diff('day', DATE '1997-01-01', due_date) AS BIGINT) AS days FROM payable")
-add("mth_13_line_tax", "document_item", lambda i: i.select("document_id", "line", money.vat_from_base(F.col("total"), F.col("tax_rate")).alias("tax"), money.base_from_gross(F.col("total"), F.col("tax_rate")).alias("base")), f"SELECT document_id, line, {round2('total * CAST(tax_rate AS DOUBLE) / 100')} AS tax, {round2('total - ' + round2('total * CAST(tax_rate AS DOUBLE) / (CAST(tax_rate AS DOUBLE) + 100)'))} AS base FROM document_item")
+add("mth_02_line_tax", "document_item", lambda i: i.select("document_id", "line", money.vat_from_base(F.col("total"), F.col("tax_rate")).alias("tax"), money.base_from_gross(F.col("total"), F.col("tax_rate")).alias("base")), f"SELECT document_id, line, {round2('total * CAST(tax_rate AS DOUBLE) / 100')} AS tax, {round2('total - ' + round2('total * CAST(tax_rate AS DOUBLE) / (CAST(tax_rate AS DOUBLE) + 100)'))} AS base FROM document_item")
 add_raw("str_13_chunks", "documents", lambda d: retrieval.chunked(d).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars")), """SELECT doc_id, count(*) AS chunks, CAST(sum(length(c)) AS BIGINT) AS chars FROM
 (SELECT doc_id, unnest(list_transform(range(0, len(w), 64), lambda s: array_to_string(w[s + 1:s + 80], ' '))) AS c FROM (SELECT doc_id, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '') AS w FROM documents)) GROUP BY doc_id""")
 add_raw("str_31_text_types", "documents", lambda d: d.select("doc_id", text.text_type(F.col("text")).alias("type"), text.currency(F.col("text")).alias("currency")), None)
@@ -232,9 +233,6 @@ add("dml_04_pay", "payable", lambda p: states.paid(p, p.where("id % 5 = 0").sele
 add("dml_13_iban_history", "party", lambda p: states.iban_history(p.where("id % 3 <> 0").withColumn("iban", F.when(F.col("id") % 5 == 0, F.lit("PT00")).otherwise(F.lower("iban"))), p), "SELECT id, iban AS new_iban, CASE WHEN id % 3 <> 0 THEN 'PT00' END AS old_iban FROM party WHERE id % 3 = 0 OR id % 5 = 0")
 add("dml_09_repoint", "deal", lambda d: states.repointed(d.select("id", "contact_id"), d.where("contact_id % 10 = 0").select(F.col("contact_id").alias("old_id"), (F.col("contact_id") + 1).alias("new_id")).distinct(), "contact_id"), "SELECT id, CASE WHEN contact_id % 10 = 0 THEN contact_id + 1 ELSE contact_id END AS contact_id FROM deal")
 add("snk_09_upsert", "party", lambda p: states.upserted(p.where("id % 2 = 0").select("id", "name"), p.select("id", F.lit("new").alias("name")), ["id"]), "SELECT id, CASE WHEN id % 2 = 0 THEN name ELSE 'new' END AS name FROM party")
-add("fil_04_documents", "fiscal_document", lambda d: d.where("tenant_id = 1 AND status <> 'ARQUIVADO' AND type = 'RECIBO'").where(F.col("doc_date").between(F.lit(datetime.date(1995, 1, 1)), F.lit(datetime.date(1996, 12, 31)))).select("id", "total"), "SELECT id, total FROM fiscal_document WHERE tenant_id = 1 AND status <> 'ARQUIVADO' AND type = 'RECIBO' AND doc_date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31'")
-add("fil_08_bank", "bank_transaction", lambda t: t.where(F.ilike("description", F.lit("%trf%")) & (F.col("amount") > 0)).select("id", "amount"), "SELECT id, amount FROM bank_transaction WHERE description ILIKE '%trf%' AND amount > 0")
-add("fil_09_payables", "payable", lambda p: p.where(F.col("approved") & F.col("status").isin("TO_PAY", "OVERDUE") & (F.col("due_date") < F.lit(TODAY))).select("id", "amount"), f"SELECT id, amount FROM payable WHERE approved AND status IN ('TO_PAY', 'OVERDUE') AND due_date < DATE '{TODAY}'")
 add("fil_20_rules", "fiscal_document", lambda d: filing.first_rule(_filed(d), _rules(d.sparkSession)).select("id", "rule_id", "folder"), """SELECT id, CAST(CASE WHEN type = 'RECIBO' AND party_id % 5 = 0 THEN 3 WHEN type = 'RECIBO' THEN 2 WHEN party_id % 7 = 0 THEN 1 END AS INTEGER) AS rule_id,
 CASE WHEN type = 'RECIBO' AND party_id % 5 = 0 THEN concat('Vip/', strftime(doc_date, '%Y')) WHEN type = 'RECIBO' THEN concat('Recibos/', strftime(doc_date, '%Y/%m')) WHEN party_id % 7 = 0 THEN 'Sete/_Outro_' ELSE concat('Inbox/', strftime(doc_date, '%Y/%m')) END AS folder FROM fiscal_document""")
 add("dml_10_folders", "fiscal_document", lambda d: filing.folders(filing.first_rule(_filed(d), _rules(d.sparkSession))), None)
@@ -243,8 +241,6 @@ add("prj_02_parties", "party", lambda p: p.select("id", "name", text.masked_iban
 add("str_36_extract", "fiscal_document", lambda d: d.select("id", extraction.fields(F.concat(F.lit("Fornecedor\nNIF: 500 000 000\nFatura "), "doc_number", F.lit("\nData: "), F.date_format("doc_date", "dd/MM/yyyy"), F.lit("\nIVA 23% 12,30\nTotal: EUR "), F.replace(F.format_string("%.2f", "total"), F.lit("."), F.lit(",")))).alias("f")).select("id", "f.nif", "f.number", "f.date", "f.total", "f.tax", "f.type", "f.confidence"),
     "SELECT id, '500000000' AS nif, doc_number AS number, doc_date AS date, CAST(printf('%.2f', total) AS DOUBLE) AS total, CAST(12.3 AS DOUBLE) AS tax, 'FATURA_RECEBIDA' AS type, CAST(0.85 AS DOUBLE) AS confidence FROM fiscal_document")
 add("win_05_previous", "fiscal_document", lambda d: d.select("id", F.lag("id").over(Window.partitionBy("party_id").orderBy("doc_date", "id")).alias("previous_id")), "SELECT id, lag(id) OVER (PARTITION BY party_id ORDER BY doc_date, id) AS previous_id FROM fiscal_document")
-add("win_06_latest", "fiscal_document", lambda d: d.withColumn("r", F.row_number().over(Window.partitionBy("party_id").orderBy(F.desc("doc_date"), F.desc("id")))).where("r <= 3").select("party_id", "r", "id"), "SELECT party_id, CAST(r AS INTEGER) AS r, id FROM (SELECT *, row_number() OVER (PARTITION BY party_id ORDER BY doc_date DESC, id DESC) AS r FROM fiscal_document) WHERE r <= 3")
-add("win_08_same_total", "fiscal_document", lambda d: d.select("id", F.count("*").over(Window.partitionBy("party_id", F.round("total", -4)).orderBy(F.unix_date("doc_date")).rangeBetween(-30, 0)).alias("n")), "SELECT id, count(*) OVER (PARTITION BY party_id, round(total, -4) ORDER BY date_diff('day', DATE '1970-01-01', doc_date) RANGE BETWEEN 30 PRECEDING AND CURRENT ROW) AS n FROM fiscal_document")
 add("join_10_nested_items", "document_item", lambda i: i.groupBy("document_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x.cast("string")), ",").alias("lines")), "SELECT document_id, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS lines FROM document_item GROUP BY document_id")
 
 
