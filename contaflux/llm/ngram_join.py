@@ -12,11 +12,13 @@ first ``n - ceil(t * n) + 1`` of each, in any order that all sets agree on. The
 is rarest first: shingles that are frequent within some chunk of the table come last. A
 block is what shares such a shingle. In each block
   1. every set is compared with one hub of the block; what links becomes one component;
-  2. blocks that still hold several components are cut by size, and into parts of a bounded
-     number of sets and shingles; each pair of parts builds an R-tree, and a set stays only
-     if the bounds leave it a partner in another component;
-  3. the sets that stay are verified pair by pair as the tree gives them, uniting
-     components at once, so that a part gives at most one link less than it has sets.
+  2. of blocks that still hold several components, cut by size, only the sets stay that share
+     enough prefix tokens with any set to be similar to another one there; blocks that overlap
+     become one group, and groups are cut into parts of a bounded number of sets and shingles;
+  3. each pair of parts builds an R-tree, and a set stays only if the bounds leave it a partner
+     in another component;
+  4. the sets that stay are verified pair by pair as a tree gives them, uniting components at
+     once, so that a group gives at most one link less than it has sets.
 A link within a component can't change the result, so no group of copies is ever expanded
 into its pairs, and no link between components is lost.
 """
@@ -31,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contaflux.llm.common import SHINGLE_WORDS, SIMILARITY_PERCENT, Scratch, give_back, pieces, shingle_sets, utf8
@@ -62,6 +64,29 @@ def prefix_length(n: int, percent: int = SIMILARITY_PERCENT) -> int:
     return n - -(-n * percent // 100) + 1 if n else 0
 
 
+def least_common(a, b, greatest, least, half, percent: int = SIMILARITY_PERCENT):
+    """How many tokens the prefixes of two similar sets of sizes a and b have in common at least.
+
+    Of the two prefixes let x's be the one that ends first in the common order. At most
+    |x| - overlap of its tokens are not in y, and those that are lie within y's prefix. The
+    functions tell how to take the larger, the smaller, and the whole part of a quotient.
+    """
+    overlap = half(percent * (a + b) + 99 + percent, 100 + percent)
+    spare = lambda n: n - half(n * percent + 99, 100) + 1 - n  # noqa: E731  the prefix less the set
+    return greatest(least(spare(a), spare(b)) + overlap, 1)
+
+
+def common_least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return least_common(a, b, np.maximum, np.minimum, np.floor_divide)
+
+
+def common_least_sql(a: str, b: str) -> Column:
+    """The same of two columns."""
+    p = SIMILARITY_PERCENT
+    spare = lambda n: f"(1 - (({n} * {p} + 99) div 100))"
+    return F.expr(f"greatest(least({spare(a)}, {spare(b)}) + (({p} * ({a} + {b}) + {99 + p}) div {100 + p}), 1)")
+
+
 def group_count(n: int) -> int:
     """About one group for a shingle, a power of two, so that points of near sizes fold together."""
     return 1 << max(4, min(14, max(int(n), 1).bit_length()))
@@ -248,10 +273,12 @@ def with_hubs(pairs: DataFrame, payload: DataFrame, test: Callable[[bytes, bytes
     """Those of pairs (a, b) whose payloads (node, n, x) pass the test. The pairs of a hub are
     dealt into groups of about STAR; each gets the hub's payload once, so payloads aren't
     carried twice."""
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("groups"))
-    leaves = pairs.join(payload.withColumnRenamed("node", "b"), "b").join(sizes, "a")
+    scratch = Scratch(pairs.sparkSession, "hubs")
+    large = scratch.keep(pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("groups")).where("groups > 1"))
+    side = F.broadcast(large) if large.count() <= MOST_BROADCAST else large  # a row for STAR pairs at most
+    leaves = pairs.join(payload.withColumnRenamed("node", "b"), "b").join(side, "a", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
     leaves = leaves.select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("groups"))).alias("g"), F.lit(1).alias("leaf"), "a", F.col("b").alias("node"), "n", "x")
-    hubs = sizes.join(payload.withColumnRenamed("node", "a"), "a").select("a", "n", "x", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("i"))
+    hubs = pairs.select("a").distinct().join(payload.withColumnRenamed("node", "a"), "a").join(side, "a", "left").withColumn("groups", F.coalesce("groups", F.lit(1))).select("a", "n", "x", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("i"))
     hubs = hubs.select(F.xxhash64("a", F.col("i").cast("long")).alias("g"), F.lit(0).alias("leaf"), "a", F.col("a").alias("node"), "n", "x")
     rows = hubs.unionByName(leaves).repartition("g").sortWithinPartitions("g", "leaf")
 
@@ -352,32 +379,63 @@ def tree_pairs(vectors: list[np.ndarray], sizes: np.ndarray) -> Iterator[tuple[i
         yield i, near[near > i]
 
 
+#: Rows of groups: of a part of its own number, pairs across parts count; of part -1 all do.
+GROUP = "g long, node long, n int, comp long, part int"
+
+
+def parted(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with g and part in place of keys: a set of rows with the same keys is cut into parts of
+    about PART sets or PART_SHINGLES shingles, and every pair of parts, each with itself too, is a
+    group g. rows has c and all, the sets and shingles with these keys."""
+    rows = rows.withColumn("parts", F.ceil(F.greatest(F.col("c") / PART, F.col("all") / PART_SHINGLES)).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    mates = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("p"), F.greatest("part", j).alias("q")))
+    rows = rows.withColumn("x", F.explode(mates)).withColumn("g", F.xxhash64(*keys, "x.p", "x.q"))
+    return rows.withColumn("part", F.when(F.col("x.p") == F.col("x.q"), -1).otherwise(F.col("part"))).drop(*keys, "c", "all", "parts", "x")
+
+
 def open_groups(blocks: DataFrame, labels: DataFrame) -> DataFrame:
-    """(g, node, n, comp, part) of the blocks that hold several components, cut into groups of
-    at most about 2 * PART sets or 2 * PART_SHINGLES shingles. In a group of two parts only
-    pairs across them count; part is -1 where all do.
+    """Groups (g, node, n, s, comp, part) of the blocks (token, node, n, s) that hold several components.
 
     A block is cut into bands of size, each of which also gets the next smaller sets, as only
-    sets of near size link; a long band into parts, of which every pair is a group. Of groups
-    with the same members (told by a sum of hashes) one is enough.
+    sets of near size link. Of bands with the same members (told by a sum of hashes) one is enough.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND))
-    members = blocks.join(labels, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("comp"), F.explode(F.array(band, band + 1)).alias("band"))
+    members = blocks.join(labels, "node", "left").select("token", "node", "n", "s", F.coalesce("comp", "node").alias("comp"), F.explode(F.array(band, band + 1)).alias("band"))
     mark = F.sum(F.shiftright(F.xxhash64("node"), 20))
     several = members.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.sum("n").alias("all"), mark.alias("sign")).where("lo <> hi")
-    several = several.groupBy("sign", "c", "lo", "hi").agg(F.min(F.struct("token", "band", "all")).alias("k"))
-    parts = F.ceil(F.greatest(F.col("c") / PART, F.col("k.all") / PART_SHINGLES)).cast("int")
-    several = several.select("k.token", "k.band", parts.alias("parts"))
-    members = members.join(several, ["token", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    mates = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("p"), F.greatest("part", j).alias("q")))
-    spread = members.select("token", "band", "node", "n", "comp", "part", F.explode(mates).alias("x"))
-    return spread.select(F.xxhash64("token", "band", "x.p", "x.q").alias("g"), "node", "n", "comp", F.when(F.col("x.p") == F.col("x.q"), -1).otherwise(F.col("part")).alias("part"))
+    several = several.groupBy("sign", "c", "lo", "hi").agg(F.min(F.struct("token", "band", "all")).alias("k")).select("k.token", "k.band", "c", "k.all")
+    return parted(members.join(several, ["token", "band"]), "token", "band")
+
+
+def countable(groups: DataFrame) -> DataFrame:
+    """(least, node, n, comp) of the rows of groups that have a partner of another component, of a
+    near size, so that both share as many prefix tokens with any set (s) as similar sets of their
+    sizes would with each other. least is the least node of the group's rows that stay: groups
+    that overlap mostly have the same one, so they become one. Only numbers are moved for this."""
+    rows = groups.select("g", "node", "n", "s", "comp", "part").repartition("g").sortWithinPartitions("g")
+
+    def joined(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, n, s, comp, part = (group.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3, 4, 5))
+        kept = np.zeros(len(n), bool)
+        for i in range(0, len(n) if len(n) > 1 else 0, 256):
+            a, sa = n[i : i + 256, None], s[i : i + 256, None]
+            fits = (comp[i : i + 256, None] != comp) & ((part[i : i + 256, None] != part) | (part < 0)) & (100 * np.minimum(a, n) >= SIMILARITY_PERCENT * np.maximum(a, n))
+            fits &= np.minimum(sa, s) >= common_least(a, n)
+            kept[i : i + 256] |= fits.any(axis=1)
+        if kept.any():
+            least = np.full(int(kept.sum()), node[kept].min())
+            yield pa.RecordBatch.from_arrays([pa.array(least), pa.array(node[kept]), pa.array(n[kept], pa.int32()), pa.array(comp[kept])], names=["least", "node", "n", "comp"])
+
+    rows = by_group(rows, joined, "least long, node long, n int, comp long").distinct()
+    sizes = rows.groupBy("least").agg(F.count("*").alias("c"), F.sum("n").alias("all"))
+    return rows.join(sizes, "least")
 
 
 def candidates(groups: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Those rows of groups (g, node, n, comp, part) that have a partner of another component
-    within the bounds of the R-tree."""
-    rows = groups.join(vectors.select("node", "x"), "node").select("g", "node", "n", "comp", "part", "x")
+    """Those rows of groups that have a partner of another component within the bounds of an
+    R-tree of vectors (node, x)."""
+    rows = groups.join(vectors, "node").select("g", "node", "n", "comp", "part", "x")
     rows = rows.repartition("g").sortWithinPartitions("g")
 
     def joined(group: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -390,13 +448,13 @@ def candidates(groups: DataFrame, vectors: DataFrame) -> DataFrame:
             kept[near] = True
             kept[i] |= len(near) > 0
         if kept.any():
-            yield from group.select(["g", "node", "n", "comp", "part"]).filter(pa.array(kept)).to_batches()
+            yield from group.drop_columns(["x"]).filter(pa.array(kept)).to_batches()
 
-    return by_group(rows, joined, "g long, node long, n int, comp long, part int")
+    return by_group(rows, joined, GROUP)
 
 
 def joining_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) that unite components within each group (g, node, n, comp, part): pairs come
+    """Links (a, b) that unite components within each of the groups: pairs come
     from an R-tree, are verified by their sets, and are not looked at once they are united."""
     one = groups.groupBy("g").agg(F.count("*").alias("c"), F.sum(F.shiftright(F.xxhash64("node", "part"), 20)).alias("sign"))
     one = one.groupBy("sign", "c").agg(F.min("g").alias("g")).select("g")
@@ -444,22 +502,25 @@ def linked(docs: DataFrame) -> DataFrame:
     rare, often = (every.where("vector is not null").select(F.explode(c).alias("token"), "node", "n") for c in ("rare", "often"))
     # Rare shingles have short blocks. Blocks of frequent ones may be long: their rows are told apart by the node too.
     shared = scratch.keep(met(rare).unionByName(often.dropDuplicates(["token", "node"])))
+    # s: how many tokens of its prefix a set shares with any other.
+    blocks = scratch.keep(shared.join(shared.groupBy("node").agg(F.count("*").alias("s")), "node").select("token", "node", "n", "s"))
+    scratch.drop(shared)
     # The hub of a block is the set with the largest share of shared shingles: of near copies
     # the one that the others were made from, which is near to all of them.
-    share = shared.groupBy("node").agg((F.count("*") / F.min("n")).alias("share"))
-    sized = shared.join(share, "node")
-    hubs = sized.groupBy("token").agg(F.max(F.struct("share", "node", "n")).alias("h"), F.count("*").alias("c")).where("c > 1").select("token", F.col("h.node").alias("hub"), F.col("h.n").alias("m"))
-    blocks = scratch.keep(shared.join(hubs, "token").select("token", "node", "n", "hub", "m"))
-    vectors = every.where("vector is not null").select("node", "n", F.col("vector").alias("x")).dropDuplicates(["node"])
-    vectors = scratch.keep(vectors.join(blocks.select("node").distinct(), "node", "left_semi"))
-    scratch.drop(shared, every)
-    near = 100 * F.least("n", "m") >= SIMILARITY_PERCENT * F.greatest("n", "m")
-    stars = scratch.keep(with_hubs(blocks.where((F.col("hub") != F.col("node")) & near).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), vectors, bounded))
+    hubs = blocks.groupBy("token").agg(F.max(F.struct((F.col("s") / F.col("n")).alias("share"), "node", "n", "s")).alias("h"), F.count("*").alias("c")).where("c > 1").select("token", F.col("h.node").alias("hub"), F.col("h.n").alias("m"), F.col("h.s").alias("t"))
+    near = (F.col("hub") != F.col("node")) & (100 * F.least("n", "m") >= SIMILARITY_PERCENT * F.greatest("n", "m")) & (F.least("s", "t") >= common_least_sql("n", "m"))
+    pairs = scratch.keep(blocks.join(hubs, "token").where(near).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    vectors = every.where("vector is not null").join(blocks.select("node").distinct(), "node", "left_semi")
+    vectors = scratch.keep(vectors.select("node", "n", F.col("vector").alias("x")).dropDuplicates(["node"]))
+    scratch.drop(every)
+    stars = scratch.keep(with_hubs(pairs, vectors, bounded))
     asked = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node")))
     links = scratch.keep(with_hubs(stars, sets_of(asked, rows, nodes), verified))
     labels = scratch.keep(components(links, scratch))
-    found = scratch.keep(candidates(open_groups(blocks.select("token", "node", "n"), labels), vectors))
-    scratch.drop(blocks, vectors, stars, links)
+    some = scratch.keep(countable(open_groups(blocks, labels)))
+    scratch.drop(blocks, pairs, stars, links)
+    found = scratch.keep(candidates(parted(some, "least"), vectors.select("node", "x")))
+    scratch.drop(some, vectors)
     more = scratch.keep(joining_links(found, sets_of(found, rows, nodes)))
     # Components, not their sets, are united by the links that came later.
     comp = labels.select("node", "comp")

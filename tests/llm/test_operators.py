@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from contaflux.llm import decontam, fingerprints, html_main, langid, licenses, ngram_join, pii, resharding, unigram, url_filter
+from contaflux.llm import common, components, decontam, fingerprints, html_main, langid, licenses, ngram_join, pii, resharding, unigram, url_filter
 from contaflux.llm.common import shingle_sets, utf8
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -155,6 +155,37 @@ def test_ngram_join_finds_every_link(spark):
     assert ngram_join.linked(documents(spark, []).limit(0)).count() == 0
 
 
+def test_ngram_join_in_small_parts(spark, monkeypatch):
+    """Every size switch the other way: blocks in parts, hubs in groups, nothing broadcast, and a
+    chunk of a few documents, so that most shingles are frequent."""
+    for name, value in (("PART", 3), ("PART_SHINGLES", 200), ("STAR", 2), ("MOST_BROADCAST", 0), ("FREQUENT", 2), ("CHUNK", 40)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(21)
+    common = words_of(rng, 30)
+    texts = near_copies(13) + [(500 + i, f"{common} {words_of(rng, 4 + i % 5)}") for i in range(40)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.linked(documents(spark, texts)).collect()}
+    assert got == brute_components(texts)
+
+
+def test_least_common_tokens_of_prefixes():
+    rng = np.random.default_rng(3)
+    order = np.sort(rng.choice(10**6, 300, replace=False))
+    for _ in range(300):
+        a = rng.choice(order, rng.integers(5, 290), replace=False)
+        b = np.union1d(rng.choice(a, int(len(a) * rng.uniform(0.75, 1)), replace=False), rng.choice(order, rng.integers(0, 30), replace=False))
+        a, b = np.sort(a), np.sort(b)
+        if ngram_join.enough(len(np.intersect1d(a, b)), len(a), len(b)):
+            both = np.intersect1d(a[: ngram_join.prefix_length(len(a))], b[: ngram_join.prefix_length(len(b))])
+            assert len(both) >= ngram_join.common_least(np.array([len(a)]), np.array([len(b)]))[0] >= 1
+
+
+def test_components_say_when_they_are_not_done(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r["comp"] for r in components.components(path, common.Scratch(spark, "t")).collect()} == {0}
+    with pytest.raises(RuntimeError, match="rounds"):
+        components.components(path, common.Scratch(spark, "t"), most_rounds=1)
+
+
 def test_tree_bounds_lose_no_pair():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 400, dtype=np.uint64)
