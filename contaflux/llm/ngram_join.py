@@ -58,6 +58,8 @@ STAR = 500
 #: Sets to verify up to this number are broadcast as ids (16 bytes each), else joined by a shuffle.
 MOST_BROADCAST = 1 << 20
 LEAF = 16
+#: How often groups that share sets are made one, so that a set is moved to fewer of them.
+MERGES = 2
 
 
 def prefix_length(n: int, percent: int = SIMILARITY_PERCENT) -> int:
@@ -168,24 +170,24 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(top["token"].to_numpy(np.int64).view(np.uint64))
 
 
-def points(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """A row for each document: doc_id, th (hash of the text), node (hash of the set), n,
-    and, for one copy a task, rare and often (the shingle hashes of the prefix, apart) and vector."""
-    schema = "doc_id long, th long, node long, n int, rare array<long>, often array<long>, vector binary"
+    and, for one copy a task, rare and often (the shingle hashes of the prefix, apart)."""
+    schema = "doc_id long, th long, node long, n int, rare array<long>, often array<long>"
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = shared.value, set()
         for batch in pieces(batches, "text"):
-            nodes, sizes, rares, oftens, vectors = [], [], [], [], []
+            nodes, sizes, rares, oftens = [], [], [], []
             for shingles in shingle_sets(*utf8(batch.column(2))):
                 n = len(shingles)
                 node = xxhash.xxh3_64_intdigest(shingles.tobytes()) if n else 0
                 nodes.append(node)
                 sizes.append(n)
                 if not n or node in seen:
-                    for column in (rares, oftens, vectors):
-                        column.append(None)
+                    rares.append(None)
+                    oftens.append(None)
                     continue
                 seen.add(node)
                 length = prefix_length(n)
@@ -195,11 +197,10 @@ def points(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 rare = shingles[~told][:length]
                 rares.append(rare.view(np.int64))
                 oftens.append(shingles[told][: length - len(rare)].view(np.int64))
-                vectors.append(raw_of(count_vector(shingles)))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(rares, longs), pa.array(oftens, longs), pa.array(vectors, pa.binary())],
-                names=["doc_id", "th", "node", "n", "rare", "often", "vector"],
+                [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(rares, longs), pa.array(oftens, longs)],
+                names=["doc_id", "th", "node", "n", "rare", "often"],
             )
         seen.clear()
         give_back()
@@ -269,11 +270,11 @@ def links_of(a: list[int], b: list[int], names: tuple[str, str] = ("a", "b")) ->
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=list(names))
 
 
-def with_hubs(pairs: DataFrame, payload: DataFrame, test: Callable[[bytes, bytes, int, int], bool]) -> DataFrame:
+def with_hubs(pairs: DataFrame, payload: DataFrame, test: Callable[[bytes, bytes, int, int], bool], scratch: Scratch) -> DataFrame:
     """Those of pairs (a, b) whose payloads (node, n, x) pass the test. The pairs of a hub are
     dealt into groups of about STAR; each gets the hub's payload once, so payloads aren't
     carried twice."""
-    scratch = Scratch(pairs.sparkSession, "hubs")
+    payload = scratch.keep(payload)  # read twice
     large = scratch.keep(pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("groups")).where("groups > 1"))
     side = F.broadcast(large) if large.count() <= MOST_BROADCAST else large  # a row for STAR pairs at most
     leaves = pairs.join(payload.withColumnRenamed("node", "b"), "b").join(side, "a", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
@@ -290,7 +291,9 @@ def with_hubs(pairs: DataFrame, payload: DataFrame, test: Callable[[bytes, bytes
         if kept:
             yield links_of([a[i] for i in kept], [node[i] for i in kept])
 
-    return by_group(rows, joined, "a long, b long")
+    out = scratch.keep(by_group(rows, joined, "a long, b long"))
+    scratch.drop(payload, large)
+    return out
 
 
 def bounded(x: bytes, y: bytes, nx: int, ny: int) -> bool:
@@ -301,9 +304,10 @@ def verified(x: bytes, y: bytes, nx: int, ny: int) -> bool:
     return similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
 
 
-def sets_of(asked: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, n, x) of the asked (node): x has the sorted shingle hashes, taken anew from the
-    texts. nodes: node, th and least, by which one document of each set is found."""
+def sets_of(asked: DataFrame, docs: DataFrame, nodes: DataFrame, as_points: bool = False) -> DataFrame:
+    """(node, n, x) of the asked (node): x has the sorted shingle hashes, or else the point of the
+    set, taken anew from the texts, which is less than to keep those of all documents. nodes:
+    node, th and least, by which one document of each set is found."""
     texts = nodes.join(asked.select("node").distinct(), "node", "left_semi").select(F.col("th").alias("asked"), F.col("least")).distinct()
     few = texts.count() <= MOST_BROADCAST
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), "text")
@@ -320,7 +324,7 @@ def sets_of(asked: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
                     seen.add(node)
                     found.append(node)
                     sizes.append(len(shingles))
-                    sets.append(raw)
+                    sets.append(raw_of(count_vector(shingles)) if as_points else raw)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary())], names=["node", "n", "x"])
         seen.clear()
         give_back()
@@ -427,9 +431,20 @@ def countable(groups: DataFrame) -> DataFrame:
             least = np.full(int(kept.sum()), node[kept].min())
             yield pa.RecordBatch.from_arrays([pa.array(least), pa.array(node[kept]), pa.array(n[kept], pa.int32()), pa.array(comp[kept])], names=["least", "node", "n", "comp"])
 
-    rows = by_group(rows, joined, "least long, node long, n int, comp long").distinct()
-    sizes = rows.groupBy("least").agg(F.count("*").alias("c"), F.sum("n").alias("all"))
-    return rows.join(sizes, "least")
+    return by_group(rows, joined, "least long, node long, n int, comp long").distinct()
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """Rows (least, node, n, comp) whose groups took the least of the names that their nodes have in
+    any group: groups that share nodes become one, and no two rows of a group come apart."""
+    names = rows.groupBy("node").agg(F.min("least").alias("m"))
+    groups = rows.select("least", "node").join(names, "node").groupBy("least").agg(F.min("m").alias("m"))
+    return rows.join(groups, "least").select(F.col("m").alias("least"), "node", "n", "comp").distinct()
+
+
+def sized(rows: DataFrame) -> DataFrame:
+    """rows with c and all, the sets and shingles of their group."""
+    return rows.join(rows.groupBy("least").agg(F.count("*").alias("c"), F.sum("n").alias("all")), "least")
 
 
 def candidates(groups: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -496,10 +511,10 @@ def linked(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     rows = docs.select("doc_id", "text")
-    every = scratch.keep(points(rows, frequent_shingles(rows)))
+    every = scratch.keep(prefixes(rows, frequent_shingles(rows)))
     nodes = scratch.keep(every.where("n > 0").groupBy("node").agg(F.min(F.struct("th", "doc_id")).alias("o"), F.min("doc_id").alias("first")).select("node", F.col("first"), "o.th", F.col("o.doc_id").alias("least")))
     own = scratch.keep(every.select("doc_id", "node", "n"))
-    rare, often = (every.where("vector is not null").select(F.explode(c).alias("token"), "node", "n") for c in ("rare", "often"))
+    rare, often = (every.where("rare is not null").select(F.explode(c).alias("token"), "node", "n") for c in ("rare", "often"))
     # Rare shingles have short blocks. Blocks of frequent ones may be long: their rows are told apart by the node too.
     shared = scratch.keep(met(rare).unionByName(often.dropDuplicates(["token", "node"])))
     # s: how many tokens of its prefix a set shares with any other.
@@ -510,17 +525,18 @@ def linked(docs: DataFrame) -> DataFrame:
     hubs = blocks.groupBy("token").agg(F.max(F.struct((F.col("s") / F.col("n")).alias("share"), "node", "n", "s")).alias("h"), F.count("*").alias("c")).where("c > 1").select("token", F.col("h.node").alias("hub"), F.col("h.n").alias("m"), F.col("h.s").alias("t"))
     near = (F.col("hub") != F.col("node")) & (100 * F.least("n", "m") >= SIMILARITY_PERCENT * F.greatest("n", "m")) & (F.least("s", "t") >= common_least_sql("n", "m"))
     pairs = scratch.keep(blocks.join(hubs, "token").where(near).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    vectors = every.where("vector is not null").join(blocks.select("node").distinct(), "node", "left_semi")
-    vectors = scratch.keep(vectors.select("node", "n", F.col("vector").alias("x")).dropDuplicates(["node"]))
+    both = lambda p: p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node")))
     scratch.drop(every)
-    stars = scratch.keep(with_hubs(pairs, vectors, bounded))
-    asked = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node")))
-    links = scratch.keep(with_hubs(stars, sets_of(asked, rows, nodes), verified))
+    stars = with_hubs(pairs, sets_of(both(pairs), rows, nodes, as_points=True), bounded, scratch)
+    links = with_hubs(stars, sets_of(both(stars), rows, nodes), verified, scratch)
     labels = scratch.keep(components(links, scratch))
     some = scratch.keep(countable(open_groups(blocks, labels)))
     scratch.drop(blocks, pairs, stars, links)
-    found = scratch.keep(candidates(parted(some, "least"), vectors.select("node", "x")))
-    scratch.drop(some, vectors)
+    for _ in range(MERGES):
+        before, some = some, scratch.keep(merged(some))
+        scratch.drop(before)
+    found = scratch.keep(candidates(parted(sized(some), "least"), sets_of(some, rows, nodes, as_points=True).select("node", "x")))
+    scratch.drop(some)
     more = scratch.keep(joining_links(found, sets_of(found, rows, nodes)))
     # Components, not their sets, are united by the links that came later.
     comp = labels.select("node", "comp")
