@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,6 +84,12 @@ def mapping(values: dict) -> Column:
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
 
+def bound(value: Column, build: Callable[[Column], Column]) -> Column:
+    """build(value) with value computed once: as the element of an array, under a lambda, it isn't
+    written out again wherever build uses it."""
+    return F.element_at(F.transform(F.array(value), build), 1)
+
+
 def nib_valid(s: Column) -> Column:
     """Whether 21 digits are a national account number: divisible by 97."""
     nib = F.regexp_replace(F.coalesce(s, F.lit("")), r"\s", "")
@@ -91,7 +99,10 @@ def nib_valid(s: Column) -> Column:
 def iban_parsed(s: Column) -> Column:
     """A struct of the number's parts and its status: unknown (empty), valid or invalid. A
     Portuguese number whose national part isn't divisible by 97 is invalid."""
-    iban = iban_plain(s)
+    return bound(iban_plain(s), _iban_parts)
+
+
+def _iban_parts(iban: Column) -> Column:
     bban, pt = F.substring(iban, 5, 40), (F.left(iban, F.lit(2)) == "PT") & (F.length(iban) == 25)
     part = lambda at, n: F.when(pt, F.substring(bban, at, n))
     nib_ok = F.when(pt, nib_valid(bban))
@@ -183,26 +194,37 @@ def qr_fields(raw: Column) -> Column:
 
 def qr_parsed(raw: Column) -> Column:
     """The named fields of a payload with an issuer, a unique number or an ATCUD; else null."""
-    fields = qr_fields(raw)
-    value = lambda k: F.nullif(F.element_at(fields, k), F.lit(""))
-    number = lambda k: F.replace(value(k), F.lit(","), F.lit(".")).try_cast("double")
+    return bound(qr_fields(raw), _parsed)
+
+
+def _value(fields: Column, code: str) -> Column:
+    return F.nullif(F.try_element_at(fields, F.lit(code)), F.lit(""))
+
+
+def _number(fields: Column, code: str) -> Column:
+    return F.replace(_value(fields, code), F.lit(","), F.lit(".")).try_cast("double")
+
+
+def _parsed(fields: Column) -> Column:
+    value, number = lambda k: _value(fields, k), lambda k: _number(fields, k)
     buyer = F.when(~final_consumer(value("B")), value("B"))
-    parts = F.flatten(F.transform(qr_breakdown(raw), lambda b: F.array(b["tax_reduced"], b["tax_intermediate"], b["tax_normal"])))
-    taxes = F.aggregate(parts, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    taxes = sum((F.coalesce(number(f"{p}{i}"), F.lit(0.0)) for p in "IJK" for i in (4, 6, 8)), F.lit(0.0))
     parsed = F.struct(
         value("A").alias("issuer_nif"), buyer.alias("buyer_nif"), value("C").alias("buyer_country"), value("D").alias("document_type"),
         qr_date(value("F")).alias("document_date"), value("G").alias("unique_doc_id"), value("H").alias("atcud"), F.coalesce(number("N"), F.when(taxes != 0, taxes)).alias("total_tax"), number("O").alias("total"),
     )
-    return F.when(value("A").isNotNull() | value("O").isNotNull() | value("H").isNotNull(), parsed)
+    return F.when(F.coalesce(value("A"), value("O"), value("H")).isNotNull(), parsed)
 
 
 def qr_breakdown(raw: Column) -> Column:
     """An array with the VAT bases and taxes of each region that a payload has."""
-    fields = qr_fields(raw)
-    number = lambda k: F.replace(F.element_at(fields, k), F.lit(","), F.lit(".")).try_cast("double")
+    return bound(qr_fields(raw), _regions)
+
+
+def _regions(fields: Column) -> Column:
     names = ["base_exempt", "base_reduced", "tax_reduced", "base_intermediate", "tax_intermediate", "base_normal", "tax_normal"]
-    there = lambda p: F.coalesce(F.element_at(fields, f"{p}1"), F.element_at(fields, f"{p}7"), F.element_at(fields, f"{p}2")).isNotNull()
-    regions = [F.when(there(p), F.struct(F.element_at(fields, f"{p}1").alias("region"), *(number(f"{p}{i + 2}").alias(n) for i, n in enumerate(names)))) for p in "IJK"]
+    there = lambda p: F.coalesce(*(_value(fields, f"{p}{i}") for i in (1, 7, 2))).isNotNull()
+    regions = [F.when(there(p), F.struct(_value(fields, f"{p}1").alias("region"), *(_number(fields, f"{p}{i + 2}").alias(n) for i, n in enumerate(names)))) for p in "IJK"]
     return F.filter(F.array(*regions), lambda r: r.isNotNull())
 
 
@@ -239,10 +261,12 @@ def flat_breakdown(blocks: Column) -> Column:
 
 def qr_checked(raw: Column) -> Column:
     """A struct of errors and warnings (arrays of codes) of a payload, null where it is none."""
-    fields, parsed = qr_fields(raw), qr_parsed(raw)
-    value = lambda k: F.nullif(F.try_element_at(fields, F.lit(k)), F.lit(""))
-    number = lambda k: F.coalesce(F.replace(value(k), F.lit(","), F.lit(".")).try_cast("double"), F.lit(0.0))
-    lines = F.flatten(F.transform(qr_breakdown(raw), region_lines))
+    return bound(qr_fields(raw), lambda fields: bound(F.struct(_parsed(fields).alias("p"), F.flatten(F.transform(_regions(fields), region_lines)).alias("lines")), lambda x: _checked(fields, x["p"], x["lines"])))
+
+
+def _checked(fields: Column, parsed: Column, lines: Column) -> Column:
+    value = lambda k: _value(fields, k)
+    number = lambda k: F.coalesce(_number(fields, k), F.lit(0.0))
     total = lambda c: F.aggregate(lines, F.lit(0.0), lambda a, x: a + x[c])
     off = F.exists(lines, lambda x: F.abs(x["tax"] - F.floor(x["base"] * x["rate"] + 0.5) / 100) > 0.02 + 1e-9)
     gross = total("base") + total("tax") + number("M") + number("L") - number("P")
@@ -262,12 +286,11 @@ def qr_checked(raw: Column) -> Column:
 def qr_document(raw: Column) -> Column:
     """The fields of a document that a payload tells: its type (received invoice if the code is
     unknown), number (else the ATCUD), date, issuer, buyer, total, tax and net."""
-    parsed = qr_parsed(raw)
-    return F.when(parsed.isNotNull(), F.struct(
+    return bound(qr_parsed(raw), lambda parsed: F.when(parsed.isNotNull(), F.struct(
         F.coalesce(qr_type(parsed["document_type"]), F.lit("FATURA_RECEBIDA")).alias("type"), F.coalesce(parsed["unique_doc_id"], parsed["atcud"]).alias("number"), parsed["document_date"].alias("date"),
         parsed["issuer_nif"].alias("supplier_nif"), parsed["buyer_nif"].alias("customer_nif"), parsed["total"].alias("total"), parsed["total_tax"].alias("tax"),
         F.greatest(parsed["total"] - F.coalesce(parsed["total_tax"], F.lit(0.0)), F.lit(0.0)).alias("net"), F.lit(0.95).alias("confidence"),
-    ))
+    )))
 
 
 #: Document types by a payload's code as forms show them; others are received invoices. Fixed values.
@@ -276,6 +299,9 @@ FORM_TYPES = {"FT": "fatura_recebida", "FR": "fatura_recebida", "FS": "fatura_re
 
 def qr_form(raw: Column) -> Column:
     """What a form is filled with from a payload: type, number (else the ATCUD), date, issuer, total and tax."""
-    parsed = qr_parsed(raw)
-    kind = F.coalesce(F.try_element_at(mapping(FORM_TYPES), F.upper(parsed["document_type"])), F.lit("fatura_recebida"))
-    return F.when(parsed.isNotNull(), F.struct(kind.alias("type"), F.coalesce(parsed["unique_doc_id"], parsed["atcud"]).alias("number"), parsed["document_date"].alias("date"), parsed["issuer_nif"].alias("nif"), parsed["total"].alias("total"), parsed["total_tax"].alias("tax")))
+
+    def form(parsed: Column) -> Column:
+        kind = F.coalesce(F.try_element_at(mapping(FORM_TYPES), F.upper(parsed["document_type"])), F.lit("fatura_recebida"))
+        return F.when(parsed.isNotNull(), F.struct(kind.alias("type"), F.coalesce(parsed["unique_doc_id"], parsed["atcud"]).alias("number"), parsed["document_date"].alias("date"), parsed["issuer_nif"].alias("nif"), parsed["total"].alias("total"), parsed["total_tax"].alias("tax")))
+
+    return bound(qr_parsed(raw), form)

@@ -156,7 +156,7 @@ def money_trio(total: Column, tax: Column, net: Column, breakdown: Column | None
     none = F.lit(None).cast("double")
     out = F.struct(
         two(F.coalesce(total, tax + net)).alias("total"),
-        two(F.coalesce(tax, F.greatest(total - net, F.lit(0.0)))).alias("tax"),
+        two(F.coalesce(tax, F.when((total - net).isNotNull(), F.greatest(total - net, F.lit(0.0))))).alias("tax"),
         two(F.when(total.isNotNull() & tax.isNotNull(), F.greatest(total - tax, F.lit(0.0))).otherwise(net)).alias("net"),
         hint.alias("hint"),
     )

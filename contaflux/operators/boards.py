@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contaflux.functions.money import EMPLOYEE_SHARE, EMPLOYER_SHARE, cents, withholding_rate
+from contaflux.functions.money import ANOMALY_WEIGHTS, EMPLOYEE_SHARE, EMPLOYER_SHARE, cents, risk_action, risk_level, withholding_rate
 
 #: Stages in order, with their default probability in percent. Fixed values.
 STAGES = [("LEAD", 20), ("QUALIFIED", 40), ("PROPOSAL", 60), ("NEGOTIATION", 80), ("WON", 100), ("LOST", 0)]
@@ -105,3 +105,57 @@ def outliers(documents: DataFrame, sigmas: float = 3.0) -> DataFrame:
 def pages(rows: DataFrame, order: list, page: int, limit: int) -> DataFrame:
     """One page of an ordered list; order should end in a unique column."""
     return rows.orderBy(*order).offset((page - 1) * limit).limit(limit)
+
+
+def probability(stage: Column, override: Column, stages_json: Column) -> Column:
+    """A deal's probability: what was set, within 0 to 100, else the pipeline's stage (a JSON array of
+    key and defaultProbability), else the canonical stage's; null for an unknown stage."""
+    listed = F.from_json(stages_json, "array<struct<key:string,defaultProbability:int>>")
+    own = F.get(F.filter(listed, lambda s: s["key"] == stage), F.lit(0))["defaultProbability"]
+    table = F.create_map(*(F.lit(x) for pair in STAGES for x in pair))
+    return F.coalesce(F.when(override.isNotNull(), F.least(F.greatest(override, F.lit(0)), F.lit(100))), own, F.try_element_at(table, stage))
+
+
+def stage_list(stages_json: Column) -> Column:
+    """A pipeline's stages as structs: keys in capitals, labels (else the key), probabilities (else the
+    canonical stage's, else 0), in their order, and the canonical stages that are missing after them."""
+    listed = F.from_json(stages_json, "array<struct<key:string,label:string,defaultProbability:int>>")
+    table = F.create_map(*(F.lit(x) for pair in STAGES for x in pair))
+    made = F.transform(F.filter(F.coalesce(listed, F.array().cast("array<struct<key:string,label:string,defaultProbability:int>>")), lambda s: F.coalesce(s["key"], F.lit("")) != ""), lambda s: F.struct(F.upper(s["key"]).alias("key"), F.coalesce(s["label"], s["key"]).alias("label"), F.coalesce(s["defaultProbability"], F.try_element_at(table, F.upper(s["key"])), F.lit(0)).alias("probability")))
+    missing = F.transform(F.array_except(F.array(*(F.lit(s) for s, _ in STAGES)), F.transform(made, lambda s: s["key"])), lambda k: F.struct(k.alias("key"), k.alias("label"), F.element_at(table, k).alias("probability")))
+    return F.concat(made, missing)
+
+
+def expense_total(expenses: DataFrame, year: int) -> DataFrame:
+    """The sum of a year's expenses that were not rejected."""
+    return expenses.where((F.col("status") != "REJECTED") & (F.year("date") == year)).agg((F.coalesce(F.sum(cents(F.col("amount"))), F.lit(0)) / F.lit(100.0)).alias("total"))
+
+
+def supplier_outliers(documents: DataFrame, sigmas: float = 3.0) -> DataFrame:
+    """Documents whose total is over the mean of the party's earlier ones by more than so many
+    population deviations; it needs three earlier ones that differ."""
+    before = Window.partitionBy("party_id").orderBy("doc_date", "id").rowsBetween(Window.unboundedPreceding, -1)
+    c = cents(F.col("total")).cast("decimal(18,0)")
+    rows = documents.withColumns({"n": F.count("*").over(before), "s": F.sum(c).over(before), "q": F.sum((c * c).cast("decimal(38,0)")).over(before)})
+    n, s, q = F.col("n"), F.col("s").cast("double"), F.col("q").cast("double")
+    spread = F.sqrt(F.greatest(q / n - (s / n) * (s / n), F.lit(0.0)))
+    return rows.where((F.col("n") >= 3) & (spread > 0) & (cents(F.col("total")) - s / n > sigmas * spread)).select("id", "party_id", "total")
+
+
+def same_total(documents: DataFrame, seconds: int = 86_400) -> DataFrame:
+    """documents (id, party_id, total, at: a timestamp) with n: how many of the party have the same
+    total within the seconds up to then, itself included."""
+    order = Window.partitionBy("party_id", cents(F.col("total"))).orderBy(F.unix_seconds(F.col("at").cast("timestamp"))).rangeBetween(-seconds, 0)
+    return documents.withColumn("n", F.count("*").over(order))
+
+
+def anomalies(signals: DataFrame) -> DataFrame:
+    """(id, score, level, action, clean) of documents (id, signals: an array of names): a signal counts once."""
+    weights = F.create_map(*(F.lit(x) for pair in ANOMALY_WEIGHTS.items() for x in pair))
+    score = F.aggregate(F.array_distinct("signals"), F.lit(0), lambda a, s: a + F.coalesce(F.try_element_at(weights, s), F.lit(0)))
+    level = risk_level(score)
+    return signals.select("id", score.alias("score"), level.alias("level"), risk_action(level).alias("action"), (F.size("signals") == 0).alias("clean"))
+
+
+def anomaly_summary(found: DataFrame) -> DataFrame:
+    return found.agg(F.count("*").alias("scanned"), F.count_if("clean").alias("clean"), F.count_if(~F.col("clean")).alias("flagged"))

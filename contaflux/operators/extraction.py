@@ -8,9 +8,10 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from contaflux.functions.dates import bank_date
-from contaflux.functions.fiscal import iban_valid, nif_valid, qr_field, qr_parsed, tenant_nif
+from contaflux.functions.fiscal import bound, iban_valid, nif_valid, qr_field, qr_parsed, tenant_nif
 from contaflux.functions.money import VAT_TOLERANCE, cents, invoice_amount, model_number, money_trio, tax_fits, vat_class
 from contaflux.functions.text import currency, text_type
 
@@ -34,7 +35,10 @@ def qr_line(text: Column) -> Column:
 def fields(text: Column) -> Column:
     """A struct of what the text holds; a QR payload wins over what is printed. confidence:
     .2 and .15 for each field found, .85 at most, .95 with a payload."""
-    qr = qr_parsed(qr_line(text))
+    return bound(qr_parsed(qr_line(text)), lambda qr: _fields(text, qr))
+
+
+def _fields(text: Column, qr: Column) -> Column:
     nif = F.coalesce(qr["issuer_nif"], F.regexp_replace(some(text, _LABELLED_NIF), r"\s", ""))
     naked = F.get(F.filter(F.regexp_extract_all(text, F.lit(r"\b(\d{9})\b"), F.lit(1)), nif_valid), F.lit(0))
     iban = F.get(F.filter(F.regexp_extract_all(text, F.lit(_IBAN), F.lit(1)), iban_valid), F.lit(0))
@@ -149,7 +153,10 @@ def reading(answer: Column, most_items: int = 50, most_notes: int = 5) -> Column
     numbers parsed, rows without any value left out, at most so many items and notes,
     confidence within 0 to 1 and a discount rate within 0 to 100 (else null). Unreadable
     JSON gives a struct of nulls."""
-    r = F.from_json(first_object(answer), READING)
+    return bound(F.from_json(first_object(answer), READING), lambda r: _typed(r, most_items, most_notes))
+
+
+def _typed(r: Column, most_items: int, most_notes: int) -> Column:
     text = lambda c: F.nullif(F.trim(r[c]), F.lit(""))
     taxes = F.filter(F.transform(r["ivaBreakdown"], lambda x: F.struct(*(model_number(x[c]).alias(c) for c in ("rate", "base", "tax")))), lambda x: x["rate"].isNotNull() & x["base"].isNotNull() & x["tax"].isNotNull())
     numbers = ["quantity", "unitPrice", "vatRate", "discount", "lineTotal"]
@@ -160,39 +167,41 @@ def reading(answer: Column, most_items: int = 50, most_notes: int = 5) -> Column
     return F.struct(
         *(text(c).alias(c) for c in ("supplier", "customer", "supplierNif", "customerNif", "docNumber", "docDate", "currency", "iban", "documentType")),
         *(model_number(r[c]).alias(c) for c in ("netAmount", "taxAmount", "total")),
-        F.least(F.greatest(r["confidence"], F.lit(0.0)), F.lit(1.0)).alias("confidence"), F.slice(r["notes"], 1, most_notes).alias("notes"), F.left(text("suggestedCategory"), F.lit(200)).alias("suggestedCategory"),
+        F.when(r["confidence"].isNotNull(), F.least(F.greatest(r["confidence"], F.lit(0.0)), F.lit(1.0))).alias("confidence"), F.slice(r["notes"], 1, most_notes).alias("notes"), F.left(text("suggestedCategory"), F.lit(200)).alias("suggestedCategory"),
         F.when(rate.between(0, 100), rate).alias("cashDiscountRate"), F.when(off >= 0, off).alias("discountAmount"), some(taxes).alias("ivaBreakdown"), some(items).alias("lineItems"),
     )
 
 
-def _first_object(text: str | None) -> str | None:
-    """The first balanced JSON object of a text, braces inside strings aside; None without one."""
-    if not text:
+def first_object(texts: Column) -> Column:
+    """The first balanced JSON object of each text, braces inside strings and what is between
+    <think> tags aside; null without one. Counting braces is no regular expression."""
+
+    def first(text: str | None) -> str | None:
+        if not text:
+            return None
+        text = re.sub(r"<think>.*?</think>", "", text, flags=re.S)
+        start = text.find("{")
+        depth, quoted, skip = 0, False, False
+        for i in range(start, len(text)) if start >= 0 else ():
+            c = text[i]
+            if skip:
+                skip = False
+            elif quoted:
+                skip, quoted = c == "\\", c != '"'
+            elif c == '"':
+                quoted = True
+            elif c == "{":
+                depth += 1
+            elif c == "}":
+                depth -= 1
+                if not depth:
+                    return text[start : i + 1]
         return None
-    text = re.sub(r"<think>.*?</think>", "", text, flags=re.S)
-    start = text.find("{")
-    depth, quoted, skip = 0, False, False
-    for i in range(start, len(text)) if start >= 0 else ():
-        c = text[i]
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = c == "\\", c != '"'
-        elif c == '"':
-            quoted = True
-        elif c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if not depth:
-                return text[start : i + 1]
-    return None
-
-
-@F.pandas_udf("string")
-def first_object(texts: pd.Series) -> pd.Series:
-    """The first balanced JSON object of each text; counting braces is no regular expression."""
-    return texts.map(_first_object)
+
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(first)
+
+    return F.pandas_udf(run, StringType())(texts)
 
 
 FIELDS = ["supplier", "customer", "supplier_nif", "customer_nif", "number", "date", "iban", "currency"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contaflux.functions.text import chunks
@@ -52,8 +52,62 @@ def context(results: DataFrame, most_tokens: int) -> DataFrame:
     return once.withColumn("used", running).where(F.col("used") <= 4 * most_tokens)
 
 
-def money_stats(texts: DataFrame) -> DataFrame:
-    """How many amounts like 1.234,56 the texts of each document hold, their sum, least and largest."""
-    found = texts.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(\d{1,3}(?:\.\d{3})*,\d{2})"), F.lit(1))).alias("a"))
+def money_stats(texts: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """Of the amounts in each text (1.234,56 or 1234,56, with or without a currency after it): how
+    many, their sum, least, largest and upper median. A text without any has no row."""
+    found = texts.select(id_column, F.explode(F.regexp_extract_all("text", F.lit(r"(?<![\d.,])(\d{1,3}(?:\.\d{3})+,\d{2}|\d+,\d{2})(?!\d)"), F.lit(1))).alias("a"))
     c = F.replace(F.replace("a", F.lit("."), F.lit("")), F.lit(","), F.lit("")).cast("long")
-    return found.groupBy("doc_id").agg(F.count("*").alias("n"), (F.sum(c) / F.lit(100.0)).alias("total"), (F.min(c) / F.lit(100.0)).alias("least"), (F.max(c) / F.lit(100.0)).alias("most"))
+    counts = found.select(id_column, c.alias("c")).groupBy(id_column, "c").agg(F.count("*").alias("k"))
+    order = Window.partitionBy(id_column).orderBy("c")
+    rows = counts.withColumns({"upto": F.sum("k").over(order.rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("k").over(Window.partitionBy(id_column))})
+    euro = lambda x: x / F.lit(100.0)
+    return rows.groupBy(id_column).agg(
+        F.first("n").alias("n"), euro(F.sum(F.col("c") * F.col("k"))).alias("total"), euro(F.min("c")).alias("least"), euro(F.max("c")).alias("most"), euro(F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("c")))).alias("median")
+    )
+
+
+def search_vector(*columns: Column) -> Column:
+    """The words of a row for full-text search: lower case, distinct, in order."""
+    words = F.split(F.lower(F.concat_ws(" ", *columns)), r"[^\p{L}\p{N}]+")
+    return F.array_distinct(F.filter(words, lambda w: w != ""))
+
+
+def web_query(query: str) -> list[list[list[str]]]:
+    """A search as people type it, as alternatives of terms: words must all be there, "or" separates
+    alternatives, quotes keep words together (all of them must be there), a dash before a word
+    excludes it. Each term is a list of words, of which an excluded one begins with a dash."""
+    import re
+
+    out: list[list[list[str]]] = [[]]
+    for dash, quoted, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query.lower()):
+        if word == "or" and not dash:
+            out.append([])
+            continue
+        words = [w for w in re.split(r"[^\w]+", quoted or word) if w]
+        if words:
+            out[-1].append([f"-{w}" for w in words] if dash else words)
+    return [a for a in out if a]
+
+
+def full_text(rows: DataFrame, query: str, vector: str, columns: list[str]) -> DataFrame:
+    """rows that the query finds in their search vector, or that hold it as it is in one of the
+    columns (any case), with rank: the share of the query's words that the vector has."""
+    alternatives = web_query(query)
+    has = lambda w: ~F.array_contains(vector, w[1:]) if w.startswith("-") else F.array_contains(vector, w)
+    every = [reduce(lambda a, b: a & b, (has(w) for term in a for w in term)) for a in alternatives]
+    found = reduce(lambda a, b: a | b, every) if every else F.lit(False)
+    literal = reduce(lambda a, b: a | b, (F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(query.lower())) for c in columns))
+    words = sorted({w for a in alternatives for term in a for w in term if not w.startswith("-")})
+    hits = F.size(F.array_intersect(vector, F.array(*map(F.lit, words)))) if words else F.lit(0)
+    return rows.where(found | literal).withColumn("rank", F.round(hits / F.lit(float(max(1, len(words)))), 6))
+
+
+def ranked(*lists: DataFrame) -> DataFrame:
+    """One list of several (each with key and rank), a later one after an earlier one; ranks run on
+    from 0. The lists are those that searches return, so they are short."""
+    rows = reduce(DataFrame.unionByName, (r.select("key", "rank", F.lit(i).alias("list")) for i, r in enumerate(lists)))
+    return rows.withColumn("rank", (F.row_number().over(Window.orderBy("list", "rank", "key")) - 1).cast("long")).drop("list")
+
+
+def fused_top(k: int, *lists: DataFrame) -> DataFrame:
+    return fused(*lists).orderBy(F.desc("score"), "key").limit(k)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from contaflux.functions import dates, fiscal, money, text, vectors
 from contaflux.operators import audit, boards, extraction, filing, parties, reconcile, retrieval, states, tax
-from contaflux.plans import lists as list_queries  # noqa: F401  registers its queries
+from contaflux.plans import fields as field_queries  # noqa: F401  registers its queries
+from contaflux.plans import flows as flow_queries  # noqa: F401
+from contaflux.plans import lists as list_queries  # noqa: F401
 from contaflux.plans.base import ORACLES, QUERIES, TODAY, YEAR, add, add_raw, cents, euro, round2
 from contaflux.plans.domain import with_views
 from contaflux.sources import sepa
@@ -143,9 +145,10 @@ def _blacklist(p: DataFrame) -> DataFrame:
 
 
 _IBAN_OK = "(CAST(concat(substr(iban, 5), '2529', substr(iban, 3, 2)) AS HUGEINT) % 97 = 1)"
-_RISK = f"""SELECT id, CAST(least(greatest((CASE WHEN id % 23 = 0 THEN 60 ELSE 0 END) + (CASE WHEN {_IBAN_OK} THEN 0 ELSE 30 END) + greatest(coalesce(changes, 0) - 3, 0) * 5, 0), 100) AS INTEGER) AS risk
-FROM party LEFT JOIN (SELECT party_id, count(*) AS changes FROM fiscal_document GROUP BY party_id) h ON h.party_id = party.id"""
-add("mth_16_iban_risk", "party fiscal_document", lambda p, d: parties.iban_risk(p, _blacklist(p), d.select("party_id")), f"SELECT id, risk, CASE WHEN risk > 70 THEN 'block' WHEN risk > 30 THEN 'review' ELSE 'allow' END AS advice FROM ({_RISK})")
+_RISK = """SELECT id, CAST(CASE WHEN iban IS NULL THEN 0 ELSE least(greatest((CASE WHEN iban IN (SELECT iban FROM creditor WHERE id % 23 = 0 AND iban IS NOT NULL) THEN 60 ELSE 0 END) + (CASE WHEN id % 11 = 0 THEN 30 ELSE 0 END) + greatest(coalesce(changes, 0) - 3, 0) * 5 + (CASE WHEN iban LIKE 'PT%' THEN 0 ELSE 10 END) - (CASE WHEN verified THEN 40 ELSE 0 END), 0), 100) END AS INTEGER) AS risk
+FROM creditor LEFT JOIN (SELECT party_id, count(*) AS changes FROM iban_change WHERE old_iban IS NOT NULL AND created_at >= DATE '1997-01-01' - INTERVAL 90 DAY GROUP BY party_id) h ON h.party_id = creditor.id"""
+add("mth_16_iban_risk", "creditor iban_change", lambda p, h: parties.iban_risk(p, _blacklist(p), parties.recent_changes(h, TODAY)), f"SELECT id, risk, CASE WHEN risk > 70 THEN 'block' WHEN risk > 30 THEN 'review' ELSE 'allow' END AS advice FROM ({_RISK})")
+add("agg_25_recent_changes", "iban_change", lambda h: parties.recent_changes(h, TODAY), f"SELECT party_id, count(*) AS changes FROM iban_change WHERE old_iban IS NOT NULL AND created_at >= DATE '{TODAY}' - INTERVAL 90 DAY GROUP BY party_id")
 _RUN = """SELECT y.id, y.party_id, y.amount, CASE WHEN p.iban IS NULL THEN 'missing' WHEN p.flagged THEN 'flagged' WHEN p.id % 23 = 0 THEN 'blacklisted' END AS skipped
 FROM payable y LEFT JOIN party p ON p.id = y.party_id WHERE y.approved AND y.status IN ('TO_PAY', 'SCHEDULED')"""
 add("join_14_payment_run", "payable party", lambda y, p: parties.payment_run(y, p, _blacklist(p)), _RUN)
@@ -165,16 +168,14 @@ add("str_01_reference_key", "bank_transaction", lambda t: t.select("id", text.re
 add("jsn_02_row_hash", "bank_transaction", lambda t: t.select("id", vectors.row_hash(F.col("date").cast("timestamp"), F.col("amount"), F.col("description"), F.col("reference")).alias("hash")), "SELECT id, sha256(concat(strftime(date, '%Y-%m-%dT00:00:00.000Z'), '|', printf('%.2f', amount), '|', trim(description), '|', coalesce(trim(reference), ''))) AS hash FROM bank_transaction")
 add("dat_06_month_totals", "fiscal_document", lambda d: d.groupBy(dates.month_key(F.col("doc_date")).alias("month")).agg(F.count("*").alias("n"), (F.sum(money.cents(F.col("total"))) / F.lit(100.0)).alias("total")), f"SELECT strftime(doc_date, '%Y-%m') AS month, count(*) AS n, {euro(f'sum({cents("total")})')} AS total FROM fiscal_document GROUP BY 1")
 add("dat_07_months_later", "fiscal_document", lambda d: d.select("id", dates.months_later(F.col("doc_date"), 1).alias("next")), "SELECT id, CAST(date_trunc('month', doc_date) + INTERVAL 1 MONTH + (day(doc_date) - 1) * INTERVAL 1 DAY AS DATE) AS next FROM fiscal_document")
-add("dat_08_recurrences", "payable", lambda p: p.select("id", F.explode(dates.recurrences(F.col("due_date"), 3, F.lit(datetime.date(1998, 12, 31)), 6)).alias("due")), None)
+add("dat_08_recurrences", "payable", lambda p: p.select("id", F.explode(dates.recurrences(F.col("due_date"), 3, F.lit(datetime.date(1998, 12, 31)), 6)).alias("due")), """SELECT id, due FROM (WITH RECURSIVE steps AS (SELECT id, due_date AS due, 1 AS k FROM payable UNION ALL SELECT id, CAST(date_trunc('month', due) + INTERVAL 3 MONTH + (day(due) - 1) * INTERVAL 1 DAY AS DATE), k + 1 FROM steps WHERE k < 6) SELECT id, due FROM steps WHERE due <= DATE '1998-12-31')""")
 add("dat_10_business_days", "fiscal_document", lambda d: d.select("id", dates.business_days_later(F.col("doc_date"), 2).alias("due")), "SELECT id, CAST(doc_date + CASE isodow(doc_date) WHEN 4 THEN 4 WHEN 5 THEN 4 WHEN 6 THEN 3 ELSE 2 END * INTERVAL 1 DAY AS DATE) AS due FROM fiscal_document")
 add("dat_12_days_until", "payable", lambda p: p.select("id", dates.days_until(F.col("due_date"), F.lit(datetime.date(1997, 1, 1))).alias("days")), "SELECT id, CAST(date_diff('day', DATE '1997-01-01', due_date) AS BIGINT) AS days FROM payable")
 add("mth_02_line_tax", "document_item", lambda i: i.select("document_id", "line", money.vat_from_base(F.col("total"), F.col("tax_rate")).alias("tax"), money.base_from_gross(F.col("total"), F.col("tax_rate")).alias("base")), f"SELECT document_id, line, {round2('total * CAST(tax_rate AS DOUBLE) / 100')} AS tax, {round2('total - ' + round2('total * CAST(tax_rate AS DOUBLE) / (CAST(tax_rate AS DOUBLE) + 100)'))} AS base FROM document_item")
 add_raw("str_13_chunks", "documents", lambda d: retrieval.chunked(d).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars")), """SELECT doc_id, count(*) AS chunks, CAST(sum(length(c)) AS BIGINT) AS chars FROM
 (SELECT doc_id, unnest(list_transform(range(0, len(w), 64), lambda s: array_to_string(w[s + 1:s + 80], ' '))) AS c FROM (SELECT doc_id, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '') AS w FROM documents)) GROUP BY doc_id""")
-add_raw("str_31_text_types", "documents", lambda d: d.select("doc_id", text.text_type(F.col("text")).alias("type"), text.currency(F.col("text")).alias("currency")), None)
 add_raw("fil_07_keyword_search", "documents", lambda d: retrieval.keyword_search(d, ["licensed", "version"], ["text", "source"]).select("doc_id"), "SELECT doc_id FROM documents WHERE (contains(lower(text), 'licensed') OR contains(lower(source), 'licensed')) AND (contains(lower(text), 'version') OR contains(lower(source), 'version'))")
 add_raw("jsn_01_text_hash", "documents", lambda d: d.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash")), "SELECT doc_id, sha256(coalesce(text, '')) AS hash FROM documents")
-add_raw("agg_28_money_stats", "documents", retrieval.money_stats, None)
 add_raw("agg_30_term_vectors", "conversations", lambda c: retrieval.term_vectors(c, ["conv_id", "turn"]).withColumn("weight", F.round("weight", 6)), """SELECT conv_id, turn, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY conv_id, turn)), 6) AS weight FROM
 (SELECT conv_id, turn, CAST(('0x' || substr(sha1(w), 3, 2)) AS INTEGER) AS bucket, count(*) AS n FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS w FROM conversations) WHERE w <> '' GROUP BY 1, 2, 3)""")
 _QUERY = [1.0 if i % 3 == 0 else -0.5 for i in range(64)]
@@ -212,8 +213,8 @@ def _transfers(y: DataFrame, p: DataFrame) -> DataFrame:
     return sepa.transfers(y.where("approved AND status = 'TO_PAY'").join(who, "party_id").select("id", "amount", "name", "iban", F.lit("Fatura & recibo").alias("remittance")))
 
 
-add("snk_03_sepa_fragments", "payable party", lambda y, p: _transfers(y, p).select("id", "valid", "xml"), f"""SELECT y.id, {_IBAN_OK} AND amount > 0 AS valid, concat('<CdtTrfTxInf><PmtId><EndToEndId>', y.id, '</EndToEndId></PmtId><Amt><InstdAmt Ccy="EUR">', printf('%.2f', amount), '</InstdAmt></Amt><Cdtr><Nm>', name, '</Nm></Cdtr><CdtrAcct><Id><IBAN>', iban,
-'</IBAN></Id></CdtrAcct><RmtInf><Ustrd>Fatura &amp; recibo</Ustrd></RmtInf></CdtTrfTxInf>') AS xml FROM payable y JOIN party p ON p.id = y.party_id WHERE approved AND status = 'TO_PAY'""")
+add("snk_03_sepa_fragments", "payable party", lambda y, p: _transfers(y, p).select("id", "valid", "xml"), f"""SELECT y.id, {_IBAN_OK} AND amount > 0 AS valid, CASE WHEN {_IBAN_OK} AND amount > 0 THEN concat('<CdtTrfTxInf><PmtId><EndToEndId>', y.id, '</EndToEndId></PmtId><Amt><InstdAmt Ccy="EUR">', printf('%.2f', amount), '</InstdAmt></Amt><Cdtr><Nm>', name, '</Nm></Cdtr><CdtrAcct><Id><IBAN>', iban,
+'</IBAN></Id></CdtrAcct><RmtInf><Ustrd>Fatura &amp; recibo</Ustrd></RmtInf></CdtTrfTxInf>') END AS xml FROM payable y JOIN party p ON p.id = y.party_id WHERE approved AND status = 'TO_PAY'""")
 add("snk_04_sepa_header", "payable party", lambda y, p: sepa.header(_transfers(y, p)), f"SELECT count(*) AS n, {euro(f'coalesce(sum({cents("amount")}), 0)')} AS control_sum FROM payable y JOIN party p ON p.id = y.party_id WHERE approved AND status = 'TO_PAY' AND amount > 0 AND {_IBAN_OK}")
 
 # Event windows ------------------------------------------------------------------------
@@ -235,7 +236,6 @@ add("dml_09_repoint", "deal", lambda d: states.repointed(d.select("id", "contact
 add("snk_09_upsert", "party", lambda p: states.upserted(p.where("id % 2 = 0").select("id", "name"), p.select("id", F.lit("new").alias("name")), ["id"]), "SELECT id, CASE WHEN id % 2 = 0 THEN name ELSE 'new' END AS name FROM party")
 add("fil_20_rules", "fiscal_document", lambda d: filing.first_rule(_filed(d), _rules(d.sparkSession)).select("id", "rule_id", "folder"), """SELECT id, CAST(CASE WHEN type = 'RECIBO' AND party_id % 5 = 0 THEN 3 WHEN type = 'RECIBO' THEN 2 WHEN party_id % 7 = 0 THEN 1 END AS INTEGER) AS rule_id,
 CASE WHEN type = 'RECIBO' AND party_id % 5 = 0 THEN concat('Vip/', strftime(doc_date, '%Y')) WHEN type = 'RECIBO' THEN concat('Recibos/', strftime(doc_date, '%Y/%m')) WHEN party_id % 7 = 0 THEN 'Sete/_Outro_' ELSE concat('Inbox/', strftime(doc_date, '%Y/%m')) END AS folder FROM fiscal_document""")
-add("dml_10_folders", "fiscal_document", lambda d: filing.folders(filing.first_rule(_filed(d), _rules(d.sparkSession))), None)
 add("prj_15_file_names", "fiscal_document", lambda d: d.select("id", filing.file_name(F.concat(F.lit("Águas & Cª "), "party_id"), F.col("doc_date"), F.col("doc_number"), F.col("id"), "pdf").alias("name")), "SELECT id, concat('AGUAS-C-', party_id, '_', strftime(doc_date, '%Y-%m-%d'), '_FT-', year(doc_date), '-', id, '.pdf') AS name FROM fiscal_document")
 add("prj_02_parties", "party", lambda p: p.select("id", "name", text.masked_iban(F.col("iban")).alias("iban"), text.phone_key(F.col("phone")).alias("phone")), "SELECT id, name, concat(left(iban, 4), '••••', right(iban, 4)) AS iban, right(regexp_replace(phone, '\\D', '', 'g'), 9) AS phone FROM party")
 add("str_36_extract", "fiscal_document", lambda d: d.select("id", extraction.fields(F.concat(F.lit("Fornecedor\nNIF: 500 000 000\nFatura "), "doc_number", F.lit("\nData: "), F.date_format("doc_date", "dd/MM/yyyy"), F.lit("\nIVA 23% 12,30\nTotal: EUR "), F.replace(F.format_string("%.2f", "total"), F.lit("."), F.lit(",")))).alias("f")).select("id", "f.nif", "f.number", "f.date", "f.total", "f.tax", "f.type", "f.confidence"),

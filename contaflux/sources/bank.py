@@ -61,3 +61,44 @@ def write_csv(transactions: DataFrame, path: str) -> None:
     """Semicolons, CRLF, dd/MM/yyyy and decimal commas, newest first within each file."""
     rows = transactions.select(F.date_format("date", "dd/MM/yyyy").alias("Data"), F.col("description").alias("Descrição"), F.replace(F.format_string("%.2f", "amount"), F.lit("."), F.lit(",")).alias("Valor"), F.col("reference").alias("Referência"), F.col("date").alias("__d"))
     rows.sortWithinPartitions(F.desc("__d")).drop("__d").write.mode("overwrite").option("header", True).option("sep", ";").option("lineSep", "\r\n").csv(path)
+
+
+BALANCE = "Tp struct<CdOrPrtry:struct<Cd:string>,Cd:string>, Amt struct<_Ccy:string,_VALUE:string>"
+
+
+def closing_balance(statements: DataFrame) -> DataFrame:
+    """(id, balance) of statements (id, xml): the first balance of code CLBD, else the first one;
+    a decimal comma is taken as one; null without any."""
+    parsed = F.from_xml("xml", f"struct<Bal:array<struct<{BALANCE.replace('Tp struct', 'Tp:struct').replace('Amt struct', 'Amt:struct')}>>>", {"rowTag": "Stmt"})
+    rows = statements.select("id", parsed["Bal"].alias("b"))
+    closing = F.get(F.filter("b", lambda x: F.coalesce(x["Tp"]["CdOrPrtry"]["Cd"], x["Tp"]["Cd"]) == "CLBD"), F.lit(0))
+    raw = F.coalesce(closing, F.get("b", F.lit(0)))["Amt"]["_VALUE"]
+    plain = F.when(F.contains(raw, F.lit(",")), F.replace(F.replace(raw, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(raw)
+    return rows.select("id", plain.try_cast("double").alias("balance"))
+
+
+def as_movements(entries: DataFrame) -> DataFrame:
+    """camt_rows() as bank movements: the description is the remittance, else the counterparty, else
+    the end-to-end or transaction id, else a fixed text; the reference is the end-to-end id, else
+    the bank's."""
+    some = lambda c: F.nullif(F.trim(F.col(c)), F.lit("")) if c in entries.columns else F.lit(None).cast("string")
+    description = F.coalesce(some("remittance"), some("counterparty"), some("end_to_end_id"), some("tx_id"), F.lit("Movimento CAMT"))
+    reference = F.coalesce(some("end_to_end_id"), some("tx_id"), some("bank_ref"))
+    out = entries.select("date", F.col("amount").cast("double").alias("amount"), description.alias("description"), reference.alias("reference"))
+    return out.withColumn("import_hash", row_hash(F.col("date").cast("timestamp"), F.col("amount"), F.col("description"), F.col("reference")))
+
+
+def effective_mapping(nested: dict[str, str] | None, flat: dict[str, str] | None) -> dict[str, str]:
+    """A column mapping in which nested entries win over flat ones like dateColumn."""
+    old = {k.removesuffix("Column"): v for k, v in (flat or {}).items() if v}
+    return {**old, **{k: v for k, v in (nested or {}).items() if v}}
+
+
+def mapped(rows: DataFrame, mapping: dict[str, str]) -> DataFrame:
+    """rows under the target names of a saved mapping (target to source, sources in any case); a
+    source that isn't there is an error that names it."""
+    have = {c.lower(): c for c in rows.columns}
+    missing = sorted(v for v in mapping.values() if v.lower() not in have)
+    if missing:
+        raise ValueError(f"no such columns: {', '.join(missing)}")
+    return rows.select(*(F.col(f"`{have[v.lower()]}`").alias(k) for k, v in mapping.items()))
