@@ -9,6 +9,8 @@ notices, so that a notice inside other text is found too, but only as a whole li
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,6 +102,8 @@ NOTICES = [
 ]
 #: Lines are told apart by words of the notices up to so many; with more every line is looked up.
 MOST_WORDS = 500
+#: So many notices are looked up in a constant map, more by a join.
+MOST_MAPPED = 2_000
 _COPYRIGHT = r"(?im)^[ \t/*#;-]*(?:copyright\b|\(c\)|©|all rights reserved\b).*$"
 
 
@@ -156,13 +160,21 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS, notices: list[tu
     whole, lines = known(spark, texts), known(spark, [(r["license"], r["text"]) for r in plain])
     if len(texts) <= 10_000:
         whole = F.broadcast(whole)
-    # The row number depends on the files alone, so it is the same in both branches below.
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), digest(F.col("text")).alias("digest"), F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: speaks(x, [r["plain"] for r in plain])).alias("lines"))
-    spoken = rows.where(F.size("lines") > 0).select("row", F.explode("lines").alias("line")).select("row", digest(F.col("line")).alias("d"))
-    lines = lines.select(F.col("known").alias("d"), F.col("license").alias("notice"))
-    found = spoken.join(F.broadcast(lines) if len(notices) <= 10_000 else lines, "d").groupBy("row").agg(F.array_sort(F.collect_set("notice")).alias("found"))
-    out = rows.drop("lines").join(whole, F.col("digest") == F.col("known"), "left").join(found, "row", "left")
-    return out.select("doc_id", "digest", "license", F.coalesce("found", F.array().cast("array<string>")).alias("notices"))
+    lines_of = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: speaks(x, [r["plain"] for r in plain]))
+    rows = docs.select("doc_id", digest(F.col("text")).alias("digest"), F.array_distinct(F.transform(lines_of, digest)).alias("lines"))
+    if len(notices) <= MOST_MAPPED:
+        # Few notices are a constant of the plan, looked up where the row is: no row has to be found again.
+        table = F.from_json(F.lit(json.dumps({r["known"]: r["license"] for r in lines.collect()})), "map<string,string>")
+        found = F.filter(F.transform("lines", lambda d: F.try_element_at(table, d)), lambda x: x.isNotNull())
+        rows = rows.withColumn("notices", F.array_sort(F.array_distinct(found)))
+    else:
+        # Rows with the same lines have the same notices: these arrays, not numbers of rows, are the key.
+        sets = rows.where(F.size("lines") > 0).select("lines").distinct()
+        side = lines.select(F.col("known").alias("d"), F.col("license").alias("notice"))
+        found = sets.select("lines", F.explode("lines").alias("d")).join(side, "d").groupBy("lines").agg(F.array_sort(F.collect_set("notice")).alias("notices"))
+        rows = rows.join(found, "lines", "left")
+    out = rows.join(whole, F.col("digest") == F.col("known"), "left")
+    return out.select("doc_id", "digest", "license", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
 
 
 def _sql(text: str) -> str:
