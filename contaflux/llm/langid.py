@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from contaflux.llm.common import mixed
+from contaflux.llm.common import mixed, pieces
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -110,7 +110,11 @@ def learn(texts: list[str], languages: list[str]) -> Model:
 
 def margin(bag: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """For each bit a value in -1 to 1: its classifier's mean log-odds over the n-grams, squashed."""
-    return np.tanh(1.5 * weights[bag].mean(axis=0)) if len(bag) else np.zeros(weights.shape[1], np.float32)
+    if not len(bag):
+        return np.zeros(weights.shape[1], np.float32)
+    # A long text has most buckets often: their counts, not a row of weights for each n-gram.
+    mean = weights[bag].mean(axis=0) if len(bag) <= BUCKETS else (np.bincount(bag, minlength=BUCKETS) @ weights / len(bag))
+    return np.tanh(1.5 * mean).astype(np.float32)
 
 
 def decode(margins: np.ndarray, model: Model) -> tuple[int, float, float]:
@@ -176,7 +180,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFr
     schema = StructType([rows.schema[c] for c in kept]).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, "__text", 4 << 20):
             found = [classify(x.as_py(), model) for x in batch.column(batch.schema.get_field_index("__text"))]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             columns += [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
