@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contaflux.llm.common import Scratch
+
 WINDOW = 13
 #: Contaminated: at least one word in SHARE is hit.
 SHARE = 20
@@ -63,7 +65,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ()) -> D
     """
     every = windows(benchmark)
     few = every.count() <= MOST_BROADCAST
-    marks = anchored(every, docs, few).cache() if few else anchored(every, docs, few)
+    marks = Scratch(docs.sparkSession, "anchors").keep(anchored(every, docs, few)) if few else anchored(every, docs, few)
     rows = docs.select("doc_id", *[c for c in keep if c != "doc_id"], words(F.col("text")).alias("w")).withColumn("row", F.monotonically_increasing_id())
     own = ["row", "doc_id", *[c for c in keep if c != "doc_id"]]
 
