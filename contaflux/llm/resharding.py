@@ -2,11 +2,11 @@
 
 Old shards supply their bytes, new shards take up to their capacity, keeping a byte where
 it is costs nothing and moving it costs one. The cheapest flow, solved on the handful of
-shards, says how many bytes each old shard keeps and where its surplus goes. Rows follow
-in blocks: each old shard is an ordered run of rows, its first bytes stay, the rest join
-one sequence of surplus rows that is cut at the new shards' deficits. So each new shard
-misses its capacity by less than two rows, and only files of shards that give or take are
-written anew.
+shards, says how many bytes each old shard keeps and how many go to each new one. Rows follow
+its edges in blocks: each old shard is an ordered run of rows, cut where its edges end, the
+bytes that stay first. So a new shard misses its capacity by less than a row for each edge into
+it, of which there are about as many as shards in all, and only files of shards that give or
+take are written anew.
 """
 
 from __future__ import annotations
@@ -99,37 +99,38 @@ def reshard(docs: DataFrame, old: Column | None = None, capacities: Sequence[int
         supply[r["old_shard"]] = r["b"]
     capacities = even(sum(supply), shards) if capacities is None else list(capacities)
     flow = cheapest_flow(supply, capacities)
-    stays = [flow[i][i] if i < shards else 0 for i in range(len(supply))]
+    ends = [block_ends(i, row) for i, row in enumerate(flow)]
 
     bits = max(0, (sum(r["n"] for r in totals) // (BLOCK_ROWS * max(1, len(totals)))).bit_length())
     block = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
     unsigned = F.col("h").bitwiseXOR(F.lit(-(2**63)))  # in the order of the blocks
     at = numbered(rows.withColumn("block", block), "old_shard", "block", [unsigned, F.col("doc_id")], F.col("size"))
     middle = F.col("offset") + F.col("size") / 2
-    at = at.withColumn("stays", middle < F.element_at(F.array(*map(F.lit, stays)), F.col("old_shard") + 1)) if stays else at.withColumn("stays", F.lit(True))
-    at = scratch.keep(at.drop("offset"))
-
-    kept = {r["old_shard"]: r["b"] for r in at.where("stays").groupBy("old_shard").agg(F.sum("size").alias("b")).collect()}
-    edges, edge = [], 0
-    for j in range(shards):  # of the surplus sequence: shard j takes from its edge to the next
-        edge += max(0, capacities[j] - kept.get(j, 0))
-        edges.append(edge)
-    surplus = at.where(~F.col("stays")).withColumn("all", F.lit(0)).withColumn("piece", F.col("old_shard").cast("long") * (1 << 40) + F.shiftrightunsigned("h", 64 - min(bits, 39)) if bits else F.col("old_shard").cast("long"))
-    surplus = numbered(surplus.drop("rank", "block"), "all", "piece", [unsigned, F.col("doc_id")], F.col("size")).drop("all", "piece")
-    place = F.lit(shards - 1)
-    for j in range(shards - 2, -1, -1):
-        place = F.when(middle < edges[j], F.lit(j)).otherwise(place)
-    moved = surplus.select("doc_id", "size", "text_crc32", "old_shard", place.cast("int").alias("shard"), F.lit(1).alias("late"), "rank")
-    settled = at.where("stays").select("doc_id", "size", "text_crc32", "old_shard", F.col("old_shard").alias("shard"), F.lit(0).alias("late"), F.col("rank").cast("long").alias("rank"))
-    placed = scratch.keep(settled.unionByName(moved))
-    # Within a shard: the rows that stayed, then those that came; either run is gapless in its rank.
-    runs = placed.groupBy("shard", "late").agg(F.count("*").alias("n"), F.min("rank").alias("first"))
-    runs = runs.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("late").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = placed.join(F.broadcast(runs.select("shard", "late", "first", "base")), ["shard", "late"])  # two rows a shard
+    table = F.array(*(F.array(*(F.struct(F.lit(end).cast("double").alias("end"), F.lit(shard).alias("shard")) for end, shard in e)) for e in ends))  # as long as the flow has edges
+    mine = F.element_at(table, F.col("old_shard") + 1)
+    place = F.coalesce(F.get(F.filter(mine, lambda e: middle < e["end"]), F.lit(0))["shard"], F.element_at(mine, -1)["shard"])
+    placed = scratch.keep(at.select("doc_id", "size", "text_crc32", "old_shard", place.alias("shard"), F.col("rank").cast("long").alias("rank")))
+    # What a shard gets from one old shard is a run without gaps in its rank: the rows that stayed
+    # come first, then those of the other old shards in order.
+    runs = placed.groupBy("shard", "old_shard").agg(F.count("*").alias("n"), F.min("rank").alias("first")).withColumn("late", F.col("shard") != F.col("old_shard"))
+    runs = runs.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("late", "old_shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = placed.join(F.broadcast(runs.select("shard", "old_shard", "first", "base")), ["shard", "old_shard"])  # a row for each edge of the flow
     slot = (F.col("base") + F.col("rank") - F.col("first")).cast("long")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def block_ends(i: int, row: Sequence[int]) -> list[tuple[int, int]]:
+    """(end, shard) of the blocks that an old shard is cut into by its row of the flow: the bytes
+    that stay come first, then a block for each new shard that gets some, in order."""
+    order = ([i] if i < len(row) else []) + [j for j in range(len(row)) if j != i]
+    out, end = [], 0
+    for j in order:
+        if row[j]:
+            end += row[j]
+            out.append((end, j))
+    return out or [(0, min(i, len(row) - 1))]
+
+
 def row_size() -> Column:
     return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
 
