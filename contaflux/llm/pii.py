@@ -12,12 +12,14 @@ again until it does, which keeps the permutation one to one.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import ipaddress
 import re
 import sys
 import unicodedata
+import warnings
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -31,7 +33,9 @@ from contaflux.llm.common import pieces
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Only a default: callers pass their own secret.
+#: The setting of the session that holds the secret key. Without it, and without a key passed,
+#: this public one is used, which makes surrogates that anyone with the code can undo: a warning says so.
+SETTING = "spark.contaflux.pii.key"
 KEY = b"contaflux"
 ROUNDS = 8
 
@@ -103,13 +107,10 @@ class Surrogates:
         """The first of the repeated permutations that is good and differs: one to one on the good ones,
         unless only the value itself is left."""
         now = values
-        for _ in range(10_000):
+        while True:  # a permutation comes back to where it began, so this ends
             now = self.permuted(now, sizes, label)
-            if now == values:
-                break
-            if good(now):
+            if now == values or good(now):
                 return now
-        return now
 
     def spelled(self, text: str, label: bytes, hexadecimal: bool = False, good: Callable[[str], bool] = lambda s: True) -> str:
         """text with each letter and digit replaced by one of its class, its case kept."""
@@ -245,11 +246,14 @@ def found(text: str) -> list[tuple[int, int, str]]:
     number = bool(_DIGIT.search(text)) or bool(re.search(r"[0-9a-fA-F]{20}", text))
     for kind, pattern, possible in PATTERNS:
         if possible(text) if possible else number or (kind == "secret" and ("AKIA" in text or "gh" in text or "sk-" in text)) or kind == "iban" and bool(re.search(r"[A-Z]{2}\d\d", text)):
+            new = []
             for m in pattern.finditer(text):
                 a, b = m.span(1) if pattern.groups else m.span()
-                if all(b <= c or a >= d for c, d, _ in out):
-                    out.append((a, b, kind))
-    return sorted(out)
+                at = bisect.bisect_left(out, (a,))  # finds lie apart, so only the neighbours can overlap
+                if (at == len(out) or b <= out[at][0]) and (not at or out[at - 1][1] <= a):
+                    new.append((a, b, kind))
+            out = sorted(out + new) if new else out
+    return out
 
 
 def replaced(text: str | None, surrogates: Surrogates) -> tuple[str | None, list[tuple[str, str, str]]]:
@@ -266,12 +270,22 @@ def replaced(text: str | None, surrogates: Surrogates) -> tuple[str | None, list
     return ("".join([*out, text[at:]]), pairs) if pairs else (text, pairs)
 
 
-def masked(docs: DataFrame, key: bytes = KEY, text: str = "text") -> DataFrame:
-    """docs with surrogates in text and the number of finds in n_entities.
+def key_of(docs: DataFrame) -> bytes:
+    """The session's key, else the public one with a warning."""
+    named = docs.sparkSession.conf.get(SETTING, None)
+    if not named:
+        warnings.warn(f"{SETTING} is not set: surrogates are made with a public key", stacklevel=3)
+    return named.encode() if named else KEY
+
+
+def masked(docs: DataFrame, key: bytes | None = None, text: str = "text") -> DataFrame:
+    """docs with surrogates in text and the number of finds in n_entities. key: the secret
+    (default: the session's).
 
     Null and empty texts stay as they are (0 finds); repeated rows stay; a column
     n_entities of docs is replaced, all others are kept.
     """
+    key = key_of(docs) if key is None else key
     rows = docs.drop("n_entities")
     schema = StructType(list(rows.schema.fields)).add("n_entities", "long")
 
@@ -287,8 +301,9 @@ def masked(docs: DataFrame, key: bytes = KEY, text: str = "text") -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def entities(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """(kind, entity, surrogate, n) of all finds, entities folded to lower case."""
+    key = key_of(docs) if key is None else key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         surrogates = Surrogates(key)
