@@ -93,8 +93,8 @@ def tree(shapes: DataFrame, scratch: Scratch) -> DataFrame:
         node = node.agg(F.count("*").alias("children"), F.sum("pages").alias("all"), F.sum("b").alias("nb"), F.sum("l").alias("nl"))
         every = branch.join(node, ["host", "template"], "left")
         wild = (F.col("children") >= MANY) & (F.col("all") < PAGES_EACH * F.col("children"))
-        # A branch is like its siblings when its labels, smoothed, lie within chance of theirs.
-        mean = (F.col("nb") + 1) / (F.col("nl") + 2)
+        # A branch is like its siblings when its labels, smoothed, lie within chance of those of all the others.
+        mean = (F.col("nb") - F.col("b") + 1) / (F.col("nl") - F.col("l") + 2)
         own = (F.col("b") + PRIOR * mean) / (F.col("l") + PRIOR)
         like = (F.col("l") >= LEAST_LABELS) & (F.col("nl") > F.col("l")) & (F.abs(own - mean) <= ERRORS * F.sqrt(mean * (1 - mean) / (F.col("l") + PRIOR)))
         grows = F.lit(level <= LEVELS) | ((F.col("nl") >= LEAST_LABELS) & (F.col("nb") > 0) & (F.col("all") > F.col("nl")))
