@@ -70,9 +70,26 @@ def test_license_notices_of_a_caller(spark):
     assert {r["doc_id"]: r["notices"] for r in licenses.scan(documents(spark, texts), notices=notices * 2 + [(f"L{i}", f"thing{i}") for i in range(600)]).collect()} == got
 
 
+def test_licenses_of_shuffled_rows(spark, monkeypatch):
+    texts = [(i, f"text {i}\n{licenses.NOTICES[i % len(licenses.NOTICES)][1]}\nend" if i % 3 else f"text {i}") for i in range(200)] + [(500, "SPDX-License-Identifier: MIT " * 20_000), (1, None), (1, None)]
+    want = {i: [licenses.NOTICES[i % len(licenses.NOTICES)][0]] if i % 3 else [] for i in range(200)} | {500: [], 1: None}
+    for most in (licenses.MOST_MAPPED, 0):
+        monkeypatch.setattr(licenses, "MOST_MAPPED", most)
+        rows = licenses.scan(documents(spark, texts).repartition(7)).collect()
+        assert len(rows) == len(texts)
+        assert all(r["notices"] == want[r["doc_id"]] for r in rows if r["doc_id"] != 1)
+
+
 # 2
 
 
+def test_margin_of_a_long_text_is_the_same():
+    rng = np.random.default_rng(4)
+    weights = rng.normal(size=(langid.BUCKETS, 3)).astype(np.float32)
+    bag = rng.integers(0, langid.BUCKETS, langid.BUCKETS + 1000)
+    assert np.allclose(langid.margin(bag, weights), np.tanh(1.5 * weights[bag].mean(axis=0)), atol=1e-4)
+
+
 def test_codewords_differ_widely():
     for k in (2, 4, 7, 20, 100):
         codes = langid.codewords(k)
@@ -430,9 +447,38 @@ def test_rewrite_keeps_every_row(spark, tmp_path, shards):
     assert placed == sorted((r["doc_id"] or -1, r["shard"]) for r in out)
 
 
+def test_flow_decides_where_rows_go(spark):
+    texts = [(i, "x" * (i % 50)) for i in range(4000)]
+    docs = documents(spark, texts)
+    rows = resharding.reshard(docs).toPandas()
+    supply = rows.groupby("old_shard")["size"].sum()
+    flow = resharding.cheapest_flow([int(supply.get(i, 0)) for i in range(24)], resharding.even(int(supply.sum()), 24))
+    got = rows.groupby(["old_shard", "shard"])["size"].sum()
+    for i, row in enumerate(flow):
+        for j, amount in enumerate(row):
+            assert abs(int(got.get((i, j), 0)) - amount) <= rows["size"].max()
+
+
 # 9
 
 
+def test_many_finds_stay_apart():
+    text = " ".join(f"a{i}@x{i}.pt" for i in range(6000))
+    assert [k for _, _, k in pii.found(text)] == ["email"] * 6000
+    finds = pii.found("mail ana@x.pt, 10.0.0.1 and +1 (796) 555-0716 or 078-05-1120")
+    assert all(a[1] <= b[0] for a, b in zip(finds, finds[1:], strict=False)) and [k for *_, k in finds] == ["email", "ip", "phone", "ssn"]
+
+
+def test_session_holds_the_key(spark):
+    docs = documents(spark, [(1, "mail ana@x.pt")])
+    public = pii.masked(docs).first()["text"]
+    spark.conf.set(pii.SETTING, "secret")
+    try:
+        assert pii.masked(docs).first()["text"] == pii.replaced("mail ana@x.pt", pii.Surrogates(b"secret"))[0] != public
+    finally:
+        spark.conf.unset(pii.SETTING)
+
+
 def test_surrogates_keep_type_format_and_identity():
     s = pii.Surrogates(b"key")
     pairs = {
