@@ -252,6 +252,36 @@ def test_html_template_decides_inside_articles(spark):
     assert all(got[40 + i] == "The same\n\non each" for i in range(12))
 
 
+def test_html_departures():
+    text = lambda html: html_main.main_text(html, set())
+    long = "<p>" + "many words of a long body " * 12 + "</p>"
+    assert text("<article><header><h1>Title</h1></header><p>Body of it</p></article>") == "Title\n\nBody of it"
+    assert text("<article><div class='content related'><p>kept</p></div><div class='share-holders'>also</div><div class='share-bar'>no</div></article>") == "kept\n\nalso"
+    assert text(f"<article><p>Teaser one</p></article><article><p>Teaser two</p></article><div class='x'>{long}{long}</div>").startswith("many words")
+    middle = "<p><a href='/'>only a link here</a></p>"
+    got = text(f"<div>{middle}{long}{middle}{long}{middle}</div>")
+    assert got.count("only a link here") == 1 and got.startswith("many") and got.endswith("body")
+    assert text("<script>'<article>'</script><!-- <article> --><div><p>plain body text</p></div>") == "plain body text"
+
+
+def test_html_long_pages_are_read_once():
+    import time
+
+    for source in ("<a " * 350_000, "<div>" * 100_000 + "x", "<div><p>y" * 30_000, '<a "' * 200_000, "<!" * 200_000, "<script " * 100_000):
+        began = time.time()
+        html_main.main_text(source, set())
+        assert time.time() - began < 20  # minutes when each tag was looked for up to the end
+
+
+def test_html_odd_tables(spark):
+    schema = "page_id long, url string, html string"
+    assert html_main.extracted(spark.createDataFrame([], schema)).count() == 0
+    page = "<html><body><article><p>Same on all</p><p>Own {}</p></article></body></html>"
+    rows = [(i % 3, "http://r.example/", page.format(i % 3)) for i in range(9)] + [(None, None, "<div><p>unclosed <b>deep")]
+    got = html_main.extracted(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == 10 and {r["text"] for r in got if r["page_id"] is None} == {"unclosed deep"}
+
+
 # 5
 
 
