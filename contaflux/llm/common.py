@@ -28,11 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; /tmp only where the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where the session names
+    none, a local session takes one under /tmp, and a cluster, whose machines wouldn't see each
+    other's files, is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = kept.get() if kept.isDefined() else "/tmp/checkpoints"
+        named = kept.get() if kept.isDefined() else None
+    if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        named = "/tmp/checkpoints"
     return named.rstrip("/")
 
 
