@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contaflux.functions import dates, fiscal, money, text, vectors
-from contaflux.operators import audit, boards, parties, reconcile, retrieval, tax
+from contaflux.operators import audit, boards, lists, parties, reconcile, retrieval, tax
 from contaflux.plans import registry
 from contaflux.sources import bank, sepa
 from contaflux.streaming import events as streams
@@ -235,3 +235,79 @@ def test_nearest_rank_holds_no_group_as_one_array(spark):
         v = sorted(d for s, d in rows if s == status and d is not None)
         want[status] = (v[math.floor(len(v) * 0.5)], v[min(math.floor(len(v) * 0.95), len(v) - 1)]) if v else (None, None)
     assert {r["status"]: (r["p50"], r["p95"]) for r in got.collect()} == want
+
+
+def golden(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+def test_match_tiers_golden(spark):
+    day = datetime.date(2026, 3, 1)
+    tx = "id long, tenant_id long, amount double, date date, reference string, description string"
+    ent = "id long, tenant_id long, amount double, date date, ref string, text string, document_id long"
+    cases = [  # movement (amount, date, reference, description), entity (amount, date, reference, text), wanted
+        ((5.0, day, " ref-999 ", "x"), (9.0, day, "REF-999", None), ("STRONG", 1.0)),
+        ((5.0, day, "A-1", "x"), (5.0, None, "B-2", None), ("WEAK", 0.6)),
+        ((5.0, day, None, "PAG 12345 LOJA"), (9.0, day, "12345", None), ("MEDIUM", 0.85)),
+        ((5.0, day, "FT 77", "x"), (9.0, day, None, "pagamento da ft 77 hoje"), ("MEDIUM", 0.8)),
+        ((5.0, day, None, "AB"), (5.0, day, "AB", None), ("WEAK", 0.8)),
+        ((-5.0, day, None, "compra na loja azul"), (5.0, day + datetime.timedelta(3), None, "LOJA azul"), ("WEAK", 0.9)),
+        ((5.0, day, None, "compra Lisboa"), (5.0, day + datetime.timedelta(4), None, "Lisboa centro"), ("WEAK", 0.8)),
+        ((5.0, day, None, "x y"), (5.0, day + datetime.timedelta(8), None, "zz"), ("WEAK", 0.6)),
+        ((5.0, day, None, "x"), (5.0, day + datetime.timedelta(47), None, None), None),
+        ((150.50, day, None, "x"), (150.49, day, None, None), ("WEAK", 0.8)),
+        ((100.01, day, None, "x"), (100.00, day, None, None), None),
+    ]
+    txs = spark.createDataFrame([(i, i, *c[0]) for i, c in enumerate(cases)], tx)
+    ents = spark.createDataFrame([(100 + i, i, *c[1], None) for i, c in enumerate(cases)], ent)
+    found = reconcile.matches(txs, reconcile.entities(ents, "x", amount="amount", date="date", description="text", reference="ref", document="document_id"))
+    got = {r["tx_id"]: (r["match_type"], r["score"]) for r in found.collect()}
+    assert got == {i: c[2] for i, c in enumerate(cases) if c[2]}
+    assert reconcile.matches(txs.limit(0), reconcile.entities(ents, "x", amount="amount", date="date")).count() == 0
+
+
+def test_decisions_on_suggestions(spark):
+    rows = spark.createDataFrame([(1, 7, 70, "PENDING"), (2, 7, 71, "PENDING"), (3, 8, 72, "ACCEPTED"), (4, 9, 73, "PENDING"), (5, 9, 74, "PENDING")], "id long, tx_id long, document_id long, status string")
+    after = reconcile.decided(rows, spark.createDataFrame([(2, True), (3, False), (5, False), (5, False)], "id long, accept boolean"))
+    assert {r["id"]: r["status"] for r in after.collect()} == {1: "REJECTED", 2: "ACCEPTED", 3: "ACCEPTED", 4: "PENDING", 5: "REJECTED"}
+
+
+def test_tenant_guards(spark):
+    rows = spark.createDataFrame([(1, 1), (2, None)], "id long, tenant_id long")
+    assert [r["tenant_id"] for r in lists.for_tenant(rows, 1).orderBy("id").collect()] == [1, 1]
+    with pytest.raises(Exception, match="another tenant"):
+        lists.for_tenant(rows.withColumn("tenant_id", F.lit(2).cast("long")), 1).collect()
+    with pytest.raises(ValueError):
+        lists.of_tenant(rows, None)
+
+
+def test_sepa_rejects_what_is_too_long(spark):
+    rows = spark.createDataFrame([(1, 1.0, "N" * 71, "PT50000201231234567890154", ""), (2, -1.0, "A", "PT50000201231234567890154", None), (3, 1.0, " ", "PT50.0002.0123.1234.5678.9015.4", None)], "id int, amount double, name string, iban string, remittance string")
+    assert {r["id"]: r["fault"] for r in sepa.transfers(rows).collect()} == {1: "name too long", 2: "amount", 3: "name missing"}
+    with pytest.raises(ValueError):
+        sepa.message(rows, rows, "m" * 36, "p", datetime.datetime(2026, 1, 1))
+
+
+def test_search_as_people_type_it(spark):
+    assert retrieval.web_query('a "b c" -d or e') == [[["a"], ["b", "c"], ["-d"]], [["e"]]]
+    assert retrieval.web_query("  or ") == []
+    rows = spark.createDataFrame([(1, "alfa beta"), (2, "beta gama"), (3, None)], "id int, text string").withColumn("v", retrieval.search_vector(F.col("text")))
+    assert [r["id"] for r in retrieval.full_text(rows, "beta -gama", "v", ["text"]).collect()] == [1]
+    assert retrieval.full_text(rows, '"', "v", ["text"]).count() == 0
+
+
+def test_chunks_split_a_text_once(spark):
+    df = spark.range(1).select(text.chunks(F.lit("a b c")).alias("c"), text.chunks(F.col("id").cast("string")).alias("d"))
+    assert df.select("d")._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert df.first()["c"] == ["a b c"] and spark.range(1).select(text.chunks(F.lit(None).cast("string")).alias("c")).first()["c"] == []
+
+
+def test_clusters_read_their_input_once(spark):
+    plan = parties.contact_clusters(spark.read.parquet(f"{SF}/customer.parquet").selectExpr("c_custkey AS id", "c_name AS nif8", "c_name AS email", "c_name AS name", "c_name AS phone"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 1 and "Join" not in plan
+
+
+def test_effective_mapping_and_missing_columns(spark):
+    assert bank.effective_mapping({"date": "Data"}, {"dateColumn": "x", "amountColumn": "Valor"}) == {"date": "Data", "amount": "Valor"}
+    with pytest.raises(ValueError, match="nope"):
+        bank.mapped(spark.range(1), {"a": "nope"})
