@@ -436,10 +436,13 @@ def countable(groups: DataFrame) -> DataFrame:
 
 def merged(rows: DataFrame) -> DataFrame:
     """Rows (least, node, n, comp) whose groups took the least of the names that their nodes have in
-    any group: groups that share nodes become one, and no two rows of a group come apart."""
+    any group, where what comes together has no more than PART sets: groups that share nodes become
+    one, no two rows of a group come apart, and no group grows so far that it would be cut again."""
     names = rows.groupBy("node").agg(F.min("least").alias("m"))
     groups = rows.select("least", "node").join(names, "node").groupBy("least").agg(F.min("m").alias("m"))
-    return rows.join(groups, "least").select(F.col("m").alias("least"), "node", "n", "comp").distinct()
+    sizes = rows.join(groups, "least").select("m", "node").distinct().groupBy("m").agg(F.count("*").alias("c")).where(F.col("c") <= PART).select(F.col("m").alias("fits"))
+    moved = groups.join(sizes, F.col("m") == F.col("fits"), "left").select("least", F.coalesce("fits", "least").alias("to"))
+    return rows.join(moved, "least").select(F.col("to").alias("least"), "node", "n", "comp").distinct()
 
 
 def sized(rows: DataFrame) -> DataFrame:
