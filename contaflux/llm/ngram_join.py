@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 import sys
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -100,12 +101,14 @@ def count_vector(shingles: np.ndarray, groups: int | None = None) -> np.ndarray:
 
 
 def raw_of(vector: np.ndarray) -> bytes:
-    """The bytes of a point: how wide its numbers are, then the numbers."""
-    return b"\1" + vector.astype("<u1").tobytes() if vector.max(initial=0) < 256 else b"\4" + vector.astype("<u4").tobytes()
+    """The bytes of a point: how wide its numbers are, then the numbers, packed: most are 0 or 1, so
+    they take about a bit and a half each where they are shuffled."""
+    wide = vector.max(initial=0) >= 256
+    return (b"\4" if wide else b"\1") + zlib.compress(vector.astype("<u4" if wide else "<u1").tobytes(), 1)
 
 
 def vector_of(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u1" if raw[0] == 1 else "<u4", offset=1).astype(np.int32)
+    return np.frombuffer(zlib.decompress(raw[1:]), "<u1" if raw[0] == 1 else "<u4").astype(np.int32)
 
 
 def folded(vector: np.ndarray, groups: int) -> np.ndarray:
