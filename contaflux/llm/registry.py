@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contaflux.llm import decontam, fingerprints, html_main, langid, licenses, ngram_join, pii, resharding, unigram, url_filter
+from contaflux.llm import decontam, fingerprints, hard_negatives, html_main, langid, licenses, ngram_join, periodic, pii, resharding, toxicity, unigram, url_filter
 from contaflux.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,8 +54,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
 
-for _query in (op1_license_scan, op2_language_id, op3_ngram_jaccard_join, op4_html_extraction, op5_fingerprints, op6_decontamination, op7_sentencepiece, op8_resharding, op9_pii_surrogates, op10_url_filter):
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(hard_negatives.shifted(table(spark, sf_dir, "embeddings")))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+for _query in (op1_license_scan, op2_language_id, op3_ngram_jaccard_join, op4_html_extraction, op5_fingerprints, op6_decontamination, op7_sentencepiece, op8_resharding, op9_pii_surrogates, op10_url_filter,
+               op11_periodic_runs, op12_hard_negatives, op13_toxicity):
     QUERIES[_query.__name__] = _query
 
 ORACLES["op6_decontamination"] = decontam.ORACLE
 ORACLES["op1_license_scan"] = licenses.ORACLE
+ORACLES["op12_hard_negatives"] = hard_negatives.ORACLE
