@@ -83,7 +83,8 @@ class Page:
         root = Path("", None)
         places: dict[tuple[int, str], Path] = {}
         stack: list[tuple[str, bool, bool, Path, Path]] = []  # name, aside, article, place with and without inline elements
-        open_: dict[str, int] = {}
+        open_: dict[str, list[int]] = {}  # where in the stack the elements of a name are
+        holders: list[int] = []
         run: list[str] = []
         linked = articles = mains = asides = inside = 0
 
@@ -105,14 +106,16 @@ class Page:
             nonlocal asides, inside
             if not open_.get(name):
                 return
-            at = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name)
-            if name not in _HOLDS and any(stack[i][0] in _HOLDS for i in range(at + 1, len(stack))):
+            at = open_[name][-1]
+            if name not in _HOLDS and holders and holders[-1] > at:
                 return
-            for gone, aside, article, _, _ in stack[at:]:
-                open_[gone] -= 1
+            while len(stack) > at:
+                gone, aside, article, _, _ = stack.pop()
+                open_[gone].pop()
+                if gone in _HOLDS:
+                    holders.pop()
                 asides -= aside
                 inside -= article
-            del stack[at:]
 
         for m in _TOKEN.finditer(source):
             name = m[3]
@@ -158,7 +161,9 @@ class Page:
             if name not in VOID and not attributes.endswith("/"):
                 outer = stack[-1][4] if stack else root
                 stack.append((name, aside, article, here, outer if name in INLINE else place(outer, name)))
-                open_[name] = open_.get(name, 0) + 1
+                open_.setdefault(name, []).append(len(stack) - 1)
+                if name in _HOLDS:
+                    holders.append(len(stack) - 1)
                 asides += aside
                 inside += article
         close()

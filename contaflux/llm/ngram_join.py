@@ -477,8 +477,8 @@ def candidates(groups: DataFrame, vectors: DataFrame) -> DataFrame:
 def joining_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) that unite components within each of the groups: pairs come
     from an R-tree, are verified by their sets, and are not looked at once they are united."""
-    one = groups.groupBy("g").agg(F.count("*").alias("c"), F.sum(F.shiftright(F.xxhash64("node", "part"), 20)).alias("sign"))
-    one = one.groupBy("sign", "c").agg(F.min("g").alias("g")).select("g")
+    one = groups.groupBy("g").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node", "part")).alias("one"), F.bit_xor(F.xxhash64(F.lit("again"), "node", "part")).alias("two"))
+    one = one.groupBy("one", "two", "c").agg(F.min("g").alias("g")).select("g")
     rows = groups.join(one, "g").join(sets.select("node", "x"), "node").select("g", "node", "comp", "part", "x")
     rows = rows.repartition("g").sortWithinPartitions("g", "node")
 
@@ -506,20 +506,22 @@ def joining_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs.
+    """doc_id, n_shingles, component_id, text_hash and component of every row of docs.
 
     component_id is the smallest doc_id that can be reached by links (similarity of the
     shingle sets at or over the threshold), the row's own included; rows with null or
     wordless text have no links. Repeated rows stay and carry the same component; a row
-    whose doc_id is null takes part and can get a component from others. Other columns are
-    left out; an empty table gives no rows.
+    whose doc_id is null takes part and can get a component from others. component names the
+    component by itself (null without words), as texts that share an id can be of several;
+    text_hash tells such rows apart. Other columns are left out; an empty table gives no rows.
+    A set is known by a 64-bit hash, and sets are compared by 64-bit hashes of their shingles.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     rows = docs.select("doc_id", "text")
     every = scratch.keep(prefixes(rows, frequent_shingles(rows)))
     nodes = scratch.keep(every.where("n > 0").groupBy("node").agg(F.min(F.struct("th", "doc_id")).alias("o"), F.min("doc_id").alias("first")).select("node", F.col("first"), "o.th", F.col("o.doc_id").alias("least")))
-    own = scratch.keep(every.select("doc_id", "node", "n"))
+    own = scratch.keep(every.select("doc_id", "th", "node", "n"))
     rare, often = (every.where("rare is not null").select(F.explode(c).alias("token"), "node", "n") for c in ("rare", "often"))
     # Rare shingles have short blocks. Blocks of frequent ones may be long: their rows are told apart by the node too.
     shared = scratch.keep(met(rare).unionByName(often.dropDuplicates(["token", "node"])))
@@ -551,7 +553,7 @@ def linked(docs: DataFrame) -> DataFrame:
     named = nodes.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("comp", "node").alias("c"))
     named = named.join(over.select(F.col("node").alias("c"), F.col("comp").alias("top")), "c", "left").select("node", "first", F.coalesce("top", "c").alias("comp"))
     component = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    named = scratch.keep(named.join(component, "comp").select("node", "component_id"))
+    named = scratch.keep(named.join(component, "comp").select("node", "component_id", F.col("comp").alias("component")))
     scratch.drop(found, more, labels, nodes)
-    lone = own.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return own.where("n > 0").join(named, "node").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").unionByName(lone)
+    lone = own.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("th").alias("text_hash"), F.lit(None).cast("long").alias("component"))
+    return own.where("n > 0").join(named, "node").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("th").alias("text_hash"), "component").unionByName(lone)

@@ -51,6 +51,24 @@ def test_stages(spark, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "language ID"
 
 
+def test_texts_that_share_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    keep = lambda rows: sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.deduplicated(spark, spark.createDataFrame([(*r, "en", "s", 1) for r in rows], schema), "").collect()), key=repr)
+    assert keep([(1, a), (1, b), (2, b), (3, c)]) == [(1, a), (1, b), (3, c)]
+    assert len(keep([(1, a), (1, a + " more"), (2, a + " else"), (2, c)])) == 2  # near copies with one id: one of them, and the other text of id 2
+    assert keep([(None, a), (5, a), (None, b), (None, b), (None, None), (6, ""), (6, "")]) == sorted([(5, a), (None, b), (None, None), (6, ""), (6, "")], key=repr)
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0, name
+        assert name.startswith("Sentence") or out.columns == docs.columns
+
+
 def test_repeated_rows_leave_one(spark, tmp_path):
     docs = spark.createDataFrame([(1, "same text here for all of us", "en", "s", 1)] * 3 + [(2, "another text of a few words only", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in corpus_pipeline.deduplicated(spark, docs, "").collect()) == [1, 2]
