@@ -41,18 +41,23 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component the document with the smallest doc_id; repeated rows of it
-    count as copies, so one of them stays. Rows without words or without an id stay."""
+    """Keeps one row of each component: the smallest doc_id's (null only if there is no other),
+    of its texts the one with the smallest hash, of rows with that id and text the least.
+    Rows are told apart by id and text, so texts that share an id are judged each by itself.
+    Rows without words stay."""
     scratch = Scratch(spark, "deduplicated")
-    found = scratch.keep(ngram_join.linked(docs))
-    more = found.where((F.col("doc_id") != F.col("component_id")) & F.col("component_id").isNotNull()).select("doc_id").distinct()
-    few = more.count() <= MOST_BROADCAST
-    kept = docs.select(COLUMNS).join(F.broadcast(more) if few else more, "doc_id", "left_anti").select(COLUMNS)
-    again = found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    found = scratch.keep(ngram_join.linked(docs).where("n_shingles > 0").select("doc_id", F.col("text_hash").alias("th"), "component_id", "component"))
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = scratch.keep(found.where(own).groupBy("component", "doc_id", "th").count())
+    best = first.groupBy("component").agg(F.min("th").alias("best"), F.count("*").alias("texts")).where("texts > 1")
+    others = first.join(best, "component").where(F.col("th") != F.col("best"))
+    kept = without(docs.select(COLUMNS), found.where(~own).select("doc_id", "th").unionByName(others.select("doc_id", "th")), scratch)
+    again = first.where("count > 1").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"))
     if again.isEmpty():
         return kept
-    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
-    return kept.join(again, "doc_id", "left_anti").select(COLUMNS).unionByName(one.select("doc_id", "r.text", "r.lang", "r.source", "r.n_chars"))
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t"))
+    one = kept.join(again, same, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("r"))
+    return kept.join(again, same, "left_anti").unionByName(one.select("doc_id", "text", "r.lang", "r.source", "r.n_chars"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
