@@ -99,8 +99,9 @@ def matches(transactions: DataFrame, against: DataFrame) -> DataFrame:
 
 def candidates(transactions: DataFrame, documents: DataFrame) -> DataFrame:
     """(tx_id, document_id, match_type, score) of movements and documents (id, tenant_id, total,
-    doc_date, doc_number, counterparty)."""
-    rows = entities(documents, "doc", amount="total", date="doc_date", reference="doc_number", description="counterparty", document="id")
+    doc_date, doc_number, and counterparty where they have it: without it texts share nothing)."""
+    told = "counterparty" if "counterparty" in documents.columns else None
+    rows = entities(documents, "doc", amount="total", date="doc_date", reference="doc_number", description=told, document="id")
     return matches(transactions, rows).select("tx_id", "document_id", "match_type", "score")
 
 

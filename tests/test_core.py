@@ -108,7 +108,8 @@ def test_text_keys(spark):
     assert values(spark, text.name_key, ["  Águas & Cª, Lda. "]) == ["aguas c lda"]
     assert values(spark, text.path_slug, ["A b/C", "///"]) == ["a_bc", "_"]
     assert values(spark, lambda v: text.filled(v, {"Ano": F.lit("2026")}), ["{Ano}/{Mes}"]) == ["2026/_Mes_"]
-    assert values(spark, text.search_terms, ["Qual o total da fatura FT-12 de março"])[0][:3] == ["total", "fatura", "marco"]
+    assert values(spark, text.search_terms, ["Qual o total da fatura FT-12 de março"])[0] == ["total", "marco", "ft-12"]
+    assert values(spark, text.search_terms, ["ver ABCdef hoje 2026"])[0] == ["ver", "abcdef", "hoje", "2026"]
 
 
 def test_vat_golden(spark):
