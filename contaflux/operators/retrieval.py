@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from contaflux.functions.text import chunks
 from contaflux.functions.vectors import cosine, token_bucket
+from contaflux.operators import fulltext
 
 RRF = 60
 
@@ -73,33 +74,15 @@ def search_vector(*columns: Column) -> Column:
 
 
 def web_query(query: str) -> list[list[list[str]]]:
-    """A search as people type it, as alternatives of terms: words must all be there, "or" separates
-    alternatives, quotes keep words together (all of them must be there), a dash before a word
-    excludes it. Each term is a list of words, of which an excluded one begins with a dash."""
-    import re
-
-    out: list[list[list[str]]] = [[]]
-    for dash, quoted, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query.lower()):
-        if word == "or" and not dash:
-            out.append([])
-            continue
-        words = [w for w in re.split(r"[^\w]+", quoted or word) if w]
-        if words:
-            out[-1].append([f"-{w}" for w in words] if dash else words)
-    return [a for a in out if a]
+    """fulltext.parsed() as lists: alternatives of terms, each a list of words that stand in a row; an
+    excluded word begins with a dash."""
+    return [[[f"-{w}" if term.excluded else w for w in term.words] for term in a] for a in fulltext.parsed(query).alternatives]
 
 
 def full_text(rows: DataFrame, query: str, vector: str, columns: list[str]) -> DataFrame:
-    """rows that the query finds in their search vector, or that hold it as it is in one of the
-    columns (any case), with rank: the share of the query's words that the vector has."""
-    alternatives = web_query(query)
-    has = lambda w: ~F.array_contains(vector, w[1:]) if w.startswith("-") else F.array_contains(vector, w)
-    every = [reduce(lambda a, b: a & b, (has(w) for term in a for w in term)) for a in alternatives]
-    found = reduce(lambda a, b: a | b, every) if every else F.lit(False)
-    literal = reduce(lambda a, b: a | b, (F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(query.lower())) for c in columns))
-    words = sorted({w for a in alternatives for term in a for w in term if not w.startswith("-")})
-    hits = F.size(F.array_intersect(vector, F.array(*map(F.lit, words)))) if words else F.lit(0)
-    return rows.where(found | literal).withColumn("rank", F.round(hits / F.lit(float(max(1, len(words)))), 6))
+    """rows that the query finds in their words (vector: in order), or that hold it as it is in one
+    of the columns (any case), with rank. Large tables are better searched by fulltext.written()."""
+    return fulltext.search_rows(rows, query, F.col(vector), columns)
 
 
 def ranked(*lists: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contaflux.operators import boards, extraction, filing, parties, retrieval, states
+from contaflux.operators import boards, extraction, filing, fulltext, parties, retrieval, states
 from contaflux.plans.base import TODAY, YEAR, add, add_raw, cents, euro
 from contaflux.sources import bank, orders, sepa
 
@@ -157,14 +157,39 @@ _WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(concat_ws(' ',
 add("fil_06_search_vector", "fiscal_document", lambda d: d.select("id", F.array_join(F.array_sort(retrieval.search_vector(F.col("doc_number"), F.col("counterparty"), F.col("type"))), " ").alias("vector")), f"SELECT id, array_to_string(list_sort({_WORDS.format('doc_number, counterparty, type')}), ' ') AS vector FROM fiscal_document")
 
 
-def _search(d: DataFrame) -> DataFrame:
-    return retrieval.full_text(d.withColumn("vector", retrieval.search_vector(F.col("doc_number"), F.col("counterparty"), F.col("type"))), '1996 recibo -lda or "pag obrigado" 1997', "vector", ["doc_number", "counterparty"])
+def _asked(d: DataFrame, query: str) -> DataFrame:
+    """Written once as an index, of which only the query's postings are read."""
+    return fulltext.written(d, "doc_id", F.col("text")).search(query).withColumnRenamed("doc", "doc_id")
 
 
-_FOUND = f"""SELECT id, doc_date, round((list_contains(v, '1996')::INTEGER + list_contains(v, '1997')::INTEGER + list_contains(v, 'recibo')::INTEGER + list_contains(v, 'obrigado')::INTEGER + list_contains(v, 'pag')::INTEGER) / 5.0::DOUBLE, 6) AS rank
-FROM (SELECT id, doc_date, {_WORDS.format('doc_number, counterparty, type')} AS v FROM fiscal_document) WHERE (list_contains(v, '1996') AND list_contains(v, 'recibo') AND NOT list_contains(v, 'lda')) OR (list_contains(v, 'pag') AND list_contains(v, 'obrigado') AND list_contains(v, '1997'))"""
-add("fil_05_full_text", "fiscal_document", lambda d: _search(d).select("id", "rank"), f"SELECT id, rank FROM ({_FOUND})")
-add("srt_02_rank_page", "fiscal_document", lambda d: _search(d).orderBy(F.desc("rank"), F.desc("doc_date"), "id").offset(50).limit(50).select("id", "rank"), f"SELECT id, rank FROM ({_FOUND}) ORDER BY rank DESC, doc_date DESC, id LIMIT 50 OFFSET 50")
+_ALTERNATIVES = '"of the" ing -and or licensed or "und die" -zu or "de la" que'
+_TOGETHER = 'the and -"of the" on'
+_PLACES = {w: f"list_filter(range(len(w)), lambda i: w[i + 1] = '{w}')" for w in ("of", "the", "ing", "and", "licensed", "und", "die", "zu", "de", "la", "que", "on")}
+_TEXT_WORDS = f"SELECT doc_id, {', '.join(f'{e} AS {w}_' for w, e in _PLACES.items())} FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM documents)"
+
+
+def _row_sql(a: str, b: str) -> str:
+    return f"len(list_intersect({a}_, list_transform({b}_, lambda x: x - 1))) > 0"
+
+
+def _series_sql(a: str) -> str:
+    return f"coalesce(list_sum(list_transform(range(1, least(len({a}_), 256) + 1), lambda j: 1.0::DOUBLE / (j * j))), 0)"
+
+
+def _near_sql(a: str, b: str) -> str:
+    near = f"list_filter({b}_[1:256], lambda y: abs(x - y) <= 100 AND x <> y)"
+    return f"coalesce(list_sum(flatten(list_transform({a}_[1:256], lambda x: list_transform({near}, lambda y: ln(1 - sqrt(0.01::DOUBLE / (1.005::DOUBLE + 0.05::DOUBLE * exp(abs(x - y) / 1.5::DOUBLE - 2)))))))), 0)"
+
+
+_MANY = [w for w in _PLACES if w != "on"]
+_FOUND = f"""SELECT doc_id, round(({' + '.join(map(_series_sql, _MANY))}) * (0.1::DOUBLE / 1.64493406685::DOUBLE / {len(_MANY)}), 6) AS rank FROM ({_TEXT_WORDS})
+WHERE ({_row_sql('of', 'the')} AND len(ing_) > 0 AND len(and_) = 0) OR len(licensed_) > 0 OR ({_row_sql('und', 'die')} AND len(zu_) = 0) OR ({_row_sql('de', 'la')} AND len(que_) > 0)"""
+_BOTH = [("the", "and"), ("the", "on"), ("and", "on"), ("of", "the"), ("of", "and"), ("of", "on")]
+_FOUND_TOGETHER = f"SELECT doc_id, round(1 - exp({' + '.join(_near_sql(a, b) for a, b in _BOTH)}), 6) AS rank FROM ({_TEXT_WORDS}) WHERE len(the_) > 0 AND len(and_) > 0 AND len(on_) > 0 AND NOT {_row_sql('of', 'the')}"
+add_raw("fil_05_full_text", "documents", lambda d: _asked(d, _ALTERNATIVES), _FOUND)
+add_raw("fil_05_words_together", "documents", lambda d: _asked(d, _TOGETHER), _FOUND_TOGETHER)
+add_raw("fil_06_postings", "documents", lambda d: fulltext.written(d, "doc_id", F.col("text")).all_postings().select(F.col("doc").alias("doc_id"), "word", F.size("at").alias("n"), F.element_at("at", 1).alias("first"), F.element_at("at", -1).alias("last")), """SELECT doc_id, word, CAST(count(*) AS INTEGER) AS n, CAST(min(i) AS INTEGER) AS first, CAST(max(i) AS INTEGER) AS last FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents)) GROUP BY doc_id, word""")
+add_raw("srt_02_rank_page", "documents", lambda d: fulltext.page(_asked(d, _TOGETHER), 2, 50, "doc_id"), f"SELECT doc_id, rank FROM ({_FOUND_TOGETHER}) ORDER BY rank DESC, doc_id LIMIT 50 OFFSET 50")
 _QUERY = [1.0 if i % 3 == 0 else -0.5 for i in range(64)]
 
 
