@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contaflux.functions import dates, fiscal, money, text, vectors
-from contaflux.operators import audit, boards, extraction, filing, parties, reconcile, retrieval, states, tax
+from contaflux.operators import boards, extraction, filing, parties, reconcile, retrieval, states, tax
 from contaflux.plans import fields as field_queries  # noqa: F401  registers its queries
 from contaflux.plans import flows as flow_queries  # noqa: F401
 from contaflux.plans import lists as list_queries  # noqa: F401
+from contaflux.plans import streams as stream_queries  # noqa: F401
 from contaflux.plans.base import ORACLES, QUERIES, TODAY, YEAR, add, add_raw, cents, euro, round2
 from contaflux.plans.domain import with_views
 from contaflux.sources import sepa
@@ -195,19 +196,6 @@ add_raw("join_26_rank_fusion", "embeddings", _fusion, """SELECT key, round(sum(1
 # Audit chain and payments files -------------------------------------------------------
 
 
-def _log(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("payload", audit.payload("action", "id", "user_id"))
-
-
-def _chain(rows: DataFrame) -> DataFrame:
-    log = _log(rows)
-    return audit.verified(log.join(audit.appended(log), ["tenant_id", "id"]))
-
-
-add("win_02_chain_append", "audit", lambda a: audit.appended(_log(a)), None)
-add("win_01_chain_verify", "audit", _chain, "SELECT tenant_id, count(*) AS n, CAST(0 AS BIGINT) AS broken, CAST(NULL AS BIGINT) AS first_broken FROM audit GROUP BY tenant_id")
-
-
 def _transfers(y: DataFrame, p: DataFrame) -> DataFrame:
     who = p.select(F.col("id").alias("party_id"), "name", "iban")
     return sepa.transfers(y.where("approved AND status = 'TO_PAY'").join(who, "party_id").select("id", "amount", "name", "iban", F.lit("Fatura & recibo").alias("remittance")))

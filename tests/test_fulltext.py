@@ -87,6 +87,6 @@ def test_odd_ids_and_long_texts(spark):
     index = fulltext.written(rows, "id", F.col("text"), folders=3)
     assert {r["doc"] for r in index.search("aa").collect()} == {1, 2}
     assert index.documents().count() == 3
-    assert index.search('"aa aa"').count() == 1
+    assert index.search('"aa aa aa"').count() == 1
     empty = fulltext.written(rows.limit(0), "id", F.col("text"))
     assert empty.search("aa").count() == 0 and empty.search("-aa").count() == 0
