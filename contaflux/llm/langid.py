@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from contaflux.llm.common import mixed, pieces
+from contaflux.llm.common import give_back, mixed, pieces
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -180,10 +180,11 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFr
     schema = StructType([rows.schema[c] for c in kept]).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
 
     def run(batches):
-        for batch in pieces(batches, "__text", 4 << 20):
+        for batch in pieces(batches, "__text", 1 << 20):
             found = [classify(x.as_py(), model) for x in batch.column(batch.schema.get_field_index("__text"))]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             columns += [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score", "ambiguous"])
+        give_back()
 
     return rows.mapInArrow(run, schema)

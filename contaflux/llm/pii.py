@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from contaflux.llm.common import pieces
+from contaflux.llm.common import give_back, pieces
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -297,6 +297,7 @@ def masked(docs: DataFrame, key: bytes | None = None, text: str = "text") -> Dat
             columns = list(batch.columns)
             columns[at] = pa.array([t for t, _ in done], batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array([len(p) for _, p in done], pa.int64())], names=schema.names)
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
@@ -310,6 +311,7 @@ def entities(docs: DataFrame, key: bytes | None = None) -> DataFrame:
         for batch in pieces(batches, "text"):
             rows = [p for t in batch.column(0).to_pylist() for p in replaced(t, surrogates)[1]]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["kind", "entity", "surrogate"])
+        give_back()
 
     rows = docs.select("text").mapInArrow(run, "kind string, entity string, surrogate string")
     return rows.groupBy("kind", F.lower("entity").alias("entity"), F.lower("surrogate").alias("surrogate")).agg(F.count("*").alias("n"))

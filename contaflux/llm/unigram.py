@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from contaflux.llm.common import pieces as cut
+from contaflux.llm.common import give_back, pieces as cut
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -233,12 +233,14 @@ def tokenized(docs: DataFrame, path: str = PIECES, text: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Unigram(shared.value)
-        for batch in cut(batches, text, 4 << 20):
+        for batch in cut(batches, text, 1 << 20):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             ids = [model.encode(t) for t in texts]
             same = [model.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]
             more = [pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=schema.names)
+            del texts, ids, same, more
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
@@ -255,6 +257,7 @@ def detokenized(rows: DataFrame, path: str = PIECES) -> DataFrame:
             ids = batch.column(batch.schema.get_field_index("ids")).to_pylist()
             texts = [None if x is None else model.decode(x) for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
+        give_back()
 
     return kept.mapInArrow(run, schema)
 
@@ -269,7 +272,7 @@ def token_digests(docs: DataFrame, path: str = PIECES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Unigram(shared.value)
         fallback = frozenset(model.bytes.values())
-        for batch in cut(batches, "text", 4 << 20):
+        for batch in cut(batches, "text", 1 << 20):
             out = []
             for t in batch.column(1).to_pylist():
                 ids = model.encode(t)
@@ -277,5 +280,6 @@ def token_digests(docs: DataFrame, path: str = PIECES) -> DataFrame:
                 out.append((len(ids), sum(map(fallback.__contains__, ids)), digest, model.decode(ids) == (t or "")))
             columns = [pa.array([row[i] for row in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_pieces", "n_bytes", "ids_md5", "round_trip"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
