@@ -34,25 +34,32 @@ def csv_rows(spark: SparkSession, path: str, mapping: dict[str, str], decimal: s
 
 ENTRY = (
     "Amt struct<_Ccy:string,_VALUE:string>, CdtDbtInd string, BookgDt struct<Dt:string,DtTm:string>, AcctSvcrRef string, "
-    "NtryDtls struct<TxDtls:struct<Refs:struct<EndToEndId:string,TxId:string>,RltdPties:struct<Cdtr:struct<Nm:string>,CdtrAcct:struct<Id:struct<IBAN:string>>,Dbtr:struct<Nm:string>,DbtrAcct:struct<Id:struct<IBAN:string>>>,RmtInf:struct<Ustrd:string>>>"
+    "NtryDtls array<struct<TxDtls:array<struct<Refs:struct<AcctSvcrRef:string,EndToEndId:string,TxId:string,InstrId:string>,RltdPties:struct<Cdtr:struct<Nm:string>,CdtrAcct:struct<Id:struct<IBAN:string>>,Dbtr:struct<Nm:string>,DbtrAcct:struct<Id:struct<IBAN:string>>>,RmtInf:struct<Ustrd:array<string>>>>>>"
 )
 
 
 def camt_rows(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each entry of ISO 20022 statements; entries without a date or a readable amount are left out."""
+    """A row for each entry of ISO 20022 statements; entries without a date or a readable amount are left
+    out. Of an entry of several transactions the amount is the entry's and the references, the party
+    and the remittance are those of the first; transactions says how many there are."""
     raw = spark.read.format("xml").option("rowTag", "Ntry").schema(ENTRY).load(path)
-    tx = "NtryDtls.TxDtls"
+    every = F.flatten(F.filter(F.transform(F.coalesce("NtryDtls", F.array().cast(raw.schema["NtryDtls"].dataType)), lambda d: d["TxDtls"]), lambda t: t.isNotNull()))
+    raw = raw.withColumn("__n", F.size(every)).withColumn("__tx", F.get(every, F.lit(0)))
+    tx = "__tx"
     debit = F.col("CdtDbtInd") == "DBIT"
-    amount = F.replace(F.col("Amt._VALUE"), F.lit(","), F.lit(".")).try_cast("decimal(14,2)")
+    told = F.col("Amt._VALUE")
+    amount = F.abs(F.when(F.contains(told, F.lit(",")), F.replace(F.replace(told, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(told).try_cast("decimal(14,2)"))
     rows = raw.select(
         F.coalesce(F.try_to_date(F.col("BookgDt.Dt"), "yyyy-MM-dd"), F.try_to_date(F.left(F.col("BookgDt.DtTm"), F.lit(10)), "yyyy-MM-dd")).alias("date"),
         F.when(debit, -amount).otherwise(amount).cast("decimal(14,2)").alias("amount"),
         F.coalesce(F.col("Amt._Ccy"), F.lit("EUR")).alias("currency"),
-        F.col("AcctSvcrRef").alias("bank_ref"),
+        F.coalesce(F.col(f"{tx}.Refs.AcctSvcrRef"), F.col("AcctSvcrRef")).alias("bank_ref"),
         F.col(f"{tx}.Refs.EndToEndId").alias("end_to_end_id"),
+        F.coalesce(F.col(f"{tx}.Refs.TxId"), F.col(f"{tx}.Refs.InstrId")).alias("tx_id"),
         F.when(debit, F.col(f"{tx}.RltdPties.Cdtr.Nm")).otherwise(F.col(f"{tx}.RltdPties.Dbtr.Nm")).alias("counterparty"),
         F.when(debit, F.col(f"{tx}.RltdPties.CdtrAcct.Id.IBAN")).otherwise(F.col(f"{tx}.RltdPties.DbtrAcct.Id.IBAN")).alias("counterparty_iban"),
-        F.col(f"{tx}.RmtInf.Ustrd").alias("remittance"),
+        F.get(F.col(f"{tx}.RmtInf.Ustrd"), F.lit(0)).alias("remittance"),
+        F.col("__n").alias("transactions"),
     )
     return rows.where("date IS NOT NULL AND amount IS NOT NULL")
 
