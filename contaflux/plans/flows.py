@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contaflux.operators import boards, extraction, filing, fulltext, parties, retrieval, states
-from contaflux.plans.base import TODAY, YEAR, add, add_raw, cents, euro
+from contaflux.functions.money import ANOMALY_WEIGHTS
+from contaflux.operators import anomalies, boards, extraction, filing, fulltext, parties, retrieval, states
+from contaflux.plans.base import ORACLES, QUERIES, TODAY, YEAR, add, add_raw, cents, euro
 from contaflux.sources import bank, orders, sepa
 
 _NOW = datetime.datetime(1997, 1, 1, 12)
@@ -139,14 +141,53 @@ add("agg_05_journal_sums", "journal", lambda j: j.groupBy("account_id").agg((F.s
 add("agg_06_expense_total", "expense", lambda e: boards.expense_total(e, YEAR), f"SELECT {euro(f'sum({cents("amount")})')} AS total FROM expense WHERE status <> 'REJECTED' AND year(date) = {YEAR}")
 
 
-def _signals(d: DataFrame) -> DataFrame:
-    flag = lambda k, name: F.when(F.col("id") % k == 0, name)
-    return d.select("id", F.filter(F.array(flag(3, "DUPLICATE_NUMBER"), flag(3, "DUPLICATE_NUMBER"), flag(5, "INCONSISTENT_TAX"), flag(7, "MISSING_NIF"), flag(2, "DATE_ANOMALY"), flag(11, "UNKNOWN")), lambda x: x.isNotNull()).alias("signals"))
-
-
-_SCORED = "SELECT id, CASE WHEN id % 3 = 0 THEN 30 ELSE 0 END + CASE WHEN id % 5 = 0 THEN 25 ELSE 0 END + CASE WHEN id % 7 = 0 THEN 15 ELSE 0 END + CASE WHEN id % 2 = 0 THEN 5 ELSE 0 END AS score, id % 3 <> 0 AND id % 5 <> 0 AND id % 7 <> 0 AND id % 2 <> 0 AND id % 11 <> 0 AS clean FROM fiscal_document"
-add("agg_22_anomalies", "fiscal_document", lambda d: boards.anomalies(_signals(d)), f"SELECT id, CAST(score AS INTEGER) AS score, CASE WHEN score >= 50 THEN 'CRITICAL' WHEN score >= 30 THEN 'HIGH' WHEN score >= 15 THEN 'MEDIUM' ELSE 'LOW' END AS level, CASE WHEN score >= 50 THEN 'block' WHEN score >= 30 THEN 'review' WHEN score >= 15 THEN 'flag' ELSE 'ignore' END AS action, clean FROM ({_SCORED})")
-add("agg_23_anomaly_summary", "fiscal_document", lambda d: boards.anomaly_summary(boards.anomalies(_signals(d))), f"SELECT count(*) AS scanned, count(*) FILTER (clean) AS clean, count(*) FILTER (NOT clean) AS flagged FROM ({_SCORED})")
+#: Documents with what their upload (events) and vector (embeddings) of the same number say.
+_FILED = f"""SELECT o_orderkey AS id, o_custkey % 4 AS tenant_id, o_custkey AS party_id, concat('FT ', year(o_orderdate), '/', month(o_orderdate), '/', o_custkey) AS number, concat('h', o_orderkey) AS file_hash,
+coalesce(floor(value + 0.5), o_totalprice) AS total, cast(o_orderdate AS date) AS doc_date, cast(500000000 + o_custkey AS varchar(20)) AS nif, concat('PT50', o_custkey + CASE WHEN floor(o_totalprice) % 9 = 0 THEN 1 ELSE 0 END) AS iban,
+ts AS uploaded, user_id AS ip, embedding AS vector, label AS supplier FROM orders LEFT JOIN events ON event_id = o_orderkey LEFT JOIN embeddings ON vec_id = o_orderkey"""
+_TAXED = "SELECT l_orderkey AS document_id, l_extendedprice AS base, l_tax AS rate, CASE WHEN l_returnflag = 'R' THEN l_extendedprice * (1 - l_discount) * l_tax ELSE l_extendedprice * l_tax END AS tax FROM lineitem"
+_KNOWN = "SELECT c_custkey AS party_id, concat('PT50', c_custkey) AS iban FROM customer WHERE c_acctbal > 0"
+_BURSTS = (4, 6 * 3600)
+
+
+def _signals(spark, sf_dir: str) -> DataFrame:
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "events", "embeddings", "lineitem", "customer")}
+    filed, taxed, known = (spark.sql(_named(q, tables), **tables) for q in (_FILED, _TAXED, _KNOWN))
+    filed = filed.withColumnRenamed("uploaded", "at")
+    return anomalies.signals(filed, taxed, known, filed.select("id", "supplier", "vector"), TODAY, burst=_BURSTS, sigma=2.0, drift=0.95)
+
+
+def _named(query: str, tables: dict[str, DataFrame]) -> str:
+    """The query over frames instead of tables."""
+    return re.sub(rf"\b(FROM|JOIN) ({'|'.join(tables)})\b", r"\1 {\2}", query)
+
+
+_SUM = "list_sum(list_transform(range(1, 9), lambda i: CAST(substr(nif, i, 1) AS INTEGER) * (10 - i))) % 11"
+_STEP = f"list_transform(vector, lambda x: CAST(round(x::DOUBLE * 1048576) AS BIGINT))"
+_DOT = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i]::DOUBLE * {1}[i]))"
+_RANGE = f"count(*) OVER (PARTITION BY ip ORDER BY epoch_us(uploaded) RANGE BETWEEN {_BURSTS[1] * 1000000} PRECEDING AND CURRENT ROW)"
+_SIGNALS = f"""WITH filed AS ({_FILED}), taxed AS ({_TAXED}), known AS ({_KNOWN}), steps AS (SELECT id, supplier, {_STEP} AS v FROM filed WHERE supplier IS NOT NULL AND len(vector) > 0),
+sums AS (SELECT supplier, list(s ORDER BY i) AS s, any_value(n) AS n FROM (SELECT supplier, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT supplier, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM steps) GROUP BY supplier, i) GROUP BY supplier),
+rest AS (SELECT id, v, list_transform(range(1, len(s) + 1), lambda i: s[i] - v[i]) AS r FROM steps JOIN sums USING (supplier) WHERE n >= 3),
+signals AS (
+SELECT id, 'DUPLICATE_NUMBER' AS signal FROM filed WHERE (tenant_id, number) IN (SELECT (tenant_id, number) FROM filed GROUP BY tenant_id, number HAVING count(DISTINCT file_hash) > 1)
+UNION ALL SELECT document_id, 'INCONSISTENT_TAX' FROM taxed GROUP BY document_id HAVING abs(sum({cents('tax')} - {cents('base * rate')})) > count(*)
+UNION ALL SELECT id, 'IBAN_MISMATCH' FROM filed WHERE party_id IN (SELECT party_id FROM known) AND iban NOT IN (SELECT iban FROM known WHERE known.party_id = filed.party_id)
+UNION ALL SELECT a.id, 'DUPLICATE_AMOUNT' FROM filed a WHERE EXISTS (SELECT 1 FROM filed b WHERE b.id <> a.id AND b.tenant_id = a.tenant_id AND b.party_id = a.party_id AND {cents('b.total')} = {cents('a.total')} AND abs(epoch_us(a.uploaded) - epoch_us(b.uploaded)) <= 86400000000)
+UNION ALL SELECT id, 'MISSING_NIF' FROM filed WHERE CAST(right(nif, 1) AS INTEGER) <> CASE WHEN {_SUM} < 2 THEN 0 ELSE 11 - {_SUM} END
+UNION ALL SELECT id, 'BURST_UPLOAD' FROM (SELECT id, {_RANGE} AS n FROM filed WHERE uploaded IS NOT NULL) WHERE n > {_BURSTS[0]}
+UNION ALL SELECT id, 'SUSPICIOUS_TOTAL' FROM (SELECT *, count(*) OVER w AS n, sum({cents('total')}) OVER w AS s, sum(CAST({cents('total')} AS HUGEINT) * {cents('total')}) OVER w AS q FROM filed WINDOW w AS (PARTITION BY party_id ORDER BY doc_date, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+WHERE n >= 3 AND sqrt(greatest(q::DOUBLE / n - (s::DOUBLE / n) * (s::DOUBLE / n), 0)) > 0 AND {cents('total')} - s::DOUBLE / n > 2.0 * sqrt(greatest(q::DOUBLE / n - (s::DOUBLE / n) * (s::DOUBLE / n), 0))
+UNION ALL SELECT id, 'DATE_ANOMALY' FROM filed WHERE doc_date > DATE '{TODAY}' + 30 OR doc_date < DATE '{TODAY}' - INTERVAL 2 YEAR
+UNION ALL SELECT id, 'ROUND_AMOUNTS' FROM (SELECT id, count(*) OVER (PARTITION BY tenant_id, date_trunc('month', doc_date)) AS n FROM filed WHERE {cents('total')} % 100 = 0) WHERE n >= 2
+UNION ALL SELECT id, 'STRUCTURE_DRIFT' FROM rest WHERE round(1 - {_DOT.format('v', 'r')} / sqrt({_DOT.format('v', 'v')} * {_DOT.format('r', 'r')}), 6) > 0.95)"""
+_WEIGHED = f"""{_SIGNALS}, scored AS (SELECT f.id, coalesce(sum(CASE signal {' '.join(f"WHEN '{k}' THEN {v}" for k, v in ANOMALY_WEIGHTS.items())} END), 0) AS score, count(signal) = 0 AS clean FROM filed f LEFT JOIN (SELECT DISTINCT * FROM signals) s ON s.id = f.id GROUP BY f.id)"""
+QUERIES["agg_22_signals"] = lambda spark, sf_dir: _signals(spark, sf_dir).select("id", F.array_join("signals", ",").alias("signals"))
+ORACLES["agg_22_signals"] = f"{_SIGNALS} SELECT f.id, coalesce(string_agg(DISTINCT signal, ',' ORDER BY signal), '') AS signals FROM filed f LEFT JOIN signals s ON s.id = f.id GROUP BY f.id"
+QUERIES["agg_22_anomalies"] = lambda spark, sf_dir: boards.anomalies(_signals(spark, sf_dir))
+ORACLES["agg_22_anomalies"] = f"{_WEIGHED} SELECT id, CAST(score AS INTEGER) AS score, CASE WHEN score >= 50 THEN 'CRITICAL' WHEN score >= 30 THEN 'HIGH' WHEN score >= 15 THEN 'MEDIUM' ELSE 'LOW' END AS level, CASE WHEN score >= 50 THEN 'block' WHEN score >= 30 THEN 'review' WHEN score >= 15 THEN 'flag' ELSE 'ignore' END AS action, clean FROM scored"
+QUERIES["agg_23_anomaly_summary"] = lambda spark, sf_dir: boards.anomaly_summary(boards.anomalies(_signals(spark, sf_dir)))
+ORACLES["agg_23_anomaly_summary"] = f"{_WEIGHED} SELECT count(*) AS scanned, count(*) FILTER (clean) AS clean, count(*) FILTER (NOT clean) AS flagged FROM scored"
 add("win_07_supplier_outliers", "fiscal_document", lambda d: boards.supplier_outliers(d, 2.0), f"""SELECT id, party_id, total FROM (SELECT *, count(*) OVER w AS n, sum({cents('total')}) OVER w AS s, sum(CAST({cents('total')} AS HUGEINT) * {cents('total')}) OVER w AS q FROM fiscal_document WINDOW w AS (PARTITION BY party_id ORDER BY doc_date, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 WHERE n >= 3 AND sqrt(greatest(q::DOUBLE / n - (s::DOUBLE / n) * (s::DOUBLE / n), 0)) > 0 AND {cents('total')} - s::DOUBLE / n > 2.0 * sqrt(greatest(q::DOUBLE / n - (s::DOUBLE / n) * (s::DOUBLE / n), 0))""")
 add_raw("win_08_same_total", "events", lambda e: boards.same_total(e.select(F.col("event_id").alias("id"), (F.col("user_id") % 40).alias("party_id"), F.round(F.col("value") / 20).alias("total"), F.col("ts").alias("at"))).select("id", "n"), "SELECT event_id AS id, count(*) OVER (PARTITION BY user_id % 40, round(value / 20) ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS n FROM events")
