@@ -520,7 +520,9 @@ def linked(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "ngram-join")
     rows = docs.select("doc_id", "text")
     every = scratch.keep(prefixes(rows, frequent_shingles(rows)))
-    nodes = scratch.keep(every.where("n > 0").groupBy("node").agg(F.min(F.struct("th", "doc_id")).alias("o"), F.min("doc_id").alias("first")).select("node", F.col("first"), "o.th", F.col("o.doc_id").alias("least")))
+    # Of each set the document with the least id tells its text (one without an id only if there is no other).
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th")).alias("o")
+    nodes = scratch.keep(every.where("n > 0").groupBy("node").agg(lead).select("node", F.col("o.doc_id").alias("first"), "o.th", F.col("o.doc_id").alias("least")))
     own = scratch.keep(every.select("doc_id", "th", "node", "n"))
     rare, often = (every.where("rare is not null").select(F.explode(c).alias("token"), "node", "n") for c in ("rare", "often"))
     # Rare shingles have short blocks. Blocks of frequent ones may be long: their rows are told apart by the node too.

@@ -23,7 +23,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.linked(table(spark, sf_dir, "documents"))
+    return ngram_join.linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
