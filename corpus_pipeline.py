@@ -48,7 +48,11 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     scratch = Scratch(spark, "deduplicated")
     found = scratch.keep(ngram_join.linked(docs).where("n_shingles > 0").select("doc_id", F.col("text_hash").alias("th"), "component_id", "component"))
     own = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    first = scratch.keep(found.where(own).groupBy("component", "doc_id", "th").count())
+    # Only ids that come again can lead a component with several texts or rows.
+    repeated = scratch.keep(found.where(own).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__i")))
+    few = repeated.count() <= MOST_BROADCAST
+    first = found.where(own).join(F.broadcast(repeated) if few else repeated, F.col("doc_id").eqNullSafe(F.col("__i")), "left_semi")
+    first = scratch.keep(first.groupBy("component", "doc_id", "th").count())
     best = first.groupBy("component").agg(F.min("th").alias("best"), F.count("*").alias("texts")).where("texts > 1")
     others = first.join(best, "component").where(F.col("th") != F.col("best"))
     kept = without(docs.select(COLUMNS), found.where(~own).select("doc_id", "th").unionByName(others.select("doc_id", "th")), scratch)
