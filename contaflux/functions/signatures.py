@@ -27,13 +27,20 @@ def hmac(key: Column | str, body: Column) -> Column:
     """HMAC-SHA-256 of a text or binary body under a key (a column or one secret), as hexadecimal.
     Null where either is null. Nothing leaves the JVM, and one secret's pads are folded once."""
     key = F.lit(key) if isinstance(key, str) else key
-    inner = F.unhex(F.sha2(F.concat(_padded(key, 0x36), body.cast("binary")), 256))
-    return F.sha2(F.concat(_padded(key, 0x5C), inner), 256)
+    return _digest(_padded(key, 0x36), _padded(key, 0x5C), body)
+
+
+def _digest(inner: Column, outer: Column, body: Column) -> Column:
+    """From the key's two padded forms."""
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, body.cast("binary")), 256))), 256)
 
 
 def signed(key: Column | str, body: Column, scheme: str = "sha256") -> Column:
     """The signature of a body as the scheme writes it."""
-    digest = hmac(key, body)
+    return _as_written(hmac(key, body), scheme)
+
+
+def _as_written(digest: Column, scheme: str) -> Column:
     if scheme not in SCHEMES:
         raise ValueError(f"no such scheme: {scheme}")
     return {"sha256": digest, "sha256-base64": F.base64(F.unhex(digest)), "prefixed": F.concat(F.lit(PREFIX), digest)}[scheme]
@@ -43,12 +50,16 @@ def fault(key: Column | str, body: Column, signature: Column, scheme: str = "sha
     """What is wrong with a signature: null if it is right, ``malformed`` if there is none (null or
     empty), else ``mismatch``, also without a key. Blanks around it and a missing prefix don't matter."""
     key = F.lit(key) if isinstance(key, str) else key
+    want = hmac(key, F.coalesce(body.cast("binary"), F.lit(b"")))
+    right = F.coalesce((F.octet_length(key.cast("binary")) > 0) & _agrees(signature, want, scheme), F.lit(False))
+    return F.when(signature.isNull() | (signature == ""), "malformed").when(~right, "mismatch")
+
+
+def _agrees(signature: Column, digest: Column, scheme: str) -> Column:
     told = F.trim(signature)
     if scheme == "prefixed":
-        told = F.when(F.startswith(told, F.lit(PREFIX)), F.substring(told, F.lit(len(PREFIX) + 1), F.length(told))).otherwise(told)
-    want = signed(key, F.coalesce(body.cast("binary"), F.lit(b"")), "sha256" if scheme == "prefixed" else scheme)
-    right = F.coalesce((F.octet_length(key.cast("binary")) > 0) & (told == want), F.lit(False))
-    return F.when(signature.isNull() | (signature == ""), "malformed").when(~right, "mismatch")
+        told, scheme = F.when(F.startswith(told, F.lit(PREFIX)), F.substring(told, F.lit(len(PREFIX) + 1), F.length(told))).otherwise(told), "sha256"
+    return told == _as_written(digest, scheme)
 
 
 def routed(calls: DataFrame, tenants: DataFrame, scheme: str = "sha256", most: int = 200) -> DataFrame:
@@ -64,9 +75,11 @@ def routed(calls: DataFrame, tenants: DataFrame, scheme: str = "sha256", most: i
     out, found = calls, []
     for i in range(rounds):
         part = some if rounds == 1 else some.where(F.pmod(F.xxhash64("tenant_id"), F.lit(rounds)) == i)
-        keys = part.groupBy("provider").agg(F.sort_array(F.collect_list(F.struct("tenant_id", "secret"))).alias(f"__k{i}"))
+        pads = F.struct("tenant_id", _padded(F.col("secret"), 0x36).alias("inner"), _padded(F.col("secret"), 0x5C).alias("outer"))
+        keys = part.groupBy("provider").agg(F.sort_array(F.collect_list(pads)).alias(f"__k{i}"))
         out = out.join(keys, "provider", "left")
-        right = F.filter(f"__k{i}", lambda k: fault(k["secret"], F.col("body"), F.col("signature"), scheme).isNull())
+        body = F.coalesce(F.col("body").cast("binary"), F.lit(b""))
+        right = F.filter(f"__k{i}", lambda k: F.coalesce(_agrees(F.col("signature"), _digest(k["inner"], k["outer"], body), scheme), F.lit(False)))
         out = out.withColumn(f"__t{i}", F.get(F.transform(right, lambda k: k["tenant_id"]), F.lit(0))).drop(f"__k{i}")
         found.append(F.col(f"__t{i}"))
     first = found[0] if len(found) == 1 else F.least(*found)

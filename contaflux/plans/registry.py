@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from contaflux.functions import dates, fiscal, money, text, vectors
 from contaflux.operators import boards, extraction, filing, parties, reconcile, retrieval, states, tax
-from contaflux.plans import fields as field_queries  # noqa: F401  registers its queries
+from contaflux.plans import exchange as exchange_queries  # noqa: F401  registers its queries
+from contaflux.plans import fields as field_queries  # noqa: F401
 from contaflux.plans import flows as flow_queries  # noqa: F401
 from contaflux.plans import lists as list_queries  # noqa: F401
 from contaflux.plans import streams as stream_queries  # noqa: F401
