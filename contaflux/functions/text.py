@@ -69,10 +69,14 @@ def filled(template: Column, context: dict[str, Column]) -> Column:
     return F.regexp_replace(template, r"\{(\w+)\}", r"_$1_")
 
 
+#: Between an ASCII letter, digit or underscore and anything else.
+_EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
 def search_terms(query: Column, most: int = 12) -> Column:
     """Words of three letters on without stop words, then codes and numbers as they were written."""
     words = F.filter(F.split(F.lower(strip_accents(query)), "[^a-z0-9]+"), lambda w: (F.length(w) >= 3) & ~w.isin(STOP_WORDS))
-    codes = F.regexp_extract_all(query, F.lit(r"(\b[A-Z0-9/-]{3,}\b|\b\d{2,}\b)"), F.lit(1))
+    codes = F.regexp_extract_all(query, F.lit(rf"({_EDGE}[A-Z0-9/-]{{3,}}{_EDGE}|{_EDGE}\d{{2,}}{_EDGE})"), F.lit(1))
     return F.slice(F.array_distinct(F.concat(words, F.transform(codes, F.lower))), 1, most)
 
 

@@ -13,11 +13,11 @@ VIEWS: dict[str, tuple[str, str, list[tuple[str, str]]]] = {
         ("status", "CASE WHEN o_orderkey % 7 = 0 THEN 'ARQUIVADO' WHEN o_orderkey % 3 = 0 THEN 'NOVO' WHEN o_orderkey % 3 = 1 THEN 'EM_REVISAO' ELSE 'APROVADO' END"),
         ("file_hash", "concat('h', o_orderkey % 9000)"),
         ("counterparty", "CASE WHEN o_orderkey % 4 = 0 THEN concat('MOV ', o_custkey) WHEN o_orderkey % 4 = 1 THEN concat('Fornecedor ', o_custkey, ' Lda') WHEN o_orderkey % 4 = 2 THEN NULL ELSE 'Pag. Obrigado' END")]),
-    "expense": ("orders", "o_orderkey % 2 = 0", [
+    "expense": ("orders", "true", [
         ("id", "o_orderkey"), ("tenant_id", "o_custkey % 4"), ("amount", "CASE WHEN o_orderkey % 6 = 0 THEN o_totalprice + 100 ELSE o_totalprice END"), ("date", "cast(o_orderdate AS date)"),
         ("description", "CASE WHEN o_orderkey % 6 = 0 THEN concat('Despesa ft ', year(o_orderdate), '/', o_orderkey, ' ') ELSE 'Despesa' END"), ("status", "CASE WHEN o_orderkey % 5 = 0 THEN 'REJECTED' ELSE 'APPROVED' END"),
         ("document_id", "CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey ELSE NULL END")]),
-    "invoice": ("orders", "o_orderkey % 3 <> 1", [
+    "invoice": ("orders", "true", [
         ("id", "o_orderkey"), ("tenant_id", "o_custkey % 4"), ("number", "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE concat('FR ', o_orderkey) END"), ("amount", "o_totalprice"),
         ("date", "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE cast(o_orderdate AS date) END"), ("customer", "concat('Cliente ', o_custkey)"), ("document_id", "CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey ELSE NULL END")]),
     "document_item": ("lineitem", "true", [

@@ -33,34 +33,15 @@ def of(*values) -> str:
 
 # Texts --------------------------------------------------------------------------------
 
-case("str_02_category_key", lambda: text.category_key(pick("Refeições", "ÁGUA Fria", None)), of("refeicoes", "agua fria", ""))
-case("str_03_name_key", lambda: text.name_key(pick("  João & Filhos, Lda.", "", None, "ÉVORA-Sul")), of("joao filhos lda", "", "", "evora sul"))
-case("str_05_path_slug", lambda: text.path_slug(pick("Águas do Porto", "a__b  c", "//", "_x_")), of("guas_do_porto", "a_b_c", "_", "x"))
-case("str_06_category_slug", lambda: text.category_slug(pick("Rendas/Casa", "Outras", None)), of("rendas-casa", "outras", "_"))
-case("str_11_origin", lambda: text.origin_label(pick("PT", " pt ", "ES", "", None)), of("Nacional", "Nacional", "Estrangeira", "", ""))
-case("str_12_search_terms", lambda: F.array_join(text.search_terms(pick("Quanto gastei na EDP em FT 2026/12?", "mostra faturas", "Energia energia 77")), ","), of("gastei,edp,2026,2026/12", "", "energia,77"))
-case("str_17_csv_escape", lambda: text.csv_escaped(pick('a"b', "a;b", "plain", "x\ny")), of('"a""b"', '"a;b"', "plain", '"x\ny"'))
-case("str_18_extension", lambda: text.extension(pick("a.PDF", "../x.pdf", "noext", "a.", "long.abcdef", "a.b.Jpg")), of(".pdf", "", "", "", "", ".jpg"))
-case("str_19_mime_extension", lambda: text.mime_extension(pick("application/pdf", "IMAGE/JPG", "text/plain", None)), of(".pdf", ".jpg", "", ""))
-case("str_20_pt_amount", lambda: money.pt_amount(F.get(F.array(F.lit(1234.5), F.lit(12345.678), F.lit(0.5)), (F.col("id") % 3).cast("int"))), of("1234,50", "12.345,68", "0,50"))
-case("str_22_currency", lambda: text.currency(pick("total £5", "USD 5", "SFr. 10", "10 EUR")), of("GBP", "USD", "CHF", "EUR"))
-case("str_23_locale", lambda: F.concat_ws("/", text.locale(text.currency_country(pick("GBP", "USD", "CHF", "EUR"))), text.locale(pick("PT", "IE", "BR", None))), of("en-GB/pt-PT", "us-US/en-IE", "ch-CH/br-BR", ""))
-case("str_25_intent", lambda: text.intent(pick("Qual o TOTAL?", "mostra a fatura ft 1", "comparar meses", "há algo estranho?", "explica isto", "proximo mês", "há duplicados?", "estado atual", "que tipo é", "exporta csv", "bom dia")), of("AGGREGATION", "LOOKUP", "COMPARISON", "ANOMALY", "EXPLANATION", "PREDICTION", "DUPLICATE_CHECK", "STATUS", "CLASSIFY", "EXPORT", "GENERAL"))
-case("str_26_atcud_asked", lambda: text.asked_atcud(pick("qual o ATCUD: ABCD1234-9?", "nada")), of("ABCD1234-9", None))
 _KIND = lambda s: F.concat_ws(":", s["type"], s["confidence"].cast("string"))
 case("str_27_name_type", lambda: _KIND(filing.name_type(pick("ft_2026.pdf", "Fatura.pdf", "nc 12.pdf", "dua.pdf", "guia-1.pdf", "contrato.pdf", "foto.png", "extrato.pdf", "fs 1.pdf", "encomenda.pdf"))), of("FATURA_RECEBIDA:0.8", "FATURA_RECEBIDA:0.8", "NOTA_CREDITO:0.75", "DUA_IMPORTACAO:0.9", "GUIA_TRANSPORTE:0.75", "CONTRATO:0.85", "", "EXTRATO_BANCARIO:0.85", "FATURA_SIMPLIFICADA:0.8", "ENCOMENDA:0.8"))
 case("str_28_qr_class", lambda: _KIND(filing.qr_class(pick("FT", "fs", "FR", "NC", "ND", "RC", "ZZ", None))), of("FATURA_RECEBIDA:0.95", "FATURA_SIMPLIFICADA:0.95", "FATURA_RECIBO:0.95", "NOTA_CREDITO:0.95", "NOTA_DEBITO:0.95", "RECIBO_PAGAMENTO:0.95", "FATURA_RECEBIDA:0.95", ""))
 case("str_29_keyword_type", lambda: _KIND(filing.keyword_type(pick("Factura recibo", "INVOICE 1", "fatura simplificada", "recibo", "nota de crédito", "bank statement", "guia de remessa", "remuneração", "bom dia"))), of("FATURA_RECIBO:0.7", "FATURA_RECEBIDA:0.65", "FATURA_SIMPLIFICADA:0.75", "RECIBO_PAGAMENTO:0.65", "NOTA_CREDITO:0.7", "EXTRATO_BANCARIO:0.75", "GUIA_TRANSPORTE:0.7", "RECIBO_VENCIMENTO:0.7", "OUTRO:0.3"))
 case("str_30_classified", lambda: _KIND(filing.classified(pick("ft_1.pdf", "nc_1.pdf", "x.pdf", "x.pdf", "x.pdf"), pick("contrato", "contrato", "contrato", "contrato", "nada"), pick(None, "FS", "NC", None, None))), of("FATURA_RECEBIDA:0.8", "FATURA_SIMPLIFICADA:0.95", "NOTA_CREDITO:0.95", "CONTRATO:0.65", "UNIDENTIFIED:0.1"))
 case("str_31_text_type", lambda: text.text_type(pick("Nota de crédito e fatura", "DEBIT NOTE", "recibo de fatura", "Rechnung 5", "nada", "pré-faturado")), of("NOTA_CREDITO", "NOTA_DEBITO", "RECIBO", "FATURA_RECEBIDA", None, None))
-case("str_32_label_type", lambda: text.label_type(pick("Nota de Crédito", "debit-note", "Reçu", "Fatura-Recibo n.º FT 2026/1", "fatura emitida", "packing slip", "??", None, "order", "proof of payment")), of("NOTA_CREDITO", "NOTA_DEBITO", "RECIBO", "RECIBO", "FATURA_EMITIDA", "GUIA_TRANSPORTE", None, None, "ENCOMENDA", "COMPROVATIVO"))
 case("str_33_qr_type", lambda: fiscal.qr_type(pick("FT", "fr", "NC", "ND", "RG", "XX")), of("FATURA_RECEBIDA", "FATURA_RECEBIDA", "NOTA_CREDITO", "NOTA_DEBITO", "RECIBO", None))
 case("str_34_expense_category", lambda: filing.expense_category(pick("Restaurante O Mar", "GASÓLEO", "Hotel Central", "Portagem A1", "Toner", "62.2.1 Honorários", "MEO fibra", "Arrendamento", "Seguro", "62.2.4")), of("Refeições", "Combustível", "Alojamento", "Deslocações", "Material de escritório", "Serviços/FSE", "Comunicações", "Rendas", None, "Refeições"))
-case("str_35_category_known", lambda: filing.known_category(pick("Rendas", "rendas", None, "Outras")), of(True, False, False, True))
 case("str_38_qr_line", lambda: extraction.qr_line(pick("x\nA:500000000*B:1\ny", "A:1*", None)), of("A:500000000*B:1", None, None))
-case("str_39_qr_likely", lambda: fiscal.qr_likely(pick("A:500000000*B:1", "fatura A: 1 * 2", "A:12", "sem nada de nada")), of(True, True, False, False))
-case("str_40_qr_field", lambda: F.concat_ws("|", fiscal.qr_field(pick("A:5*O:12.5*H:", "O:1*A:2", "x"), "O"), fiscal.qr_field(pick("A:5*O:12.5*H:", "O:1*A:2", "x"), "A")), of("12.5|5", "1|2", ""))
-case("str_41_atcud", lambda: F.concat_ws("|", fiscal.atcud(pick("J66S9FDD-1", "abcdef-123", "SHORT-1", "ABCDEFG-"))["code"], fiscal.atcud(pick("J66S9FDD-1", "abcdef-123", "SHORT-1", "ABCDEFG-"))["sequence"]), of("J66S9FDD|1", "ABCDEF|123", "", ""))
 case("str_42_first_object", lambda: extraction.first_object(pick('x {"a":"}{"} y', "<think>{}</think>```json\n{\"b\":{\"c\":1}}```", "none", '{"open":')), of('{"a":"}{"}', '{"b":{"c":1}}', None, None))
 case("str_45_remittance", lambda: text.remittance(pick("Renda", None, "", "x"), F.col("doc_number"), pick("AB-1", None)), "concat(CASE id % 4 WHEN 0 THEN 'Renda | ' WHEN 3 THEN 'x | ' ELSE '' END, 'fat: ', doc_number, CASE WHEN id % 2 = 0 THEN ' | atcud: AB-1' ELSE '' END)")
 case("str_10_filing_folder", lambda: filing.filing_folder(F.col("doc_date"), pick("Loja", None), pick("Rendas/Casa", "Outras", None), pick("PT", "ES", None, "FR"), F.col("id") % 3 == 0), """CASE WHEN id % 4 IN (1, 3) THEN concat('/Estrangeiras/', CASE WHEN id % 3 = 0 AND id % 2 = 0 THEN 'Fornecedor/loja' WHEN id % 3 = 0 THEN 'Despesa/rendas-casa' WHEN id % 3 = 1 THEN 'Despesa/outras' ELSE 'Geral' END, strftime(doc_date, '/%Y/%m'))
@@ -68,48 +49,29 @@ WHEN id % 3 = 0 AND id % 2 = 0 THEN concat('/Fornecedores/loja', strftime(doc_da
 
 # Dates --------------------------------------------------------------------------------
 
-case("dat_01_bank_date", lambda: F.date_format(dates.bank_date(pick("2026-03-15", "15/03/26", "31.02.2026", "1-3-2026", "x")), "yyyy-MM-dd"), of("2026-03-15", "2026-03-15", None, "2026-03-01", None))
-_DATE = lambda: dates.invoice_date(pick("2026-3-5", "05/03/2026", "03/15/2026", "31.02.2026", "5-3-2026", "x"), pick("PT", "US", None, "PT", "PT", "PT"))
-case("dat_02_invoice_date", lambda: F.concat_ws("|", F.date_format(_DATE()["date"], "yyyy-MM-dd"), _DATE()["ambiguous"].cast("string")), of("2026-03-05|false", "2026-05-03|true", "2026-03-15|false", "false", "2026-03-05|true", "false"))
-case("dat_03_qr_date", lambda: dates.qr_date(pick("20260315", "20269999", "2026", None)), of("2026-03-15", "2026-99-99", None, None))
 add("dat_04_quarter", DOC, lambda d: d.where((F.col("doc_date") >= dates.quarter_start(1996, 4)) & (F.col("doc_date") < dates.quarter_end(1996, 4))).select("id", "doc_date"), "SELECT id, doc_date FROM fiscal_document WHERE doc_date >= DATE '1996-10-01' AND doc_date < DATE '1997-01-01'")
-_MONTH = lambda: dates.month_phrase(pick("quanto este mês?", "no proximo mes", "o mês passado", "em 02/2024", "em 13/2024", "hoje"), F.lit(datetime.date(2026, 1, 31)))
-case("dat_05_month_phrase", lambda: F.concat_ws("|", F.date_format(_MONTH()["start"], "yyyy-MM-dd"), F.date_format(_MONTH()["end"], "yyyy-MM-dd")), of("2026-01-01|2026-01-31", "2026-02-01|2026-02-28", "2025-12-01|2025-12-31", "2024-02-01|2024-02-29", "", ""))
 add("dat_07_steps", "schedule", lambda s: s.select("id", dates.stepped(F.col("due_date"), F.col("recurrence"), F.col("step").cast("int")).alias("next")), """SELECT id, CAST(CASE recurrence WHEN 'DAILY' THEN due_date + step * INTERVAL 1 DAY WHEN 'WEEKLY' THEN due_date + 7 * step * INTERVAL 1 DAY
 WHEN 'MONTHLY' THEN date_trunc('month', due_date) + step * INTERVAL 1 MONTH + (day(due_date) - 1) * INTERVAL 1 DAY WHEN 'QUARTERLY' THEN date_trunc('month', due_date) + 3 * step * INTERVAL 1 MONTH + (day(due_date) - 1) * INTERVAL 1 DAY
 WHEN 'YEARLY' THEN date_trunc('month', due_date) + 12 * step * INTERVAL 1 MONTH + (day(due_date) - 1) * INTERVAL 1 DAY END AS DATE) AS next FROM schedule""")
 case("dat_11_default_due", lambda: dates.default_due(F.col("doc_date")), "CAST(doc_date + INTERVAL 30 DAY AS DATE)")
-case("dat_13_calendar_date", lambda: F.date_format(dates.calendar_date(pick("2024-02-29", "2023-02-29", "2024-2-9", "x")), "yyyy-MM-dd"), of("2024-02-29", None, None, None))
 case("dat_14_date_slug", lambda: dates.date_slug(F.col("doc_date")), "strftime(doc_date, '%Y-%m-%d')")
 
 # Amounts ------------------------------------------------------------------------------
 
-case("mth_04_rates", lambda: F.concat_ws("/", money.region_of(pick("PT-AC", "ma", "XX", None)), money.rate_of(pick("normal", "reduced", "exempt", "odd"), money.region_of(pick("PT-AC", "ma", "XX", None))).cast("string")), of("AC/16.0", "MA/5.0", "PT/0.0", "PT"))
 add("mth_05_tax_fits", "document_item", lambda i: i.select("document_id", "line", money.tax_fits(F.col("total"), F.col("tax_rate").cast("double"), F.floor(F.col("total") * F.col("tax_rate").cast("double") + 0.5) / 100 + F.when(F.col("line") > 1, 0.05).otherwise(0.0)).alias("fits")), "SELECT document_id, line, line = 1 AS fits FROM document_item")
-case("mth_06_bucket_kind", lambda: money.bucket_kind(F.get(F.array(*map(F.lit, [0.0, 6.04, 13.0, 23.0, 16.0, 22.0, 9.0])), (F.col("id") % 7).cast("int"))), of("exempt", "reduced", "intermediate", "normal", "normal", "normal", "other"))
-case("mth_07_bank_amount", lambda: money.bank_amount(pick("1.234,56 €", "-45,90", "abc", "EUR 5")), of(1234.56, -45.9, None, 5.0))
-case("mth_08_invoice_amount", lambda: money.invoice_amount(pick("1.234,56", "1,234.56", "1.234", "12,5", "x")), of(1234.56, 1234.56, 1234.0, 12.5, None))
-case("mth_09_model_number", lambda: money.model_number(pick("1.234", "12,34", "12.5", "1.234,56")), of(1234.0, 12.34, 125.0, 1234.56))
-case("mth_10_qr_amount", lambda: money.qr_amount(pick("12,5", "7.25x", "x", None)), of(12.5, 7.25, None, None))
 _TRIO = lambda: money.money_trio(*(F.get(F.array(*(F.lit(v).cast("double") for v in values)), (F.col("id") % 8).cast("int")) for values in ([123.0, 123.0, None, 123.0, 123.0, None, 0.0, 50.0], [23.0, None, 23.0, 23.0, 1.0, None, 23.0, 60.0], [100.0, 100.0, 100.0, None, None, None, None, None])))
 case("mth_11_money_trio", lambda: F.concat_ws("|", *(_TRIO()[c].cast("string") for c in ("total", "tax", "net", "hint"))), of("123.0|23.0|100.0|reconciled_from_pair", "123.0|23.0|100.0|reconciled_partial", "123.0|23.0|100.0|reconciled_partial", "123.0|23.0|100.0|reconciled_partial", "123.0|reconciled_partial", "", "23.0|reconciled_partial", "50.0|60.0|reconciled_from_total_only"))
 add("mth_12_net", DOC, lambda d: d.select("id", F.round(F.greatest(F.col("total") - F.col("id") * 10, F.lit(0.0)), 2).alias("net")), "SELECT id, round(greatest(total - id * 10, 0), 2) AS net FROM fiscal_document")
 add("mth_13_line_total", "document_item", lambda i: i.select("document_id", "line", money.line_total(F.col("quantity"), F.col("total") / F.col("quantity"), F.col("discount") * F.col("total") * 20).alias("net")), "SELECT document_id, line, greatest(0.0, floor((quantity * (total / quantity) - discount * total * 20) * 100 + 0.5) / 100.0::DOUBLE) AS net FROM document_item")
-case("mth_18_hamming", lambda: F.round(vectors.hamming(pick("0000", "0101", "11"), pick("0001", "1010", "11")), 4), of(0.25, 1.0, 0.0))
 case("mth_20_confidence", lambda: money.presence([(pick("5", None), 0.2), (F.col("total"), 0.2), (F.col("doc_number"), 0.15), (pick("", "x", None), 0.1)]), "round(0.35 + CASE WHEN id % 2 = 0 THEN 0.2 ELSE 0 END + CASE WHEN id % 3 = 1 THEN 0.1 ELSE 0 END, 4)::DOUBLE")
-case("mth_21_answer_confidence", lambda: money.answer_confidence(pick("LOOKUP", "STATUS"), F.col("id") % 5, pick("anthropic", "other", "other")), "round(least(0.98, 0.7 + CASE WHEN id % 3 = 0 THEN 0.1 ELSE 0 END + CASE WHEN id % 5 >= 3 THEN 0.1 ELSE 0 END + CASE WHEN id % 2 = 0 THEN 0.05 ELSE 0 END), 4)::DOUBLE")
-case("mth_22_risk_maps", lambda: F.concat_ws("/", money.severity(F.col("id") % 31), money.risk_level(F.col("id") % 60), money.risk_action(money.risk_level(F.col("id") % 60))), "concat_ws('/', CASE WHEN id % 31 >= 25 THEN 'CRITICAL' WHEN id % 31 >= 20 THEN 'HIGH' WHEN id % 31 >= 10 THEN 'MEDIUM' ELSE 'LOW' END, CASE WHEN id % 60 >= 50 THEN 'CRITICAL/block' WHEN id % 60 >= 30 THEN 'HIGH/review' WHEN id % 60 >= 15 THEN 'MEDIUM/flag' ELSE 'LOW/ignore' END)")
 _STAGES = '[{"key":"LEAD","defaultProbability":15},{"key":"DEMO","label":"Demo","defaultProbability":35}]'
 add("mth_23_probability", "deal", lambda d: d.select("id", boards.probability(F.when(F.col("id") % 5 == 0, "DEMO").otherwise(F.col("stage")), F.when(F.col("id") % 7 == 0, (F.col("id") % 300).cast("int") - 50), F.lit(_STAGES)).alias("probability")), "SELECT id, CAST(CASE WHEN id % 7 = 0 THEN least(greatest(id % 300 - 50, 0), 100) WHEN id % 5 = 0 THEN 35 ELSE CASE stage WHEN 'LEAD' THEN 15 WHEN 'QUALIFIED' THEN 40 WHEN 'PROPOSAL' THEN 60 WHEN 'NEGOTIATION' THEN 80 WHEN 'WON' THEN 100 ELSE 0 END END AS INTEGER) AS probability FROM deal")
 case("jsn_14_stage_list", lambda: F.array_join(F.transform(boards.stage_list(pick(_STAGES, None, "[]", '[{"key":"won","label":"Ganho"}]')), lambda s: F.concat(s["key"], F.lit("="), s["probability"].cast("string"))), ","), of("LEAD=15,DEMO=35,QUALIFIED=40,PROPOSAL=60,NEGOTIATION=80,WON=100,LOST=0", *["LEAD=20,QUALIFIED=40,PROPOSAL=60,NEGOTIATION=80,WON=100,LOST=0"] * 2, "WON=100,LEAD=20,QUALIFIED=40,PROPOSAL=60,NEGOTIATION=80,LOST=0"))
 case("agg_29_money_sum", lambda: money.money_sum(F.array(F.col("total"), F.lit(0.105), F.lit(float("nan")), F.lit(None).cast("double"), F.lit(float("inf")))), "floor((total + 0.105) * 100 + 0.5) / 100.0::DOUBLE")
-case("prj_11_finite_number", lambda: money.finite_number(pick("1.5", " 2e3 ", "NaN", "Infinity", "x", None)), of(1.5, 2000.0, None, None, None, None))
 case("prj_12_patched", lambda: extraction.patched(F.col("counterparty"), pick(None, "new", None)), "CASE WHEN id % 3 = 1 THEN 'new' ELSE counterparty END")
 
 # Identifiers and fiscal payloads ------------------------------------------------------
 
-case("fid_02_nif_class", lambda: F.concat_ws(":", fiscal.nif_class(pick("123456789", "450000001", "500000000", "600000001", "720000001", "999999990", "400000000")), fiscal.nif_valid(pick("123456789", "450000001", "500000000", "600000001", "720000001", "999999990", "400000000")).cast("string")), of("pessoa_singular:true", "nao_residente:true", "pessoa_coletiva:true", "administracao_publica:true", "heranca_ou_fundo:false", "irregular_ou_outro:true", "false"))
-case("fid_03_final_consumer", lambda: fiscal.final_consumer(pick("", "0", "999 999 990", "500000000", None)), of(True, True, True, False, True))
 _IBAN = lambda: fiscal.iban_parsed(pick("PT77 0035 0651 0000 0000 0073 9", "PT50000201231234567890154", "", "DE89370400440532013000", "GB00"))
 case("fid_05_iban_parts", lambda: F.concat_ws("|", _IBAN()["status"], _IBAN()["bank"], _IBAN()["branch"], _IBAN()["account"], _IBAN()["nib_digits"], _IBAN()["nib_valid"].cast("string")), of("valid|0035|0651|00000000007|39|true", "invalid|0002|0123|12345678901|54|false", "unknown", "valid", "invalid"))
 _VAT = lambda: fiscal.foreign_vat(pick("VAT No: DE 123456789; total", "CIF: ESB1234567X", "our EL123456789", "PT500000000", "GB123456789 and FR12345678901", "x"))
@@ -123,13 +85,120 @@ _LINES = lambda: F.transform(F.flatten(F.transform(fiscal.qr_breakdown(pick("A:1
 case("fid_09_region_lines", lambda: F.array_join(_LINES(), ","), of("exempt:0.0:5.0:0.0,normal:23.0:100.0:23.0,reduced:4.0:10.0:0.4", "intermediate:12.0:7.0:0.0", ""))
 _FLAT = lambda: F.transform(fiscal.flat_breakdown(fiscal.qr_breakdown(pick("A:1*I1:PT*I3:10*I7:100.00*I8:23.00*J1:PT-AC*J3:10*J4:0.4", "A:1"))), lambda x: F.concat_ws(":", x["rate"].cast("string"), x["base"].cast("string"), x["tax"].cast("string")))
 case("fid_10_flat_breakdown", lambda: F.array_join(_FLAT(), ","), of("4.0:10.0:0.0,23.0:100.0:23.0,5.0:10.0:0.4", ""))
-case("fid_12_tenant_nif", lambda: fiscal.tenant_nif(pick("PT 500 000 000", "35500000000", "12", None)), of("500000000", "500000000", "12", ""))
 _FORM = lambda: fiscal.qr_form(pick("A:500000000*D:NC*H:ABCDEF-1*O:5*N:1", "A:500000000*D:RC*G:RC 1*O:5", "A:5*D:ZZ", "x"))
 case("prj_14_qr_form", lambda: F.concat_ws("|", *(_FORM()[c].cast("string") for c in ("type", "number", "nif", "total", "tax"))), of("outro|ABCDEF-1|500000000|5.0|1.0", "recibo|RC 1|500000000|5.0", "fatura_recebida|5", ""))
 _FROM_QR = lambda: fiscal.qr_document(pick(*_QRS))
 case("jsn_12_qr_document", lambda: F.concat_ws("|", *(_FROM_QR()[c].cast("string") for c in ("type", "number", "date", "customer_nif", "total", "tax", "net", "confidence"))), of("FATURA_RECEBIDA|FT 2026/1|2026-03-15|123.0|23.0|100.0|0.95", "FATURA_RECEBIDA|FT 2026/1|2026-03-15|150.0|13.0|137.0|0.95", "FATURA_RECEBIDA|X|5.0|5.0|0.95", ""))
-case("src_06_qr_fields", lambda: F.concat_ws("|", fiscal.qr_fields(pick("a:1*A:2*B:x:y", "none"))["A"], fiscal.qr_fields(pick("a:1*A:2*B:x:y", "none"))["B"]), of("2|x:y", ""))
-case("snk_07_qr_payload", lambda: fiscal.qr_payload(F.create_map(F.lit("a"), F.col("id").cast("string"), F.lit("b"), pick("", None, "x"))), "concat('A:', id, CASE WHEN id % 3 = 2 THEN '*B:x' ELSE '' END)")
+
+# Rules over the tables' own texts, dates and amounts ------------------------------------
+
+_ACCENTS = f"translate(regexp_replace({{0}}, '[\u0300-\u036f]', '', 'g'), '{text.MARKED}', '{text.PLAIN}')"
+_SLUG = "coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '\\s+', '_', 'g'), '[^a-z0-9_.-]', '', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g'), ''), '_')"
+
+
+def rule(name: str, table: str, key: str, column: Callable[[], Column], sql: str) -> None:
+    """A query of one column over a whole table, and the rule in SQL."""
+    add_raw(name, table, lambda d: d.select(key, column().alias("value")), f"SELECT {key}, {sql} AS value FROM {table}")
+
+
+def whole(column: Column) -> Column:
+    """What a rule makes of a whole text, by its hash."""
+    return F.sha2(column, 256)
+
+
+def table_sql(value: str, table: dict, otherwise: str = "NULL") -> str:
+    return f"CASE {value} {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items())} ELSE {otherwise} END"
+
+
+def first_sql(value: str, rules: list[tuple[str, str]], otherwise: str) -> str:
+    return f"CASE {' '.join(f"WHEN regexp_matches({value}, '{p}') THEN '{k}'" for k, p in rules)} ELSE {otherwise} END"
+
+
+_TEXT = lambda: F.col("text")
+_NULLS = "CASE WHEN doc_id % 11 <> 0 THEN text END"  # a rule for null is part of each
+_SOME = lambda: F.expr(_NULLS)
+rule("str_02_category_key", "documents", "doc_id", lambda: whole(text.category_key(_SOME())), f"sha256(lower({_ACCENTS.format(f"coalesce({_NULLS}, '')")}))")
+rule("str_03_name_key", "documents", "doc_id", lambda: whole(text.name_key(_SOME())), f"sha256(trim(regexp_replace(lower({_ACCENTS.format(f"coalesce({_NULLS}, '')")}), '[^a-z0-9]+', ' ', 'g')))")
+rule("str_05_path_slug", "documents", "doc_id", lambda: whole(text.path_slug(_TEXT())), f"sha256({_SLUG.format('text')})")
+rule("str_06_category_slug", "pages", "page_id", lambda: text.category_slug(F.col("url")), _SLUG.format("replace(coalesce(url, ''), '/', '-')"))
+_COUNTRY = "CASE lang WHEN 'es' THEN ' pt ' WHEN 'fr' THEN 'PT' WHEN 'de' THEN NULL ELSE upper(lang) END"
+rule("str_11_origin", "documents", "doc_id", lambda: text.origin_label(F.expr(_COUNTRY)), f"CASE WHEN coalesce({_COUNTRY}, '') = '' THEN '' WHEN upper(trim({_COUNTRY})) = 'PT' THEN 'Nacional' ELSE 'Estrangeira' END")
+_STOPPED = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+_TERMS = f"list_concat(list_filter(regexp_split_to_array(lower({_ACCENTS.format('text')}), '[^a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({_STOPPED})), list_transform(regexp_extract_all(text, '\\b[A-Z0-9/-]{{3,}}\\b|\\b\\d{{2,}}\\b'), lambda w: lower(w)))"
+add_raw("str_12_search_terms", "conversations", lambda d: d.select("conv_id", "turn", F.array_join(text.search_terms(F.col("text"), 10_000), ",").alias("value")), f"SELECT conv_id, turn, array_to_string(list_filter(t, lambda w, i: list_position(t, w) = i), ',') AS value FROM (SELECT conv_id, turn, {_TERMS} AS t FROM conversations)")
+rule("str_17_csv_escape", "documents", "doc_id", lambda: whole(text.csv_escaped(_SOME())), f"""sha256(CASE WHEN regexp_matches({_NULLS}, '[";\\r\\n]') THEN concat('"', replace({_NULLS}, '"', '""'), '"') ELSE {_NULLS} END)""")
+_NAME = "concat(CASE WHEN o_orderkey % 9 = 0 THEN '../' ELSE '' END, o_custkey, CASE WHEN o_orderkey % 8 = 0 THEN '' ELSE '.' END, o_orderstatus, o_orderkey)"
+rule("str_18_extension", "orders", "o_orderkey", lambda: text.extension(F.expr(_NAME)), f"CASE WHEN contains({_NAME}, '..') OR regexp_matches({_NAME}, '[/\\\\]') THEN '' ELSE regexp_extract(lower({_NAME}), '(\\.[a-z0-9]{{1,5}})$', 1) END")
+_MIME = "concat(CASE WHEN value < 40 THEN 'IMAGE/' ELSE 'application/' END, CASE event_type WHEN 'click' THEN 'png' WHEN 'view' THEN 'pdf' WHEN 'error' THEN 'Jpg' WHEN 'signup' THEN 'msword' END)"
+rule("str_19_mime_extension", "events", "event_id", lambda: text.mime_extension(F.expr(_MIME)), table_sql(f"lower({_MIME})", text.EXTENSIONS, "''"))
+_GROUPED = "CASE WHEN abs({0}) < 10000 THEN replace(translate(format('{{:,.2f}}', {0}), ',.', '.,'), '.', '') ELSE translate(format('{{:,.2f}}', {0}), ',.', '.,') END"
+rule("str_20_pt_amount", "orders", "o_orderkey", lambda: money.pt_amount(F.expr("CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice - 113000 ELSE o_totalprice END").cast("decimal(14,2)").cast("double")), _GROUPED.format("CAST(CAST(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice - 113000 ELSE o_totalprice END AS DECIMAL(14,2)) AS DOUBLE)"))
+add_raw("str_22_currency", "conversations", lambda d: d.select("conv_id", "turn", text.currency(F.concat("text", F.lit(" "), F.expr(_MONEY))).alias("value")), "SELECT conv_id, turn, " + first_sql("concat(text, ' ', {0})", text.CURRENCIES, "'EUR'").replace("{0}", "CASE conv_id % 5 WHEN 0 THEN '£' WHEN 1 THEN 'USD 5' WHEN 2 THEN 'sfr. 7' WHEN 3 THEN 'XGBP' ELSE '' END") + " AS value FROM conversations")
+_MONEY = "CASE conv_id % 5 WHEN 0 THEN '£' WHEN 1 THEN 'USD 5' WHEN 2 THEN 'sfr. 7' WHEN 3 THEN 'XGBP' ELSE '' END"
+rule("str_23_locale", "documents", "doc_id", lambda: text.locale(F.upper("lang")), f"CASE WHEN coalesce(lang, '') <> '' THEN {table_sql('upper(lang)', text.LOCALES, 'concat(lower(upper(lang)), chr(45), upper(lang))')} END")
+add_raw("str_25_intent", "conversations", lambda d: d.select("conv_id", "turn", text.intent(F.col("text")).alias("value")), f"SELECT conv_id, turn, {first_sql('lower(text)', text.INTENTS, chr(39) + 'GENERAL' + chr(39))} AS value FROM conversations")
+_CODED = "concat(text, ' atcud', CASE WHEN doc_id % 4 = 0 THEN '' ELSE ': ' END, upper(md5(text)), '-', doc_id)"
+rule("str_26_atcud_asked", "documents", "doc_id", lambda: text.asked_atcud(F.expr(_CODED)), f"nullif(regexp_extract({_CODED}, '(?i)\\bATCUD[:\\s#]*([A-Z0-9-]+)', 1), '')")
+rule("str_35_category_known", "part", "p_partkey", lambda: filing.known_category(F.expr("CASE WHEN p_size % 5 = 0 THEN 'Rendas' WHEN p_size % 5 = 1 THEN p_type WHEN p_size % 5 = 2 THEN 'Outras' END")), f"coalesce(CASE WHEN p_size % 5 = 0 THEN 'Rendas' WHEN p_size % 5 = 1 THEN p_type WHEN p_size % 5 = 2 THEN 'Outras' END IN ({', '.join(f"'{c}'" for c in filing.CATEGORIES)}), false)")
+_LABEL = "concat(CASE o_orderpriority WHEN '1-URGENT' THEN 'Nota de Crédito' WHEN '2-HIGH' THEN 'debit-note' WHEN '3-MEDIUM' THEN 'Fatura ' WHEN '5-LOW' THEN 'proof of payment ' ELSE 'guia  transporte' END, CASE WHEN o_orderkey % 3 = 0 THEN cast(o_orderkey AS varchar(20)) ELSE '' END)"
+_PLAINED = f"regexp_replace(regexp_replace({_ACCENTS.format(_LABEL)}, '[\\s_-]+', '_', 'g'), '\\W', '', 'g')"
+_KNOWN_LABELS = {word: kind for kind, words_ in text.LABEL_TYPES.items() for word in words_.split()}
+rule("str_32_label_type", "orders", "o_orderkey", lambda: text.label_type(F.expr(_LABEL)), f"CASE WHEN {_PLAINED} <> '' THEN coalesce({table_sql(f'upper({_PLAINED})', _KNOWN_LABELS)}, {first_sql(f'lower({_PLAINED})', text.LOOSE_TYPES, 'NULL')}) END")
+
+# Dates and amounts as texts of the tables
+_DAYS = "CASE o_orderkey % 5 WHEN 0 THEN {iso} WHEN 1 THEN {dmy} WHEN 2 THEN {dots} WHEN 3 THEN {short} ELSE concat({year}, '-02-30') END"
+_SPARK_DAYS = _DAYS.format(iso="date_format(o_orderdate, 'yyyy-MM-dd')", dmy="date_format(o_orderdate, 'd/M/yyyy')", dots="date_format(o_orderdate, 'dd.MM.yyyy')", short="date_format(o_orderdate, 'dd-MM-yy')", year="year(o_orderdate)")
+rule("dat_01_bank_date", "orders", "o_orderkey", lambda: dates.bank_date(F.expr(_SPARK_DAYS)), "CASE o_orderkey % 5 WHEN 3 THEN CAST(o_orderdate - INTERVAL 0 DAY AS DATE) + CASE WHEN year(o_orderdate) < 2000 THEN INTERVAL 100 YEAR ELSE INTERVAL 0 YEAR END WHEN 4 THEN NULL ELSE o_orderdate END::DATE")
+_SAID = "CASE l_linenumber % 3 WHEN 0 THEN {iso} WHEN 1 THEN {dmy} ELSE {mdy} END"
+_SPARK_SAID = _SAID.format(iso="date_format(l_shipdate, 'yyyy-M-d')", dmy="date_format(l_shipdate, 'd/M/yyyy')", mdy="date_format(l_shipdate, 'M.d.yyyy')")
+_HOME = "CASE WHEN l_returnflag = 'R' THEN 'US' WHEN l_returnflag = 'A' THEN 'PT' END"
+add_raw("dat_02_invoice_date", "lineitem", lambda d: d.select("l_orderkey", "l_linenumber", dates.invoice_date(F.expr(_SPARK_SAID), F.expr(_HOME)).alias("v")).select("l_orderkey", "l_linenumber", "v.date", "v.ambiguous"), """SELECT l_orderkey, l_linenumber, CASE WHEN k = 0 THEN CAST(l_shipdate AS DATE) ELSE CAST(try_strptime(printf('%04d-%02d-%02d', y, CASE WHEN us OR (a <= 12 AND b > 12) THEN a ELSE b END, CASE WHEN us OR (a <= 12 AND b > 12) THEN b ELSE a END), '%Y-%m-%d') AS DATE) END AS date, k <> 0 AND a <= 12 AND b <= 12 AS ambiguous
+FROM (SELECT *, l_linenumber % 3 AS k, year(l_shipdate) AS y, l_returnflag = 'R' AS us, CASE WHEN l_linenumber % 3 = 1 THEN day(l_shipdate) ELSE month(l_shipdate) END AS a, CASE WHEN l_linenumber % 3 = 1 THEN month(l_shipdate) ELSE day(l_shipdate) END AS b FROM lineitem)""")
+rule("dat_03_qr_date", "orders", "o_orderkey", lambda: dates.qr_date(F.expr("concat(CASE WHEN o_orderkey % 6 = 0 THEN ' ' ELSE '' END, date_format(o_orderdate, 'yyyyMMdd'), CASE WHEN o_orderkey % 7 = 0 THEN '0' ELSE '' END)")), "CASE WHEN o_orderkey % 7 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END")
+_ASKING = "concat('quanto gastei {0} ', CASE o_custkey % 5 WHEN 0 THEN 'este mês' WHEN 1 THEN 'no proximo mes' WHEN 2 THEN 'o mês passado' WHEN 3 THEN concat('em ', month(o_orderdate) + 3, '/', year(o_orderdate) + 10) ELSE 'hoje' END)"
+add_raw("dat_05_month_phrase", "orders", lambda d: d.select("o_orderkey", dates.month_phrase(F.expr(_ASKING), F.col("o_orderdate").cast("date")).alias("v")).select("o_orderkey", "v.start", "v.end"), """SELECT o_orderkey, CAST(s AS DATE) AS start, CAST(s + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) AS "end" FROM (SELECT o_orderkey, CASE o_custkey % 5 WHEN 0 THEN date_trunc('month', o_orderdate) WHEN 1 THEN date_trunc('month', o_orderdate) + INTERVAL 1 MONTH WHEN 2 THEN date_trunc('month', o_orderdate) - INTERVAL 1 MONTH
+WHEN 3 THEN CASE WHEN month(o_orderdate) + 3 <= 12 AND year(o_orderdate) + 10 > 2000 THEN make_date(year(o_orderdate) + 10, month(o_orderdate) + 3, 1)::TIMESTAMP END END AS s FROM orders)""")
+rule("dat_13_calendar_date", "orders", "o_orderkey", lambda: dates.calendar_date(F.expr("concat(year(o_orderdate), '-', lpad(month(o_orderdate), 2, '0'), '-', CASE WHEN o_orderkey % 9 = 0 THEN cast(day(o_orderdate) AS string) ELSE lpad(1 + o_custkey % 31, 2, '0') END)")), "CASE WHEN o_orderkey % 9 = 0 AND day(o_orderdate) < 10 THEN NULL ELSE CAST(try_strptime(concat(strftime(o_orderdate, '%Y-%m-'), CASE WHEN o_orderkey % 9 = 0 THEN day(o_orderdate) ELSE 1 + o_custkey % 31 END), '%Y-%m-%d') AS DATE) END")
+_REGION = "CASE l_returnflag WHEN 'R' THEN 'pt-ac ' WHEN 'A' THEN 'MA' END"
+_KIND_OF = "CASE l_linenumber WHEN 1 THEN 'normal' WHEN 2 THEN 'reduced' WHEN 3 THEN 'intermediate' WHEN 4 THEN 'exempt' ELSE l_linestatus END"
+add_raw("mth_04_rates", "lineitem", lambda d: d.select("l_orderkey", "l_linenumber", money.region_of(F.expr(_REGION)).alias("region"), money.rate_of(F.expr(_KIND_OF), money.region_of(F.expr(_REGION))).alias("rate")), f"SELECT l_orderkey, l_linenumber, region, CASE {' '.join(f"WHEN region = '{r}' AND kind = '{k}' THEN {v}" for r, rates in money.VAT_RATES.items() for k, v in rates.items())} WHEN kind = 'exempt' THEN 0.0 END::DOUBLE AS rate FROM (SELECT *, {_KIND_OF} AS kind, CASE l_returnflag WHEN 'R' THEN 'AC' WHEN 'A' THEN 'MA' ELSE 'PT' END AS region FROM lineitem)")
+_RATE = "floor(l_quantity / 2) + l_tax / 2"
+add_raw("mth_06_bucket_kind", "lineitem", lambda d: d.select("l_orderkey", "l_linenumber", money.bucket_kind(F.expr(_RATE)).alias("kind")), f"SELECT l_orderkey, l_linenumber, CASE WHEN abs(r) <= 0.05 THEN 'exempt' WHEN abs(r - 6) <= 0.05 THEN 'reduced' WHEN abs(r - 13) <= 0.05 THEN 'intermediate' WHEN abs(r - 23) <= 0.05 OR abs(r - 16) <= 0.05 OR abs(r - 22) <= 0.05 THEN 'normal' ELSE 'other' END AS kind FROM (SELECT *, {_RATE} AS r FROM lineitem)")
+
+
+def _written(separators: str) -> Callable[[], Column]:
+    """A total as people write it, by the order's priority."""
+    return lambda: F.expr(f"""CASE o_orderpriority WHEN '1-URGENT' THEN concat(translate(format_number(o_totalprice, 2), ',.', '{separators}'), ' €') WHEN '2-HIGH' THEN concat('EUR ', replace(format_string('%.2f', -o_totalprice), '.', '{separators[1]}'))
+WHEN '3-MEDIUM' THEN cast(cast(floor(o_totalprice) AS bigint) AS string) WHEN '5-LOW' THEN o_orderstatus ELSE concat(cast(o_custkey AS string), '{separators[1]}5') END""")
+
+
+rule("mth_07_bank_amount", "orders", "o_orderkey", lambda: money.bank_amount(_written(".,")()), "CASE o_orderpriority WHEN '1-URGENT' THEN CAST(printf('%.2f', o_totalprice) AS DOUBLE) WHEN '2-HIGH' THEN -CAST(printf('%.2f', o_totalprice) AS DOUBLE) WHEN '3-MEDIUM' THEN floor(o_totalprice) WHEN '5-LOW' THEN NULL ELSE o_custkey + 0.5 END::DOUBLE")
+rule("mth_08_invoice_amount", "orders", "o_orderkey", lambda: money.invoice_amount(_written(",.")()), "CASE o_orderpriority WHEN '1-URGENT' THEN CAST(printf('%.2f', o_totalprice) AS DOUBLE) WHEN '2-HIGH' THEN -CAST(printf('%.2f', o_totalprice) AS DOUBLE) WHEN '3-MEDIUM' THEN floor(o_totalprice) WHEN '5-LOW' THEN NULL ELSE o_custkey + 0.5 END::DOUBLE")
+rule("mth_09_model_number", "orders", "o_orderkey", lambda: money.model_number(_written(".,")()), "CASE o_orderpriority WHEN '1-URGENT' THEN CAST(printf('%.2f', o_totalprice) AS DOUBLE) WHEN '2-HIGH' THEN -CAST(printf('%.2f', o_totalprice) AS DOUBLE) WHEN '3-MEDIUM' THEN floor(o_totalprice) WHEN '5-LOW' THEN NULL ELSE o_custkey * 10 + 5 END::DOUBLE")
+rule("mth_10_qr_amount", "orders", "o_orderkey", lambda: money.qr_amount(F.expr("concat(CASE WHEN o_orderkey % 3 = 0 THEN replace(format_string('%.2f', o_totalprice), '.', ',') WHEN o_orderkey % 3 = 1 THEN concat('  ', format_string('%.2f', -o_totalprice)) ELSE o_orderpriority END, o_orderstatus)")), "CASE WHEN o_orderkey % 3 = 0 THEN CAST(printf('%.2f', o_totalprice) AS DOUBLE) WHEN o_orderkey % 3 = 1 THEN -CAST(printf('%.2f', o_totalprice) AS DOUBLE) ELSE CAST(left(o_orderpriority, 1) AS DOUBLE) END")
+_NUMBERED = "CASE WHEN event_id % 6 = 0 THEN 'NaN' WHEN event_id % 6 = 1 THEN '-Infinity' WHEN event_id % 6 = 2 THEN event_type WHEN event_id % 6 = 3 THEN concat(' ', event_id, 'e2 ') WHEN event_id % 6 = 4 THEN NULL ELSE cast(event_id AS varchar(20)) END"
+rule("prj_11_finite_number", "events", "event_id", lambda: money.finite_number(F.expr(_NUMBERED)), "CASE event_id % 6 WHEN 3 THEN event_id * 100.0 WHEN 5 THEN event_id END::DOUBLE")
+rule("mth_18_hamming", "orders", "o_orderkey", lambda: F.round(vectors.hamming(F.bin(F.col("o_orderkey") + 65536), F.bin(F.col("o_custkey") * 7 + 65536)), 4), "round(hamming(bin(o_orderkey + 65536), bin(o_custkey * 7 + 65536)) / 17.0::DOUBLE, 4)")
+rule("mth_21_answer_confidence", "events", "event_id", lambda: money.answer_confidence(F.expr("CASE WHEN event_type = 'view' THEN 'LOOKUP' ELSE upper(event_type) END"), F.floor(F.col("value") / 10), F.expr("CASE WHEN user_id % 2 = 0 THEN 'anthropic' ELSE 'other' END")), "round(least(0.98, 0.7 + CASE WHEN user_id % 2 = 0 THEN 0.1 ELSE 0 END + CASE WHEN floor(value / 10) >= 3 THEN 0.1 ELSE 0 END + CASE WHEN event_type = 'view' THEN 0.05 ELSE 0 END), 4)::DOUBLE")
+rule("mth_22_risk_maps", "events", "event_id", lambda: F.concat_ws("/", money.severity(F.col("value") / 4), money.risk_level(F.col("value")), money.risk_action(money.risk_level(F.col("value")))), "concat_ws('/', CASE WHEN value / 4 >= 25 THEN 'CRITICAL' WHEN value / 4 >= 20 THEN 'HIGH' WHEN value / 4 >= 10 THEN 'MEDIUM' ELSE 'LOW' END, CASE WHEN value >= 50 THEN 'CRITICAL' WHEN value >= 30 THEN 'HIGH' WHEN value >= 15 THEN 'MEDIUM' ELSE 'LOW' END, CASE WHEN value >= 50 THEN 'block' WHEN value >= 30 THEN 'review' WHEN value >= 15 THEN 'flag' ELSE 'ignore' END)")
+
+# Identifiers and payloads written from the tables
+_NIF = "concat(CASE WHEN c_custkey % 4 = 0 THEN 'PT ' ELSE '' END, c_nationkey % 10, lpad(cast(c_custkey * 7919 % 100000000 AS varchar(20)), 8, '0'))"
+_DIGITS = f"right({_NIF}, 9)"
+_SUM9 = f"list_sum(list_transform(range(1, 9), lambda i: CAST(substr({_DIGITS}, CAST(i AS INTEGER), 1) AS INTEGER) * (10 - i))) % 11"
+_CLASS_SQL = f"CASE WHEN left({_DIGITS}, 1) IN ('1', '2', '3') THEN 'pessoa_singular' WHEN left({_DIGITS}, 2) = '45' THEN 'nao_residente' WHEN left({_DIGITS}, 1) = '5' THEN 'pessoa_coletiva' WHEN left({_DIGITS}, 1) = '6' THEN 'administracao_publica' WHEN left({_DIGITS}, 2) IN ('70', '71', '72', '74', '75', '77', '78', '79') THEN 'heranca_ou_fundo' WHEN left({_DIGITS}, 1) IN ('8', '9') THEN 'irregular_ou_outro' END"
+add_raw("fid_02_nif_class", "customer", lambda d: d.select("c_custkey", fiscal.nif_class(fiscal.nif_plain(F.expr(_NIF))).alias("kind"), fiscal.nif_valid(F.expr(_NIF)).alias("valid")), f"SELECT c_custkey, {_CLASS_SQL} AS kind, {_CLASS_SQL} IS NOT NULL AND CAST(right({_NIF}, 1) AS INTEGER) = CASE WHEN {_SUM9} < 2 THEN 0 ELSE 11 - {_SUM9} END AS valid FROM customer")
+_FINAL = "CASE c_nationkey % 5 WHEN 0 THEN '999 999 990' WHEN 1 THEN NULL WHEN 2 THEN concat('PT', repeat('0', c_custkey % 10)) ELSE cast(c_custkey AS varchar(20)) END"
+rule("fid_03_final_consumer", "customer", "c_custkey", lambda: fiscal.final_consumer(F.expr(_FINAL)), f"regexp_replace(upper(coalesce({_FINAL}, '')), '^PT|[\\s.\\-]', '', 'g') IN ({', '.join(f"'{x}'" for x in fiscal.FINAL_CONSUMER)})")
+_TENANT = "CASE WHEN c_custkey % 3 = 0 THEN concat('35', lpad(cast(c_custkey AS varchar(20)), 9, '5')) WHEN c_custkey % 3 = 1 THEN concat('PT ', c_custkey, ' ', c_nationkey) END"
+rule("fid_12_tenant_nif", "customer", "c_custkey", lambda: fiscal.tenant_nif(F.expr(_TENANT)), "CASE WHEN c_custkey % 3 = 0 THEN lpad(cast(c_custkey AS varchar(20)), 9, '5') WHEN c_custkey % 3 = 1 THEN concat(c_custkey, c_nationkey) ELSE '' END")
+_PAYLOAD = "concat('A:', 500000000 + o_custkey, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE concat('*G:FT ', o_orderkey) END, '*O:', cast(cast(floor(o_totalprice) AS bigint) AS varchar(20)), CASE WHEN o_orderkey % 5 = 0 THEN '*A:1*Q:' ELSE '' END)"
+rule("str_40_qr_field", "orders", "o_orderkey", lambda: F.concat_ws("|", *(fiscal.qr_field(F.expr(_PAYLOAD), k) for k in "GAOQ")), "concat_ws('|', CASE WHEN o_orderkey % 4 <> 0 THEN concat('FT ', o_orderkey) END, 500000000 + o_custkey, CAST(floor(o_totalprice) AS BIGINT))")
+add_raw("src_06_qr_fields", "orders", lambda d: d.select("o_orderkey", fiscal.qr_fields(F.expr(_PAYLOAD)).alias("m")).select("o_orderkey", F.col("m")["A"].alias("a"), F.col("m")["G"].alias("g"), F.col("m")["O"].alias("o"), F.size("m").alias("n")), "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '1' ELSE CAST(500000000 + o_custkey AS VARCHAR) END AS a, CASE WHEN o_orderkey % 4 <> 0 THEN concat('FT ', o_orderkey) END AS g, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS o, CAST(2 + CASE WHEN o_orderkey % 4 <> 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n FROM orders")
+rule("str_39_qr_likely", "orders", "o_orderkey", lambda: fiscal.qr_likely(F.expr(f"substring({_PAYLOAD}, 1 + o_custkey % 3, 8 + o_orderkey % 20)")), f"length(substr({_PAYLOAD}, CAST(1 + o_custkey % 3 AS BIGINT), CAST(8 + o_orderkey % 20 AS BIGINT))) >= 10 AND (regexp_matches(substr({_PAYLOAD}, CAST(1 + o_custkey % 3 AS BIGINT), CAST(8 + o_orderkey % 20 AS BIGINT)), '(^|\\*)A:\\d{{9}}') OR (contains(substr({_PAYLOAD}, CAST(1 + o_custkey % 3 AS BIGINT), CAST(8 + o_orderkey % 20 AS BIGINT)), 'A:') AND contains(substr({_PAYLOAD}, CAST(1 + o_custkey % 3 AS BIGINT), CAST(8 + o_orderkey % 20 AS BIGINT)), '*')))")
+_ATCUD = "concat(CASE WHEN o_orderkey % 6 = 0 THEN ' ' ELSE '' END, left(lower(hex(o_custkey * 104729 + 16777216)), CAST(4 + o_custkey % 5 AS INT)), '-', CASE WHEN o_orderkey % 7 = 0 THEN 'x' ELSE '' END, o_orderkey)"
+add_raw("str_41_atcud", "orders", lambda d: d.select("o_orderkey", fiscal.atcud(F.expr(_ATCUD)).alias("v")).select("o_orderkey", "v.code", "v.sequence"), f"SELECT o_orderkey, CASE WHEN ok THEN split_part(u, '-', 1) END AS code, CASE WHEN ok THEN split_part(u, '-', 2) END AS sequence FROM (SELECT o_orderkey, u, regexp_matches(u, '^[A-Z0-9]{{6,10}}-\\d{{1,20}}$') AS ok FROM (SELECT o_orderkey, upper(trim({_ATCUD})) AS u FROM orders))")
+rule("snk_07_qr_payload", "orders", "o_orderkey", lambda: fiscal.qr_payload(F.create_map(F.lit("a"), F.col("o_orderkey").cast("string"), F.lit("g"), F.nullif(F.col("o_orderstatus"), F.lit("P")), F.lit("o"), F.when(F.col("o_custkey") % 3 == 0, "").otherwise(F.col("o_orderpriority")))), "concat('A:', o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN concat('*G:', o_orderstatus) ELSE '' END, CASE WHEN o_custkey % 3 <> 0 THEN concat('*O:', o_orderpriority) ELSE '' END)")
 
 # Readings of a language model ---------------------------------------------------------
 

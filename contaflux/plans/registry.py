@@ -186,13 +186,15 @@ add_raw("srt_05_nearest", "embeddings", lambda e: retrieval.nearest(e, _QUERY, 2
 
 
 def _fusion(e: DataFrame) -> DataFrame:
-    a = e.orderBy(F.desc("vec_id")).limit(50).select(F.col("vec_id").alias("key"), (F.max("vec_id").over(Window.partitionBy()) - F.col("vec_id")).cast("long").alias("rank"))
-    b = e.orderBy("vec_id").limit(500).select(F.col("vec_id").alias("key"), F.col("vec_id").cast("long").alias("rank"))
+    """Two rankings of all vectors, from the newest and from the oldest."""
+    newest = e.agg(F.max("vec_id").alias("top"))
+    a = e.join(F.broadcast(newest)).select(F.col("vec_id").alias("key"), (F.col("top") - F.col("vec_id")).cast("long").alias("rank"))
+    b = e.where(F.col("label") % 2 == 0).select(F.col("vec_id").alias("key"), F.col("vec_id").cast("long").alias("rank"))  # even labels have a rank in both
     return retrieval.fused(a, b)
 
 
 add_raw("join_26_rank_fusion", "embeddings", _fusion, """SELECT key, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS score, count(*) AS lists FROM
-((SELECT vec_id AS key, (SELECT max(vec_id) FROM embeddings) - vec_id AS rank FROM embeddings ORDER BY vec_id DESC LIMIT 50) UNION ALL (SELECT vec_id, vec_id FROM embeddings ORDER BY vec_id LIMIT 500)) GROUP BY key""")
+(SELECT vec_id AS key, (SELECT max(vec_id) FROM embeddings) - vec_id AS rank FROM embeddings UNION ALL SELECT vec_id, vec_id FROM embeddings WHERE label % 2 = 0) GROUP BY key""")
 
 # Audit chain and payments files -------------------------------------------------------
 
