@@ -61,12 +61,11 @@ def _pad_sql(key: str, pad: int) -> str:
 
 _HMAC = "sha256(unhex(outer_pad) || unhex(sha256(unhex(inner_pad) || encode({0}))))"
 _KEYED = f"SELECT n_nationkey, n_name, {_pad_sql('n_name', 0x36)} AS inner_pad, {_pad_sql('n_name', 0x5C)} AS outer_pad FROM nation"
-_TENANT_KEY = F.concat(F.lit("NATION_"), F.col("user_id") % 25)
 _TENANT_SQL = "concat('NATION_', user_id % 25)"
 
 
 def _signed(e: DataFrame, scheme: str = "sha256") -> DataFrame:
-    rows = e.withColumn("body", F.expr(_BODY)).withColumn("key", _TENANT_KEY)
+    rows = e.withColumn("body", F.expr(_BODY)).withColumn("key", F.expr(_TENANT_SQL))
     return rows.withColumn("signature", signatures.signed(F.col("key"), F.col("body"), scheme))
 
 
