@@ -198,7 +198,7 @@ _WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(concat_ws(' ',
 add("fil_06_search_vector", "fiscal_document", lambda d: d.select("id", F.array_join(F.array_sort(retrieval.search_vector(F.col("doc_number"), F.col("counterparty"), F.col("type"))), " ").alias("vector")), f"SELECT id, array_to_string(list_sort({_WORDS.format('doc_number, counterparty, type')}), ' ') AS vector FROM fiscal_document")
 
 
-def _asked(d: DataFrame, query: str) -> DataFrame:
+def _searched(d: DataFrame, query: str) -> DataFrame:
     """Written once as an index, of which only the query's postings are read."""
     return fulltext.written(d, "doc_id", F.col("text")).search(query).withColumnRenamed("doc", "doc_id")
 
@@ -227,10 +227,10 @@ _FOUND = f"""SELECT doc_id, round(({' + '.join(map(_series_sql, _MANY))}) * (0.1
 WHERE ({_row_sql('of', 'the')} AND len(ing_) > 0 AND len(and_) = 0) OR len(licensed_) > 0 OR ({_row_sql('und', 'die')} AND len(zu_) = 0) OR ({_row_sql('de', 'la')} AND len(que_) > 0)"""
 _BOTH = [("the", "and"), ("the", "on"), ("and", "on"), ("of", "the"), ("of", "and"), ("of", "on")]
 _FOUND_TOGETHER = f"SELECT doc_id, round(1 - exp({' + '.join(_near_sql(a, b) for a, b in _BOTH)}), 6) AS rank FROM ({_TEXT_WORDS}) WHERE len(the_) > 0 AND len(and_) > 0 AND len(on_) > 0 AND NOT {_row_sql('of', 'the')}"
-add_raw("fil_05_full_text", "documents", lambda d: _asked(d, _ALTERNATIVES), _FOUND)
-add_raw("fil_05_words_together", "documents", lambda d: _asked(d, _TOGETHER), _FOUND_TOGETHER)
+add_raw("fil_05_full_text", "documents", lambda d: _searched(d, _ALTERNATIVES), _FOUND)
+add_raw("fil_05_words_together", "documents", lambda d: _searched(d, _TOGETHER), _FOUND_TOGETHER)
 add_raw("fil_06_postings", "documents", lambda d: fulltext.written(d, "doc_id", F.col("text")).all_postings().select(F.col("doc").alias("doc_id"), "word", F.size("at").alias("n"), F.element_at("at", 1).alias("first"), F.element_at("at", -1).alias("last")), """SELECT doc_id, word, CAST(count(*) AS INTEGER) AS n, CAST(min(i) AS INTEGER) AS first, CAST(max(i) AS INTEGER) AS last FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents)) GROUP BY doc_id, word""")
-add_raw("srt_02_rank_page", "documents", lambda d: fulltext.page(_asked(d, _TOGETHER), 2, 50, "doc_id"), f"SELECT doc_id, rank FROM ({_FOUND_TOGETHER}) ORDER BY rank DESC, doc_id LIMIT 50 OFFSET 50")
+add_raw("srt_02_rank_page", "documents", lambda d: fulltext.page(_searched(d, _TOGETHER), 2, 50, "doc_id"), f"SELECT doc_id, rank FROM ({_FOUND_TOGETHER}) ORDER BY rank DESC, doc_id LIMIT 50 OFFSET 50")
 _QUERY = [1.0 if i % 3 == 0 else -0.5 for i in range(64)]
 
 
