@@ -212,34 +212,34 @@ def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def met(postings: DataFrame) -> DataFrame:
-    """The distinct rows (token, node, n) whose token other nodes have too. Rows come in the
+    """The distinct rows (token, node) whose token other nodes have too. Rows come in the
     order of their tokens, so a task compares each with its neighbours and holds one row."""
     rows = postings.repartition("token").sortWithinPartitions("token", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, False  # the row held back, and whether it is known to be shared
         for batch in batches:
-            token, node, n = (batch.column(i).to_numpy() for i in range(3))
+            token, node = (batch.column(i).to_numpy() for i in range(2))
             if last is not None:
-                token, node, n = (np.concatenate([[x], y]) for x, y in zip(last, (token, node, n), strict=True))
+                token, node = (np.concatenate([[x], y]) for x, y in zip(last, (token, node), strict=True))
             if not len(token):
                 continue
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-            token, node, n = token[new], node[new], n[new]
+            token, node = token[new], node[new]
             twice = token[1:] == token[:-1]
             keep = np.zeros(len(token), bool)
             keep[1:] = twice
             keep[:-1] |= twice
             keep[0] |= known
-            last, known = (token[-1], node[-1], n[-1]), bool(keep[-1])
+            last, known = (token[-1], node[-1]), bool(keep[-1])
             out = np.flatnonzero(keep[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(token[out], pa.int64()), pa.array(node[out], pa.int64()), pa.array(n[out], pa.int32())], names=["token", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(token[out], pa.int64()), pa.array(node[out], pa.int64())], names=["token", "node"])
         if known:
-            yield pa.RecordBatch.from_arrays([pa.array([int(x)], kind) for x, kind in zip(last, (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["token", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in last], names=["token", "node"])
         give_back()
 
-    return rows.mapInArrow(run, "token long, node long, n int")
+    return rows.mapInArrow(run, "token long, node long")
 
 
 def by_group(rows: DataFrame, joined: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -521,14 +521,15 @@ def linked(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text")
     every = scratch.keep(prefixes(rows, frequent_shingles(rows)))
     # Of each set the document with the least id tells its text (one without an id only if there is no other).
-    lead = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th")).alias("o")
-    nodes = scratch.keep(every.where("n > 0").groupBy("node").agg(lead).select("node", F.col("o.doc_id").alias("first"), "o.th", F.col("o.doc_id").alias("least")))
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th", "n")).alias("o")
+    nodes = scratch.keep(every.where("n > 0").groupBy("node").agg(lead).select("node", F.col("o.doc_id").alias("first"), "o.th", F.col("o.doc_id").alias("least"), "o.n"))
     own = scratch.keep(every.select("doc_id", "th", "node", "n"))
-    rare, often = (every.where("rare is not null").select(F.explode(c).alias("token"), "node", "n") for c in ("rare", "often"))
+    rare, often = (every.where("rare is not null").select(F.explode(c).alias("token"), "node") for c in ("rare", "often"))
     # Rare shingles have short blocks. Blocks of frequent ones may be long: their rows are told apart by the node too.
     shared = scratch.keep(met(rare).unionByName(often.dropDuplicates(["token", "node"])))
-    # s: how many tokens of its prefix a set shares with any other.
-    blocks = scratch.keep(shared.join(shared.groupBy("node").agg(F.count("*").alias("s")), "node").select("token", "node", "n", "s"))
+    # s: how many tokens of its prefix a set shares with any other. A set's size comes from nodes here, not with each token.
+    sizes = shared.groupBy("node").agg(F.count("*").alias("s")).join(nodes.select("node", "n"), "node")
+    blocks = scratch.keep(shared.join(sizes, "node").select("token", "node", "n", "s"))
     scratch.drop(shared)
     # The hub of a block is the set with the largest share of shared shingles: of near copies
     # the one that the others were made from, which is near to all of them.
