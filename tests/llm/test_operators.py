@@ -271,6 +271,9 @@ def test_html_long_pages_are_read_once():
         began = time.time()
         html_main.main_text(source, set())
         assert time.time() - began < 20  # minutes when each tag was looked for up to the end
+    began = time.time()
+    html_main.main_text("<span>" + "<div>" * 24_000 + "</span>" * 12_000 + "x", set())  # 240 KB; half a minute when the stack was searched
+    assert time.time() - began < 4
 
 
 def test_html_odd_tables(spark):
