@@ -158,7 +158,7 @@ class Index:
     def postings(self, some: list[str]) -> DataFrame:
         """word, doc and at of those words only: other folders aren't opened, and inside a folder
         files are sorted by word, so what lies outside their pages isn't read."""
-        rows = self.spark.read.parquet(f"{self.path}/postings")
+        rows = self._postings()
         if not some:
             return rows.limit(0)
         folders = self.spark.range(1).select(*(_folder(F.lit(w), self.folders).alias(f"f{i}") for i, w in enumerate(some))).first()
@@ -166,7 +166,12 @@ class Index:
 
     def all_postings(self) -> DataFrame:
         """word, doc and at (places, from 0, in order) of the whole index."""
-        return self.spark.read.parquet(f"{self.path}/postings").select("word", "doc", "at")
+        return self._postings().select("word", "doc", "at")
+
+    def _postings(self) -> DataFrame:
+        """An index of no words has no files to tell its columns, so they are named."""
+        kind = self.documents().schema["doc"].dataType.simpleString()
+        return self.spark.read.schema(f"word string, doc {kind}, at array<int>, folder int").parquet(f"{self.path}/postings")
 
     def documents(self) -> DataFrame:
         """doc and n_words of every document, wordless ones included."""
