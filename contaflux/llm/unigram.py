@@ -233,7 +233,7 @@ def tokenized(docs: DataFrame, path: str = PIECES, text: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Unigram(shared.value)
-        for batch in cut(batches, text, 1 << 20):
+        for batch in cut(batches, text):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             ids = [model.encode(t) for t in texts]
             same = [model.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]
@@ -272,7 +272,7 @@ def token_digests(docs: DataFrame, path: str = PIECES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Unigram(shared.value)
         fallback = frozenset(model.bytes.values())
-        for batch in cut(batches, "text", 1 << 20):
+        for batch in cut(batches, "text"):
             out = []
             for t in batch.column(1).to_pylist():
                 ids = model.encode(t)
