@@ -48,6 +48,11 @@ def line_total(quantity: Column, price: Column, discount: Column) -> Column:
     return F.greatest(F.lit(0.0), round2(quantity * price - F.coalesce(discount, F.lit(0.0))))
 
 
+def net_of(total: Column, tax: Column) -> Column:
+    """What is left of a total without its tax, in cents, 0 at least; null where either is null."""
+    return F.when(total.isNotNull() & tax.isNotNull(), round2(F.greatest(total - tax, F.lit(0.0))))
+
+
 def tax_fits(base: Column, rate: Column, tax: Column) -> Column:
     return F.abs(tax - vat_from_base(base, rate)) <= VAT_TOLERANCE + 1e-9
 

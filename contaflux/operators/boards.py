@@ -159,3 +159,19 @@ def anomalies(signals: DataFrame) -> DataFrame:
 
 def anomaly_summary(found: DataFrame) -> DataFrame:
     return found.agg(F.count("*").alias("scanned"), F.count_if("clean").alias("clean"), F.count_if(~F.col("clean")).alias("flagged"))
+
+
+def account_sums(journal: DataFrame) -> DataFrame:
+    """Debit and credit of each account, summed in cents."""
+    total = lambda c: (F.sum(cents(F.col(c))) / F.lit(100.0)).alias(c)
+    return journal.groupBy("account_id").agg(total("debit"), total("credit"))
+
+
+def nearest_ranks(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Of each group the values at shares of its rows (the nearest rank, the last at most), by running
+    counts of the distinct values, so that no group is held as one array. Null values don't count."""
+    counts = rows.groupBy(group, value).agg(F.count(value).alias("c"))
+    whole = Window.partitionBy(group)
+    counts = counts.withColumn("n", F.sum("c").over(whole)).withColumn("upto", F.sum("c").over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    at = {name: F.least(F.floor(F.col("n") * share), F.col("n") - 1) for name, share in shares.items()}
+    return counts.groupBy(group).agg(*(F.min(F.when(F.col("upto") > rank, F.col(value))).alias(name) for name, rank in at.items()))

@@ -236,3 +236,29 @@ def kpis(rows: DataFrame) -> DataFrame:
     """What is to be paid (with what is overdue), overdue, and approved, in all."""
     total = lambda condition: F.coalesce(F.sum(F.when(condition, cents(F.col("amount")))), F.lit(0)) / F.lit(100.0)
     return rows.agg(total(F.col("status").isin(UNPAID)).alias("to_pay"), total(F.col("status") == "OVERDUE").alias("overdue"), total(F.col("approved")).alias("approved"))
+
+
+def nested(items: DataFrame, parent: str, columns: list[str], most: int = 1000) -> DataFrame:
+    """A row for each parent with n, how many items it has, and items, the first `most` of them by the
+    columns (structs). A parent with more keeps its count; the rest is left to a page of its own, so
+    that no row grows without end."""
+    by = Window.partitionBy(parent).orderBy(*columns)
+    counts = items.groupBy(parent).agg(F.count("*").alias("n"))
+    first = items.withColumn("__r", F.row_number().over(by)).where(F.col("__r") <= most)
+    lists = first.groupBy(parent).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("items"))
+    return counts.join(lists, parent)
+
+
+def missing(rows: DataFrame, known: DataFrame, key: str = "id") -> DataFrame:
+    """The keys of rows that known hasn't got. A null key is known to nobody and stays."""
+    return rows.select(key).join(known.select(key).distinct(), key, "left_anti")
+
+
+def page_nulls_last(rows: DataFrame, column: str, then: list[str], offset: int, size: int) -> DataFrame:
+    """A page in the order of a column, nulls at the end, then of the others."""
+    return rows.orderBy(F.asc_nulls_last(column), *then).offset(offset).limit(size)
+
+
+def previous(rows: DataFrame, by: str, order: list[str], key: str = "id") -> DataFrame:
+    """key and previous_<key>: the row before of the same group, null for its first."""
+    return rows.select(key, F.lag(key).over(Window.partitionBy(by).orderBy(*order)).alias(f"previous_{key}"))

@@ -61,7 +61,7 @@ case("dat_14_date_slug", lambda: dates.date_slug(F.col("doc_date")), "strftime(d
 add("mth_05_tax_fits", "document_item", lambda i: i.select("document_id", "line", money.tax_fits(F.col("total"), F.col("tax_rate").cast("double"), F.floor(F.col("total") * F.col("tax_rate").cast("double") + 0.5) / 100 + F.when(F.col("line") > 1, 0.05).otherwise(0.0)).alias("fits")), "SELECT document_id, line, line = 1 AS fits FROM document_item")
 _TRIO = lambda: money.money_trio(*(F.get(F.array(*(F.lit(v).cast("double") for v in values)), (F.col("id") % 8).cast("int")) for values in ([123.0, 123.0, None, 123.0, 123.0, None, 0.0, 50.0], [23.0, None, 23.0, 23.0, 1.0, None, 23.0, 60.0], [100.0, 100.0, 100.0, None, None, None, None, None])))
 case("mth_11_money_trio", lambda: F.concat_ws("|", *(_TRIO()[c].cast("string") for c in ("total", "tax", "net", "hint"))), of("123.0|23.0|100.0|reconciled_from_pair", "123.0|23.0|100.0|reconciled_partial", "123.0|23.0|100.0|reconciled_partial", "123.0|23.0|100.0|reconciled_partial", "123.0|reconciled_partial", "", "23.0|reconciled_partial", "50.0|60.0|reconciled_from_total_only"))
-add("mth_12_net", DOC, lambda d: d.select("id", F.round(F.greatest(F.col("total") - F.col("id") * 10, F.lit(0.0)), 2).alias("net")), "SELECT id, round(greatest(total - id * 10, 0), 2) AS net FROM fiscal_document")
+add("mth_12_net", DOC, lambda d: d.select("id", money.net_of(F.col("total"), money.vat_from_gross(F.when(F.col("type") != "RECIBO", F.col("total")), F.lit(23.0))).alias("net")), "SELECT id, CASE WHEN type <> 'RECIBO' THEN floor(greatest(total - floor(total * 23.0::DOUBLE / 123.0::DOUBLE * 100 + 0.5) / 100.0::DOUBLE, 0) * 100 + 0.5) / 100.0::DOUBLE END AS net FROM fiscal_document")
 add("mth_13_line_total", "document_item", lambda i: i.select("document_id", "line", money.line_total(F.col("quantity"), F.col("total") / F.col("quantity"), F.col("discount") * F.col("total") * 20).alias("net")), "SELECT document_id, line, greatest(0.0, floor((quantity * (total / quantity) - discount * total * 20) * 100 + 0.5) / 100.0::DOUBLE) AS net FROM document_item")
 case("mth_20_confidence", lambda: money.presence([(pick("5", None), 0.2), (F.col("total"), 0.2), (F.col("doc_number"), 0.15), (pick("", "x", None), 0.1)]), "round(0.35 + CASE WHEN id % 2 = 0 THEN 0.2 ELSE 0 END + CASE WHEN id % 3 = 1 THEN 0.1 ELSE 0 END, 4)::DOUBLE")
 _STAGES = '[{"key":"LEAD","defaultProbability":15},{"key":"DEMO","label":"Demo","defaultProbability":35}]'

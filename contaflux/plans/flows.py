@@ -137,7 +137,7 @@ document_id % 2 = 0 AND abs(sum({cents('tax')}) / 100.0::DOUBLE - 5) > 0.02 + 1e
 
 # Totals, anomalies --------------------------------------------------------------------
 
-add("agg_05_journal_sums", "journal", lambda j: j.groupBy("account_id").agg((F.sum(F.floor(F.col("debit") * 100 + 0.5)) / F.lit(100.0)).alias("debit"), (F.sum(F.floor(F.col("credit") * 100 + 0.5)) / F.lit(100.0)).alias("credit")), f"SELECT account_id, {euro(f'sum({cents("debit")})')} AS debit, {euro(f'sum({cents("credit")})')} AS credit FROM journal GROUP BY account_id")
+add("agg_05_journal_sums", "journal", boards.account_sums, f"SELECT account_id, {euro(f'sum({cents("debit")})')} AS debit, {euro(f'sum({cents("credit")})')} AS credit FROM journal GROUP BY account_id")
 add("agg_06_expense_total", "expense", lambda e: boards.expense_total(e, YEAR), f"SELECT {euro(f'sum({cents("amount")})')} AS total FROM expense WHERE status <> 'REJECTED' AND year(date) = {YEAR}")
 
 

@@ -53,7 +53,7 @@ add("join_09_document_with", "fiscal_document party", lambda d, p: lists.with_pa
 add("join_11_latest_nested", "contact deal", lambda c, d: lists.with_latest(c, d, "contact_id", [F.desc("value")], ["value"], "deals").select("id", F.size("deals").alias("n"), F.array_join(F.transform("deals", lambda x: x["id"].cast("string")), ",").alias("deals")), "SELECT c.id, CAST(count(d.id) AS INTEGER) AS n, coalesce(string_agg(CAST(d.id AS VARCHAR), ',' ORDER BY d.r), '') AS deals FROM contact c LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contact_id ORDER BY value DESC, id) AS r FROM deal) WHERE r <= 20) d ON d.contact_id = c.id GROUP BY c.id")
 add("join_13_period_counts", "employee", lambda e: lists.with_count(e.select(F.col("period").alias("id")).distinct(), e.where("id % 50 = 0"), "period", "items"), "SELECT period AS id, count(CASE WHEN id % 50 = 0 THEN 1 END) AS items FROM employee GROUP BY period")
 add("join_19_tree", "contact", lambda c: lists.with_children(c.select("id", "parent_id"), "parent_id").select("id", "parent_id", F.size("children").alias("n"), F.array_join(F.transform("children", lambda x: x.cast("string")), ",").alias("children")), "SELECT c.id, c.parent_id, CAST(count(k.id) AS INTEGER) AS n, coalesce(string_agg(CAST(k.id AS VARCHAR), ',' ORDER BY k.id), '') AS children FROM contact c LEFT JOIN contact k ON k.parent_id = c.id GROUP BY c.id, c.parent_id")
-add("srt_03_nulls_last", "activity", lambda a: a.orderBy(F.asc_nulls_last("due"), "created_at", "id").offset(9000).limit(200).select("id"), "SELECT id FROM activity ORDER BY due ASC NULLS LAST, created_at, id LIMIT 200 OFFSET 9000")
+add("srt_03_nulls_last", "activity", lambda a: lists.page_nulls_last(a, "due", ["created_at", "id"], 9000, 200).select("id"), "SELECT id FROM activity ORDER BY due ASC NULLS LAST, created_at, id LIMIT 200 OFFSET 9000")
 add("srt_04_by_score", "suggestion", lambda s: lists.page(s, [F.desc("score"), F.desc("created_at"), F.asc("id")], 2, 100).select("id", "score"), "SELECT id, score FROM suggestion ORDER BY score DESC, created_at DESC, id LIMIT 100 OFFSET 100")
 add("srt_08_recent", "fiscal_document", lambda d: lists.recent(d, 25).select("id", "rank", "score"), "SELECT id, CAST(r - 1 AS INTEGER) AS rank, round(1.0::DOUBLE / (r + 60), 9) AS score FROM (SELECT id, row_number() OVER (ORDER BY doc_date DESC, id DESC) AS r FROM fiscal_document) WHERE r <= 25")
 add("srt_09_calendar", "schedule", lambda s: lists.page(lists.schedule_window(s, _FIRST, _LAST), [F.asc("due_date"), F.asc("id")], 1, 200).select("id", "due_date"), f"SELECT id, due_date FROM schedule WHERE due_date {_IN} OR (recurrence IS NOT NULL AND due_date <= DATE '{_LAST}') ORDER BY due_date, id LIMIT 200")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contaflux.functions import dates, fiscal, money, text, vectors
+from contaflux.operators import lists as listed
 from contaflux.operators import boards, extraction, filing, parties, reconcile, retrieval, states, tax
 from contaflux.plans import exchange as exchange_queries  # noqa: F401  registers its queries
 from contaflux.plans import fields as field_queries  # noqa: F401
@@ -231,21 +232,12 @@ add("prj_15_file_names", "fiscal_document", lambda d: d.select("id", filing.file
 add("prj_02_parties", "party", lambda p: p.select("id", "name", text.masked_iban(F.col("iban")).alias("iban"), text.phone_key(F.col("phone")).alias("phone")), "SELECT id, name, concat(left(iban, 4), '••••', right(iban, 4)) AS iban, right(regexp_replace(phone, '\\D', '', 'g'), 9) AS phone FROM party")
 add("str_36_extract", "fiscal_document", lambda d: d.select("id", extraction.fields(F.concat(F.lit("Fornecedor\nNIF: 500 000 000\nFatura "), "doc_number", F.lit("\nData: "), F.date_format("doc_date", "dd/MM/yyyy"), F.lit("\nIVA 23% 12,30\nTotal: EUR "), F.replace(F.format_string("%.2f", "total"), F.lit("."), F.lit(",")))).alias("f")).select("id", "f.nif", "f.number", "f.date", "f.total", "f.tax", "f.type", "f.confidence"),
     "SELECT id, '500000000' AS nif, doc_number AS number, doc_date AS date, CAST(printf('%.2f', total) AS DOUBLE) AS total, CAST(12.3 AS DOUBLE) AS tax, 'FATURA_RECEBIDA' AS type, CAST(0.85 AS DOUBLE) AS confidence FROM fiscal_document")
-add("win_05_previous", "fiscal_document", lambda d: d.select("id", F.lag("id").over(Window.partitionBy("party_id").orderBy("doc_date", "id")).alias("previous_id")), "SELECT id, lag(id) OVER (PARTITION BY party_id ORDER BY doc_date, id) AS previous_id FROM fiscal_document")
-add("join_10_nested_items", "document_item", lambda i: i.groupBy("document_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x.cast("string")), ",").alias("lines")), "SELECT document_id, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS lines FROM document_item GROUP BY document_id")
+add("win_05_previous", "fiscal_document", lambda d: listed.previous(d, "party_id", ["doc_date", "id"]), "SELECT id, lag(id) OVER (PARTITION BY party_id ORDER BY doc_date, id) AS previous_id FROM fiscal_document")
+add("join_10_nested_items", "document_item", lambda i: listed.nested(i, "document_id", ["line"]).select("document_id", "n", F.array_join(F.transform("items", lambda x: x["line"].cast("string")), ",").alias("lines")), "SELECT document_id, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS lines FROM document_item GROUP BY document_id")
 
 
-def _nearest_rank(p: DataFrame) -> DataFrame:
-    """By running counts of the distinct dates of a status, so that no group is held as one array."""
-    days = p.groupBy("status", "due_date").agg(F.count("due_date").alias("c"))
-    group = Window.partitionBy("status")
-    days = days.withColumn("n", F.sum("c").over(group)).withColumn("upto", F.sum("c").over(group.orderBy("due_date").rowsBetween(Window.unboundedPreceding, 0)))
-    at = {"p50": F.floor(F.col("n") * 0.5), "p95": F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)}
-    return days.groupBy("status").agg(*(F.min(F.when(F.col("upto") > rank, F.col("due_date"))).alias(name) for name, rank in at.items()))
-
-
-add("agg_34_nearest_rank", "payable", _nearest_rank, "SELECT status, list_sort(list(due_date))[CAST(floor(count(*) * 0.5) AS BIGINT) + 1] AS p50, list_sort(list(due_date))[least(CAST(floor(count(*) * 0.95) AS BIGINT), count(*) - 1) + 1] AS p95 FROM payable GROUP BY status")
-add("set_06_missing", "fiscal_document payable", lambda d, p: d.select("id").join(p.where("status = 'PAID'").select("id"), "id", "left_anti"), "SELECT id FROM fiscal_document WHERE id NOT IN (SELECT id FROM payable WHERE status = 'PAID')")
+add("agg_34_nearest_rank", "payable", lambda p: boards.nearest_ranks(p, "status", "due_date", {"p50": 0.5, "p95": 0.95}), "SELECT status, list_sort(list(due_date))[CAST(floor(count(*) * 0.5) AS BIGINT) + 1] AS p50, list_sort(list(due_date))[least(CAST(floor(count(*) * 0.95) AS BIGINT), count(*) - 1) + 1] AS p95 FROM payable GROUP BY status")
+add("set_06_missing", "fiscal_document payable", lambda d, p: listed.missing(d, p.where("status = 'PAID'")), "SELECT id FROM fiscal_document WHERE id NOT IN (SELECT id FROM payable WHERE status = 'PAID')")
 add("dat_09_schedule_status", "payable", lambda p: p.select("id", dates.schedule_status(F.col("status"), F.col("due_date"), F.lit(TODAY)).alias("now")), f"SELECT id, CASE WHEN status IN ('PAID', 'CANCELLED') THEN status WHEN due_date < DATE '{TODAY}' THEN 'OVERDUE' ELSE 'SCHEDULED' END AS now FROM payable")
 
 

@@ -76,3 +76,20 @@ def test_golden(spark, name):
 def test_rules_of_scores(spark):
     row = spark.range(1).select(money.answer_confidence(F.lit("LOOKUP"), F.lit(3), F.lit("anthropic")), money.answer_confidence(F.lit("X"), F.lit(2), F.lit("o")), money.severity(F.lit(20)), money.risk_level(F.lit(50)), money.risk_action(money.risk_level(F.lit(15)))).first()
     assert tuple(row) == (0.95, 0.7, "HIGH", "CRITICAL", "flag")
+
+
+def test_lists_of_items_and_missing_keys(spark):
+    from contaflux.operators import boards, lists
+
+    items = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, 3, "c"), (2, 1, "x"), (None, 1, "n")], "doc long, line int, text string")
+    got = {r["doc"]: (r["n"], [tuple(i) for i in r["items"]]) for r in lists.nested(items, "doc", ["line", "text"], most=2).collect()}
+    assert got == {1: (3, [(1, "a"), (2, "b")]), 2: (1, [(1, "x")])}  # a null parent is none
+    keys = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    assert sorted((r[0] for r in lists.missing(keys(1, 2, None), keys(2, 2, 3, None)).collect()), key=str) == [1, None]
+    rows = spark.createDataFrame([(1, "a", 5), (2, "a", 4), (3, "b", 1), (4, "a", None)], "id long, g string, at int")
+    assert {r["id"]: r["previous_id"] for r in lists.previous(rows, "g", ["at", "id"]).collect()} == {1: 2, 2: 4, 3: None, 4: None}
+    assert [r["id"] for r in lists.page_nulls_last(rows, "at", ["id"], 1, 3).collect()] == [2, 1, 4]
+    ranks = boards.nearest_ranks(rows, "g", "at", {"half": 0.5, "all": 1.0}).collect()
+    assert {r["g"]: (r["half"], r["all"]) for r in ranks} == {"a": (5, 5), "b": (1, 1)}
+    nets = spark.createDataFrame([(123.0, 23.0), (10.0, 12.0), (None, 1.0), (1.0, None), (0.305, 0.1)], "t double, x double").select(money.net_of(F.col("t"), F.col("x"))).collect()
+    assert [r[0] for r in nets] == [100.0, 0.0, None, None, 0.21]
