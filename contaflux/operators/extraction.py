@@ -172,34 +172,34 @@ def _typed(r: Column, most_items: int, most_notes: int) -> Column:
     )
 
 
+#: A whole string, closed or not, or a brace.
+_MARK = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[{}]', re.S)
+
+
+def balanced(text: str | None) -> str | None:
+    """The first balanced JSON object of a text. Braces are looked at, not letters: what lies between
+    them is skipped by the regular expression, and each part of a text is read once."""
+    if not text:
+        return None
+    kept, at = [], 0
+    while (opened := text.find("<think>", at)) >= 0 and (closed := text.find("</think>", opened)) >= 0:
+        kept.append(text[at:opened])
+        at = closed + len("</think>")
+    text = "".join(kept) + text[at:]
+    start, depth = text.find("{"), 0
+    for mark in _MARK.finditer(text, start) if start >= 0 else ():
+        depth += {"{": 1, "}": -1}.get(mark[0], 0)
+        if not depth:
+            return text[start : mark.end()]
+    return None
+
+
 def first_object(texts: Column) -> Column:
     """The first balanced JSON object of each text, braces inside strings and what is between
     <think> tags aside; null without one. Counting braces is no regular expression."""
 
-    def first(text: str | None) -> str | None:
-        if not text:
-            return None
-        text = re.sub(r"<think>.*?</think>", "", text, flags=re.S)
-        start = text.find("{")
-        depth, quoted, skip = 0, False, False
-        for i in range(start, len(text)) if start >= 0 else ():
-            c = text[i]
-            if skip:
-                skip = False
-            elif quoted:
-                skip, quoted = c == "\\", c != '"'
-            elif c == '"':
-                quoted = True
-            elif c == "{":
-                depth += 1
-            elif c == "}":
-                depth -= 1
-                if not depth:
-                    return text[start : i + 1]
-        return None
-
     def run(column: pd.Series) -> pd.Series:
-        return column.map(first)
+        return column.map(balanced, na_action="ignore")
 
     return F.pandas_udf(run, StringType())(texts)
 

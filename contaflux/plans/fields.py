@@ -34,13 +34,8 @@ def of(*values) -> str:
 # Texts --------------------------------------------------------------------------------
 
 _KIND = lambda s: F.concat_ws(":", s["type"], s["confidence"].cast("string"))
-case("str_27_name_type", lambda: _KIND(filing.name_type(pick("ft_2026.pdf", "Fatura.pdf", "nc 12.pdf", "dua.pdf", "guia-1.pdf", "contrato.pdf", "foto.png", "extrato.pdf", "fs 1.pdf", "encomenda.pdf"))), of("FATURA_RECEBIDA:0.8", "FATURA_RECEBIDA:0.8", "NOTA_CREDITO:0.75", "DUA_IMPORTACAO:0.9", "GUIA_TRANSPORTE:0.75", "CONTRATO:0.85", "", "EXTRATO_BANCARIO:0.85", "FATURA_SIMPLIFICADA:0.8", "ENCOMENDA:0.8"))
-case("str_28_qr_class", lambda: _KIND(filing.qr_class(pick("FT", "fs", "FR", "NC", "ND", "RC", "ZZ", None))), of("FATURA_RECEBIDA:0.95", "FATURA_SIMPLIFICADA:0.95", "FATURA_RECIBO:0.95", "NOTA_CREDITO:0.95", "NOTA_DEBITO:0.95", "RECIBO_PAGAMENTO:0.95", "FATURA_RECEBIDA:0.95", ""))
-case("str_29_keyword_type", lambda: _KIND(filing.keyword_type(pick("Factura recibo", "INVOICE 1", "fatura simplificada", "recibo", "nota de crédito", "bank statement", "guia de remessa", "remuneração", "bom dia"))), of("FATURA_RECIBO:0.7", "FATURA_RECEBIDA:0.65", "FATURA_SIMPLIFICADA:0.75", "RECIBO_PAGAMENTO:0.65", "NOTA_CREDITO:0.7", "EXTRATO_BANCARIO:0.75", "GUIA_TRANSPORTE:0.7", "RECIBO_VENCIMENTO:0.7", "OUTRO:0.3"))
 case("str_30_classified", lambda: _KIND(filing.classified(pick("ft_1.pdf", "nc_1.pdf", "x.pdf", "x.pdf", "x.pdf"), pick("contrato", "contrato", "contrato", "contrato", "nada"), pick(None, "FS", "NC", None, None))), of("FATURA_RECEBIDA:0.8", "FATURA_SIMPLIFICADA:0.95", "NOTA_CREDITO:0.95", "CONTRATO:0.65", "UNIDENTIFIED:0.1"))
 case("str_31_text_type", lambda: text.text_type(pick("Nota de crédito e fatura", "DEBIT NOTE", "recibo de fatura", "Rechnung 5", "nada", "pré-faturado")), of("NOTA_CREDITO", "NOTA_DEBITO", "RECIBO", "FATURA_RECEBIDA", None, None))
-case("str_33_qr_type", lambda: fiscal.qr_type(pick("FT", "fr", "NC", "ND", "RG", "XX")), of("FATURA_RECEBIDA", "FATURA_RECEBIDA", "NOTA_CREDITO", "NOTA_DEBITO", "RECIBO", None))
-case("str_34_expense_category", lambda: filing.expense_category(pick("Restaurante O Mar", "GASÓLEO", "Hotel Central", "Portagem A1", "Toner", "62.2.1 Honorários", "MEO fibra", "Arrendamento", "Seguro", "62.2.4")), of("Refeições", "Combustível", "Alojamento", "Deslocações", "Material de escritório", "Serviços/FSE", "Comunicações", "Rendas", None, "Refeições"))
 case("str_38_qr_line", lambda: extraction.qr_line(pick("x\nA:500000000*B:1\ny", "A:1*", None)), of("A:500000000*B:1", None, None))
 case("str_42_first_object", lambda: extraction.first_object(pick('x {"a":"}{"} y', "<think>{}</think>```json\n{\"b\":{\"c\":1}}```", "none", '{"open":')), of('{"a":"}{"}', '{"b":{"c":1}}', None, None))
 case("str_45_remittance", lambda: text.remittance(pick("Renda", None, "", "x"), F.col("doc_number"), pick("AB-1", None)), "concat(CASE id % 4 WHEN 0 THEN 'Renda | ' WHEN 3 THEN 'x | ' ELSE '' END, 'fat: ', doc_number, CASE WHEN id % 2 = 0 THEN ' | atcud: AB-1' ELSE '' END)")
@@ -200,6 +195,18 @@ _ATCUD = "concat(CASE WHEN o_orderkey % 6 = 0 THEN ' ' ELSE '' END, left(lower(h
 add_raw("str_41_atcud", "orders", lambda d: d.select("o_orderkey", fiscal.atcud(F.expr(_ATCUD)).alias("v")).select("o_orderkey", "v.code", "v.sequence"), f"SELECT o_orderkey, CASE WHEN ok THEN split_part(u, '-', 1) END AS code, CASE WHEN ok THEN split_part(u, '-', 2) END AS sequence FROM (SELECT o_orderkey, u, regexp_matches(u, '^[A-Z0-9]{{6,10}}-\\d{{1,20}}$') AS ok FROM (SELECT o_orderkey, upper(trim({_ATCUD})) AS u FROM orders))")
 rule("snk_07_qr_payload", "orders", "o_orderkey", lambda: fiscal.qr_payload(F.create_map(F.lit("a"), F.col("o_orderkey").cast("string"), F.lit("g"), F.nullif(F.col("o_orderstatus"), F.lit("P")), F.lit("o"), F.when(F.col("o_custkey") % 3 == 0, "").otherwise(F.col("o_orderpriority")))), "concat('A:', o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN concat('*G:', o_orderstatus) ELSE '' END, CASE WHEN o_custkey % 3 <> 0 THEN concat('*O:', o_orderpriority) ELSE '' END)")
 
+_FILED_AS = "concat(CASE event_type WHEN 'click' THEN 'ft_' WHEN 'view' THEN 'Recibo ' WHEN 'error' THEN 'guia-' WHEN 'signup' THEN 'nc' ELSE 'extrato' END, event_id, CASE WHEN user_id % 3 = 0 THEN ' contrato' ELSE '' END, '.pdf')"
+add_raw("str_27_name_type", "events", lambda d: d.select("event_id", filing.name_type(F.expr(_FILED_AS)).alias("v")).select("event_id", "v.type", "v.confidence"), f"SELECT event_id, {first_sql(f'upper({_FILED_AS})', [(k, p) for k, p, _ in filing.NAME_TYPES], 'NULL')} AS type, CASE {' '.join(f"WHEN regexp_matches(upper({_FILED_AS}), '{p}') THEN {c}" for _, p, c in filing.NAME_TYPES)} END::DOUBLE AS confidence FROM events")
+_CODE = "CASE o_orderpriority WHEN '1-URGENT' THEN 'FT' WHEN '2-HIGH' THEN 'nc' WHEN '3-MEDIUM' THEN concat('F', o_orderstatus) WHEN '5-LOW' THEN 'RG' END"
+rule("str_28_qr_class", "orders", "o_orderkey", lambda: filing.qr_class(F.expr(_CODE))["type"], f"CASE WHEN coalesce({_CODE}, '') <> '' THEN {table_sql(f'upper({_CODE})', filing.QR_CLASSES, chr(39) + 'FATURA_RECEBIDA' + chr(39))} END")
+rule("str_33_qr_type", "orders", "o_orderkey", lambda: fiscal.qr_type(F.expr(_CODE)), table_sql(f"upper({_CODE})", fiscal.QR_TYPES))
+_SPOKEN = "concat(text, CASE doc_id % 9 WHEN 0 THEN ' Extrato' WHEN 1 THEN ' FATURA simplificada' WHEN 2 THEN ' Nota de Crédito' WHEN 3 THEN ' guia de remessa' WHEN 4 THEN ' invoice, recibo' ELSE '' END)"
+_SAYS = lambda words_: " OR ".join(f"contains(low, '{w}')" for w in words_)
+add_raw("str_29_keyword_type", "documents", lambda d: d.select("doc_id", filing.keyword_type(F.expr(_SPOKEN)).alias("v")).select("doc_id", "v.type", "v.confidence"), f"""SELECT doc_id, split_part(k, ':', 1) AS type, CAST(split_part(k, ':', 2) AS DOUBLE) AS confidence FROM (SELECT doc_id, CASE WHEN {_SAYS(filing.INVOICE_WORDS)} THEN CASE WHEN contains(low, 'recibo') THEN 'FATURA_RECIBO:0.7' WHEN contains(low, 'simplificada') THEN 'FATURA_SIMPLIFICADA:0.75' ELSE 'FATURA_RECEBIDA:0.65' END
+{' '.join(f"WHEN {_SAYS(w)} THEN '{k}:{c}'" for k, w, c in filing.KEYWORD_TYPES)} ELSE 'OUTRO:0.3' END AS k FROM (SELECT doc_id, lower(coalesce({_SPOKEN.replace('concat(text,', "concat(coalesce(text, ''),")}, '')) AS low FROM documents))""")
+_SPENT = "concat(p_type, ' ', p_name, CASE p_size % 7 WHEN 0 THEN ' Restaurante' WHEN 1 THEN ' GASÓLEO' WHEN 2 THEN ' Serviços' WHEN 3 THEN ' Portagem' WHEN 4 THEN ' 62.2.1' ELSE '' END)"
+rule("str_34_expense_category", "part", "p_partkey", lambda: filing.expense_category(F.expr(_SPENT)), f"CASE {' '.join(f"WHEN contains(lower({_ACCENTS.format(_SPENT)}), '{h}') THEN '{c}'" for h, c in filing.CATEGORY_HINTS)} END")
+
 # Readings of a language model ---------------------------------------------------------
 
 _ANSWERS = ['```json\n{"supplier":" Loja ","total":"1.234,56","taxAmount":23,"confidence":1.7,"notes":["a","b","c","d","e","f"],"lineItems":[{"description":"x","quantity":"2"},{}],"ivaBreakdown":[{"rate":23,"base":"100","tax":"23"},{"rate":6}],"cashDiscountRate":"2,5 %"}\n```', '{"total":12.34,"supplier":"","discountAmount":-1}', "no json"]

@@ -65,6 +65,13 @@ case("fid_03_final_consumer", lambda: fiscal.final_consumer(pick("", "0", "999 9
 case("fid_12_tenant_nif", lambda: fiscal.tenant_nif(pick("PT 500 000 000", "35500000000", "12", None)), of("500000000", "500000000", "12", ""))
 case("src_06_qr_fields", lambda: F.concat_ws("|", fiscal.qr_fields(pick("a:1*A:2*B:x:y", "none"))["A"], fiscal.qr_fields(pick("a:1*A:2*B:x:y", "none"))["B"]), of("2|x:y", ""))
 
+_KIND = lambda s: F.concat_ws(":", s["type"], s["confidence"].cast("string"))
+case("str_27_name_type", lambda: _KIND(filing.name_type(pick("ft_2026.pdf", "Fatura.pdf", "nc 12.pdf", "dua.pdf", "guia-1.pdf", "contrato.pdf", "foto.png", "extrato.pdf", "fs 1.pdf", "encomenda.pdf"))), of("FATURA_RECEBIDA:0.8", "FATURA_RECEBIDA:0.8", "NOTA_CREDITO:0.75", "DUA_IMPORTACAO:0.9", "GUIA_TRANSPORTE:0.75", "CONTRATO:0.85", "", "EXTRATO_BANCARIO:0.85", "FATURA_SIMPLIFICADA:0.8", "ENCOMENDA:0.8"))
+case("str_28_qr_class", lambda: _KIND(filing.qr_class(pick("FT", "fs", "FR", "NC", "ND", "RC", "ZZ", None))), of("FATURA_RECEBIDA:0.95", "FATURA_SIMPLIFICADA:0.95", "FATURA_RECIBO:0.95", "NOTA_CREDITO:0.95", "NOTA_DEBITO:0.95", "RECIBO_PAGAMENTO:0.95", "FATURA_RECEBIDA:0.95", ""))
+case("str_29_keyword_type", lambda: _KIND(filing.keyword_type(pick("Factura recibo", "INVOICE 1", "fatura simplificada", "recibo", "nota de crédito", "bank statement", "guia de remessa", "remuneração", "bom dia"))), of("FATURA_RECIBO:0.7", "FATURA_RECEBIDA:0.65", "FATURA_SIMPLIFICADA:0.75", "RECIBO_PAGAMENTO:0.65", "NOTA_CREDITO:0.7", "EXTRATO_BANCARIO:0.75", "GUIA_TRANSPORTE:0.7", "RECIBO_VENCIMENTO:0.7", "OUTRO:0.3"))
+case("str_33_qr_type", lambda: fiscal.qr_type(pick("FT", "fr", "NC", "ND", "RG", "XX")), of("FATURA_RECEBIDA", "FATURA_RECEBIDA", "NOTA_CREDITO", "NOTA_DEBITO", "RECIBO", None))
+case("str_34_expense_category", lambda: filing.expense_category(pick("Restaurante O Mar", "GASÓLEO", "Hotel Central", "Portagem A1", "Toner", "62.2.1 Honorários", "MEO fibra", "Arrendamento", "Seguro", "62.2.4")), of("Refeições", "Combustível", "Alojamento", "Deslocações", "Material de escritório", "Serviços/FSE", "Comunicações", "Rendas", None, "Refeições"))
+
 
 @pytest.mark.parametrize("name", sorted(CASES))
 def test_golden(spark, name):
@@ -93,3 +100,37 @@ def test_lists_of_items_and_missing_keys(spark):
     assert {r["g"]: (r["half"], r["all"]) for r in ranks} == {"a": (5, 5), "b": (1, 1)}
     nets = spark.createDataFrame([(123.0, 23.0), (10.0, 12.0), (None, 1.0), (1.0, None), (0.305, 0.1)], "t double, x double").select(money.net_of(F.col("t"), F.col("x"))).collect()
     assert [r[0] for r in nets] == [100.0, 0.0, None, None, 0.21]
+
+
+def test_balanced_objects_against_letter_by_letter():
+    import random
+    import time
+
+    from contaflux.operators.extraction import balanced
+
+    def plain(text):
+        start = text.find("{")
+        depth, quoted, skip = 0, False, False
+        for i in range(start, len(text)) if start >= 0 else ():
+            c = text[i]
+            if skip:
+                skip = False
+            elif quoted:
+                skip, quoted = c == "\\", c != '"'
+            elif c == '"':
+                quoted = True
+            elif c in "{}":
+                depth += 1 if c == "{" else -1
+                if not depth:
+                    return text[start : i + 1]
+        return None
+
+    rng = random.Random(3)
+    for _ in range(20000):
+        text = "".join(rng.choice('{}"\\a\n') for _ in range(rng.randint(0, 14)))
+        assert balanced(text) == plain(text), repr(text)
+    assert balanced("<think>{}</think>x{1}<think>") == "{1}" and balanced(None) is None
+    began = time.time()
+    for text in ("<think>" * 300_000, "{" * 2_000_000, '{"' + "a" * 2_000_000, '{"' + "\\" * 1_000_001, "{" + '"a"' * 500_000):
+        assert balanced(text) is None
+    assert time.time() - began < 15
