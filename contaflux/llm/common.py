@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 import uuid
 from collections.abc import Iterator
@@ -55,12 +56,15 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *kept: DataFrame) -> None:
-        """Remove tables that no later plan reads."""
+        """Remove tables that no later plan reads. Shuffle files of the plans that wrote them go when
+        the driver collects its garbage, so it is asked to: else they lie on the disks meanwhile."""
         jvm = self.spark._jvm
         for df in kept:
             for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
                 path = jvm.org.apache.hadoop.fs.Path(name)
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
 
 
 def give_back() -> None:

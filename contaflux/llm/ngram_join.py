@@ -529,6 +529,7 @@ def linked(docs: DataFrame) -> DataFrame:
     shared = scratch.keep(met(rare).unionByName(often.dropDuplicates(["token", "node"])))
     # s: how many tokens of its prefix a set shares with any other. A set's size comes from nodes here, not with each token.
     sizes = shared.groupBy("node").agg(F.count("*").alias("s")).join(nodes.select("node", "n"), "node")
+    scratch.drop()  # the exchange of all prefixes is the largest one
     blocks = scratch.keep(shared.join(sizes, "node").select("token", "node", "n", "s"))
     scratch.drop(shared)
     # The hub of a block is the set with the largest share of shared shingles: of near copies
