@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contaflux.functions import dates, fiscal, money, text, vectors
-from contaflux.operators import audit, boards, lists, parties, reconcile, retrieval, tax
+from contaflux.operators import audit, boards, extraction, lists, parties, reconcile, retrieval, tax
 from contaflux.plans import registry
 from contaflux.sources import bank, sepa
 from contaflux.streaming import events as streams
@@ -312,3 +312,11 @@ def test_effective_mapping_and_missing_columns(spark):
     assert bank.effective_mapping({"date": "Data"}, {"dateColumn": "x", "amountColumn": "Valor"}) == {"date": "Data", "amount": "Valor"}
     with pytest.raises(ValueError, match="nope"):
         bank.mapped(spark.range(1), {"a": "nope"})
+
+
+def test_breakdown_rounds_half_cents_as_sql_does(spark, duck):
+    docs = spark.sql("SELECT id, CAST(array() AS array<struct<rate:double,base:double,tax:double>>) AS explicit, 23.0D AS tax, 100.0D AS net FROM range(5)")
+    amounts = [4.75, 7.75, 15.25, 36.25, 39.75]  # 6 % of each ends in half a cent
+    lines = spark.createDataFrame([(i, 6.0, 3.0, a / 3.0, 0.0, a * (1 + 6.0 / 100)) for i, a in enumerate(amounts)], "document_id long, rate double, quantity double, price double, discount double, line_total double")
+    got = {r.document_id: (r.base, r.tax) for r in extraction.breakdown(docs, lines).collect()}
+    assert got == {i: (a, duck.execute("SELECT round(?::DOUBLE * 6.0 / 100, 2)", [a]).fetchone()[0]) for i, a in enumerate(amounts)}
