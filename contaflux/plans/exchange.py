@@ -16,20 +16,22 @@ from contaflux.sources.shared import shared_folder
 
 # Statement files ----------------------------------------------------------------------
 
+_MOST_MOVEMENTS = 50_000  # of one statement file
 _BAD_DATE, _BAD_AMOUNT = "id % 97 = 0", "id % 89 = 0 AND id % 97 <> 0"
 
 
 def _files(t: DataFrame) -> str:
     """Movements as statement files of two banks: semicolons after a byte order mark, and commas in
-    another order of columns. Some dates don't exist, some amounts are words."""
+    another order of columns. Some dates don't exist, some amounts are words. A folder by bank gets no
+    file from a task that has no rows: one with nothing but a header would be a reject."""
     folder = shared_folder(t.sparkSession, "statements")
     amount = F.when(F.expr(_BAD_AMOUNT), "n/a").otherwise(F.replace(F.format_string("%.2f", "amount"), F.lit("."), F.lit(",")))
     day = lambda f: F.when(F.expr(_BAD_DATE), "31/02/2026").otherwise(F.date_format("date", f))
     one = t.where("id % 2 = 0").select(day("dd/MM/yyyy").alias("﻿Data"), F.concat(F.lit('"'), "description", F.lit('"; ')).alias("Descrição"), amount.alias("Valor"), F.col("id").alias("Ref"))
     other = t.where("id % 2 = 1").select(F.col("id").alias("ref"), amount.alias("VALOR"), day("yyyy-MM-dd").alias("data"), F.col("description").alias("descrição"))
     for name, rows, sep in (("a", one, ";"), ("b", other, ",")):
-        rows.write.option("header", True).option("sep", sep).option("escape", '"').csv(f"{folder}/{name}")
-    return f"{folder}/*/*.csv"
+        rows.withColumn("bank", F.lit(name)).write.partitionBy("bank").option("header", True).option("sep", sep).option("escape", '"').option("maxRecordsPerFile", _MOST_MOVEMENTS).csv(f"{folder}/{name}")
+    return f"{folder}/*/bank=*/*.csv"
 
 
 _MAPPING = {"date": "Data", "description": "Descrição", "amount": "Valor", "reference": "Ref"}

@@ -6,6 +6,7 @@ import datetime
 
 import pytest
 
+from contaflux.plans import exchange
 from contaflux.sources import bank, statements
 
 MAPPING = {"date": "data", "description": "Descrição", "amount": "VALOR", "balance": "saldo", "reference": "Ref"}
@@ -84,3 +85,12 @@ def test_an_entry_of_several_transactions(spark, tmp_path):
     (tmp_path / "s.xml").write_text(f'<Document><Stmt><Ntry><Amt Ccy="EUR">1.234,50</Amt><CdtDbtInd>CRDT</CdtDbtInd><BookgDt><Dt>2026-01-02</Dt></BookgDt><NtryDtls>{details(1)}{details(2)}</NtryDtls></Ntry></Stmt></Document>')
     (entry,) = bank.camt_rows(spark, str(tmp_path / "s.xml")).collect()
     assert (float(entry["amount"]), entry["end_to_end_id"], entry["counterparty"], entry["remittance"], entry["transactions"]) == (1234.5, "E1", "D1", "U1", 2)
+
+
+def test_statement_files_of_tasks_without_rows(spark):
+    """Filtered tables often leave a first task without rows."""
+    t = spark.range(3, 40).selectExpr("id", "1.5D AS amount", "DATE'2026-01-02' AS date", "'x' AS description")
+    t = spark.range(0).selectExpr("id", "1.5D AS amount", "DATE'2026-01-02' AS date", "'x' AS description").repartition(1).unionByName(t)
+    rows = statements.records(spark, exchange._files(t))
+    assert rows.where("wrong IS NOT NULL").count() == 0
+    assert {r["delimiter"]: r["count"] for r in rows.groupBy("delimiter").count().collect()} == {";": 18, ",": 19}
