@@ -1,14 +1,16 @@
 """Bank statements as CSV, each file in its own dialect, with what can't be read kept aside.
 
 Files come through Spark's binary reader, so any store that Spark reads will do, and each is parsed by
-one task: a statement is a file of one account, not a table. A file tells its own delimiter, byte
+one task, record by record: a statement is a file of one account, not a table. A file tells its own delimiter, byte
 order mark and encoding; quotes may hold delimiters and line ends; rows may be short or long.
 """
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
+import itertools
 import sys
 from collections.abc import Iterator
 
@@ -26,6 +28,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 DELIMITERS = ";,\t"
 #: A file of more bytes is a reject as a whole; tasks hold one file.
 MOST_BYTES = 64 << 20
+#: Bytes that are looked at at once to tell an encoding.
+CHUNK = 1 << 20
 #: An export has the newest movements, up to so many.
 MOST_EXPORTED = 10_000
 EXPORTED = ["ID", "Data", "Descrição", "Valor", "Saldo", "Referência", "Contraparte", "Origem", "Lote", "Importado em"]
@@ -37,35 +41,64 @@ def delimiter(line: str) -> str:
     return DELIMITERS[counts.index(max(counts))] if max(counts) else ";"
 
 
-def decoded(raw: bytes) -> str:
-    """UTF-8 with or without a mark, UTF-16 with one, else Windows-1252."""
+def encoding(raw: bytes) -> tuple[str, str]:
+    """UTF-8 with or without a mark, UTF-16 with one, else Windows-1252; and what to do about errors."""
     if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return raw.decode("utf-16", "replace")
+        return "utf-16", "replace"
+    decoder = codecs.getincrementaldecoder("utf-8-sig")()
     try:
-        return raw.decode("utf-8-sig")
+        for a in range(0, len(raw), CHUNK):
+            decoder.decode(raw[a : a + CHUNK])
+        decoder.decode(b"", True)
     except UnicodeDecodeError:
-        return raw.decode("cp1252", "replace")
+        return "cp1252", "replace"
+    return "utf-8-sig", "strict"
 
 
-def parsed(raw: bytes, header: bool = True) -> tuple[str, list[str], list[tuple[int, list[str]]], str | None]:
-    """(delimiter, names, [(line, fields)], what is wrong with the file). Lines count from 1 and
-    are those on which records begin; blank lines are no records. Without a header names are Col1 ..."""
-    text = decoded(raw)
-    first = next((line for line in text.splitlines() if line.strip()), None)
-    if first is None:
-        return ";", [], [], "empty file"
-    sep, records, line = delimiter(first), [], 1
+def decoded(raw: bytes) -> str:
+    return raw.decode(*encoding(raw))
+
+
+def _lines(raw: bytes, form: tuple[str, str]) -> io.TextIOWrapper:
+    return io.TextIOWrapper(io.BytesIO(raw), form[0], form[1], newline="")
+
+
+def _each(raw: bytes, form: tuple[str, str], sep: str) -> Iterator[tuple[int, list[str]]]:
+    """The records that aren't blank, one at a time, with the line on which each begins."""
     csv.field_size_limit(MOST_BYTES)
-    reader = csv.reader(io.StringIO(text, newline=""), delimiter=sep)
+    line, reader = 1, csv.reader(_lines(raw, form), delimiter=sep)
+    for fields in reader:
+        if any(f.strip() for f in fields):
+            yield line, fields
+        line = reader.line_num + 1
+
+
+def streamed(raw: bytes, header: bool = True) -> tuple[str, list[str], Iterator[tuple[int, list[str]]], int, str | None]:
+    """(delimiter, names, (line, fields) one at a time, how many, what is wrong with the file).
+
+    The file is read through once for what must be known beforehand and then again for its records,
+    so that neither its text nor its records are held as a whole."""
+    form = encoding(raw)
+    first = next((x for line in _lines(raw, form) for x in line.splitlines() if x.strip()), None)
+    if first is None:
+        return ";", [], iter(()), 0, "empty file"
+    sep, n, most, names = delimiter(first), 0, 0, []
     try:
-        for fields in reader:
-            if any(f.strip() for f in fields):
-                records.append((line, fields))
-            line = reader.line_num + 1
+        for _, fields in _each(raw, form, sep):
+            names = fields if not n else names
+            n, most = n + 1, max(most, len(fields))
     except csv.Error as error:
-        return sep, [], [], f"unreadable: {error}"
-    names = [n.strip().strip('"') for n in records[0][1]] if header else [f"Col{i + 1}" for i in range(max(len(f) for _, f in records))]
-    return sep, names, records[1:] if header else records, None
+        return sep, [], iter(()), 0, f"unreadable: {error}"
+    names = [x.strip().strip('"') for x in names] if header else [f"Col{i + 1}" for i in range(most)]
+    skipped = 1 if header else 0
+    return sep, names, itertools.islice(_each(raw, form, sep), skipped, None), n - skipped, None
+
+
+def parsed(raw: bytes, header: bool = True) -> tuple[str, list[str], list[tuple[int, list[str]]], str | None]:
+    """(delimiter, names, [(line, fields)], what is wrong with the file). Lines count from 1 and
+    are those on which records begin; blank lines are no records. Without a header names are Col1 ..."""
+    sep, names, found, _, wrong = streamed(raw, header)
+    return sep, names, list(found), wrong
 
 
 _RECORD = "file string, line long, delimiter string, names array<string>, fields array<string>, wrong string"
@@ -77,12 +110,12 @@ def records(spark: SparkSession, path: str | list[str], header: bool = True) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, size, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                sep, names, found, wrong = parsed(raw, header) if raw is not None else (";", [], [], f"larger than {MOST_BYTES} bytes: {size}")
-                if not found:
-                    found, wrong = [(0, [])], wrong or "no rows"
-                for a in range(0, len(found), 10_000):
-                    part = found[a : a + 10_000]
+            for row in range(batch.num_rows):  # one file at a time
+                file, size, raw = (batch.column(i)[row].as_py() for i in range(3))
+                sep, names, found, known, wrong = streamed(raw, header) if raw is not None else (";", [], iter(()), 0, f"larger than {MOST_BYTES} bytes: {size}")
+                if not known:
+                    found, wrong = iter([(0, [])]), wrong or "no rows"
+                while part := list(itertools.islice(found, 10_000)):
                     n, strings = len(part), pa.list_(pa.string())
                     columns = [pa.array([file] * n), pa.array([p[0] for p in part], pa.int64()), pa.array([sep] * n), pa.array([names] * n, strings), pa.array([p[1] for p in part], strings), pa.array([wrong] * n, pa.string())]
                     yield pa.RecordBatch.from_arrays(columns, names=["file", "line", "delimiter", "names", "fields", "wrong"])

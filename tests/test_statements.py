@@ -94,3 +94,14 @@ def test_statement_files_of_tasks_without_rows(spark):
     rows = statements.records(spark, exchange._files(t))
     assert rows.where("wrong IS NOT NULL").count() == 0
     assert {r["delimiter"]: r["count"] for r in rows.groupBy("delimiter").count().collect()} == {";": 18, ",": 19}
+
+
+def test_a_file_is_parsed_record_by_record():
+    import tracemalloc
+
+    raw = "Data;Descrição;Valor\n".encode() + b"01/02/2026;some words of a movement;1,5\n" * 100_000
+    tracemalloc.start()
+    sep, names, found, n, wrong = statements.streamed(raw)
+    assert sum(1 for _ in found) == n == 100_000 and (sep, names[0], wrong) == (";", "Data", None)
+    assert tracemalloc.get_traced_memory()[1] < len(raw) + (4 << 20)
+    tracemalloc.stop()
