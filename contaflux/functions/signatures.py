@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contaflux.functions.fiscal import bound
+
 BLOCK = 64  # bytes of a SHA-256 block
 #: How a signature is written: hexadecimal, base64, or hexadecimal behind a prefix.
 SCHEMES = ("sha256", "sha256-base64", "prefixed")
@@ -15,12 +17,14 @@ PREFIX = "sha256="
 
 
 def _padded(key: Column, pad: int) -> Column:
-    """The key, hashed if it is longer than a block, filled up with zeros, each byte xor pad."""
+    """The key, hashed if it is longer than a block, filled up with zeros, each byte xor pad. Only the
+    key's own bytes are looked up, the rest of the block is the pad itself."""
     raw = key.cast("binary")
-    short = F.hex(F.when(F.octet_length(raw) > BLOCK, F.unhex(F.sha2(raw, 256))).otherwise(raw))
-    full = F.rpad(short, 2 * BLOCK, "0")
-    one = lambda i: F.lpad(F.hex(F.conv(F.substring(full, 2 * i + 1, F.lit(2)), 16, 10).cast("int").bitwiseXOR(F.lit(pad))), 2, "0")
-    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)), one), ""))
+    short = F.when(F.octet_length(raw) > BLOCK, F.unhex(F.sha2(raw, 256))).otherwise(raw)
+    table = F.array(*(F.lit(f"{i ^ pad:02X}") for i in range(256)))
+    told = F.transform(F.split(F.decode(short, "ISO-8859-1"), ""), lambda c: F.get(table, F.ascii(c)))
+    own = F.when(F.octet_length(short) > 0, F.array_join(told, "")).when(short.isNotNull(), "")
+    return F.unhex(F.rpad(own, 2 * BLOCK, f"{pad:02X}"))
 
 
 def hmac(key: Column | str, body: Column) -> Column:
@@ -51,8 +55,12 @@ def fault(key: Column | str, body: Column, signature: Column, scheme: str = "sha
     empty), else ``mismatch``, also without a key. Blanks around it and a missing prefix don't matter."""
     key = F.lit(key) if isinstance(key, str) else key
     want = hmac(key, F.coalesce(body.cast("binary"), F.lit(b"")))
-    right = F.coalesce((F.octet_length(key.cast("binary")) > 0) & _agrees(signature, want, scheme), F.lit(False))
-    return F.when(signature.isNull() | (signature == ""), "malformed").when(~right, "mismatch")
+
+    def told(sent: Column) -> Column:
+        right = F.coalesce((F.octet_length(key.cast("binary")) > 0) & _agrees(sent, want, scheme), F.lit(False))
+        return F.when(sent.isNull() | (sent == ""), "malformed").when(~right, "mismatch")
+
+    return bound(signature, told)  # a signature may itself be costly and is looked at several times
 
 
 def _agrees(signature: Column, digest: Column, scheme: str) -> Column:

@@ -140,3 +140,13 @@ def test_embed_in_sql(spark):
 def test_vectors_as_json(spark):
     df = spark.createDataFrame([("[1, 2.5]",), ("[]",), ("nope",), ("[1, null]",), (None,), ('["a"]',)], "v string")
     assert [r[0] for r in df.select(embed.of_json(F.col("v"))).collect()] == [[1.0, 2.5], None, None, None, None, None]
+
+
+def test_a_costly_signature_is_worked_out_once(spark):
+    df = spark.createDataFrame([("k", "b", "c", bytes(range(64)))], "k string, b string, c string, raw binary")
+    sent = signatures.signed(F.col("k"), F.reverse("c"), "prefixed")
+    plan = df.select(signatures.fault(F.col("k"), F.col("b"), sent, "prefixed").alias("f"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("reverse(") == 1 and plan.first()[0] == "mismatch"
+    for raw in (bytes(range(64)), bytes(range(192, 256)), bytes(range(100)), b"\0", b"6\\"):
+        got = spark.createDataFrame([(raw,)], "k binary").select(signatures.hmac(F.col("k"), F.lit("body"))).first()[0]
+        assert got == hmac.new(raw, b"body", hashlib.sha256).hexdigest()
