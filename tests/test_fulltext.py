@@ -90,3 +90,12 @@ def test_odd_ids_and_long_texts(spark):
     assert index.search('"aa aa aa"').count() == 1
     empty = fulltext.written(rows.limit(0), "id", F.col("text"))
     assert empty.search("aa").count() == 0 and empty.search("-aa").count() == 0
+
+
+def test_a_document_is_grouped_where_it_lies():
+    import pyarrow as pa
+
+    many = [["b", "a", "b"], [], ["a"], *([["x", "y", "x"]] * 300)]
+    batch = pa.RecordBatch.from_pydict({"doc": pa.array(range(len(many)), pa.int64()), "w": pa.array(many, pa.list_(pa.string()))})
+    got = [tuple(r.values()) for out in fulltext.grouped(iter([batch])) for r in out.to_pylist()]
+    assert sorted(got) == [(0, "a", [1]), (0, "b", [0, 2]), (2, "a", [0]), *(r for i in range(3, 303) for r in ((i, "x", [0, 2]), (i, "y", [1])))]
