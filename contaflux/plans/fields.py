@@ -31,6 +31,11 @@ def of(*values) -> str:
     return "CASE id % {} {} END".format(len(values), " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(shown)))
 
 
+def shown(value: Column, *columns: str, between: str = "|") -> Column:
+    """Columns of a struct as one text; the struct is worked out once."""
+    return fiscal.bound(value, lambda v: F.concat_ws(between, *(v[c].cast("string") for c in columns)))
+
+
 # Texts --------------------------------------------------------------------------------
 
 _KIND = lambda s: F.concat_ws(":", s["type"], s["confidence"].cast("string"))
@@ -55,7 +60,7 @@ case("dat_14_date_slug", lambda: dates.date_slug(F.col("doc_date")), "strftime(d
 
 add("mth_05_tax_fits", "document_item", lambda i: i.select("document_id", "line", money.tax_fits(F.col("total"), F.col("tax_rate").cast("double"), F.floor(F.col("total") * F.col("tax_rate").cast("double") + 0.5) / 100 + F.when(F.col("line") > 1, 0.05).otherwise(0.0)).alias("fits")), "SELECT document_id, line, line = 1 AS fits FROM document_item")
 _TRIO = lambda: money.money_trio(*(F.get(F.array(*(F.lit(v).cast("double") for v in values)), (F.col("id") % 8).cast("int")) for values in ([123.0, 123.0, None, 123.0, 123.0, None, 0.0, 50.0], [23.0, None, 23.0, 23.0, 1.0, None, 23.0, 60.0], [100.0, 100.0, 100.0, None, None, None, None, None])))
-case("mth_11_money_trio", lambda: F.concat_ws("|", *(_TRIO()[c].cast("string") for c in ("total", "tax", "net", "hint"))), of("123.0|23.0|100.0|reconciled_from_pair", "123.0|23.0|100.0|reconciled_partial", "123.0|23.0|100.0|reconciled_partial", "123.0|23.0|100.0|reconciled_partial", "123.0|reconciled_partial", "", "23.0|reconciled_partial", "50.0|60.0|reconciled_from_total_only"))
+case("mth_11_money_trio", lambda: shown(_TRIO(), "total", "tax", "net", "hint"), of("123.0|23.0|100.0|reconciled_from_pair", "123.0|23.0|100.0|reconciled_partial", "123.0|23.0|100.0|reconciled_partial", "123.0|23.0|100.0|reconciled_partial", "123.0|reconciled_partial", "", "23.0|reconciled_partial", "50.0|60.0|reconciled_from_total_only"))
 add("mth_12_net", DOC, lambda d: d.select("id", money.net_of(F.col("total"), money.vat_from_gross(F.when(F.col("type") != "RECIBO", F.col("total")), F.lit(23.0))).alias("net")), "SELECT id, CASE WHEN type <> 'RECIBO' THEN floor(greatest(total - floor(total * 23.0::DOUBLE / 123.0::DOUBLE * 100 + 0.5) / 100.0::DOUBLE, 0) * 100 + 0.5) / 100.0::DOUBLE END AS net FROM fiscal_document")
 add("mth_13_line_total", "document_item", lambda i: i.select("document_id", "line", money.line_total(F.col("quantity"), F.col("total") / F.col("quantity"), F.col("discount") * F.col("total") * 20).alias("net")), "SELECT document_id, line, greatest(0.0, floor((quantity * (total / quantity) - discount * total * 20) * 100 + 0.5) / 100.0::DOUBLE) AS net FROM document_item")
 case("mth_20_confidence", lambda: money.presence([(pick("5", None), 0.2), (F.col("total"), 0.2), (F.col("doc_number"), 0.15), (pick("", "x", None), 0.1)]), "round(0.35 + CASE WHEN id % 2 = 0 THEN 0.2 ELSE 0 END + CASE WHEN id % 3 = 1 THEN 0.1 ELSE 0 END, 4)::DOUBLE")
@@ -68,22 +73,22 @@ case("prj_12_patched", lambda: extraction.patched(F.col("counterparty"), pick(No
 # Identifiers and fiscal payloads ------------------------------------------------------
 
 _IBAN = lambda: fiscal.iban_parsed(pick("PT77 0035 0651 0000 0000 0073 9", "PT50000201231234567890154", "", "DE89370400440532013000", "GB00"))
-case("fid_05_iban_parts", lambda: F.concat_ws("|", _IBAN()["status"], _IBAN()["bank"], _IBAN()["branch"], _IBAN()["account"], _IBAN()["nib_digits"], _IBAN()["nib_valid"].cast("string")), of("valid|0035|0651|00000000007|39|true", "invalid|0002|0123|12345678901|54|false", "unknown", "valid", "invalid"))
+case("fid_05_iban_parts", lambda: shown(_IBAN(), "status", "bank", "branch", "account", "nib_digits", "nib_valid"), of("valid|0035|0651|00000000007|39|true", "invalid|0002|0123|12345678901|54|false", "unknown", "valid", "invalid"))
 _VAT = lambda: fiscal.foreign_vat(pick("VAT No: DE 123456789; total", "CIF: ESB1234567X", "our EL123456789", "PT500000000", "GB123456789 and FR12345678901", "x"))
-case("fid_06_foreign_vat", lambda: F.concat_ws(":", _VAT()["country"], _VAT()["value"]), of("DE:DE123456789", "ES:ESB1234567X", "GR:EL123456789", "", "GB:GB123456789", ""))
+case("fid_06_foreign_vat", lambda: shown(_VAT(), "country", "value", between=":"), of("DE:DE123456789", "ES:ESB1234567X", "GR:EL123456789", "", "GB:GB123456789", ""))
 case("fid_07_tax_id", lambda: fiscal.tax_id_valid(pick("PT", "PT", "DE", "FR", "XX"), pick("500000000", "500000001", None, None, None), pick(None, None, "DE123456789", "FR1", "XX123")), of(True, False, True, False, False))
 _QR = "A:500000000*B:999999990*C:PT*D:FT*E:N*F:20260315*G:FT 2026/1*H:J66S9FDD-1*I1:PT*I7:100.00*I8:{}*N:{}*O:{}*Q:abcd*R:1234"
 _QRS = [_QR.format("23.00", "23.00", "123.00"), _QR.format("13.00", "13.00", "150.00"), "A:123*H:X*O:5", "nothing"]
 _CHECKED = lambda: fiscal.qr_checked(pick(*_QRS))
-case("fid_08_qr_checked", lambda: F.concat_ws("|", F.array_join(_CHECKED()["errors"], ","), F.array_join(_CHECKED()["warnings"], ",")), of("|", "vat_line|sum", "issuer_nif,document_type,document_date,atcud|unique_id,certificate", ""))
+case("fid_08_qr_checked", lambda: fiscal.bound(_CHECKED(), lambda x: F.concat_ws("|", F.array_join(x["errors"], ","), F.array_join(x["warnings"], ","))), of("|", "vat_line|sum", "issuer_nif,document_type,document_date,atcud|unique_id,certificate", ""))
 _LINES = lambda: F.transform(F.flatten(F.transform(fiscal.qr_breakdown(pick("A:1*I1:PT*I2:5*I7:100.00*I8:23.00*J1:PT-AC*J3:10*J4:0.4", "A:1*K1:PT-MA*K5:7", "A:1")), fiscal.region_lines)), lambda x: F.concat_ws(":", x["kind"], x["rate"].cast("string"), x["base"].cast("string"), x["tax"].cast("string")))
 case("fid_09_region_lines", lambda: F.array_join(_LINES(), ","), of("exempt:0.0:5.0:0.0,normal:23.0:100.0:23.0,reduced:4.0:10.0:0.4", "intermediate:12.0:7.0:0.0", ""))
 _FLAT = lambda: F.transform(fiscal.flat_breakdown(fiscal.qr_breakdown(pick("A:1*I1:PT*I3:10*I7:100.00*I8:23.00*J1:PT-AC*J3:10*J4:0.4", "A:1"))), lambda x: F.concat_ws(":", x["rate"].cast("string"), x["base"].cast("string"), x["tax"].cast("string")))
 case("fid_10_flat_breakdown", lambda: F.array_join(_FLAT(), ","), of("4.0:10.0:0.0,23.0:100.0:23.0,5.0:10.0:0.4", ""))
 _FORM = lambda: fiscal.qr_form(pick("A:500000000*D:NC*H:ABCDEF-1*O:5*N:1", "A:500000000*D:RC*G:RC 1*O:5", "A:5*D:ZZ", "x"))
-case("prj_14_qr_form", lambda: F.concat_ws("|", *(_FORM()[c].cast("string") for c in ("type", "number", "nif", "total", "tax"))), of("outro|ABCDEF-1|500000000|5.0|1.0", "recibo|RC 1|500000000|5.0", "fatura_recebida|5", ""))
+case("prj_14_qr_form", lambda: shown(_FORM(), "type", "number", "nif", "total", "tax"), of("outro|ABCDEF-1|500000000|5.0|1.0", "recibo|RC 1|500000000|5.0", "fatura_recebida|5", ""))
 _FROM_QR = lambda: fiscal.qr_document(pick(*_QRS))
-case("jsn_12_qr_document", lambda: F.concat_ws("|", *(_FROM_QR()[c].cast("string") for c in ("type", "number", "date", "customer_nif", "total", "tax", "net", "confidence"))), of("FATURA_RECEBIDA|FT 2026/1|2026-03-15|123.0|23.0|100.0|0.95", "FATURA_RECEBIDA|FT 2026/1|2026-03-15|150.0|13.0|137.0|0.95", "FATURA_RECEBIDA|X|5.0|5.0|0.95", ""))
+case("jsn_12_qr_document", lambda: shown(_FROM_QR(), "type", "number", "date", "customer_nif", "total", "tax", "net", "confidence"), of("FATURA_RECEBIDA|FT 2026/1|2026-03-15|123.0|23.0|100.0|0.95", "FATURA_RECEBIDA|FT 2026/1|2026-03-15|150.0|13.0|137.0|0.95", "FATURA_RECEBIDA|X|5.0|5.0|0.95", ""))
 
 # Rules over the tables' own texts, dates and amounts ------------------------------------
 

@@ -4,7 +4,8 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from contaflux.operators import reconcile
+from contaflux.functions import fiscal
+from contaflux.operators import extraction, reconcile
 
 
 def plan_of(df) -> str:
@@ -36,3 +37,18 @@ def test_pairs_are_hashed_not_sorted(spark):
     amounts = {r["id"]: abs(r["amount"]) for r in bank.collect()}
     want = sorted((a, b) for a in amounts for b in amounts if abs(amounts[a] - amounts[b]) < 0.01)
     assert sorted((r["tx_id"], r["entity_id"]) for r in found.collect()) == want
+
+
+def test_fields_look_at_the_text_once(spark):
+    rows = spark.createDataFrame([("NIF: 500 000 000\nFT 2026/1\n01/02/2026\nIVA 23% 1.234,50\nTotal: EUR 6.601,90",)], "text string")
+    found = rows.select(extraction.fields(F.col("text")).alias("f"))
+    assert plan_of(found).count("amount due") == 1
+    f = found.first()["f"]
+    assert (f["nif"], f["number"], f["total"], f["tax"], f["confidence"]) == ("500000000", "FT 2026/1", 6601.9, 1234.5, 0.85)
+
+
+def test_payload_pairs_are_split_once(spark):
+    rows = spark.createDataFrame([("A:1* a :2*b:x:y*:z*c*B:",), (None,), ("",), ("A:1\n*A:",)], "raw string")
+    fields = rows.select(fiscal.qr_fields(F.col("raw")).alias("f"))
+    assert plan_of(fields).count("substring_index") == 1
+    assert [r["f"] for r in fields.collect()] == [{"A": "2", "": "z", "B": ""}, {}, {}, {"A": ""}]
