@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contaflux.functions import fiscal
@@ -26,6 +26,8 @@ SIGMA, FUTURE_DAYS, PAST_YEARS = 3.0, 30, 2
 DRIFT = 0.5
 #: Components of vectors count in steps of one over this, so that sums don't depend on their order.
 STEPS = 1 << 20
+#: Vectors of a supplier that one task may take.
+MOST_VECTORS = 50_000
 
 
 def duplicate_numbers(documents: DataFrame) -> DataFrame:
@@ -58,8 +60,12 @@ def duplicate_amounts(documents: DataFrame, seconds: int = DAY) -> DataFrame:
     return rows.withColumn("near", near(F.lag("at").over(order)) | near(F.lead("at").over(order))).where("near").select("id")
 
 
+def nif_missing() -> Column:
+    return ~fiscal.nif_valid(F.col("nif"))
+
+
 def missing_nifs(documents: DataFrame) -> DataFrame:
-    return documents.where(~fiscal.nif_valid(F.col("nif"))).select("id")
+    return documents.where(nif_missing()).select("id")
 
 
 def bursts(documents: DataFrame, most: int = BURST, seconds: int = BURST_SECONDS) -> DataFrame:
@@ -77,9 +83,13 @@ def odd_totals(documents: DataFrame, sigma: float = SIGMA) -> DataFrame:
     return boards.supplier_outliers(documents, sigma).select("id")
 
 
-def odd_dates(documents: DataFrame, now: datetime.date, days: int = FUTURE_DAYS, years: int = PAST_YEARS) -> DataFrame:
+def date_odd(now: datetime.date, days: int = FUTURE_DAYS, years: int = PAST_YEARS) -> Column:
     date, today = F.col("doc_date"), F.lit(now)
-    return documents.where((date > F.date_add(today, days)) | (date < F.add_months(today, -12 * years))).select("id")
+    return (date > F.date_add(today, days)) | (date < F.add_months(today, -12 * years))
+
+
+def odd_dates(documents: DataFrame, now: datetime.date, days: int = FUTURE_DAYS, years: int = PAST_YEARS) -> DataFrame:
+    return documents.where(date_odd(now, days, years)).select("id")
 
 
 def round_amounts(documents: DataFrame, least: int = 2) -> DataFrame:
@@ -89,7 +99,7 @@ def round_amounts(documents: DataFrame, least: int = 2) -> DataFrame:
     return some.join(several, ["tenant_id", "month"], "left_semi").select("id")
 
 
-def drifts(vectors: DataFrame) -> DataFrame:
+def drifts(vectors: DataFrame, most: int = MOST_VECTORS) -> DataFrame:
     """id and distance of vectors (id, supplier, vector) to the centroid of the supplier's others: 1 less
     the cosine, rounded to six digits. The row itself isn't in its centroid, so an outlier of few doesn't
     pull it along. Suppliers with fewer than three vectors, zero centroids and null or empty
@@ -99,7 +109,11 @@ def drifts(vectors: DataFrame) -> DataFrame:
     sums = some.select("supplier", F.posexplode("v").alias("i", "x")).groupBy("supplier", "i").agg(F.sum("x").alias("s"))
     centroids = sums.groupBy("supplier").agg(F.sort_array(F.collect_list(F.struct("i", "s"))).alias("s"))  # as many as a vector has components
     counts = some.groupBy("supplier").agg(F.count("*").alias("n")).where("n >= 3")
-    rows = some.join(centroids.join(counts, "supplier"), "supplier")
+    parts = F.ceil(F.col("n") / most)
+    large = counts.where(F.col("n") > most).select("supplier", parts.alias("parts"))  # few: each stands for over `most` rows
+    rows = some.join(F.broadcast(large), "supplier", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0).cast("long"))).drop("parts")
+    stats = centroids.join(counts, "supplier").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    rows = rows.join(stats, ["supplier", "part"])
     rest = F.transform("s", lambda p: p["s"] - F.coalesce(F.get("v", p["i"]), F.lit(0)))
     rows = rows.withColumn("rest", rest)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0)).cast("double") * F.coalesce(y, F.lit(0))), F.lit(0.0), lambda s, x: s + x)
@@ -110,18 +124,25 @@ def drifts(vectors: DataFrame) -> DataFrame:
 def signals(documents: DataFrame, items: DataFrame, known: DataFrame, vectors: DataFrame, now: datetime.date, burst: tuple[int, int] = (BURST, BURST_SECONDS), sigma: float = SIGMA, drift: float = DRIFT) -> DataFrame:
     """id and signals (names in order) of every document; ids of items and vectors that aren't documents'
     are left out. Documents that share an id share their signals."""
+    own = {"MISSING_NIF": nif_missing(), "DATE_ANOMALY": date_odd(now)}
     found = {
         "DUPLICATE_NUMBER": duplicate_numbers(documents),
         "INCONSISTENT_TAX": inconsistent_tax(items),
         "IBAN_MISMATCH": unknown_ibans(documents, known),
         "DUPLICATE_AMOUNT": duplicate_amounts(documents),
-        "MISSING_NIF": missing_nifs(documents),
         "BURST_UPLOAD": bursts(documents, *burst),
         "SUSPICIOUS_TOTAL": odd_totals(documents, sigma),
-        "DATE_ANOMALY": odd_dates(documents, now),
         "ROUND_AMOUNTS": round_amounts(documents),
         "STRUCTURE_DRIFT": drifts(vectors).where(F.col("distance") > drift).select("id"),
     }
-    every = reduce(DataFrame.unionByName, (ids.select("id", F.lit(name).alias("signal")) for name, ids in found.items()))
-    told = every.groupBy("id").agg(F.sort_array(F.collect_set("signal")).alias("signals"))
-    return documents.select("id").join(told, "id", "left").select("id", F.coalesce("signals", F.array().cast("array<string>")).alias("signals"))
+    names = sorted([*own, *found])
+    bit = {name: 1 << i for i, name in enumerate(names)}
+    # A document's signals are the bits of one number, so rows stay small and their ids are hashed as they come.
+    held = sum((F.when(c, bit[name]).otherwise(0) for name, c in own.items()), F.lit(0))
+    rows = documents.select("id", held.cast("int").alias("bits"), F.lit(1).cast("long").alias("copies"))
+    every = reduce(DataFrame.unionByName, (ids.select("id", F.lit(bit[name]).alias("bits"), F.lit(0).cast("long").alias("copies")) for name, ids in found.items()), rows)
+    told = every.groupBy("id").agg(F.bit_or("bits").alias("bits"), F.sum("copies").alias("copies")).where("copies > 0")
+    # Null ids are no ids: nothing is known of such documents.
+    bits = F.when(F.col("id").isNotNull(), F.col("bits")).otherwise(0)
+    told = told.select("id", bits.alias("bits"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return told.select("id", F.filter(F.array(*(F.when(F.col("bits").bitwiseAND(bit[n]) != 0, F.lit(n)) for n in names)), lambda s: s.isNotNull()).alias("signals"))

@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from contaflux.functions import fiscal
-from contaflux.operators import extraction, reconcile
+from contaflux.operators import anomalies, extraction, reconcile
 
 
 def plan_of(df) -> str:
@@ -52,3 +52,21 @@ def test_payload_pairs_are_split_once(spark):
     fields = rows.select(fiscal.qr_fields(F.col("raw")).alias("f"))
     assert plan_of(fields).count("substring_index") == 1
     assert [r["f"] for r in fields.collect()] == [{"A": "2", "": "z", "B": ""}, {}, {}, {"A": ""}]
+
+
+def test_signals_are_bits_of_a_number(spark):
+    day, kind = datetime.date(2026, 1, 1), "id long, tenant_id int, party_id int, number string, file_hash string, total double, doc_date date, nif string, iban string, at timestamp, ip string"
+    docs = spark.createDataFrame([(i, 1, 1, None, "h", 1.5, d, n, None, None, None) for i, d, n in ((1, day, "500000000"), (1, day, "500000001"), (2, day, "500000000"), (None, day, "1"), (None, day, None), (3, None, "1"), (4, datetime.date(1990, 1, 1), None))], kind)
+    items = spark.createDataFrame([(9, 100.0, 0.23, 1.0), (2, 100.0, 0.23, 1.0)], "document_id long, base double, rate double, tax double")
+    none = spark.createDataFrame([], "id long, supplier int, vector array<double>")
+    got = anomalies.signals(docs, items, spark.createDataFrame([], "party_id int, iban string"), none, day)
+    assert "ObjectHashAggregate" not in plan_of(got).split("Union")[0]
+    assert sorted(((r["id"] or 0), r["signals"]) for r in got.collect()) == [(0, []), (0, []), (1, ["MISSING_NIF"]), (1, ["MISSING_NIF"]), (2, ["INCONSISTENT_TAX"]), (3, ["MISSING_NIF"]), (4, ["DATE_ANOMALY", "MISSING_NIF"])]
+
+
+def test_many_vectors_of_a_supplier_are_parts(spark):
+    rows = spark.createDataFrame([(i, i % 3, [float(i % 7), float(i % 5), 1.0]) for i in range(40)] + [(100, 8, [1.0, 1.0, 1.0])], "id long, supplier int, vector array<double>")
+    want = sorted(map(tuple, anomalies.drifts(rows).collect()))
+    assert len(want) == 40
+    for most in (1, 4, 13):
+        assert sorted(map(tuple, anomalies.drifts(rows, most).collect())) == want
