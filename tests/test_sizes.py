@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from contaflux.functions import fiscal
 from contaflux.operators import anomalies, extraction, reconcile
+from contaflux.streaming import state
 
 
 def plan_of(df) -> str:
@@ -70,3 +71,33 @@ def test_many_vectors_of_a_supplier_are_parts(spark):
     assert len(want) == 40
     for most in (1, 4, 13):
         assert sorted(map(tuple, anomalies.drifts(rows, most).collect())) == want
+
+
+def test_a_key_asks_its_state_once():
+    calls = []
+
+    class Grant:
+        value = (1, 0)
+        exists = lambda self: calls.append("exists") or self.value is not None
+        get = lambda self: calls.append("get") or self.value
+        update = lambda self, value: calls.append("update") or setattr(self, "value", value)
+        clear = lambda self: calls.append("clear") or setattr(self, "value", None)
+
+    class Handle:
+        registerTimer = lambda self, at: calls.append("register")
+        deleteTimer = lambda self, at: calls.append("delete")
+
+    tokens = state.Tokens(1_000_000, [])
+    tokens.grant, tokens.handle = Grant(), Handle()
+    rows = [{"id": i, "at": i * 400_000, "use": i % 3 == 0} for i in range(2, 50)]
+    got = [(r["grant_id"], r["use_id"], r["outcome"]) for r in tokens.handleInputRows(("k",), iter(rows), None)]
+    assert got[:3] == [(1, None, "replaced"), (2, 3, "used"), (4, None, "replaced")]
+    assert len(calls) <= 5 and tokens.grant.value == (49, 49 * 400_000)
+
+
+def test_stores_are_set_for_streams_only(spark):
+    before = {name: spark.conf.get(name, None) for name in state._STORES}
+    with state.stateful(spark):
+        assert all(spark.conf.get(name) == value for name, value in state._STORES.items())
+        assert spark.conf.get("spark.sql.streaming.join.stateFormatVersion") == "3"
+    assert {name: spark.conf.get(name, None) for name in state._STORES} == before
