@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import itertools
 import math
 from pathlib import Path
 
@@ -320,3 +321,22 @@ def test_breakdown_rounds_half_cents_as_sql_does(spark, duck):
     lines = spark.createDataFrame([(i, 6.0, 3.0, a / 3.0, 0.0, a * (1 + 6.0 / 100)) for i, a in enumerate(amounts)], "document_id long, rate double, quantity double, price double, discount double, line_total double")
     got = {r.document_id: (r.base, r.tax) for r in extraction.breakdown(docs, lines).collect()}
     assert got == {i: (a, duck.execute("SELECT round(?::DOUBLE * 6.0 / 100, 2)", [a]).fetchone()[0]) for i, a in enumerate(amounts)}
+
+
+def test_breakdown_adds_lines_in_their_order(spark):
+    amounts = [41342.93, 29799.86, 86915.46]  # 6 % of their sum is 9483.495 or just under it, by the order
+    orders = list(itertools.permutations(range(3)))
+    docs = spark.sql("SELECT id, CAST(array() AS array<struct<rate:double,base:double,tax:double>>) AS explicit, 23.0D AS tax, 100.0D AS net FROM range(6)")
+    rows = [(i, 6.0, 1.0, a, 0.0, a, order.index(j)) for i, order in enumerate(orders) for j, a in enumerate(amounts)]
+    lines = spark.createDataFrame(rows, "document_id long, rate double, quantity double, price double, discount double, line_total double, position long")
+    want = {}
+    for i, order in enumerate(orders):
+        base = part = 0.0
+        for j in order:
+            base, part = base + amounts[j], part + amounts[j] * 6.0 / 100
+        want[i] = (math.floor(base * 100 + 0.5) / 100, math.floor(part * 100 + 0.5) / 100)
+    assert len({t for _, t in want.values()}) == 2
+    for dealt in (lines, lines.repartition(7, "position"), lines.orderBy(F.desc("position"))):
+        assert {r.document_id: (r.base, r.tax) for r in extraction.breakdown(docs, dealt).collect()} == want
+    free = [extraction.breakdown(docs, x.drop("position")).select("base", "tax").distinct().count() for x in (lines, lines.repartition(5))]
+    assert free == [1, 1]  # without positions one order holds for all
