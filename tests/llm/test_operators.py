@@ -196,6 +196,41 @@ def test_least_common_tokens_of_prefixes():
             assert len(both) >= ngram_join.common_least(np.array([len(a)]), np.array([len(b)]))[0] >= 1
 
 
+def test_families_with_a_line_in_common_are_not_compared(spark, monkeypatch):
+    """Sets that share many tokens, but only a line of them with another component, meet in no group."""
+    rng = random.Random(31)
+    lines, texts, looked_at = [words_of(rng, 16) for _ in range(12)], [], []
+    for i in range(36):
+        base = f"{words_of(rng, (200, 204, 265)[i // 12])} {lines[i % 12]}".split()
+        copy = [*base[:9], words_of(rng, 1), *base[10:]]
+        texts += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    inner = ngram_join.candidates
+    monkeypatch.setattr(ngram_join, "candidates", lambda groups, vectors: looked_at.append(groups.count()) or inner(groups, vectors))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.linked(documents(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i, _ in texts}
+    assert looked_at == [0]
+
+
+def test_common_tokens_below_marks():
+    rng = np.random.default_rng(7)
+    hashes = np.sort(rng.integers(0, 2**64, 2000, dtype=np.uint64))
+    told, similar = set(rng.choice(hashes, 60).tolist()), 0
+    for _ in range(400):
+        a = rng.choice(hashes, rng.integers(1, 900), replace=False)
+        b = np.union1d(rng.choice(a, -(-len(a) * rng.integers(75, 101) // 100), replace=False), rng.choice(hashes, rng.integers(0, 40)))
+        sets = [np.array([x for x in np.sort(s).tolist() if x not in told], np.uint64) for s in (a, b)]
+        lengths = [ngram_join.prefix_length(len(s)) for s in (a, b)]
+        counts, marks = ngram_join.counts_of([ngram_join.below_marks(s[:n], len(s) <= n) for s, n in zip(sets, lengths, strict=True)])
+        if not ngram_join.enough(len(np.intersect1d(a, b)), len(a), len(b)):
+            continue
+        similar += 1
+        mark = marks.min()
+        both = np.intersect1d(*(s[:n] for s, n in zip(sets, lengths, strict=True)))
+        need = ngram_join.common_below(np.array([len(a)]), np.array([len(b)]), counts[:1, mark], counts[1:, mark])[0]
+        assert need <= (np.count_nonzero(both < ngram_join.MARKS[mark - 1]) if mark else 0)
+    assert similar > 100
+
+
 def test_components_say_when_they_are_not_done(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     assert {r["comp"] for r in components.components(path, common.Scratch(spark, "t")).collect()} == {0}
